@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, language, secrets
+from corpusloom.llm import chat, language, mixing, secrets, urls
 
-MODULES = (secrets, chat, language)
+MODULES = (secrets, urls, chat, language, mixing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
