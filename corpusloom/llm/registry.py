@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, language, mixing, secrets, urls
+from corpusloom.llm import chat, language, lines, mixing, quality, secrets, urls
 
-MODULES = (secrets, urls, chat, language, mixing)
+MODULES = (secrets, urls, chat, language, lines, mixing, quality)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
