@@ -16,7 +16,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm.common import table
 
@@ -83,15 +82,22 @@ class LanguageModel:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """A model from labelled rows; rows without text or language are passed over.
 
-    Ids are drawn first, by hash and without the texts, then excerpts of those rows
-    come to the driver: sample_rows times dictionary_bytes / 16 characters for each
-    language at most, whatever the size of docs. No rows: a model that knows none.
+    Ids are drawn first, by hash and without the texts: about twice sample_rows of each
+    language come to the driver. Then excerpts of sample_rows of them do, of dictionary_bytes / 16
+    characters each, whatever the size of docs. No rows: a model that knows none.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and length(text) > 0")
     counts = rows.groupBy("lang").count().collect()
     order = F.xxhash64("id")
-    drawn = rows.select("id", "lang", order.alias("h")).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= sample_rows)
-    ids = [r["id"] for r in drawn.select("id").distinct().collect()]
+    # Hashes are even: below this share of them, twice the rows wanted are expected.
+    share = F.lit(1.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r["lang"], min(1.0, 2 * sample_rows / r["count"])).otherwise(share)
+    drawn = rows.select("id", "lang", order.alias("h")).where(F.pmod(F.col("h"), F.lit(1 << 40)) < share * (1 << 40))
+    by_lang = defaultdict(set)
+    for r in drawn.collect():
+        by_lang[r["lang"]].add((r["h"], r["id"]))
+    ids = [i for found in by_lang.values() for _, i in sorted(found)[:sample_rows]]
     piece = dictionary_bytes // 16
     excerpts = defaultdict(list)
     for r in rows.where(F.col("id").isin(ids)).select("lang", order.alias("h"), "id", F.substring("text", 1, piece).alias("text")).collect() if ids else []:

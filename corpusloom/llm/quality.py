@@ -23,7 +23,7 @@ SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 60
 #: Squared distances are compared with this: the 1e-6 tail of chi-squared with 5 degrees of freedom, doubled, as texts are not normal vectors.
 LIMIT = 2 * 35.9
 #: Standard deviations are taken as no smaller than this, by transformed statistic.
-FLOORS = {"log_words": 0.5, "word_length": 0.1, "symbols": 0.1, "dup_lines": 0.1, "repeats": 0.1}
+FLOORS = {"log_words": 0.5, "word_length": 0.1, "symbols": 0.1, "dup_lines": 0.3, "repeats": 0.3}
 VECTOR = tuple(FLOORS)
 #: Width of the steps by which distances are told apart, in logarithms.
 STEP = 0.01
@@ -119,8 +119,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     distance (squared) <= limit. A null or empty text has no words. Repeated rows count as often as
     they stand; null ids stay; other columns don't matter.
 
-    The estimate starts from all vectors of a group, by medians and absolute deviations cut at 3 of
-    them, and is then made `steps` times from the closest `support` of all vectors. Every step sums
+    The estimate starts from the vectors of a group within 3 robust deviations of its medians in each
+    statistic (quartiles of values rounded to 0.01, so counts stay few), and is then made `steps` times from the closest `support` of all vectors. Every step sums
     before the shuffle and leaves one row for each group and step of the distance.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = vectors.groupBy("key").count().where(F.col("count") >= min_rows).select("key")
     vectors = checkpointed(vectors.join(sizes, "key"))
     d = range(len(VECTOR))
-    middle = vectors.groupBy("key").agg(*(F.percentile_approx(F.col("v")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in d))
+    middle = vectors.groupBy("key").agg(*(F.percentile(F.round(F.col("v")[i], 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in d))
     floors = list(FLOORS.values())
     near = [F.abs(F.col("v")[i] - F.col(f"q{i}")[1]) <= 3 * F.greatest(0.74 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]), F.lit(floors[i])) for i in d]
     start = vectors.join(middle, "key").where(near[0] & near[1] & near[2] & near[3] & near[4]).select("key", "v")
