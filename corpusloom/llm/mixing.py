@@ -17,8 +17,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 SEED = "mix"
-#: Rows of a bucket, within which sums run in one task.
-BUCKET_ROWS = 20_000
+#: Rows of a bucket, within which sums run in one task; with MOST_BUCKETS buckets they grow instead, as the buckets' totals of a source are summed in one task.
+BUCKET_ROWS = 1_000
+MOST_BUCKETS = 100_000
 
 
 def targets_of(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
-    buckets = max(1, sized.count() // bucket_rows)
+    buckets = min(max(1, sized.count() // bucket_rows), MOST_BUCKETS)
     targets = targets_of(sized, weights, share, repeats)
     queued = checkpointed(
         spark.sql(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, html, language, lines, mixing, quality, secrets, urls
+from corpusloom.llm import chat, decontaminate, html, language, lines, mixing, quality, secrets, urls
 
-MODULES = (secrets, urls, chat, language, lines, html, mixing, quality)
+MODULES = (secrets, urls, chat, language, lines, html, mixing, quality, decontaminate)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
