@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import WordHashes, row_key, table, windows
 
@@ -156,16 +157,17 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
     spans are the hit words, merged, as places of words; items the sorted ids whose windows occur.
     A null text has no words and no item's window; an item of fewer than `size` words is one window,
     one of none has none; an item with a null id hits but isn't named. Equal windows of several
-    items, repeated rows and null ids of docs are all kept; other columns don't matter.
+    items, repeated rows and null ids of docs are all kept; other columns don't matter. An id may be
+    of any type, a struct of a row's other columns too.
 
     Shingles are counted over all documents. If the windows take up to broadcast_bytes, both passes
     over the documents need no shuffle but that of the counts; beyond it, shingles are shuffled and
     joined with the windows' rarest ones, and candidates with their documents.
     """
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sought = windows_of(bench, item_col, item_text_col, size, shingle)
-    out = f"id {types[id_col]}, n_words bigint, spans array<struct<start bigint, end bigint>>, items array<string>"
+    span = T.StructType().add("start", "long").add("end", "long")
+    out = T.StructType().add("id", rows.schema["id"].dataType).add("n_words", "long").add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
     weight = sought.agg(F.sum(F.octet_length("window") + 16 * F.size("shingles") + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
     width = lambda n: min(shingle, n)
     if weight <= broadcast_bytes:
