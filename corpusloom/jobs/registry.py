@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from corpusloom.jobs import evaluation, retrieval, telemetry
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | telemetry.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | telemetry.ORACLE_SQL
