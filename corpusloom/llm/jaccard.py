@@ -307,13 +307,13 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods."""
-    known = reps.select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    named = heavy.join(known, "a").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "band", F.coalesce("root", "a").alias("root"))
     keys = _texts(docs, reps, heavy.select("a").distinct()).mapInArrow(_neighbourhoods, "a bigint, band bigint, key bigint, whole boolean").join(named, ["a", "band"])
-    keys = checkpointed(keys.select("key", "whole", "a", "root", "n", "sketch"))
+    keys = keys.select("key", "whole", "a", "root").repartition("key")  # dealt once, for both uses
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("whole").alias("any")).where("size > 1 and r != s and any")
+    short = reps.join(heavy.select("a").distinct(), "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = keys.join(sizes.select("key", "size"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int"))
+    dealt = keys.join(sizes.select("key", "size"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).join(short, "a")
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     each = each.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "a", "root", "n", "sketch")
     return each.repartition("key", "low", "high").mapInArrow(_compared, "x bigint, y bigint")
