@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import WordHashes, checkpointed, mixed, table, windows
 from corpusloom.llm.graph import components
@@ -29,8 +30,8 @@ COMMON = 32
 SPARE = 0.08
 #: Index rows that are grouped at once before the shuffle; rows of a neighbourhood that one task compares.
 FLUSH, BLOCK = 1_000_000, 2_000
-#: Ids that are broadcast to fetch their texts; more are joined.
-BROADCAST_IDS = 1_000_000
+#: Ids that are broadcast to fetch their texts, and sketches of heavy sets; more are joined.
+BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -309,14 +310,23 @@ def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: Data
     """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods."""
     named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "band", F.coalesce("root", "a").alias("root"))
     keys = _texts(docs, reps, heavy.select("a").distinct()).mapInArrow(_neighbourhoods, "a bigint, band bigint, key bigint, whole boolean").join(named, ["a", "band"])
-    keys = keys.select("key", "whole", "a", "root").repartition("key")  # dealt once, for both uses
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("whole").alias("any")).where("size > 1 and r != s and any")
-    short = reps.join(heavy.select("a").distinct(), "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = keys.join(sizes.select("key", "size"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).join(short, "a")
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "a", "root", "n", "sketch")
-    return each.repartition("key", "low", "high").mapInArrow(_compared, "x bigint, y bigint")
+    keys = keys.select("key", "whole", "a", "root").repartition("key")
+    of_key = Window.partitionBy("key")
+    over = {"size": F.count(F.lit(1)), "r": F.min("root"), "s": F.max("root"), "any": F.max("whole")}
+    shared = keys.withColumns({name: c.over(of_key) for name, c in over.items()}).where("size > 1 and r != s and any").select("key", "whole", "a", "root", "size")
+    sets = heavy.select("a").distinct()
+    short = reps.join(sets, "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
+    few = sets.count() <= BROADCAST_SKETCHES
+    known = shared.join(F.broadcast(short) if few else short, "a").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    columns = ("key", "low", "high", "block", "whole", "a", "root", "n", "sketch")
+    dealt = known.where("blocks > 1") if few else known
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*columns).repartition("key", "low", "high")
+    found = dealt.mapInArrow(_compared, "x bigint, y bigint")
+    if few:  # a neighbourhood of one block is where its key was dealt
+        zero = F.lit(0)
+        found = found.union(known.where("blocks = 1").withColumns({"low": zero, "high": zero, "block": zero}).select(*columns).mapInArrow(_compared, "x bigint, y bigint"))
+    return found
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,15 +80,16 @@ def path_of(url: F.Column) -> F.Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def _grams(text: F.Column, mark: str) -> F.Column:
-    """All n-grams of the marked text, each in time that doesn't depend on its place."""
-    chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+def _grams(chars: str, mark: str) -> F.Column:
+    """All n-grams of a column of characters, each in time that doesn't depend on its place."""
     gram = lambda n: F.array_compact(F.transform(chars, lambda c, i: F.concat(F.lit(mark), c, *(F.get(chars, i + k) for k in range(1, n)))))
     return F.concat(*(gram(n) for n in SIZES))
 
 
 def _featured(urls: DataFrame, url: F.Column) -> DataFrame:
-    return urls.withColumn("_grams", F.concat(_grams(host_of(url), "h:"), _grams(path_of(url), "p:")))
+    """urls with _grams. Characters are a column of their own, as a lambda would split anew for each of them."""
+    chars = {f"_{name}": F.split(F.concat(F.lit("^"), part, F.lit("$")), "") for name, part in (("host", host_of(url)), ("path", path_of(url)))}
+    return urls.withColumns(chars).withColumn("_grams", F.concat(_grams("_host", "h:"), _grams("_path", "p:"))).drop("_host", "_path")
 
 
 def learn_urls(labelled: DataFrame, features: int = FEATURES) -> PipelineModel:
