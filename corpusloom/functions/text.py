@@ -69,6 +69,7 @@ def extract_json(text: Column) -> tuple[Column, Column]:
     from_end = F.instr(F.reverse(body), F.when(obj, F.lit("}")).otherwise(F.lit("]")))
     end = F.when(from_end > 0, F.length(body) - from_end + 1).otherwise(0)
     found = F.substring(body, start, end - start + 1)
-    valid = F.try_parse_json(found).isNotNull()
+    # The parser stops behind the first value; as the only element of an array it must be all.
+    valid = F.coalesce(F.size(F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))).cast("array<variant>")) == 1, F.lit(False))
     error = F.when(start == 0, "none found").when(end < start, "no closer").when(~valid, "parse error")
     return F.when(error.isNull(), found), error
