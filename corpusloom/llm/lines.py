@@ -9,13 +9,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.llm.common import row_key, table
 
 LINES = 3
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text: pd.Series, starts: pd.Series, width: pd.Series) -> pd.Series:
     """The text without the lines that the windows at starts cover."""
 
