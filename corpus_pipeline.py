@@ -44,9 +44,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with how often it has each (copies) and when first (finish).
 
-    Rows that share an id share the largest number of copies among them.
+    Rows that share an id share the largest number of copies among them. Columns of docs by these
+    two names are replaced.
     """
     taken = mix(docs).groupBy(row_key("doc_id").alias("_key")).agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")).where("copies > 0")
+    docs = docs.drop("copies", "finish")
     return docs.withColumn("_key", row_key("doc_id")).join(taken, "_key").select(*docs.columns, "copies", "finish")
 
 

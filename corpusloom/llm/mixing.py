@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         spark.sql(
             f"""
             with placed as (
-              select s.id, s.source, s.size, s.h, t.place, t.source_size, t.target, cast(s.h % {buckets} as int) as bucket
+              select s.id, s.source, s.size, s.h, t.place, t.source_size, t.target, cast(s.h div {(1 << 60) // buckets + 1} as int) as bucket
               from {{sized}} s join {{targets}} t on s.source <=> t.source
             ),
             bucket_sums as (
