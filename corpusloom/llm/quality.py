@@ -7,6 +7,7 @@ vectors, and a text far from the centre by Mahalanobis distance is rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 #: Share of the vectors that the estimate is made from, concentration steps, and the least rows of a group with an estimate of its own.
 SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 60
-#: Squared distances are compared with this: the 1e-6 tail of chi-squared with 5 degrees of freedom, doubled, as texts are not normal vectors.
-LIMIT = 2 * 35.9
-#: Standard deviations are taken as no smaller than this, by transformed statistic.
-FLOORS = {"log_words": 0.5, "word_length": 0.1, "symbols": 0.1, "dup_lines": 0.3, "repeats": 0.3}
+#: Squared distances are compared with this: the 1e-6 tail of chi-squared with 5 degrees of freedom.
+LIMIT = 35.9
+#: Variances get the square of this added, by transformed statistic, as most texts have no symbols or repeats and so no scatter of their own.
+#: The mean word length of a short text varies by 0.05. One symbol, one repeated line and one repeated window of a text of MIN_WORDS
+#: are four floors each, so that one line said twice (2 * 16 < LIMIT) doesn't reject the shortest text.
+FLOORS = {"log_words": 0.05, "word_length": 0.05, "symbols": math.log1p(10 / MIN_WORDS) / 4, "dup_lines": math.log1p(10 / MIN_WORDS) / 4, "repeats": math.log1p(60 / MIN_WORDS) / 4}
 VECTOR = tuple(FLOORS)
 #: Width of the steps by which distances are told apart, in logarithms.
 STEP = 0.01
@@ -66,7 +69,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], *COUNTS])
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def consistency(support: float) -> float:
+    """The factor by which the scatter of the closest `support` of normal vectors is too small."""
+    if support >= 1:
+        return 1.0
+    within = lambda x: math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)  # noqa: E731  chi-squared, 5 degrees of freedom
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if within(x) < support else (low, x)
+    return support / (support - (x / 2) ** 2.5 * math.exp(-x / 2) / math.gamma(3.5))
+
+
+def _estimated(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
     """Centre and inverse scatter of each group from its sums; a row in, a row out."""
     d = len(VECTOR)
     floors = np.diag([x * x for x in FLOORS.values()])
@@ -76,18 +91,18 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         second = np.array(batch.column("second").to_pylist(), float).reshape(-1, d, d)
         centre = first / n[:, None]
         scatter = second / n[:, None, None] - centre[:, :, None] * centre[:, None, :]
-        inverse = np.linalg.inv(scatter + floors)
+        inverse = np.linalg.inv(scale * scatter + floors)
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(inverse.reshape(-1, d * d).tolist(), pa.list_(pa.float64()))], ["key", "centre", "inverse"])
 
 
-def _estimate(vectors: DataFrame) -> DataFrame:
-    """(key, centre, inverse) from (key, v): sums are made before the shuffle, a row for each group after it."""
+def _estimate(vectors: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(key, centre, inverse) from (key, v), the scatter times `scale`: sums are made before the shuffle, a row for each group after it."""
     d = range(len(VECTOR))
     part = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in d] + [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}_{j}") for i in d for j in d if i <= j]
     sums = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *part)
     first = F.array(*(F.col(f"s{i}") for i in d))
     second = F.array(*(F.col(f"p{min(i, j)}_{max(i, j)}") for i in d for j in d))
-    return sums.select("key", "n", first.alias("first"), second.alias("second")).mapInArrow(_estimated, "key string, centre array<double>, inverse array<double>")
+    return sums.select("key", "n", first.alias("first"), second.alias("second")).mapInArrow(lambda batches: _estimated(batches, scale), "key string, centre array<double>, inverse array<double>")
 
 
 def _distance() -> F.Column:
@@ -143,7 +158,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     start = vectors.join(middle, "key").where(near[0] & near[1] & near[2] & near[3] & near[4]).select("key", "v")
     estimate = checkpointed(_estimate(start))
     for _ in range(steps):
-        estimate = checkpointed(_estimate(_closest(vectors, estimate, support)))
+        estimate = checkpointed(_estimate(_closest(vectors, estimate, support), consistency(support)))
     out = judged.join(estimate, "key", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("centre").isNotNull(), _distance()))
     return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 

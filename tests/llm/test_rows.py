@@ -296,6 +296,28 @@ def test_outliers_go_and_plain_text_stays(spark):
     assert all(r["kept"] and r["distance"] is None for r in few)
 
 
+def test_repeated_lines_and_phrases_that_pass_base_go(spark):
+    plain = [" ".join(f"w{i * 1000 + j:06d}" for j in range(100 + i)) for i in range(200)]
+    lines = "\n".join([" ".join(f"v{j:06d}" for j in range(190)), *["a1234567"] * 10])  # 10 words of 200
+    phrases = " ".join([*(f"u{j:06d}" for j in range(102)), *["say1234 this567 again89 and1234 more567 of12345 it12345"] * 14])  # 98 words of 200
+    once = " ".join(f"t{j:06d}" for j in range(180)) + "\none line of ten words that is said two times\none line of ten words that is said two times"
+    texts = [*plain, lines, phrases, once]
+    schema = "doc_id long, text string, lang string, source string"
+    rows = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], schema)).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    assert [i for i, r in rows.items() if not r["kept"]] == [200, 201]
+
+
+def test_consistency():
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(400_000, 5))
+    far = (x**2).sum(1)
+    for support in (0.5, 0.75, 0.9):
+        assert quality.consistency(support) == pytest.approx(1 / x[far <= np.quantile(far, support)].var(), rel=0.01)
+    assert quality.consistency(1) == 1
+
+
 def test_estimate_is_that_of_numpy(spark):
     import numpy as np
 
