@@ -34,23 +34,38 @@ UNLIKELY = re.compile(
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_ATTRIBUTE = re.compile(r"""\"[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Points of a sibling against the best container's, from which it is kept. Ancestors that a paragraph's points reach.
 SIBLING, LEVELS = 0.2, 5
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped")
+    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped", "inside")
 
     def __init__(self, tag: str, names: str, parent: Node | None, dropped: bool):
         self.tag, self.names, self.parent, self.dropped = tag, names, parent, dropped
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
+        self.inside: bool = tag in ("article", "main") or bool(parent and parent.inside)
 
 
-def _names(attributes: str) -> str:
-    return " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
+def _attributes(attributes: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+        if name:
+            found.setdefault(name.lower(), html.unescape(a or b or c).lower())
+    return found
+
+
+def _hidden(found: dict[str, str]) -> bool:
+    """The hidden attribute (unless it waits for a search), aria-hidden=true, or a style that shows nothing; of a property's declarations the last counts."""
+    if "hidden" in found and found["hidden"].strip() != "until-found" or found.get("aria-hidden", "").strip() == "true":
+        return True
+    style = {}
+    for part in found.get("style", "").split(";"):
+        name, _, value = part.partition(":")
+        style[name.strip()] = value.partition("!")[0].strip()
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
 def parse(page: str) -> list[Node]:
@@ -85,10 +100,13 @@ def parse(page: str) -> list[Node]:
                     up = up.parent or root
                 if up.tag == "p" or tag == up.tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS and up.tag in HEADINGS:
                     at = up.parent or root
-            names = _names(attributes)
-            unlikely = tag not in ("body", "article", "main") and bool(UNLIKELY.search(names)) and not (LIKELY.search(names) and tag in ("div", "section") and "comment" not in names)
-            header = tag == "header" and not _within(at, ("article", "main"))
-            node = Node(tag, names, at, at.dropped or tag in NEVER or header or unlikely or bool(attributes and _HIDDEN.search(attributes)))
+            found = _attributes(attributes)
+            names = " ".join(found[x] for x in ("class", "id", "role") if x in found)
+            # Ids of headings, and within an article, are made from its own words.
+            told = " ".join(found[x] for x in ("class", "role") if x in found) if at.inside else names
+            unlikely = tag not in ("body", "article", "main") and tag not in HEADINGS and bool(UNLIKELY.search(told)) and not (LIKELY.search(names) and tag in ("div", "section") and "comment" not in names)
+            header = tag == "header" and not at.inside
+            node = Node(tag, names, at, at.dropped or tag in NEVER or header or unlikely or _hidden(found))
             at.children.append(node)
             nodes.append(node)
             if tag not in VOID and not attributes.endswith("/"):
@@ -104,12 +122,6 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node and node.tag not in tags:
-        node = node.parent
-    return node is not None
-
-
 def _blocks(root: Node) -> list[tuple[Node, str, int, int]]:
     """(element, text, characters, characters in links) of each run of text between block borders, in page order."""
     found: list[tuple[Node, str, int, int]] = []

@@ -245,6 +245,21 @@ def test_page(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body style="overflow:hidden"><p>Kept, that is.</p></body>', "Kept, that is."),
+        ('<article class="overflow-hidden"><p aria-hidden="false">Kept, <b>that</b> is.</p></article>', "Kept, that is."),
+        ('<article><p data-note="hidden" title="display:none">a, b</p><p style="display:none; display:block">c</p><p data-role="menu">d</p></article>', "a, b c d"),
+        ('<article><p>a, b</p><p hidden>c</p><p hidden="">d</p><p aria-hidden=true>e</p><p style="color:red;DISPLAY : none !important">f</p><p style=visibility:hidden>g</p></article>', "a, b"),
+        ('<article><p>a, b</p><section id="related-work"><h2 id="share-of-votes">c</h2><p>d</p></section><section id="social-history"><p>e</p></section></article>', "a, b c d e"),
+        ('<main><h2 class="banner">a</h2><p>b, c</p><div class="related">d</div></main><div id="related"><p>e, f</p></div>', "a b, c"),
+    ],
+)
+def test_attributes_are_read_by_name(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_pages_of_odd_rows(odd):
     rows = pages.extract_text(odd.withColumnRenamed("text", "html").withColumnRenamed("source", "url"), "doc_id").collect()
     assert len(rows) == 9 and [r["n_chars"] for r in rows if r["doc_id"] in (2, 3, 4)] == [0, 0, 0]
