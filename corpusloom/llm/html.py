@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors; a container's
-points are discounted by its link density. The best container is kept, with those of
-its siblings that hold text of the same kind.
+points are discounted by its link density. The best container, or the whole article or
+main element around it, is kept, with those of its siblings that hold text of the same kind.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 _ATTRIBUTE = re.compile(r"""\"[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Points of a sibling against the best container's, from which it is kept. Ancestors that a paragraph's points reach.
 SIBLING, LEVELS = 0.2, 5
+#: What belongs to an article that stands beside it in main, however short.
+BESIDE = HEADINGS | {"p", "header", "hgroup"}
 
 
 class Node:
@@ -165,6 +167,16 @@ def _blocks(root: Node) -> list[tuple[Node, str, int, int]]:
     return found
 
 
+def _whole(best: Node) -> Node:
+    """The outermost article around best, or else the outermost main; best itself outside of both."""
+    found: dict[str, Node] = {}
+    node: Node | None = best
+    while node:
+        found[node.tag] = node
+        node = node.parent
+    return found.get("article") or found.get("main") or best
+
+
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, joined by a space; empty if there is none."""
     if not page:
@@ -196,11 +208,13 @@ def main_text(page: str | None) -> str:
     article = any(node.tag in ("article", "main") for node in scored.values())
     rank = lambda n: n.points * (1 - n.linked / n.chars if n.chars else 0) * (0.2 if article and n.tag in ("body", "html") else 1)
     best = max(scored.values(), key=rank)
-    keep = {id(best)}
-    for sibling in best.parent.children if best.parent and best.tag not in ("body", "html") else ():
-        if isinstance(sibling, Node) and sibling is not best and not sibling.dropped and sibling.chars:
-            density = sibling.linked / sibling.chars
-            if sibling.tag == "p" and density < 0.25 and sibling.chars > 80 or id(sibling) in scored and sibling.tag == best.tag and rank(sibling) >= SIBLING * rank(best) and density < 0.25:
+    top = _whole(best)
+    keep = {id(top)}
+    among = top.parent is not None and top.parent.inside
+    for sibling in top.parent.children if top.parent and top.tag not in ("body", "html") else ():
+        if isinstance(sibling, Node) and sibling is not top and not sibling.dropped and sibling.chars and sibling.linked / sibling.chars < 0.25:
+            scores = id(sibling) in scored and sibling.tag == top.tag and rank(sibling) >= SIBLING * max(rank(top), rank(best))
+            if scores or sibling.tag == "p" and sibling.chars > 80 or among and (sibling.tag in BESIDE or sibling.tag == top.tag):
                 keep.add(id(sibling))
     for node in nodes:
         if node.parent and id(node.parent) in keep:

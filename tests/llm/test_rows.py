@@ -260,6 +260,18 @@ def test_attributes_are_read_by_name(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize("n", [1, 5, 50, 500])
+def test_long_nested_articles_are_whole(n):
+    words = "Some words of it, and more of them, in a paragraph."
+    many = f"<p>{words}</p>" * n
+    body = f"<h1>Title</h1><p>intro</p><div>{many}</div><ul><li>item</li></ul><table><tr><td>cell</td></tr></table><blockquote>said</blockquote>"
+    want = " ".join(["Title intro", *[words] * n, "item cell said"])
+    assert pages.main_text(f"<nav>menu</nav><article>{body}</article><footer>end</footer>") == want
+    assert pages.main_text(f"<main>{body}</main><p>outside</p>") == want
+    assert pages.main_text(f"<article><h1>Title</h1><section>{many}</section><section><p>short</p></section></article>") == " ".join(["Title", *[words] * n, "short"])
+    assert pages.main_text(f"<main><h1>Title</h1><article><div>{many}</div></article><article><p>short</p></article><div>{'<a>link</a>' * 9}</div></main>") == " ".join(["Title", *[words] * n, "short"])
+
+
 def test_pages_of_odd_rows(odd):
     rows = pages.extract_text(odd.withColumnRenamed("text", "html").withColumnRenamed("source", "url"), "doc_id").collect()
     assert len(rows) == 9 and [r["n_chars"] for r in rows if r["doc_id"] in (2, 3, 4)] == [0, 0, 0]
