@@ -26,10 +26,20 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # A longest run that is too short holds no long enough one, so the length can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.\\"'-]*?)-----END \1PRIVATE KEY-----""")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+# The later parts are looked at only, so a token may begin in any part of a longer chain of dots.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})(?=\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+# Line breaks as they stand in files, in JSON and in source code that joins quoted lines.
+_BREAK = re.compile(r"""\\+[nrt]|["'][\s+,.\\]*["']""")
+_GAP = re.compile(r"""(?:\\+[nrt]|["'][\s+,.\\]*["']|\s)+""")
+_PAD = re.compile(r"={0,2}")
+#: Where a key can begin in base64 and in hex: a sequence, or the name of the openssh format; and the digits that go on.
+_BEGINS = (
+    (re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA"), re.compile(r"[A-Za-z0-9+/_-]+"), 4, 3),
+    (re.compile(r"30(?=[0-9A-Fa-f]{14})|6f70656e7373682d6b65792d763100", re.I), re.compile(r"[0-9A-Fa-f]+"), 2, 1),
+)
 
 
 def _decoded(run: str) -> bytes | None:
@@ -88,6 +98,74 @@ def key_structure(data: bytes) -> str | None:
     return None
 
 
+def _gathered(text: str, at: int, count: int, digits: re.Pattern) -> tuple[str, int]:
+    """Up to `count` digits from a place on, over line breaks, and where they end."""
+    parts, end = [], at
+    while count and (m := digits.match(text, at, at + count)):
+        parts.append(m[0])
+        end = m.end()
+        count -= end - at
+        if not count or not (gap := _GAP.match(text, end)):
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def _bytes(run: str, base64_digits: bool) -> bytes:
+    if base64_digits:
+        return _decoded(run[: len(run) - (len(run) % 4 == 1)]) or b""
+    return bytes.fromhex(run[: len(run) // 2 * 2])
+
+
+def _size(data: bytes) -> int:
+    """Bytes of the key that data may begin: of a sequence, from its length, if an integer of one byte or a sequence comes first in it; else 0."""
+    if len(data) < 8 or data[0] != 0x30:
+        return 0
+    count = data[1] & 0x7F if data[1] & 0x80 else 0
+    if count > 4 or data[1] == 0x80:
+        return 0
+    size = int.from_bytes(data[2 : 2 + count], "big") if count else data[1]
+    first = data[2 + count : 4 + count]
+    return 2 + count + size if first[:1] == b"\x30" or first == b"\x02\x01" else 0
+
+
+def _openssh_size(data: bytes) -> int:
+    """Bytes of the openssh key that data begins: three fields, a count, as many public keys and the private ones; all of data if they are not all there."""
+    at, left, counted = 15, 3, False
+    while left:
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        left -= 1
+        if not left and not counted:
+            left, counted, at = int.from_bytes(data[at : at + 4], "big") + 1, True, at + 4
+    return min(at, len(data))
+
+
+def _wrapped(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of keys in base64 or hex that go over lines or stand within a longer run; a sequence's own length says where it ends."""
+    found = []
+    for begins, digits, many, few in _BEGINS:
+        place = 0
+        for m in begins.finditer(text):
+            at = m.start()
+            if at < place or any(a < at < b for a, b in taken):
+                continue
+            plain = many == 4
+            if len(m[0]) > 2:
+                size = _openssh_size(_bytes(_gathered(text, at, len(text), digits)[0], plain))
+            else:
+                size = _size(_bytes(text[at : at + 16], plain))
+            count = -(-size * many // few)
+            if not size or count > len(text) - at:
+                continue
+            run, end = _gathered(text, at, count, digits)
+            if len(run) == count and key_structure(_bytes(run, plain)[:size]):
+                place = _PAD.match(text, end).end() if plain else end
+                found.append((at, place))
+    return found
+
+
 def _object(part: str) -> dict | None:
     try:
         value = json.loads(_decoded(part) or b"")
@@ -115,7 +193,7 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = "".join(x.strip() for x in m[2].split("\n") if ":" not in x)
+            body = "".join(x.strip() for x in _BREAK.sub("\n", m[2]).split("\n") if ":" not in x)
             if (data := _decoded(re.sub(r"\s", "", body))) and (key_structure(data) or "ENCRYPTED" in m[2] and len(data) >= 64):
                 found.append((m.start(), 3, m.end()))
     for m in _RUN.finditer(text):
@@ -124,8 +202,10 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     for m in _HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and key_structure(bytes.fromhex(m[0])):
             found.append((m.start(), 4, m.end()))
-    if "eyJ" in text:
-        found += [(m.start(), 5, m.end()) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2], m[3])]
+    for start, end in _wrapped(text, [(a, b) for a, k, b in found if k > 2]):
+        found = [x for x in found if x[:2] != (start, 4) or x[2] > end] + [(start, 4, end)]  # not also its first line alone
+    if "." in text:
+        found += [(m.start(), 5, m.end(3)) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2], m[3])]
     return sorted(set(found))
 
 

@@ -76,6 +76,38 @@ def test_confirmed_kinds():
     assert kinds("Q" * 5000) == [] and kinds("ab" * 5000) == ["hex"]
 
 
+def wrapped(run, width, gap="\n"):
+    return gap.join(re.findall(f".{{1,{width}}}", run))
+
+
+def test_keys_over_lines_and_within_runs():
+    body = base64.b64encode(RSA).decode()
+    pem = "-----BEGIN PRIVATE KEY-----\n" + wrapped(body, 64) + "\n-----END PRIVATE KEY-----\n"
+    assert "pem" in kinds(json.dumps({"private_key": pem})) and "pem" in kinds(json.dumps(json.dumps({"private_key": pem})))
+    assert "pem" in kinds('"' + pem.strip().replace("\n", '\\n" +\n    "') + '"')
+    assert "pem" not in kinds(json.dumps(pem.replace(body[:8], "AAAAAAAA")))
+    for width in (64, 76):
+        for gap in ("\n", "\r\n", "\n    ", "\\n"):
+            text = f"é key: {wrapped(body, width, gap)}\nend of it"
+            assert kinds(text) == ["der"] and [text[a:b] for a, _, b in secrets.scan(text)] == [wrapped(body, width, gap)]
+        text = f"x\n{wrapped(RSA.hex().upper(), width)}\nend"
+        assert [text[a:b] for a, k, b in secrets.scan(text) if k == 4] == [wrapped(RSA.hex().upper(), width)]
+    for prefix in ("key_", "key-", "a/b/", "id"):
+        assert [k for k in kinds(prefix + body) if k == "der"] == ["der"]
+    openssh = b"openssh-key-v1\0" + b"\0\0\0\4none\0\0\0\4none\0\0\0\0\0\0\0\1" + b"\0\0\0\x20" + b"p" * 32 + b"\0\0\0\x60" + b"q" * 96
+    text = wrapped(base64.b64encode(openssh).decode(), 70)
+    assert [text[a:b] for a, k, b in secrets.scan(f"{text}\nend") if k == 4] == [text]
+    assert kinds(wrapped(base64.b64encode(RSA[:-9]).decode(), 64)) == [] and kinds("MIIM" * 5000) == []
+
+
+def test_tokens_with_any_header():
+    raw = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for head in ('{ "alg":"HS256"}', '{\n "alg": "HS256"}', '{\r\n"alg":"HS256"}', '\n{"alg":"HS256"}'):
+        token = f"{raw(head)}.{raw('{ }')}.c2ln"
+        text = f"see www.example.com.{token} there"
+        assert [text[a:b] for a, k, b in secrets.scan(text) if k == 5] == [token]
+
+
 def brute_spans(text):
     """The base patterns as the contract has them, kept only if long enough."""
     text = text or ""
