@@ -109,8 +109,8 @@ def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 #: Index rows: a segment's key, 0 or the salt of a part of a common segment, the set, and a code.
-#: Codes: band + 64 * (common segments that make the set heavy); MARK for a segment common in some part.
-MARK, HEAVY_ALREADY = -1, -1
+#: Codes: band + CODES * (common segments that make the set heavy); MARK for a segment common in some part.
+MARK, HEAVY_ALREADY, CODES = -1, -1, 1 << len(BANDS).bit_length()
 
 
 def _flushed(keys: list[np.ndarray], sets: list[np.ndarray], codes: list[np.ndarray], heavy: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -158,7 +158,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     heavy.append((a, band))
                 keys.append(_keys(sums[at], at, band, 0))
                 sets.append(np.full(len(at), a, np.int64))
-                codes.append(np.full(len(at), band + 64 * (max(left, 0) + 1), np.int64))
+                codes.append(np.full(len(at), band + CODES * (max(left, 0) + 1), np.int64))
                 rows += len(at)
             if rows >= FLUSH:
                 yield _flushed(keys, sets, codes, heavy)
@@ -174,7 +174,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     key, salt, of, code = (np.concatenate([b.column(name).to_numpy() for b in parts]) for name in ("key", "salt", "a", "code"))
     del parts
-    order = np.lexsort((of, salt, key))
+    order = np.lexsort((code, of, salt, key))
     key, salt, of, code = key[order], salt[order], of[order], code[order]
     same = np.r_[False, (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])]
     twin = same & np.r_[False, of[1:] == of[:-1]]
@@ -188,7 +188,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda x, y, c: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()) if y is not None else pa.nulls(len(x), pa.int64()), pa.array(c, pa.int64()) if c is not None else pa.nulls(len(x), pa.int64())], ["x", "y", "code"])
     in_hot = hot[group]
     counted = in_hot & (code != MARK)
-    counted &= ~np.r_[False, same[1:] & (of[1:] == of[:-1]) & (code[:-1] != MARK)]
+    counted &= ~np.r_[False, same[1:] & (of[1:] == of[:-1]) & (code[1:] == code[:-1])]
     yield out(of[counted], None, code[counted])
     star = in_hot & keep & (salt != HEAVY_ALREADY)
     pivot = of[first][group]
@@ -352,7 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = checkpointed(index.repartition("key", "salt").mapInArrow(_met, "x bigint, y bigint, code bigint"))
     links = _verified(met.where("code is null").select("x", "y"), known, reps)
     roots = checkpointed(components(links))
-    heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / 64)).select("a", (F.col("code") % 64).alias("band")).distinct())
+    heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / CODES)).select("a", (F.col("code") % CODES).alias("band")).distinct())
     if not heavy.isEmpty():
         more = _verified(_heavy_pairs(heavy, known, reps, roots), known, reps)
         if not more.isEmpty():

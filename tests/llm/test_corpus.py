@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,18 @@ def test_jaccard_around_the_limit_and_in_hot_groups(spark, monkeypatch):
     assert found_components(df) == brute_components(rows)
 
 
+def test_heavy_sets_keep_each_band():
+    """Two bands in which a set is heavy already, each listed by two tasks, and a common segment beside a mark."""
+    rows = [(7, jaccard.HEAVY_ALREADY, 7, 3), (7, jaccard.HEAVY_ALREADY, 7, 4)] * 2 + [(9, 0, 8, jaccard.CODES + 5), (9, 0, 8, jaccard.MARK), (9, 0, 8, jaccard.CODES + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "salt", "a", "code"])
+    met = pa.Table.from_batches(jaccard._met(iter([batch]))).to_pylist()
+    assert sorted((r["x"], r["code"]) for r in met if r["code"] is not None) == [(7, 3), (7, 4), (8, jaccard.CODES + 5)]
+
+
+def test_bands_and_counts_of_a_code_stay_apart():
+    assert jaccard.CODES > len(jaccard.BANDS) > 64
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(2, 1), (2, 3), (3, 4), (9, 8), (8, 9), (7, 7), (None, 1), (20, 10), (20, 30), (30, 5)], "x long, y long")
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8), (5, 5), (10, 5), (20, 5), (30, 5)}
