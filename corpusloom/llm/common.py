@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: a word is a longest run of other characters.
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Bytes of a text that are hashed at once, and bytes of a word that are summed by place; longer words are hashed whole.
+SLICE, SHORT = 1 << 20, 64
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_NEXT_BLANK = re.compile(b"[\x20\x09-\x0d]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder; a lost executor loses none of it.
 
-    The folder is the session's spark.checkpoint.dir. Only a session that names
-    none, as in tests, gets a temporary one.
+    The folder is the session's spark.checkpoint.dir. A session that names none gets a temporary
+    one if it runs on this machine alone, as in tests; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -35,21 +46,6 @@ def row_key(*columns: str) -> F.Column:
     return F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in columns))
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash, remembered; emptied before it grows large."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads every input bit over all output bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,13 +53,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte at each place of a word, and for each place of a window.
+_BYTE_AT = mixed(np.arange(1, SHORT * 256 + 1, dtype=np.uint64) * _GOLDEN)
+_PLACES = mixed(np.arange(1, 65, dtype=np.uint64) * _GOLDEN) | np.uint64(1)
+_IS_BLANK = np.zeros(256, bool)
+_IS_BLANK[list(BLANK)] = True
+
+
+def _slices(data: bytes) -> Iterator[bytes]:
+    """data in parts that end between words; a word that is longer than a part is one."""
+    start = 0
+    while start < len(data):
+        end = start + SLICE
+        if end < len(data):
+            cut = _NEXT_BLANK.search(data, end)
+            end = cut.start() if cut else len(data)
+        yield data[start:end]
+        start = end
+
+
+def _hashed(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~_IS_BLANK[raw]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    long = np.flatnonzero(size > SHORT)
+    chars = raw[inside]
+    first = np.cumsum(size) - size
+    place = np.arange(len(chars), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+    if len(long):
+        place &= SHORT - 1
+    out = mixed(np.add.reduceat(_BYTE_AT[(place << 8) | chars], first) + size.astype(np.uint64))
+    for i in long.tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text in bytes, whatever its length, in memory of some times a slice and 8 bytes a word."""
+    if len(data) <= SLICE:
+        return _hashed(data)
+    found = []
+    for part in _slices(data):
+        if len(part) > 2 * SLICE:  # what goes on beyond the slice is one word
+            start = 1 + max(part.rfind(c) for c in BLANK)
+            found.append(_hashed(part[:start]))
+            found.append(np.array([xxhash.xxh64_intdigest(part[start:])], np.uint64))
+        else:
+            found.append(_hashed(part))
+    return np.concatenate(found)
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each window of `size` consecutive words; one of all of them if there are fewer."""
+    """A hash of each window of `size` consecutive words (64 at most); one of all of them if there are fewer."""
     n = len(hashes)
     if n == 0:
         return hashes
     width = min(size, n)
-    out = np.zeros(n - width + 1, np.uint64)
-    for i in range(width):
-        out = mixed(out + hashes[i : n - width + 1 + i] + np.uint64(0x9E3779B97F4A7C15))
-    return out
+    out = hashes[: n - width + 1] * _PLACES[0]
+    for i in range(1, width):
+        out += hashes[i : n - width + 1 + i] * _PLACES[i]
+    return mixed(out + np.uint64(width))
+
+
+def made(**columns: tuple[list | np.ndarray, pa.DataType | None]) -> pa.RecordBatch:
+    """A batch of these columns."""
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], list(columns))

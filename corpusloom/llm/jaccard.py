@@ -1,16 +1,24 @@
 """N-gram Jaccard join by universe-partition pigeonhole.
 
 Two sets of sizes k <= l with Jaccard 0.8 differ in at most (k + l) / 9 <= k / 4 tokens.
-For each size band of the smaller set tokens are hashed into more segments than that bound,
-so that linked sets have several segments in common. Segments that are empty or held by
-many sets cost most and are passed over; that is safe unless both sets lose more segments
-than there are to spare. Only such heavy sets are allotted one-deletion neighbourhoods of
-half as many, larger segments, where a difference of one token in a segment is still a match.
-Every candidate is verified by its exact sets.
+For each size band of the smaller set tokens are hashed into `need` segments, one more than
+that bound, and some to spare: linked sets have at least spare + 1 segments in common.
+
+Allocation by cost: a segment held by g sets costs each of them g / 2 candidates if it is
+paired; a set's one-deletion neighbourhoods cost about 4.5 index rows for each segment of the
+plain index, and such a row, which carries a component and a sketch, about 3.5 times as much as
+a candidate. So segments of more than COMMON = 32 sets are passed over (and give only a star
+around one set), as are empty ones, which all sets share. If one of two linked sets passes over
+no more segments than it has to spare, then of their common segments one at least is paired, and
+being common is the segment's own trait, so it is paired for both. Only if both pass over more
+("heavy" sets) can they miss, and these are allotted one-deletion neighbourhoods of half as many,
+larger segments: with need differences at most, one of those has one difference or none, so that
+two heavy sets share a whole segment or a neighbourhood. Every candidate is verified exactly.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -18,20 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from corpusloom.llm.common import WordHashes, checkpointed, mixed, table, windows
+from corpusloom.llm.common import checkpointed, mixed, table, windows, word_hashes
 from corpusloom.llm.graph import components
 
 SHINGLE = 5
-#: A segment in more sets than this is passed over, but for a star around one of them.
+#: Where the costs meet: a segment in more sets than this is passed over, but for a star around one of them.
 COMMON = 32
 #: Segments to spare, as a share of those that the bound needs.
 SPARE = 0.08
-#: Index rows that are grouped at once before the shuffle; rows of a neighbourhood that one task compares.
-FLUSH, BLOCK = 1_000_000, 2_000
-#: Ids that are broadcast to fetch their texts, and sketches of heavy sets; more are joined.
-BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
+#: Index rows that are grouped at once before the shuffle, and keys of sets that a task remembers; rows of a neighbourhood that are compared at once.
+FLUSH, REMEMBERED, BLOCK = 250_000, 50_000, 2_000
+#: Ids that are broadcast to fetch their texts, sketches of heavy sets, and keys of neighbourhoods; more are joined.
+BROADCAST_IDS, BROADCAST_SKETCHES, BROADCAST_KEYS = 1_000_000, 100_000, 200_000
+#: Parts of each key of a neighbourhood in the join that takes more keys than are broadcast.
+PARTS = 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,10 +56,9 @@ def _bands() -> np.ndarray:
 BANDS = _bands()
 
 
-def shingles_of(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
+def shingles_of(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles: words are split at white space, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(windows(hashes.of(words), size)) if words else np.zeros(0, np.uint64)
+    return np.unique(windows(word_hashes(text.encode("utf-8", "surrogatepass").lower()), size)) if text else np.zeros(0, np.uint64)
 
 
 def _set_key(tokens: np.ndarray) -> int:
@@ -98,54 +106,50 @@ def _bands_of(size: int) -> list[int]:
 
 
 def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
         rows = []
         for text in batch.column("text"):
-            tokens = shingles_of(text.as_py(), hashes)
+            tokens = shingles_of(text.as_py())
             rows.append((len(tokens), _set_key(tokens), _sketch(tokens)) if len(tokens) else (0, None, None))
         kinds = (("n", pa.int64()), ("a", pa.int64()), ("sketch", pa.binary()))
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds))], ["id", *(name for name, _ in kinds)])
 
 
-#: Index rows: a segment's key, 0 or the salt of a part of a common segment, the set, and a code.
-#: Codes: band + CODES * (common segments that make the set heavy); MARK for a segment common in some part.
-MARK, HEAVY_ALREADY, CODES = -1, -1, 1 << len(BANDS).bit_length()
+#: Index rows are (key, a, code): a segment's key, the set, and a code, which is band + CODES * (common segments that make
+#: the set heavy in that band, at least 1). Rows of a segment that is common in a part of the input have a key of their own
+#: with SALTED in the code, and one row with MARK stays under the segment's key. A code below CODES is that of a set which
+#: has too many empty segments: it is heavy as it is.
+CODES, MARK, SALTED = 1 << len(BANDS).bit_length(), -1, 1 << 62
 
 
-def _flushed(keys: list[np.ndarray], sets: list[np.ndarray], codes: list[np.ndarray], heavy: list[tuple[int, int]]) -> pa.RecordBatch:
+def _flushed(keys: list[np.ndarray], sets: list[np.ndarray], codes: list[np.ndarray]) -> pa.RecordBatch:
     """The rows so far. A segment that is common among them goes elsewhere under a salt, and leaves a mark."""
-    if heavy:
-        keys.append(np.array([a for a, _ in heavy], np.int64))
-        sets.append(np.array([a for a, _ in heavy], np.int64))
-        codes.append(np.array([band for _, band in heavy], np.int64))
-    key, of, code = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, sets, codes))
-    salt = np.zeros(len(key), np.int64)
-    if heavy:
-        salt[-len(heavy) :] = HEAVY_ALREADY
+    key, of, code = (np.concatenate(x) for x in (keys, sets, codes))
     _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    common = (count > COMMON)[inverse] & (salt == 0)
+    common = (count > COMMON)[inverse]
     if common.any():
         marks = first[count > COMMON]
-        salt[common] = 1 + ((mixed(of[first][inverse][common].view(np.uint64) + _ODD) >> np.uint64(2)).view(np.int64))
-        key, of, code, salt = np.r_[key, key[marks]], np.r_[of, of[marks]], np.r_[code, np.full(len(marks), MARK)], np.r_[salt, np.zeros(len(marks), np.int64)]
-    keys.clear(), sets.clear(), codes.clear(), heavy.clear()
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, salt, of, code)], ["key", "salt", "a", "code"])
+        marked, one = key[marks], of[marks]
+        pivot = of[first][inverse][common].view(np.uint64)
+        key[common] = mixed(key[common].view(np.uint64) ^ mixed(pivot + _ODD)).view(np.int64)
+        code[common] += SALTED
+        key, of, code = np.r_[key, marked], np.r_[of, one], np.r_[code, np.full(len(marks), MARK)]
+    keys.clear(), sets.clear(), codes.clear()
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, of, code)], ["key", "a", "code"])
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, seen = WordHashes(), set()
+    seen: set[int] = set()
     keys: list[np.ndarray] = []
     sets: list[np.ndarray] = []
     codes: list[np.ndarray] = []
-    heavy: list[tuple[int, int]] = []
     rows = 0
     for batch in batches:
         for text in batch.column("text"):
-            tokens = shingles_of(text.as_py(), hashes)
+            tokens = shingles_of(text.as_py())
             if not len(tokens) or (a := _set_key(tokens)) in seen:
                 continue  # copies are one set
-            if len(seen) > FLUSH:
+            if len(seen) > REMEMBERED:
                 seen.clear()
             seen.add(a)
             for band in _bands_of(len(tokens)):
@@ -154,54 +158,91 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, _, sums = _segments(tokens, band, need + spare, 0)
                 at = np.flatnonzero(sums)
                 left = spare - (need + spare - len(at))
-                if left < 0:
-                    heavy.append((a, band))
                 keys.append(_keys(sums[at], at, band, 0))
-                sets.append(np.full(len(at), a, np.int64))
                 codes.append(np.full(len(at), band + CODES * (max(left, 0) + 1), np.int64))
+                if left < 0:
+                    keys.append(np.array([a], np.int64))
+                    codes.append(np.array([band], np.int64))
+                sets.append(np.full(len(at) + (left < 0), a, np.int64))
                 rows += len(at)
             if rows >= FLUSH:
-                yield _flushed(keys, sets, codes, heavy)
+                yield _flushed(keys, sets, codes)
                 rows = 0
     if keys:
-        yield _flushed(keys, sets, codes, heavy)
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y, code): pairs of sets that share a segment, code null, and (set, null, code) for each common segment of a set."""
-    parts = [batch for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    key, salt, of, code = (np.concatenate([b.column(name).to_numpy() for b in parts]) for name in ("key", "salt", "a", "code"))
-    del parts
-    order = np.lexsort((code, of, salt, key))
-    key, salt, of, code = key[order], salt[order], of[order], code[order]
-    same = np.r_[False, (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])]
-    twin = same & np.r_[False, of[1:] == of[:-1]]
-    group = np.cumsum(~same) - 1
-    marked = np.zeros(group[-1] + 1, bool)
-    marked[group[(code == MARK) | (salt != 0)]] = True
-    keep = ~twin
-    size = np.bincount(group[keep], minlength=len(marked))
-    hot = marked | (size > COMMON)
-    first = np.flatnonzero(~same)
-    out = lambda x, y, c: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()) if y is not None else pa.nulls(len(x), pa.int64()), pa.array(c, pa.int64()) if c is not None else pa.nulls(len(x), pa.int64())], ["x", "y", "code"])
-    in_hot = hot[group]
-    counted = in_hot & (code != MARK)
-    counted &= ~np.r_[False, same[1:] & (of[1:] == of[:-1]) & (code[1:] == code[:-1])]
-    yield out(of[counted], None, code[counted])
-    star = in_hot & keep & (salt != HEAVY_ALREADY)
+        yield _flushed(keys, sets, codes)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray | None, code: np.ndarray | None) -> pa.RecordBatch:
+    none = pa.nulls(len(x), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), none if y is None else pa.array(y, pa.int64()), none if code is None else pa.array(code, pa.int64())], ["x", "y", "code"])
+
+
+def _grouped(key: np.ndarray, of: np.ndarray, code: np.ndarray, done: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What whole groups of a key give, or a part of a common one. Rows are in order of key, those that are done before others, set."""
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    group = np.cumsum(fresh) - 1
+    first = np.flatnonzero(fresh)
+    another = fresh | np.r_[True, of[1:] != of[:-1]]
+    size = np.bincount(group[another])
+    hot = size > COMMON
+    hot[group[(code == MARK) | (code >= SALTED)]] = True
+    in_hot = hot[group] & ~done
+    counted = in_hot & (code != MARK) & (another | np.r_[True, code[1:] != code[:-1]])
+    yield _pairs(of[counted], None, code[counted] % SALTED)
     pivot = of[first][group]
-    star &= pivot != of
-    yield out(pivot[star], of[star], None)
-    cold = np.flatnonzero(keep & ~in_hot & (size > 1)[group])
+    star = in_hot & another & (pivot != of)
+    yield _pairs(pivot[star], of[star], None)
+    cold = np.flatnonzero(another & ~hot[group] & (size > 1)[group])
     of, group = of[cold], group[cold]
+    pairs = []
     for step in range(1, COMMON):
-        near = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else np.zeros(0, np.int64)
+        near = np.flatnonzero(group[step:] == group[:-step]) if len(group) > step else ()
         if not len(near):
             break
-        pairs = np.unique(np.stack([of[near], of[near + step]], 1), axis=0)
-        yield out(pairs[:, 0], pairs[:, 1], None)
+        pairs.append(np.stack([of[near], of[near + step]]))
+    if pairs:
+        x, y = np.concatenate(pairs, axis=1)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        yield _pairs(x[new], y[new], None)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y, code): pairs of sets that share a segment, code null, and (set, null, code) for each common segment of a set.
+
+    Index rows come in order of their key. The last group of a batch is held until its end is seen,
+    up to COMMON sets; of a larger one so many rows stay, which are done, as it is common by them.
+    """
+    held = tuple(np.zeros(0, np.int64) for _ in range(3))
+    held_done = np.zeros(0, bool)
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            key, of, code, done = *held, held_done
+        else:
+            new = [batch.column(name).to_numpy() for name in ("key", "a", "code")]
+            empty = (new[2] >= 0) & (new[2] < CODES)
+            if empty.any():
+                yield _pairs(new[1][empty], None, new[2][empty])
+                new = [x[~empty] for x in new]
+            key, of, code = (np.concatenate(x) for x in zip(held, new, strict=True))
+            done = np.r_[held_done, np.zeros(len(new[0]), bool)]
+        if not len(key):
+            continue
+        order = np.lexsort((code, of, ~done, key))
+        key, of, code, done = key[order], of[order], code[order], done[order]
+        once = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]) | (code[1:] != code[:-1])]
+        key, of, code, done = key[once], of[once], code[once], done[once]
+        # In signed order, as the keys come; the last group may go on.
+        cut = len(key) if batch is None else int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield from _grouped(key[:cut], of[:cut], code[:cut], done[:cut])
+        key, of, code, done = key[cut:], of[cut:], code[cut:], done[cut:]
+        places = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])[: COMMON + 1] if len(of) else ()
+        if len(places) > COMMON:
+            yield from _grouped(key, of, code, done)
+            key, of, code, done = key[places], of[places], code[places], np.ones(len(places), bool)
+        held, held_done = (key, of, code), done
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +259,8 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
-        rows = [(_set_key(tokens), tokens.tobytes()) for text in batch.column("text") if len(tokens := shingles_of(text.as_py(), hashes))]
+        rows = [(_set_key(tokens), tokens.tobytes()) for text in batch.column("text") if len(tokens := shingles_of(text.as_py()))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["a", "tokens"])
 
 
@@ -253,10 +293,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, band, key, whole): segments and their one-deletion neighbourhoods, for every band from which a set may come."""
-    hashes = WordHashes()
+    rows: list[tuple[np.ndarray, ...]] = []
+
+    def flushed() -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, ["a", "band", "key", "whole"])
+
+    size = 0
     for batch in batches:
         for text in batch.column("text"):
-            tokens = shingles_of(text.as_py(), hashes)
+            tokens = shingles_of(text.as_py())
             if not len(tokens):
                 continue
             a = _set_key(tokens)
@@ -265,21 +312,22 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 at, share, sums = _segments(tokens, band, count, 1)
                 key = np.r_[_keys(sums, np.arange(count), band, 1), _keys(sums[at] - share, at, band, 1)]
                 n = len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, band, np.int64)), pa.array(key), pa.array(np.arange(n) < count)], ["a", "band", "key", "whole"])
+                rows.append((np.full(n, a), np.full(n, band, np.int64), key, np.arange(n) < count))
+                size += n
+            if size >= FLUSH // 4:
+                yield flushed()
+                size = 0
+    if rows:
+        yield flushed()
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a neighbourhood, or of two blocks of one, that aren't connected yet and that sizes and sketches allow."""
-    parts = [batch for batch in batches if batch.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
+def _apart(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets in neighbourhoods, or in two blocks of one, that aren't connected yet and that sizes and sketches allow."""
     t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("high", "low", "key")])))
     key, low, high, mine, a, root, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "block", "a", "root", "n"))
     whole = t.column("whole").to_numpy(zero_copy_only=False)
-    bits = np.stack([np.frombuffer(s.as_buffer(), np.uint8) for s in t.column("sketch")]).view(np.uint64)
+    bits = np.frombuffer(b"".join(s.as_py() for s in t.column("sketch")), np.uint64).reshape(len(key), -1)
     starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
-    found: set[tuple[int, int]] = set()
     for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
         roots, count = np.unique(root[start:end], return_counts=True)
         if len(roots) == 1:
@@ -294,9 +342,35 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 others = others[mine[others] != mine[i]]
             others = others[5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i])]
             apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            found.update((min(int(a[i]), x), max(int(a[i]), x)) for x in a[others[9 * apart <= n[others] + n[i]]].tolist())
-    rows = sorted(found)
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], ["x", "y"])
+            found = a[others[9 * apart <= n[others] + n[i]]]
+            if len(found):
+                yield np.minimum(found, a[i]), np.maximum(found, a[i])
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each group of (key, low, high). Rows come in order of key; those of the last key are held until its end, or the end of its blocks, is seen."""
+    held: pa.Table | None = None
+    for batch in itertools.chain(batches, [None]):
+        t = held
+        if batch is not None:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if t is None or not t.num_rows:
+            continue
+        cut = t.num_rows
+        if batch is not None:
+            last = np.stack([t.column(c).to_numpy() for c in ("key", "low", "high")])
+            goes_on = (last == last[:, -1:]).all(axis=0)
+            cut = len(goes_on) - int(np.argmin(goes_on[::-1])) if not goes_on.all() else 0
+        held = t.slice(cut).combine_chunks()
+        x: list[np.ndarray] = []
+        y: list[np.ndarray] = []
+        for least, most in _apart(t.slice(0, cut)) if cut else ():
+            x.append(least), y.append(most)
+            if len(x) > BLOCK:
+                yield _pairs(np.concatenate(x), np.concatenate(y), None).select(["x", "y"])
+                x, y = [], []
+        if x:
+            yield _pairs(np.concatenate(x), np.concatenate(y), None).select(["x", "y"])
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,26 +381,28 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods."""
+    """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods.
+
+    Keys are counted with sums before the shuffle. A key of many sets is dealt out in pairs of
+    blocks, so no task gets more than two blocks of it.
+    """
     named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "band", F.coalesce("root", "a").alias("root"))
     keys = _texts(docs, reps, heavy.select("a").distinct()).mapInArrow(_neighbourhoods, "a bigint, band bigint, key bigint, whole boolean").join(named, ["a", "band"])
-    keys = keys.select("key", "whole", "a", "root").repartition("key")
-    of_key = Window.partitionBy("key")
-    over = {"size": F.count(F.lit(1)), "r": F.min("root"), "s": F.max("root"), "any": F.max("whole")}
-    shared = keys.withColumns({name: c.over(of_key) for name, c in over.items()}).where("size > 1 and r != s and any").select("key", "whole", "a", "root", "size")
+    keys = checkpointed(keys.select("key", "whole", "a", "root"))
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("whole").alias("any"))
+    sizes = checkpointed(sizes.where("size > 1 and r != s and any").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    if sizes.count() <= BROADCAST_KEYS:
+        shared = keys.join(F.broadcast(sizes), "key")
+    else:
+        part = F.pmod(F.xxhash64("a", "whole"), F.lit(PARTS)).cast("int")
+        each = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        shared = keys.withColumn("part", part).join(each, ["key", "part"]).drop("part")
     sets = heavy.select("a").distinct()
     short = reps.join(sets, "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    few = sets.count() <= BROADCAST_SKETCHES
-    known = shared.join(F.broadcast(short) if few else short, "a").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    columns = ("key", "low", "high", "block", "whole", "a", "root", "n", "sketch")
-    dealt = known.where("blocks > 1") if few else known
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select(*columns).repartition("key", "low", "high")
-    found = dealt.mapInArrow(_compared, "x bigint, y bigint")
-    if few:  # a neighbourhood of one block is where its key was dealt
-        zero = F.lit(0)
-        found = found.union(known.where("blocks = 1").withColumns({"low": zero, "high": zero, "block": zero}).select(*columns).mapInArrow(_compared, "x bigint, y bigint"))
-    return found
+    known = shared.join(F.broadcast(short) if sets.count() <= BROADCAST_SKETCHES else short, "a")
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "a", "root", "n", "sketch")
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_compared, "x bigint, y bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,8 +424,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = checkpointed(rows.mapInArrow(_profiled, "id bigint, n bigint, a bigint, sketch binary"))
     known = rows.where("id is not null")
     reps = checkpointed(profile.where("id is not null and n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    index = known.select("text").mapInArrow(_indexed, "key bigint, salt bigint, a bigint, code bigint")
-    met = checkpointed(index.repartition("key", "salt").mapInArrow(_met, "x bigint, y bigint, code bigint"))
+    index = known.select("text").mapInArrow(_indexed, "key bigint, a bigint, code bigint")
+    met = checkpointed(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "x bigint, y bigint, code bigint"))
     links = _verified(met.where("code is null").select("x", "y"), known, reps)
     roots = checkpointed(components(links))
     heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / CODES)).select("a", (F.col("code") % CODES).alias("band")).distinct())

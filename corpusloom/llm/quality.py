@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import BLANK, WordHashes, checkpointed, table, windows
+from corpusloom.llm.common import BLANK, checkpointed, table, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -34,12 +34,12 @@ STEP = 0.01
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
+def statistics(text: str | None) -> tuple[int, ...]:
     """COUNTS of a whole text; a null text has no words."""
     if not text:
         return (0,) * len(COUNTS)
     data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
+    words = word_hashes(data)
     chars = len(text) - (len(data) - len(data.translate(None, BLANK)))
     symbols = len(data) - len(data.translate(None, SYMBOLS))
     seen: set[bytes] = set()
@@ -51,7 +51,7 @@ def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
             seen.add(line)
     repeats = 0
     if len(words) > 3:
-        found = windows(hashes.of(words), 3)
+        found = windows(words, 3)
         _, inverse, count = np.unique(found, return_inverse=True, return_counts=True)
         again = count[inverse] > 1
         covered = np.zeros(len(words), bool)
@@ -62,9 +62,8 @@ def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
-        rows = [statistics(text.as_py(), hashes) for text in batch.column(0)]
+        rows = [statistics(text.as_py()) for text in batch.column(0)]
         made = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(COUNTS))]
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*batch.schema.names[1:], *COUNTS])
 

@@ -6,7 +6,9 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,16 +99,64 @@ def test_jaccard_around_the_limit_and_in_hot_groups(spark, monkeypatch):
 
 def test_heavy_sets_keep_each_band():
     """Two bands in which a set is heavy already, each listed by two tasks, and a common segment beside a mark."""
-    rows = [(7, jaccard.HEAVY_ALREADY, 7, 3), (7, jaccard.HEAVY_ALREADY, 7, 4)] * 2 + [(9, 0, 8, jaccard.CODES + 5), (9, 0, 8, jaccard.MARK), (9, 0, 8, jaccard.CODES + 5)]
-    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "salt", "a", "code"])
+    rows = [(7, 7, 3), (7, 7, 4)] * 2 + [(9, 8, jaccard.CODES + 5), (9, 8, jaccard.MARK), (9, 8, jaccard.CODES + 5)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["key", "a", "code"])
     met = pa.Table.from_batches(jaccard._met(iter([batch]))).to_pylist()
-    assert sorted((r["x"], r["code"]) for r in met if r["code"] is not None) == [(7, 3), (7, 4), (8, jaccard.CODES + 5)]
+    assert {(r["x"], r["code"]) for r in met if r["code"] is not None} == {(7, 3), (7, 4), (8, jaccard.CODES + 5)}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 1000])
+def test_groups_over_batches(monkeypatch, rows):
+    """A group is the same however its rows are dealt to batches: pairs of a small one, a star and counts of a common one."""
+    monkeypatch.setattr(jaccard, "COMMON", 4)
+    one = jaccard.CODES + 5
+    index = [(-5, a, one) for a in (3, 1, 2, 3)] + [(0, a % 40, one) for a in range(80)] + [(4, 9, one)] + [(8, a, one + jaccard.SALTED) for a in (5, 6)] + [(9, 1, one), (9, 2, jaccard.MARK)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*index[i : i + rows])], ["key", "a", "code"]) for i in range(0, len(index), rows)]
+    met = pa.Table.from_batches(jaccard._met(iter(batches))).to_pylist()
+    pairs = {frozenset((r["x"], r["y"])) for r in met if r["code"] is None}
+    assert pairs >= {frozenset(x) for x in ((1, 2), (1, 3), (2, 3), (5, 6))} and all(len(x) == 2 for x in pairs)
+    star = pairs - {frozenset(x) for x in ((1, 2), (1, 3), (2, 3), (5, 6))}
+    near = {0}
+    for _ in range(40):
+        near |= {b for x in star if x & near for b in x}
+    assert near == set(range(40)) and len(star) < 45
+    assert {(r["x"], r["code"]) for r in met if r["code"] is not None} == {*((a, one) for a in range(40)), (5, one), (6, one), (1, one)}
+
+
+def test_very_large_sets_keep_their_bands(monkeypatch):
+    """A set beyond band 63 whose segments are all common is heavy in its own bands."""
+    size = 2_800_000
+    tokens = jaccard.mixed(np.arange(size, dtype=np.uint64))
+    monkeypatch.setattr(jaccard, "shingles_of", lambda text: tokens)
+    monkeypatch.setattr(jaccard, "COMMON", 0)
+    index = pa.Table.from_batches(jaccard._indexed(iter([pa.RecordBatch.from_arrays([pa.array(["x"])], ["text"])]))).sort_by("key")
+    met = pa.Table.from_batches(jaccard._met(iter(index.to_batches(max_chunksize=500_000))))
+    code = met.filter(pc.is_valid(met["code"]))["code"].to_numpy()
+    kinds, count = np.unique(code, return_counts=True)
+    heavy = sorted(int(k % jaccard.CODES) for k, n in zip(kinds, count, strict=True) if n >= k // jaccard.CODES)
+    assert heavy == jaccard._bands_of(size) and heavy[1] >= 64
 
 
 def test_bands_and_counts_of_a_code_stay_apart():
     assert jaccard.CODES > len(jaccard.BANDS) > 64
 
 
+@pytest.mark.parametrize("limit", [8, 1000])
+def test_neighbourhoods_over_batches(limit):
+    """Pairs of a neighbourhood don't depend on how its rows are dealt to batches."""
+    rows = [(k, 0, 0, 0, True, 10 * k + j, 10 * k + j // 2, 20, b"\0" * 64) for k in range(5) for j in range(6)]
+    names = ["key", "low", "high", "block", "whole", "a", "root", "n", "sketch"]
+    batches = pa.Table.from_arrays([pa.array(x) for x in zip(*rows)], names).to_batches(max_chunksize=limit)
+    found = pa.Table.from_batches(jaccard._compared(iter(batches))).to_pylist()
+    assert sorted((r["x"], r["y"]) for r in found) == sorted((10 * k + i, 10 * k + j) for k in range(5) for i in range(6) for j in range(i + 1, 6) if i // 2 != j // 2)
+
+
+def test_jaccard_without_broadcasts(spark, monkeypatch):
+    for name in ("BROADCAST_IDS", "BROADCAST_SKETCHES", "BROADCAST_KEYS"):
+        monkeypatch.setattr(jaccard, name, 0)
+    test_jaccard_around_the_limit_and_in_hot_groups(spark, monkeypatch)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(2, 1), (2, 3), (3, 4), (9, 8), (8, 9), (7, 7), (None, 1), (20, 10), (20, 30), (30, 5)], "x long, y long")
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8), (5, 5), (10, 5), (20, 5), (30, 5)}

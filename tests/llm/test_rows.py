@@ -10,9 +10,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, language, quality, secrets, urls
+from corpusloom.llm import chat, common, language, quality, secrets, urls
 from corpusloom.llm import html as pages
-from corpusloom.llm.common import WordHashes, table
+from corpusloom.llm.common import table, word_hashes
 from tests.conftest import DATA
 
 
@@ -331,7 +331,7 @@ def brute_counts(text):
 
 @pytest.mark.parametrize("text", [None, "", "a", "a b", "a b c", "a b c a b c", "a a a a", "x\nx\n \n \ny|x", "é\u00a0ß é\u00a0ß", "# * <b> &amp; $5 100%"])
 def test_counts(text):
-    assert quality.statistics(text, WordHashes()) == brute_counts(text)
+    assert quality.statistics(text) == brute_counts(text)
 
 
 def test_quality_of_whole_table(spark):
@@ -392,3 +392,20 @@ def test_quality_of_odd_rows(odd):
     rows = quality.judge(odd).collect()
     assert len(rows) == 9 and [r["kept"] for r in rows if r["doc_id"] in (1, 2, 3)] == [False] * 4
     assert quality.judge(odd.limit(0)).count() == 0
+
+
+# shared
+
+
+@pytest.mark.parametrize("size", [8, 100, 1 << 20])
+def test_word_hashes(monkeypatch, size):
+    """A hash for each word of split(), the same wherever it stands and however the text is sliced."""
+    monkeypatch.setattr(common, "SLICE", size)
+    words = [b"a", b"A", b"ab", b"ba", b"x" * 63, b"x" * 64, b"x" * 65, b"y" * 64 + b"x", b"z" * 5000, "\u00a0\u3000é".encode(), b"\x1c", b"a"]
+    data = b" \n".join(words) + b"\x0b \t" + b" ".join(reversed(words))
+    found = word_hashes(data).tolist()
+    by_word: dict[bytes, int] = {}
+    for word, value in zip(re.split(rb"[\x20\x09-\x0d]+", data), found, strict=True):
+        assert by_word.setdefault(word, value) == value
+    assert len(set(by_word.values())) == len(by_word) == len(set(words))
+    assert len(word_hashes(b"")) == len(word_hashes(b" \n ")) == 0
