@@ -189,7 +189,10 @@ def _grouped(key: np.ndarray, of: np.ndarray, code: np.ndarray, done: np.ndarray
     in_hot = hot[group] & ~done
     counted = in_hot & (code != MARK) & (another | np.r_[True, code[1:] != code[:-1]])
     yield _pairs(of[counted], None, code[counted] % SALTED)
-    pivot = of[first][group]
+    # A star for each first byte of a set's key, and one of their centres, so that no set has most of a large group at its side.
+    begins = fresh | np.r_[True, (of[1:] >> 56) != (of[:-1] >> 56)]
+    centre = of[np.flatnonzero(begins)][np.cumsum(begins) - 1]
+    pivot = np.where(begins, of[first][group], centre)
     star = in_hot & another & (pivot != of)
     yield _pairs(pivot[star], of[star], None)
     cold = np.flatnonzero(another & ~hot[group] & (size > 1)[group])
@@ -291,34 +294,46 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return checkpointed(possible.join(first, "x").join(second, "y").select("s", "t", "x", "y").mapInArrow(_linked, "x bigint, y bigint"))
 
 
-def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, band, key, whole): segments and their one-deletion neighbourhoods, for every band from which a set may come."""
+def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, whole, a, root), by about FLUSH / 4 rows: segments and their one-deletion neighbourhoods of each set in its bands."""
     rows: list[tuple[np.ndarray, ...]] = []
-
-    def flushed() -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)]
-        rows.clear()
-        return pa.RecordBatch.from_arrays(columns, ["a", "band", "key", "whole"])
-
     size = 0
     for batch in batches:
-        for text in batch.column("text"):
+        for text, a, root, bands in zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("a", "root", "bands")), strict=True):
             tokens = shingles_of(text.as_py())
-            if not len(tokens):
-                continue
-            a = _set_key(tokens)
-            for band in _bands_of(len(tokens)):
+            if not len(tokens) or _set_key(tokens) != a:
+                continue  # another text with the same id
+            for band in bands:
                 count = int(BANDS[band]) // 4 // 2 + 1
                 at, share, sums = _segments(tokens, band, count, 1)
                 key = np.r_[_keys(sums, np.arange(count), band, 1), _keys(sums[at] - share, at, band, 1)]
                 n = len(key)
-                rows.append((np.full(n, a), np.full(n, band, np.int64), key, np.arange(n) < count))
+                rows.append((key, np.arange(n) < count, np.full(n, a), np.full(n, root)))
                 size += n
             if size >= FLUSH // 4:
-                yield flushed()
-                size = 0
+                yield tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+                rows, size = [], 0
     if rows:
-        yield flushed()
+        yield tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+
+
+def _rows(columns: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+
+def _listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _neighbourhoods(batches):
+        yield _rows(part, ["key", "whole", "a", "root"])
+
+
+def _counted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, r, s, any): the rows of a key in a part of the input, its least and largest component, and whether one is a whole segment."""
+    for key, whole, _, root in _neighbourhoods(batches):
+        order = np.argsort(key)
+        key, whole, root = key[order], whole[order], root[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[first, len(key)])
+        yield _rows((key[first], n, np.minimum.reduceat(root, first), np.maximum.reduceat(root, first), np.logical_or.reduceat(whole, first)), ["key", "n", "r", "s", "any"])
 
 
 def _apart(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -383,23 +398,25 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods.
 
-    Keys are counted with sums before the shuffle. A key of many sets is dealt out in pairs of
-    blocks, so no task gets more than two blocks of it.
+    Keys are counted first, with sums before the shuffle; only those of several components are then
+    listed by set. Such a key of many sets is dealt out in pairs of blocks, so no task gets more than
+    two blocks of it.
     """
-    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "band", F.coalesce("root", "a").alias("root"))
-    keys = _texts(docs, reps, heavy.select("a").distinct()).mapInArrow(_neighbourhoods, "a bigint, band bigint, key bigint, whole boolean").join(named, ["a", "band"])
-    keys = checkpointed(keys.select("key", "whole", "a", "root"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("whole").alias("any"))
-    sizes = checkpointed(sizes.where("size > 1 and r != s and any").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").groupBy("a").agg(F.first(F.coalesce("root", "a")).alias("root"), F.collect_set("band").alias("bands"))
+    named = checkpointed(reps.join(named, "a").select(F.col("rep").alias("id"), "a", "root", "bands"))
+    few = named.count()
+    texts = docs.join(F.broadcast(named) if few <= BROADCAST_SKETCHES else named, "id").select("text", "a", "root", "bands")
+    sizes = texts.mapInArrow(_counted_keys, "key bigint, n bigint, r bigint, s bigint, any boolean").groupBy("key").agg(F.sum("n").alias("size"), F.min("r").alias("r"), F.max("s").alias("s"), F.max("any").alias("any"))
+    sizes = checkpointed(sizes.where("r != s and any").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    keys = texts.mapInArrow(_listed_keys, "key bigint, whole boolean, a bigint, root bigint")
     if sizes.count() <= BROADCAST_KEYS:
         shared = keys.join(F.broadcast(sizes), "key")
     else:
         part = F.pmod(F.xxhash64("a", "whole"), F.lit(PARTS)).cast("int")
         each = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         shared = keys.withColumn("part", part).join(each, ["key", "part"]).drop("part")
-    sets = heavy.select("a").distinct()
-    short = reps.join(sets, "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    known = shared.join(F.broadcast(short) if sets.count() <= BROADCAST_SKETCHES else short, "a")
+    short = reps.join(named.select("a"), "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
+    known = shared.join(F.broadcast(short) if few <= BROADCAST_SKETCHES else short, "a")
     dealt = known.withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "a", "root", "n", "sketch")
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_compared, "x bigint, y bigint")
