@@ -23,32 +23,60 @@ BLOCKS = frozenset(
     " header hgroup hr html legend li main nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes annotation".split())
 NEVER = frozenset("nav aside footer form button select fieldset menu dialog head".split())
 PARAGRAPHS = frozenset("html p pre td blockquote div section article main li dd h1 h2 h3 h4 h5 h6 body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|combx|comments?|comment\w*|cookies?|consent|disqus|footer|footnav|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|pager"
-    r"|popup|promo\w*|related|remark|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|widget|overlay|alert|login)(?:$|[\s_-])"
+#: Words of class names that tell what isn't part of an article, those that may stand beside them, and those of an article.
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs combx comment comments consent cookie cookies disqus footer footnav gdpr header login"
+    " masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion related remark remarks replies reply respond"
+    " share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags toolbar widget widgets".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|text|blog|story)(?:$|[\s_-])")
+BESIDE = frozenset(
+    "area articles bar block body bottom box btn button buttons card center col column container content count desktop dropdown en entries float form group head icon icons inner"
+    " item items label left line link links list main message messages mobile module outer panel post posts primary right row secondary section site slot small stories text thread"
+    " title top unit wrap wrapper".split()
+)
+LIKELY = frozenset("article body content entry hentry main page post text blog story".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\"[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A comment, a declaration, or a tag up to its end or its first value. Each repeat is taken whole and never given back.
+_TAG = re.compile(r"<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>=]*+)([>=])")
+_VALUE_OR_END = re.compile(r">|=\s*+([\"'])")
+_ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_PARTS = re.compile(r"[a-z]+|[0-9]+")
 #: Points of a sibling against the best container's, from which it is kept. Ancestors that a paragraph's points reach.
 SIBLING, LEVELS = 0.2, 5
-#: What belongs to an article that stands beside it in main, however short.
-BESIDE = HEADINGS | {"p", "header", "hgroup"}
+#: What belongs to an article that stands beside it, however short.
+TITLES = HEADINGS | {"p", "header", "hgroup"}
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped", "inside")
+    """An element. block: itself, or the nearest ancestor that isn't a link; link: the open link that it stands in, not beyond a block."""
+
+    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped", "inside", "block", "link")
 
     def __init__(self, tag: str, names: str, parent: Node | None, dropped: bool):
         self.tag, self.names, self.parent, self.dropped = tag, names, parent, dropped
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.inside: bool = tag in ("article", "main") or bool(parent and parent.inside)
+        self.block: Node = parent.block if tag == "a" and parent else self
+        self.link: Node | None = self if tag == "a" else None if tag in BLOCKS or not parent else parent.link
+
+
+def _words(names: str) -> list[list[str]]:
+    """The words of each of some class names."""
+    return [_PARTS.findall(name) for name in names.split()]
+
+
+def _unlikely(names: str) -> bool:
+    """One of the names is made of UNLIKELY words, and of others only of those that stand beside them: `share-buttons`, but not `social-history`."""
+    return any(not UNLIKELY.isdisjoint(words) and all(w in UNLIKELY or w in BESIDE or w.isdigit() for w in words) for words in _words(names))
+
+
+def _likely(names: str) -> bool:
+    return any(not LIKELY.isdisjoint(words) for words in _words(names))
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -70,25 +98,74 @@ def _hidden(found: dict[str, str]) -> bool:
     return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
+class Tags:
+    """Finds the tags of a page in time linear in it, if each search starts where the last tag ended.
+
+    A quote counts only as that of a value, and only if it is closed. If no tag that begins with
+    values ends before the page does, quotes count no more from there on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.size = page, page.rfind(">") + 1
+        self.last = {c: page.rfind(c) for c in ('"', "'")}
+        self.quotes = True
+
+    def _end(self, at: int) -> int:
+        """Behind the `>` that ends a tag with values from here on; 0 if none does."""
+        while self.quotes and (v := _VALUE_OR_END.search(self.page, at, self.size)):
+            at = v.end()
+            if not v[1]:
+                return at
+            if at <= self.last[v[1]]:
+                at = self.page.index(v[1], at) + 1
+        return 0
+
+    def next(self, place: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, `/` or empty, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        m = _TAG.search(page, place, self.size) if place < self.size else None
+        if not m or page.startswith("<!--", m.start()) and page[m.end() - 3 : m.end()] != "-->":  # a comment without an end
+            start = m.start() if m else page.find("<!--", place)
+            return (start, len(page), "", "", "") if start >= 0 else None
+        end = m.end()
+        if m[4] == "=":
+            end = self._end(end - 1)
+            if not end:
+                self.quotes, end = False, page.index(">", m.end()) + 1
+        return m.start(), end, m[1] or "", (m[2] or "").lower(), page[m.start(3) : end - 1] if m[2] else ""
+
+
 def parse(page: str) -> list[Node]:
     """The page's block elements and links in page order, the root first; other inline elements leave only their text."""
     root = at = Node("html", "", None, False)
     nodes = [root]
     place, size = 0, len(page)
     ends: dict[str, int] = {}
-    for m in iter(lambda: _TAG.search(page, place), None):
-        if m.start() > place:
-            at.children.append(page[place : m.start()])
-        place = m.end()
-        closing, tag, attributes = m[1], (m[2] or "").lower(), m[3]
+    opened: dict[str, int] = {}
+
+    def shut(node: Node) -> Node:
+        """Closes all that is open within node, and itself."""
+        now = at
+        while True:
+            opened[now.tag] -= 1
+            up = now.parent or root
+            if now is node:
+                return up
+            now = up
+
+    tags = Tags(page)
+    for start, end, closing, tag, attributes in iter(lambda: tags.next(place), None):
+        if start > place:
+            at.children.append(page[place:start])
+        place = end
         if not tag:
             continue
         if not closing:
             if tag in RAW:
                 if not attributes.endswith("/"):
                     if ends.get(tag, 0) < place:  # where it ends is looked up once, not again from each opening
-                        end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, place)
-                        ends[tag] = end.start() if end else size
+                        close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, place)
+                        ends[tag] = close.start() if close else size
                     close = page.find(">", ends[tag])
                     place = size if ends[tag] == size or close < 0 else close + 1
                 continue
@@ -96,29 +173,32 @@ def parse(page: str) -> list[Node]:
                 at.children.append(" ")
             if tag in VOID and tag != "hr" or tag not in BLOCKS and tag not in NEVER and tag != "a":
                 continue
+            if tag == "a" and at.link:
+                at = shut(at.link)
             if tag in BLOCKS:
-                up = at
-                while up.tag == "a":
-                    up = up.parent or root
-                if up.tag == "p" or tag == up.tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS and up.tag in HEADINGS:
-                    at = up.parent or root
+                up = at.block
+                if up.parent and (up.tag == "p" or tag == up.tag and tag in ("li", "td", "th", "tr", "dt", "dd", "option") or tag in HEADINGS and up.tag in HEADINGS):
+                    at = shut(up)
             found = _attributes(attributes)
             names = " ".join(found[x] for x in ("class", "id", "role") if x in found)
             # Ids of headings, and within an article, are made from its own words.
             told = " ".join(found[x] for x in ("class", "role") if x in found) if at.inside else names
-            unlikely = tag not in ("body", "article", "main") and tag not in HEADINGS and bool(UNLIKELY.search(told)) and not (LIKELY.search(names) and tag in ("div", "section") and "comment" not in names)
+            unlikely = tag not in ("body", "article", "main") and tag not in HEADINGS and _unlikely(told) and not (_likely(names) and tag in ("div", "section") and "comment" not in names)
             header = tag == "header" and not at.inside
             node = Node(tag, names, at, at.dropped or tag in NEVER or header or unlikely or _hidden(found))
             at.children.append(node)
             nodes.append(node)
             if tag not in VOID and not attributes.endswith("/"):
+                opened[tag] = opened.get(tag, 0) + 1
                 at = node
-        else:
-            up: Node | None = at
-            while up and up.tag != tag:
-                up = up.parent if tag != "a" or up.tag not in BLOCKS else None
-            if up and up.parent:
-                at = up.parent
+        elif tag == "a":
+            if at.link:
+                at = shut(at.link)
+        elif opened.get(tag):
+            up = at
+            while up.tag != tag:
+                up = up.parent
+            at = shut(up)
     if place < size:
         at.children.append(page[place:])
     return nodes
@@ -160,10 +240,7 @@ def _blocks(root: Node) -> list[tuple[Node, str, int, int]]:
         else:
             if node.tag != "a":
                 flush()
-                up = node.parent
-                while up and up.tag == "a":
-                    up = up.parent
-                owner = up or root
+                owner = node.parent.block if node.parent else root
     return found
 
 
@@ -192,13 +269,13 @@ def main_text(page: str | None) -> str:
         owner.linked += linked
         level = 0
         while node and points and level < LEVELS:
-            if node.tag != "a":
-                level += 1
-                if id(node) not in scored:
-                    scored[id(node)] = node
-                    node.points += (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0) + (25 if LIKELY.search(node.names) else 0)
-                node.points += points * share
-                share = max(share / 2, 0.25)
+            node = node.block
+            level += 1
+            if id(node) not in scored:
+                scored[id(node)] = node
+                node.points += (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0) + (25 if _likely(node.names) else 0)
+            node.points += points * share
+            share = max(share / 2, 0.25)
             node = node.parent
     if not scored:
         return ""
@@ -210,12 +287,18 @@ def main_text(page: str | None) -> str:
     best = max(scored.values(), key=rank)
     top = _whole(best)
     keep = {id(top)}
+    siblings = [x for x in top.parent.children if isinstance(x, Node) and (x is top or not x.dropped and x.chars)] if top.parent and top.tag not in ("body", "html") else []
     among = top.parent is not None and top.parent.inside
-    for sibling in top.parent.children if top.parent and top.tag not in ("body", "html") else ():
-        if isinstance(sibling, Node) and sibling is not top and not sibling.dropped and sibling.chars and sibling.linked / sibling.chars < 0.25:
+    for sibling in siblings:
+        if sibling is not top and sibling.linked / sibling.chars < 0.25:
             scores = id(sibling) in scored and sibling.tag == top.tag and rank(sibling) >= SIBLING * max(rank(top), rank(best))
-            if scores or sibling.tag == "p" and sibling.chars > 80 or among and (sibling.tag in BESIDE or sibling.tag == top.tag):
+            if scores or sibling.tag == "p" and sibling.chars > 80 or among and (sibling.tag in TITLES or sibling.tag == top.tag):
                 keep.add(id(sibling))
+    follows = False  # titles and short paragraphs stand before what they belong to
+    for sibling in reversed(siblings):
+        follows = id(sibling) in keep or follows and sibling.tag in TITLES and sibling.linked / sibling.chars < 0.25
+        if follows:
+            keep.add(id(sibling))
     for node in nodes:
         if node.parent and id(node.parent) in keep:
             keep.add(id(node))
