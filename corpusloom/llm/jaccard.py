@@ -327,43 +327,36 @@ def _listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, r, s, any): the rows of a key in a part of the input, its least and largest component, and whether one is a whole segment."""
+    """(key, root, n, any): the rows of a key and component in a part of the input, and whether one is a whole segment."""
     for key, whole, _, root in _neighbourhoods(batches):
-        order = np.argsort(key)
+        order = np.lexsort((root, key))
         key, whole, root = key[order], whole[order], root[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
         n = np.diff(np.r_[first, len(key)])
-        yield _rows((key[first], n, np.minimum.reduceat(root, first), np.maximum.reduceat(root, first), np.logical_or.reduceat(whole, first)), ["key", "n", "r", "s", "any"])
+        yield _rows((key[first], root[first], n, np.logical_or.reduceat(whole, first)), ["key", "root", "n", "any"])
 
 
 def _apart(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets in neighbourhoods, or in two blocks of one, that aren't connected yet and that sizes and sketches allow."""
-    t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("high", "low", "key")])))
-    key, low, high, mine, a, root, n = (t.column(c).to_numpy() for c in ("key", "low", "high", "block", "a", "root", "n"))
-    whole = t.column("whole").to_numpy(zero_copy_only=False)
+    """Pairs of a set on the minor side and another of whole groups of (key, i, j), if they aren't connected yet and sizes and sketches allow them."""
+    t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("j", "i", "key")])))
+    key, i, j, a, root, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "a", "root", "n"))
+    whole, minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("whole", "minor"))
     bits = np.frombuffer(b"".join(s.as_py() for s in t.column("sketch")), np.uint64).reshape(len(key), -1)
-    starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)])
+    starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
     for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-        roots, count = np.unique(root[start:end], return_counts=True)
-        if len(roots) == 1:
-            continue
-        most = roots[count.argmax()]
-        every = np.arange(start, end)
-        minor = every[root[start:end] != most]
-        for i in every[whole[start:end]].tolist():
-            others = minor if root[i] == most else every
-            others = others[(root[others] != root[i]) & ~(whole[others] & (others <= i))]
-            if low[i] != high[i]:
-                others = others[mine[others] != mine[i]]
-            others = others[5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i])]
-            apart = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            found = a[others[9 * apart <= n[others] + n[i]]]
+        side = minor[start:end]
+        every = start + np.flatnonzero(~side)
+        for at in (start + np.flatnonzero(side)).tolist():
+            others = every[(root[every] != root[at]) & (whole[every] | whole[at])]
+            others = others[5 * np.minimum(n[others], n[at]) >= 4 * np.maximum(n[others], n[at])]
+            apart = np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1, dtype=np.int64)
+            found = np.unique(a[others[9 * apart <= n[others] + n[at]]])
             if len(found):
-                yield np.minimum(found, a[i]), np.maximum(found, a[i])
+                yield np.minimum(found, a[at]), np.maximum(found, a[at])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each group of (key, low, high). Rows come in order of key; those of the last key are held until its end, or the end of its blocks, is seen."""
+    """The pairs of each group of (key, i, j). Rows come in this order; those of the last group are held until its end is seen."""
     held: pa.Table | None = None
     for batch in itertools.chain(batches, [None]):
         t = held
@@ -373,7 +366,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cut = t.num_rows
         if batch is not None:
-            last = np.stack([t.column(c).to_numpy() for c in ("key", "low", "high")])
+            last = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
             goes_on = (last == last[:, -1:]).all(axis=0)
             cut = len(goes_on) - int(np.argmin(goes_on[::-1])) if not goes_on.all() else 0
         held = t.slice(cut).combine_chunks()
@@ -398,16 +391,19 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods.
 
-    Keys are counted first, with sums before the shuffle; only those of several components are then
-    listed by set. Such a key of many sets is dealt out in pairs of blocks, so no task gets more than
-    two blocks of it.
+    Keys are counted first, by component and with sums before the shuffle; only those of several
+    components are then listed by set. What isn't of a key's largest component (the minor side) is
+    compared with all. A key of many sets is dealt out by blocks of both sides, so no task gets more
+    than a block of each, and where few are on the minor side rows grow with the sets, not their square.
     """
     named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").groupBy("a").agg(F.first(F.coalesce("root", "a")).alias("root"), F.collect_set("band").alias("bands"))
     named = checkpointed(reps.join(named, "a").select(F.col("rep").alias("id"), "a", "root", "bands"))
     few = named.count()
     texts = docs.join(F.broadcast(named) if few <= BROADCAST_SKETCHES else named, "id").select("text", "a", "root", "bands")
-    sizes = texts.mapInArrow(_counted_keys, "key bigint, n bigint, r bigint, s bigint, any boolean").groupBy("key").agg(F.sum("n").alias("size"), F.min("r").alias("r"), F.max("s").alias("s"), F.max("any").alias("any"))
-    sizes = checkpointed(sizes.where("r != s and any").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    by_root = texts.mapInArrow(_counted_keys, "key bigint, root bigint, n bigint, any boolean").groupBy("key", "root").agg(F.sum("n").alias("n"), F.max("any").alias("any"))
+    sizes = by_root.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.max("any").alias("any")).where("any and most.n < size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = checkpointed(sizes.select("key", F.col("most.root").alias("most"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("most.n")).alias("minor_blocks")))
     keys = texts.mapInArrow(_listed_keys, "key bigint, whole boolean, a bigint, root bigint")
     if sizes.count() <= BROADCAST_KEYS:
         shared = keys.join(F.broadcast(sizes), "key")
@@ -417,9 +413,13 @@ def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: Data
         shared = keys.withColumn("part", part).join(each, ["key", "part"]).drop("part")
     short = reps.join(named.select("a"), "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
     known = shared.join(F.broadcast(short) if few <= BROADCAST_SKETCHES else short, "a")
-    dealt = known.withColumn("block", F.pmod(F.xxhash64("a", "whole"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "a", "root", "n", "sketch")
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_compared, "x bigint, y bigint")
+    i, j = (F.pmod(F.xxhash64(F.lit(end), "a", "whole"), n).cast("int") for end, n in (("i", "minor_blocks"), ("j", "blocks")))
+    place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("minor"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    there = F.transform(upto("minor_blocks"), lambda x: place(x, j, False))
+    asking = F.when(F.col("root") != F.col("most"), F.transform(upto("blocks"), lambda x: place(i, x, True)))
+    dealt = known.select("key", "whole", "a", "root", "n", "sketch", F.explode(F.concat(there, F.coalesce(asking, F.array().cast("array<struct<i: int, j: int, minor: boolean>>")))).alias("p")).select("key", "p.*", "whole", "a", "root", "n", "sketch")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared, "x bigint, y bigint")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
