@@ -11,6 +11,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # A longest run that is too short holds no long enough one, so the length can stand in the pattern.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s:,.\\"'-]*?)-----END \1PRIVATE KEY-----""")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}?)PRIVATE KEY-----")
+_BODY = re.compile(r"""[A-Za-z0-9+/=\s:,.\\"'-]*+""")
+_CIPHER = re.compile(r"DEK-Info:\s*+([A-Z0-9-]++),([0-9A-Fa-f]++)")
+#: Block bytes of the ciphers of an armoured key.
+CIPHERS = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{64,}")
 # The later parts are looked at only, so a token may begin in any part of a longer chain of dots.
@@ -50,65 +55,142 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _children(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The tagged values that fill data exactly; None if the nested lengths don't."""
-    found, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data) or data[at] & 0x1F == 0x1F:
+#: More parts than any key has, or than an openssh file has of public keys.
+MOST_PARTS = 16
+
+
+def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the values that fill data from at to end exactly; None if the nested lengths don't, or if there are more than any key has."""
+    found: list[tuple[int, int, int]] = []
+    while at < end:
+        if at + 2 > end or data[at] & 0x1F == 0x1F or len(found) == MOST_PARTS:
             return None
         tag, size, at = data[at], data[at + 1], at + 2
         if size & 0x80:
             count = size & 0x7F
-            if not 1 <= count <= 4 or at + count > len(data):
+            if not 1 <= count <= 4 or at + count > end:
                 return None
             size, at = int.from_bytes(data[at : at + count], "big"), at + count
-        if at + size > len(data):
+        if at + size > end:
             return None
-        found.append((tag, data[at : at + size]))
+        found.append((tag, at, at + size))
         at += size
     return found
 
 
-def key_structure(data: bytes) -> str | None:
-    """The kind of private key that data encodes: rsa, dsa, ec, pkcs8, encrypted or openssh."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 0
-        while at + 4 <= len(data) and fields < 3:
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-            fields += 1
-        return "openssh" if fields == 3 and at + 4 <= len(data) else None
-    outer = _children(data)
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30:
-        return None
-    inside = _children(outer[0][1])
+def _sequence_kind(data: bytes, start: int, end: int) -> str | None:
+    """The kind of key whose sequence has its values from start to end."""
+    inside = _children(data, start, end)
     if not inside:
         return None
-    tags = [tag for tag, _ in inside]
-    if tags[:1] == [0x02]:
+    tags = [tag for tag, _, _ in inside]
+    named = lambda k: bool(first := _children(data, *inside[k][1:])) and first[0][0] == 0x06
+    if tags[0] == 0x02:
         if set(tags) == {0x02} and len(tags) in (6, 9):
             return "rsa" if len(tags) == 9 else "dsa"
         if tags[:3] == [0x02, 0x30, 0x04] and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
-            named = _children(inside[1][1])
-            return "pkcs8" if named and named[0][0] == 0x06 else None
-        if tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and 16 <= len(inside[1][1]) <= 66:
+            return "pkcs8" if named(1) else None
+        if tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and 16 <= inside[1][2] - inside[1][1] <= 66:
             return "ec"
     elif tags == [0x30, 0x04]:
-        named = _children(inside[0][1])
-        return "encrypted" if named and named[0][0] == 0x06 else None
+        return "encrypted" if named(0) else None
     return None
 
 
-def _gathered(text: str, at: int, count: int, digits: re.Pattern) -> tuple[str, int]:
-    """Up to `count` digits from a place on, over line breaks, and where they end."""
-    parts, end = [], at
-    while count and (m := digits.match(text, at, at + count)):
-        parts.append(m[0])
-        end = m.end()
-        count -= end - at
-        if not count or not (gap := _GAP.match(text, end)):
-            break
-        at = gap.end()
-    return "".join(parts), end
+def key_at(data: bytes, start: int = 0) -> tuple[str, int] | None:
+    """(kind, end) of the private key that data encodes from start on: rsa, dsa, ec, pkcs8, encrypted or openssh.
+
+    A sequence ends where its length says. An openssh key has three fields, a count, as many public
+    keys and the private ones; it ends with data if not all of them are there. Only headers are
+    looked at, and no more of them than a key has.
+    """
+    if data.startswith(b"openssh-key-v1\0", start):
+        at, left, counted = start + 15, 3, False
+        while left:
+            if at + 4 > len(data):
+                return ("openssh", len(data)) if counted else None
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+            left -= 1
+            if not left and not counted:
+                if at + 4 > len(data):
+                    return None
+                left, counted, at = min(int.from_bytes(data[at : at + 4], "big"), MOST_PARTS) + 1, True, at + 4
+        return "openssh", min(at, len(data))
+    if len(data) < start + 4 or data[start] != 0x30:
+        return None
+    count = data[start + 1] & 0x7F if data[start + 1] & 0x80 else 0
+    if count > 4 or data[start + 1] == 0x80:
+        return None
+    begin = start + 2 + count
+    end = begin + (int.from_bytes(data[start + 2 : begin], "big") if count else data[start + 1])
+    kind = _sequence_kind(data, begin, end) if end <= len(data) else None
+    return (kind, end) if kind else None
+
+
+def key_structure(data: bytes) -> str | None:
+    """The kind of private key that is all of data."""
+    found = key_at(data)
+    return found[0] if found and found[1] == len(data) else None
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of keys between the marks of a key file: what stands there has the structure of a key, or of blocks of a cipher that is named with its start."""
+    begin = None
+    for m in _MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin and begin[2] == m[2] and _BODY.fullmatch(text, begin.end(), m.start()):
+            lines = [x.strip() for x in _BREAK.sub("\n", text[begin.end() : m.start()]).split("\n")]
+            data = _decoded(re.sub(r"\s", "", "".join(x for x in lines if ":" not in x)))
+            if data and (key_structure(data) or _enciphered("\n".join(x for x in lines if ":" in x), data)):
+                yield begin.start(), m.end()
+        begin = None
+
+
+def _enciphered(headers: str, data: bytes) -> bool:
+    named = _CIPHER.search(headers)
+    block = CIPHERS.get(named[1]) if named and "ENCRYPTED" in headers else None
+    return bool(block) and len(named[2]) == 2 * block and len(data) >= 64 and len(data) % block == 0
+
+
+class _Digits:
+    """The digits of an encoding from a place of a text on, over line breaks, decoded once for each place in a group of them at which something may begin."""
+
+    def __init__(self, text: str, at: int, digits: re.Pattern, many: int, few: int):
+        self.many, self.few = many, few
+        self.at: list[int] = []  # where each part stands in the text, and among the digits
+        self.first: list[int] = []
+        parts, count = [], 0
+        while m := digits.match(text, at):
+            self.at.append(m.start())
+            self.first.append(count)
+            parts.append(m[0])
+            count += len(m[0])
+            self.end = m.end()
+            gap = _GAP.match(text, self.end)
+            if not gap:
+                break
+            at = gap.end()
+        self.run = "".join(parts)
+        self.known: dict[int, bytes] = {}
+
+    def index(self, place: int) -> int:
+        """The number of the digit that stands at a place of the text."""
+        k = bisect_right(self.at, place) - 1
+        return self.first[k] + place - self.at[k]
+
+    def behind(self, count: int) -> int:
+        """The place in the text behind so many digits."""
+        k = bisect_left(self.first, count) - 1
+        return self.at[k] + count - self.first[k]
+
+    def decoded(self, index: int) -> tuple[bytes, int]:
+        """(bytes, start): what a digit and those after it encode."""
+        shift = index % self.many
+        if shift not in self.known:
+            self.known[shift] = _bytes(self.run[shift:], self.many == 4)
+        return self.known[shift], index // self.many * self.few
 
 
 def _bytes(run: str, base64_digits: bool) -> bytes:
@@ -117,55 +199,45 @@ def _bytes(run: str, base64_digits: bool) -> bytes:
     return bytes.fromhex(run[: len(run) // 2 * 2])
 
 
-def _size(data: bytes) -> int:
-    """Bytes of the key that data may begin: of a sequence, from its length, if an integer of one byte or a sequence comes first in it; else 0."""
-    if len(data) < 8 or data[0] != 0x30:
-        return 0
-    count = data[1] & 0x7F if data[1] & 0x80 else 0
-    if count > 4 or data[1] == 0x80:
-        return 0
-    size = int.from_bytes(data[2 : 2 + count], "big") if count else data[1]
-    first = data[2 + count : 4 + count]
-    return 2 + count + size if first[:1] == b"\x30" or first == b"\x02\x01" else 0
-
-
-def _openssh_size(data: bytes) -> int:
-    """Bytes of the openssh key that data begins: three fields, a count, as many public keys and the private ones; all of data if they are not all there."""
-    at, left, counted = 15, 3, False
-    while left:
-        if at + 4 > len(data):
-            return len(data)
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        left -= 1
-        if not left and not counted:
-            left, counted, at = int.from_bytes(data[at : at + 4], "big") + 1, True, at + 4
-    return min(at, len(data))
-
-
 def _wrapped(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of keys in base64 or hex that go over lines or stand within a longer run; a sequence's own length says where it ends."""
+    """(start, end) of keys in base64 or hex that go over lines or stand within a longer run; a sequence's own length says where it ends.
+
+    Digits are gathered and decoded once, however many keys may begin in them.
+    """
     found = []
+    taken = sorted(taken)
     for begins, digits, many, few in _BEGINS:
-        place = 0
+        run: _Digits | None = None
+        place = k = until = 0
         for m in begins.finditer(text):
             at = m.start()
-            if at < place or any(a < at < b for a, b in taken):
-                continue
-            plain = many == 4
-            if len(m[0]) > 2:
-                size = _openssh_size(_bytes(_gathered(text, at, len(text), digits)[0], plain))
-            else:
-                size = _size(_bytes(text[at : at + 16], plain))
-            count = -(-size * many // few)
-            if not size or count > len(text) - at:
+            while k < len(taken) and taken[k][0] < at:
+                until = max(until, taken[k][1])
+                k += 1
+            if at < max(place, until) or len(m[0]) == 2 and not _may_begin(_bytes(text[at : at + 16], many == 4)):
                 continue
-            run, end = _gathered(text, at, count, digits)
-            if len(run) == count and key_structure(_bytes(run, plain)[:size]):
-                place = _PAD.match(text, end).end() if plain else end
+            if not run or at >= run.end:
+                run = _Digits(text, at, digits, many, few)
+            index = run.index(at)
+            data, start = run.decoded(index)
+            key = key_at(data, start)
+            if key:
+                count = index + -(-(key[1] - start) * many // few)
+                end = run.behind(min(count, len(run.run)))
+                place = _PAD.match(text, end).end() if many == 4 else end
                 found.append((at, place))
     return found
 
 
+def _may_begin(data: bytes) -> bool:
+    """A sequence in which an integer of one byte or another sequence comes first."""
+    if len(data) < 8 or data[0] != 0x30 or data[1] == 0x80:
+        return False
+    count = data[1] & 0x7F if data[1] & 0x80 else 0
+    first = data[2 + count : 4 + count]
+    return count <= 4 and (first[:1] == b"\x30" or first == b"\x02\x01")
+
+
 def _object(part: str) -> dict | None:
     try:
         value = json.loads(_decoded(part) or b"")
@@ -192,18 +264,17 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = "".join(x.strip() for x in _BREAK.sub("\n", m[2]).split("\n") if ":" not in x)
-            if (data := _decoded(re.sub(r"\s", "", body))) and (key_structure(data) or "ENCRYPTED" in m[2] and len(data) >= 64):
-                found.append((m.start(), 3, m.end()))
+        found += [(start, 3, end) for start, end in _armoured(text)]
     for m in _RUN.finditer(text):
         if (data := _decoded(m[0])) and key_structure(data):
             found.append((m.start(), 4, m.end()))
     for m in _HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and key_structure(bytes.fromhex(m[0])):
             found.append((m.start(), 4, m.end()))
+    keys = {a: b for a, k, b in found if k == 4}
     for start, end in _wrapped(text, [(a, b) for a, k, b in found if k > 2]):
-        found = [x for x in found if x[:2] != (start, 4) or x[2] > end] + [(start, 4, end)]  # not also its first line alone
+        keys[start] = max(end, keys.get(start, 0))  # not also its first line alone
+    found = [x for x in found if x[1] != 4] + [(a, 4, b) for a, b in keys.items()]
     if "." in text:
         found += [(m.start(), 5, m.end(3)) for m in _TOKEN.finditer(text) if signed_token(m[1], m[2], m[3])]
     return sorted(set(found))
@@ -219,8 +290,8 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans array<struct<kind, start, end>>) of every row, by start and then kind.
 
-    Whole texts are scanned, one row at a time and without a shuffle. A null or
-    empty text has no spans; a null id stays; repeated rows give repeated rows;
+    Whole texts are scanned, one row at a time, in time linear in the text and without a shuffle. A
+    null or empty text has no spans; a null id stays; repeated rows give repeated rows;
     other columns don't matter.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
