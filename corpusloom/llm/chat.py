@@ -16,6 +16,8 @@ from corpusloom.llm.common import table
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|line|>"
 #: Tokens that a part expands to: an image by patches of its width and height, sound by its seconds, a document by its pages.
 PATCH, TOKENS_A_SECOND, TOKENS_A_PAGE = 14, 25, 576
+#: Parts that aren't text, and the largest size of one that counts: their tokens stay numbers of 64 bits.
+ATTACHED, MOST = ("image", "audio", "document"), 1 << 30
 #: The type of a part: text has `text`; the others have `ref` and the sizes that their type needs.
 PART = "struct<type:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
 
@@ -33,21 +35,44 @@ def _escaped_role(role: F.Column) -> F.Column:
     return F.replace(escaped(F.coalesce(role, F.lit(""))), F.lit("\n"), F.lit(LINE))
 
 
+def _amount(part: F.Column, name: str) -> F.Column:
+    """A size of a part: none, a negative one and what isn't a number are 0."""
+    size = F.nanvl(part[name], F.lit(0.0)) if name == "seconds" else part[name]
+    return F.least(F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)), F.lit(MOST))
+
+
 def _tokens(part: F.Column) -> F.Column:
-    across = lambda side: F.ceil(F.greatest(F.coalesce(part[side], F.lit(0)), F.lit(0)) / PATCH)
+    across = lambda side: F.ceil(_amount(part, side) / PATCH)
     return F.coalesce(
-        F.when(part["type"] == "text", F.size(F.regexp_extract_all(F.coalesce(part["text"], F.lit("")), F.lit(r"\S+"), 0)).cast("long"))
-        .when(part["type"] == "image", (across("width") * across("height")).cast("long"))
-        .when(part["type"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * TOKENS_A_SECOND).cast("long"))
-        .when(part["type"] == "document", F.coalesce(part["pages"], F.lit(0)) * TOKENS_A_PAGE),
+        F.when(part["type"] == "image", (across("width") * across("height")).cast("long"))
+        .when(part["type"] == "audio", F.ceil(_amount(part, "seconds") * TOKENS_A_SECOND).cast("long"))
+        .when(part["type"] == "document", _amount(part, "pages") * TOKENS_A_PAGE)
+        .otherwise(F.size(F.regexp_extract_all(F.coalesce(part["text"], F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)).cast("long")),
         F.lit(0).cast("long"),
     )
 
 
-def _visited(part: F.Column, place: F.Column) -> F.Column:
-    """What stands for a part in the output. A part of no known type is text."""
-    other = part["type"].isin("image", "audio", "document")
-    return F.when(other, F.concat(F.lit("<|"), part["type"], F.lit("_"), place.cast("string"), F.lit("|>"))).otherwise(escaped(F.coalesce(part["text"], F.lit(""))))
+def _attached(part: F.Column) -> F.Column:
+    """Is it no text? A part that is null, or of no known type, is text."""
+    return F.coalesce(part["type"].isin(*ATTACHED), F.lit(False))
+
+
+def _visited(parts: F.Column) -> F.Column:
+    """What stands for the parts in the output: a numbered placeholder for each that is no text; neighbouring texts are one before they are escaped, so that no control string comes about between them."""
+    state = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit(0).alias("place"))
+
+    def visit(so_far: F.Column, part: F.Column) -> F.Column:
+        other = _attached(part)
+        mark = F.concat(escaped(so_far["open"]), F.lit("<|"), part["type"], F.lit("_"), so_far["place"].cast("string"), F.lit("|>"))
+        return F.struct(
+            F.when(other, F.concat(so_far["done"], mark)).otherwise(so_far["done"]).alias("done"),
+            F.when(other, F.lit("")).otherwise(F.concat(so_far["open"], F.coalesce(part["text"], F.lit("")))).alias("open"),
+            (so_far["place"] + 1).alias("place"),
+        )
+
+    # One text part, as most turns have, needs no visits.
+    alone = (F.size(parts) == 1) & ~_attached(F.get(parts, F.lit(0)))
+    return F.when(alone, escaped(F.coalesce(F.get(parts, F.lit(0))["text"], F.lit("")))).otherwise(F.aggregate(parts, state, visit, lambda x: F.concat(x["done"], escaped(x["open"]))))
 
 
 def text_part(text: F.Column) -> F.Column:
@@ -66,18 +91,18 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
     parts: array of PART; by default the column `text` as one text part. Null text is empty,
     null role is the empty role, null parts are none; rows without an id form one conversation;
-    repeated rows are repeated turns; null turns come first. Other columns don't matter. Turns
-    are flattened before the shuffle; a conversation, being one training example, is one row.
+    repeated rows are repeated turns; null turns come first; a null part and one of no known type are
+    text; a size below 0 is 0. Other columns don't matter. Turns are flattened before the shuffle; a conversation, being one training example, is one row.
     """
     parts = text_part(F.col("text")) if parts is None else F.coalesce(parts, F.array().cast(f"array<{PART}>"))
     flat = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts")).select(
         "id",
         "turn",
         "role",
-        F.array_join(F.transform("parts", _visited), "").alias("body"),
+        _visited(F.col("parts")).alias("body"),
         F.concat(F.lit(START), _escaped_role(F.col("role")), F.lit("\n")).alias("marks"),
         F.lit(f"{END}\n").alias("tail"),
-        F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: a["type"].isin("image", "audio", "document")).alias("attached"),
+        F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))), lambda a: F.coalesce(a["type"].isin(*ATTACHED), F.lit(False))).alias("attached"),
         F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + _tokens(p)).alias("tokens"),
     )
     length = F.length("marks") + F.length("body") + F.length("tail")
@@ -95,12 +120,21 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     )
 
 
+_PLACEHOLDER = rf"<\|(?:{'|'.join(ATTACHED)})_[0-9]+\|>"
+
+
 def read_back(formatted: F.Column) -> F.Column:
-    """array<struct<role, text>> from a formatted chat of text parts: the inverse of format_chats."""
-    pieces = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, F.greatest(F.size(F.split(formatted, r"<\|im_start\|>", -1)) - 1, F.lit(0)))
+    """array<struct<role, text, pieces, attached>> from a formatted chat, the inverse of format_chats.
+
+    pieces are the texts between the placeholders, which are `attached` in their order; text is all pieces.
+    """
+    split = F.split(formatted, r"<\|im_start\|>", -1)
+    turns = F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0)))
     role = lambda p: unescaped(F.replace(F.substring_index(p, "\n", 1), F.lit(LINE), F.lit("\n")))
-    text = lambda p: unescaped(F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1))
-    return F.transform(pieces, lambda p: F.struct(role(p).alias("role"), text(p).alias("text")))
+    body = lambda p: F.regexp_extract(p, r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n$", 1)
+    pieces = lambda p: F.transform(F.split(body(p), _PLACEHOLDER, -1), unescaped)
+    read = F.transform(turns, lambda p: F.struct(role(p).alias("role"), pieces(p).alias("pieces"), F.regexp_extract_all(body(p), F.lit(_PLACEHOLDER), 0).alias("attached")))
+    return F.transform(read, lambda t: F.struct(t["role"].alias("role"), F.array_join(t["pieces"], "").alias("text"), t["pieces"].alias("pieces"), t["attached"].alias("attached")))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
