@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import checkpointed, table
 
@@ -52,6 +53,11 @@ def targets_of(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     )
 
 
+def _literal(value, kind: str) -> F.Column:
+    """A value of a row as a literal of its own type."""
+    return F.lit(value).cast(kind)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken, finish) of every row of docs.
 
@@ -66,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     finish time and then the documents of one bin; one row of figures comes to the driver.
     """
     spark = docs.sparkSession
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit("")))), 1, 15), 16, 10).cast("long")
     sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
     buckets = min(max(1, sized.count() // bucket_rows), MOST_BUCKETS)
     targets = targets_of(sized, weights, share, repeats)
@@ -103,26 +109,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         totals=copies.groupBy(bins.alias("bin")).agg(F.sum("size").alias("total")),
     )
     last = filled.where(F.col("upto") > budget).orderBy("bin").first()  # None: all fits
-    key, order = "true", "finish, place, h, id, size, copy"
+    order = ["finish", "place", "h", "id", "size", "copy"]
+    limit = None
     if last:
-        end = spark.sql(
-            f"select finish, place, h, id, size, copy from (select *, sum(size) over (order by {order} rows unbounded preceding) as upto from {{rest}}) where upto > cast('{budget - last['before']!r}' as double) order by {order} limit 1",
-            rest=copies.where(bins == last["bin"]),
-        ).first()
-        at = ", ".join("null" if v is None else f"cast('{v}' as {copies.schema[c].dataType.simpleString()})" for c, v in end.asDict().items())
-        key = f"struct(finish, place, h, id, size, copy) < struct({at})"
-    return spark.sql(
-        f"""
-        select id, source, size, source_size, target, cast(copies as bigint) as copies, cast(copies * size as bigint) as taken, finish
-        from (
-          select *, coalesce(try_divide(cast(upto as double), target), 0D) as finish,
-                 size(filter(transform(sequence(0, {repeats - 1}), c -> named_struct('finish', coalesce(try_divide(cast(c * source_size + upto as double), target), 0D), 'copy', c)),
-                      x -> size > 0 and {key.replace("finish,", "x.finish,", 1).replace("copy)", "x.copy)", 1)})) as copies
-          from {{queued}}
-        )
-        """,
-        queued=queued,
-    ).withColumnRenamed("id", id_col)
+        reached = copies.where(bins == last["bin"]).withColumn("upto", F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        end = reached.where(F.col("upto") > F.lit(budget - last["before"])).orderBy(*order).select(*order).first()
+        limit = F.struct(*(_literal(end[c], copies.schema[c].dataType.simpleString()).alias(c) for c in order))
+    finish = lambda copy: F.coalesce(F.try_divide((copy * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")), F.lit(0.0))
+    each = F.array(*(F.struct(finish(F.lit(c)).alias("finish"), "place", "h", "id", "size", F.lit(c).alias("copy")) for c in range(repeats)))
+    copies_of = F.when(F.col("size") > 0, F.size(F.filter(each, (lambda x: x < limit) if limit is not None else (lambda x: F.lit(True))))).otherwise(0)
+    out = queued.select("id", "source", "size", "source_size", "target", copies_of.cast("bigint").alias("copies"), finish(F.lit(0)).alias("finish"))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "finish")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +129,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         cast('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+         cast('0x' || substr(md5('mix' || coalesce(cast(doc_id as varchar), md5(text), '')), 1, 15) as bigint) as h
   from documents
 ), totals as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source
