@@ -2,7 +2,7 @@
 
 Each language has a raw-content zstandard dictionary of sample text. A text is
 encoded with each of them; the language whose dictionary gives the fewest bytes
-is the prediction, and a long text for which two are almost as good is rejected.
+is the prediction, and a text for which two are almost as good is rejected.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 
-#: The bound on what is learnt from: rows of each language, and bytes of its dictionary.
+#: The bound on what is learnt from: languages, those with most rows; rows of each; and bytes of its dictionary.
+MOST_LANGUAGES = 1_000
 SAMPLE_ROWS = 256
 DICTIONARY_BYTES = 32_768
+#: Excerpts that fill a dictionary.
+EXCERPTS = 16
 #: A text is encoded in blocks of so many bytes, so that it can't become its own dictionary.
 BLOCK_BYTES = 2_000
 LEVEL = 5
-#: A text of MIN_LETTERS letters is rejected if the second-best size is within MARGIN of the best.
+#: A text, of any length, is rejected if the second-best size is within this share of the best; for texts of under 250 bytes that is a tie.
 MARGIN = 0.004
-MIN_LETTERS = 40
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -46,7 +48,6 @@ class LanguageModel:
     level: int = LEVEL
     block_bytes: int = BLOCK_BYTES
     margin: float = MARGIN
-    min_letters: int = MIN_LETTERS
     _coders: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self) -> dict:
@@ -62,51 +63,57 @@ class LanguageModel:
 
     def sizes(self, text: str) -> dict[str, int]:
         """Bytes that the whole text takes, by language."""
-        data = _normal(text).encode()
+        data = _normal(text).encode("utf-8", "surrogatepass")
         blocks = [data[i : i + self.block_bytes] for i in range(0, len(data), self.block_bytes)]
         return {lang: sum(len(coder.compress(block)) for block in blocks) for lang, coder in self.coders().items()}
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, score, rejected). On a tie the language with more training rows wins."""
-        if not text or not self.dictionaries or not any(map(str.isalpha, text)):
+        """(language, score, rejected). On a tie the language with more training rows wins. A model that knows no language rejects only what has no letter."""
+        if not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
+        if not self.dictionaries:
+            return UNKNOWN, 0.0, False
         sizes = self.sizes(text)
         best = min(sizes, key=sizes.__getitem__)
         least = sizes[best]
         score = 1 / sum(2.0 ** (least - size) for size in sizes.values())  # a byte counts as one bit of evidence
         second = min((size for lang, size in sizes.items() if lang != best), default=None)
-        narrow = second is not None and second - least < self.margin * second
-        return best, score, narrow and sum(map(str.isalpha, text)) >= self.min_letters
+        return best, score, second is not None and second - least < self.margin * second
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """A model from labelled rows; rows without text or language are passed over.
 
-    Ids are drawn first, by hash and without the texts: about twice sample_rows of each
-    language come to the driver. Then excerpts of sample_rows of them do, of dictionary_bytes / 16
-    characters each, whatever the size of docs. No rows: a model that knows none.
+    The bound: the most_languages languages with most rows, and about twice sample_rows different
+    texts of each, drawn by the hash of the text, come to the driver as hashes; then an excerpt of
+    dictionary_bytes / EXCERPTS characters of sample_rows of them, from a place that the hash tells.
+    A language whose excerpts have fewer than 8 bytes of letters is not learnt, as zstandard takes no
+    less. No labelled rows: a model that knows no language.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and length(text) > 0")
-    counts = rows.groupBy("lang").count().collect()
-    order = F.xxhash64("id")
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and length(text) > 0")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    if not counts:
+        return LanguageModel({})
+    spark = docs.sparkSession
     # Hashes are even: below this share of them, twice the rows wanted are expected.
-    share = F.lit(1.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, 2 * sample_rows / r["count"])).otherwise(share)
-    drawn = rows.select("id", "lang", order.alias("h")).where(F.pmod(F.col("h"), F.lit(1 << 40)) < share * (1 << 40))
-    by_lang = defaultdict(set)
-    for r in drawn.collect():
-        by_lang[r["lang"]].add((r["h"], r["id"]))
-    ids = [i for found in by_lang.values() for _, i in sorted(found)[:sample_rows]]
-    piece = dictionary_bytes // 16
-    excerpts = defaultdict(list)
-    for r in rows.where(F.col("id").isin(ids)).select("lang", order.alias("h"), "id", F.substring("text", 1, piece).alias("text")).collect() if ids else []:
-        excerpts[r["lang"]].append((r["h"], r["id"], r["text"]))
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 2 * sample_rows / r["count"])) for r in counts], "lang string, share double"))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    below = F.pmod(F.col("h"), F.lit(1 << 40)) < F.col("share") * (1 << 40)
+    by_lang = defaultdict(list)
+    for r in hashed.join(shares, "lang").where(below).select("lang", "h").distinct().collect():
+        by_lang[r["lang"]].append(r["h"])
+    drawn = F.broadcast(spark.createDataFrame([(lang, h) for lang, found in by_lang.items() for h in sorted(found)[:sample_rows]], "lang string, h long"))
+    piece = dictionary_bytes // EXCERPTS
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1
+    excerpts = hashed.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.first(F.substr("text", start.cast("int"), F.lit(piece))).alias("text"))
+    found = defaultdict(list)
+    for r in excerpts.collect():
+        found[r["lang"]].append((r["h"], r["text"]))
     dictionaries = {}
-    for lang, n in sorted(((r["lang"], r["count"]) for r in counts), key=lambda x: (-x[1], x[0])):
-        content = b"".join(_normal(text).encode() for _, _, text in sorted(excerpts[lang])[:sample_rows])
-        if len(content) >= 8:  # zstandard takes no less
-            dictionaries[lang] = content[:dictionary_bytes]
+    for r in counts:
+        content = b"".join(_normal(text).encode("utf-8", "surrogatepass") for _, text in sorted(found[r["lang"]]))
+        if len(content) >= 8:
+            dictionaries[r["lang"]] = content[:dictionary_bytes]
     return LanguageModel(dictionaries)
 
 
@@ -114,7 +121,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """(every column of docs, lang_pred, lang_score, lang_rejected), without a shuffle.
 
     Whole texts are encoded. A text that is null, empty or without a letter is `und`,
-    with score 0 and rejected. Only the text is looked at; null ids, repeated rows
+    with score 0 and rejected; so is every other text, but not rejected, if the model knows no language. Only the text is looked at; null ids, repeated rows
     and other columns pass through (columns of docs by these three names are replaced).
     """
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_rejected")]

@@ -2,7 +2,9 @@
 
 Statistics of each text are transformed to a vector. For each language and source a
 minimum-covariance-determinant estimate of centre and scatter is made from all of its
-vectors, and a text far from the centre by Mahalanobis distance is rejected.
+vectors, and a text far from the centre by Mahalanobis distance is rejected. As most texts
+have no symbols or repeats, a fixed diagonal is added to the scatter before its determinant
+is taken, which makes this the regularised estimate with that target.
 """
 
 from __future__ import annotations
@@ -14,13 +16,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.llm.common import BLANK, checkpointed, table, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
-#: Share of the vectors that the estimate is made from, concentration steps, and the least rows of a group with an estimate of its own.
-SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 60
+#: Share of the vectors that the estimate is made from, and the least rows of a group with an estimate of its own.
+SUPPORT, MIN_ROWS = 0.75, 60
+#: Starts from drawn vectors beside the one from the medians, vectors of each, steps of all starts before the best goes on, and
+#: steps at most; steps end when no group's determinant falls by this share.
+DRAWS, DRAWN, FIRST_STEPS, MOST_STEPS, STILL = 3, 24, 2, 20, 1e-3
 #: Squared distances are compared with this: the 1e-6 tail of chi-squared with 5 degrees of freedom.
 LIMIT = 35.9
 #: Variances get the square of this added, by transformed statistic, as most texts have no symbols or repeats and so no scatter of their own.
@@ -30,6 +36,8 @@ FLOORS = {"log_words": 0.05, "word_length": 0.05, "symbols": math.log1p(10 / MIN
 VECTOR = tuple(FLOORS)
 #: Width of the steps by which distances are told apart, in logarithms.
 STEP = 0.01
+#: Groups whose estimates go to every task; more are joined, in this many parts of a group.
+BROADCAST_GROUPS, PARTS = 10_000, 16
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -81,7 +89,7 @@ def consistency(support: float) -> float:
 
 
 def _estimated(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
-    """Centre and inverse scatter of each group from its sums; a row in, a row out."""
+    """Centre, inverse scatter and the scatter's determinant (its logarithm) from sums; a row in, a row out."""
     d = len(VECTOR)
     floors = np.diag([x * x for x in FLOORS.values()])
     for batch in batches:
@@ -89,53 +97,92 @@ def _estimated(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.R
         first = np.array(batch.column("first").to_pylist(), float).reshape(-1, d)
         second = np.array(batch.column("second").to_pylist(), float).reshape(-1, d, d)
         centre = first / n[:, None]
-        scatter = second / n[:, None, None] - centre[:, :, None] * centre[:, None, :]
-        inverse = np.linalg.inv(scale * scatter + floors)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(inverse.reshape(-1, d * d).tolist(), pa.list_(pa.float64()))], ["key", "centre", "inverse"])
+        scatter = scale * (second / n[:, None, None] - centre[:, :, None] * centre[:, None, :]) + floors
+        made = [pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(np.linalg.inv(scatter).reshape(-1, d * d).tolist(), pa.list_(pa.float64())), pa.array(np.linalg.slogdet(scatter)[1], pa.float64())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), *made], ["key", "start", "centre", "inverse", "logdet"])
 
 
-def _estimate(vectors: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(key, centre, inverse) from (key, v), the scatter times `scale`: sums are made before the shuffle, a row for each group after it."""
-    d = range(len(VECTOR))
-    part = [F.sum(F.col("v")[i]).alias(f"s{i}") for i in d] + [F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"p{i}_{j}") for i in d for j in d if i <= j]
-    sums = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *part)
-    first = F.array(*(F.col(f"s{i}") for i in d))
-    second = F.array(*(F.col(f"p{min(i, j)}_{max(i, j)}") for i in d for j in d))
-    return sums.select("key", "n", first.alias("first"), second.alias("second")).mapInArrow(lambda batches: _estimated(batches, scale), "key string, centre array<double>, inverse array<double>")
+_D = range(len(VECTOR))
+_FIRST, _SECOND = [f"s{i}" for i in _D], [f"p{i}_{j}" for i in _D for j in _D if i <= j]
+
+
+def _sums() -> list[F.Column]:
+    v = F.col("v")
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(v[i]).alias(f"s{i}") for i in _D), *(F.sum(v[i] * v[j]).alias(f"p{i}_{j}") for i in _D for j in _D if i <= j)]
+
+
+def _estimate(sums: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(key, start, centre, inverse, logdet) from sums of each key and start, the scatter times `scale`."""
+    second = F.array(*(F.col(f"p{min(i, j)}_{max(i, j)}") for i in _D for j in _D))
+    packed = sums.select("key", "start", "n", F.array(*_FIRST).alias("first"), second.alias("second"))
+    return packed.mapInArrow(lambda batches: _estimated(batches, scale), "key string, start int, centre array<double>, inverse array<double>, logdet double")
 
 
 def _distance() -> F.Column:
-    d = range(len(VECTOR))
-    off = [F.col("v")[i] - F.col("centre")[i] for i in d]
-    return sum((off[i] * off[j] * F.col("inverse")[i * len(VECTOR) + j] for i in d for j in d), F.lit(0.0))
+    off = [F.col("v")[i] - F.col("centre")[i] for i in _D]
+    return sum((off[i] * off[j] * F.col("inverse")[i * len(VECTOR) + j] for i in _D for j in _D), F.lit(0.0))
+
+
+def _beside(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """rows with what few has for their group: few goes to every task if it is small, else both sides are dealt out by parts of a group."""
+    if few.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(few), on, how)
+    parts = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int")).join(parts, [on, "part"], how).drop("part")
 
 
-def _closest(vectors: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """The vectors of each group among the `share` of it closest to its centre, to a step of the distance."""
-    placed = vectors.join(estimate, "key").select("key", "v", F.floor(F.log(_distance() + 1e-9) / STEP).alias("step"))
-    counts = placed.groupBy("key", "step").count()
-    total = counts.groupBy("key").agg(F.sum("count").alias("n"), F.array_sort(F.collect_list(F.struct("step", "count"))).alias("steps"))
-    reached = F.aggregate(
-        "steps",
-        F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("last")),
-        lambda a, s: F.struct((a["seen"] + s["count"]).alias("seen"), F.when(a["seen"] < share * F.col("n"), s["step"]).otherwise(a["last"]).alias("last")),
-    )
-    return placed.join(total.select("key", reached["last"].alias("last")), "key").where("step <= last").select("key", "v")
+def _concentrated(vectors: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+    """The next estimates: from the vectors of each group among the `share` of it closest to the centre, to a step of the distance.
 
+    Sums are made for each group, start and step of the distance before the shuffle; steps are then
+    added up in order until the share is reached.
+    """
+    placed = _beside(vectors, estimates, "key").select("key", "start", F.floor(F.log(_distance() + 1e-9) / STEP).alias("step"), "v")
+    by_step = placed.groupBy("key", "start", "step").agg(*_sums())
+    of_start = Window.partitionBy("key", "start")
+    upto = F.sum("n").over(of_start.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    kept = by_step.withColumns({"before": F.coalesce(upto, F.lit(0)), "all": F.sum("n").over(of_start)}).where(F.col("before") < share * F.col("all"))
+    return _estimate(kept.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in ("n", *_FIRST, *_SECOND))), consistency(share))
+
+
+def estimate(vectors: DataFrame, support: float = SUPPORT, draws: int = DRAWS, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(key, start, centre, inverse, logdet), the regularised minimum-covariance-determinant estimate of each key from (key, h, v).
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = SUPPORT, steps: int = STEPS, min_rows: int = MIN_ROWS, limit: float = LIMIT) -> DataFrame:
+    Starts are the vectors within 3 robust deviations of the group's medians in each statistic
+    (quartiles of values rounded to 0.01, so counts stay few), and those with the smallest hashes of
+    h, by `draws` ways of hashing. After FIRST_STEPS concentration steps the start with the smallest
+    determinant goes on in each group, until no group's determinant falls by more than STILL.
+    """
+    floors = list(FLOORS.values())
+    middle = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile(F.round(F.col("v")[i], 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in _D))
+    spread = [F.abs(F.col("v")[i] - F.col(f"q{i}")[1]) <= 3 * F.greatest(0.74 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]), F.lit(floors[i])) for i in _D]
+    near = spread[0] & spread[1] & spread[2] & spread[3] & spread[4]
+    drawn = [F.pmod(F.xxhash64(F.lit(k), "h"), F.lit(1 << 40)) < F.lit(float(DRAWN << 40)) / F.col("rows") for k in range(1, draws + 1)]
+    starts = F.filter(F.array(*(F.when(inside, F.lit(k)) for k, inside in enumerate((near, *drawn)))), lambda k: k.isNotNull())
+    begun = _beside(vectors, middle, "key").select("key", "v", F.explode(starts).alias("start"))
+    now = checkpointed(_estimate(begun.groupBy("key", "start").agg(*_sums())))
+    for _ in range(FIRST_STEPS):
+        now = checkpointed(_concentrated(vectors, now, support))
+    best = now.groupBy("key").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
+    now = checkpointed(now.join(best, ["key", "start"]))
+    for _ in range(most_steps - FIRST_STEPS):
+        then, now = now, checkpointed(_concentrated(vectors, now, support))
+        both = then.select("key", F.col("logdet").alias("before"))
+        fell = now.join(both, "key").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        if fell is None or fell <= STILL:
+            break
+    return now
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = SUPPORT, min_rows: int = MIN_ROWS, limit: float = LIMIT) -> DataFrame:
     """(id_col, COUNTS, base_failed, distance, kept) of every row.
 
     base_failed: fewer than 50 words, or more than half of them in repeated three-word windows.
-    Others are vectors of their (language, source); null is a value of its own there. Groups of
-    fewer than min_rows vectors are taken together for each language; if these are still too few,
-    there is no estimate, distance is null and they are kept. kept is false if base_failed, else
-    distance (squared) <= limit. A null or empty text has no words. Repeated rows count as often as
-    they stand; null ids stay; other columns don't matter.
-
-    The estimate starts from the vectors of a group within 3 robust deviations of its medians in each
-    statistic (quartiles of values rounded to 0.01, so counts stay few), and is then made `steps` times from the closest `support` of all vectors. Every step sums
-    before the shuffle and leaves one row for each group and step of the distance.
+    Others are vectors of their (language, source); null is a value of its own there. A group of
+    fewer than min_rows vectors is judged by the estimate of all vectors of its language, or, if these
+    are too few, of all vectors; if there are fewer than min_rows in all, distance is null and they
+    are kept. kept is false if base_failed, else distance (squared) <= limit. A null or empty text has
+    no words. Repeated rows count as often as they stand; null ids stay; other columns don't matter.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
@@ -144,21 +191,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     words = F.greatest(F.col("n_words"), F.lit(1))
     vector = F.array(F.log1p("n_words"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words), F.log1p(10 * F.col("n_symbols") / words), F.log1p(10 * F.col("n_dup_lines") / words), F.log1p(10 * F.col("n_repeat_words") / words))
     group = lambda *parts: F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
-    own, pooled = group("lang", "source"), group("lang")
-    seen = counted.where(~failed).groupBy("lang", "source").count().select(own.alias("own"), (F.col("count") >= min_rows).alias("enough"))
-    judged = counted.withColumn("own", own).join(seen, "own", "left").select("id", *COUNTS, failed.alias("base_failed"), F.when(F.col("enough"), F.col("own")).otherwise(pooled).alias("key"), vector.alias("v"))
-    vectors = judged.where("not base_failed").select("key", "v")
-    sizes = vectors.groupBy("key").count().where(F.col("count") >= min_rows).select("key")
-    vectors = checkpointed(vectors.join(sizes, "key"))
-    d = range(len(VECTOR))
-    middle = vectors.groupBy("key").agg(*(F.percentile(F.round(F.col("v")[i], 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in d))
-    floors = list(FLOORS.values())
-    near = [F.abs(F.col("v")[i] - F.col(f"q{i}")[1]) <= 3 * F.greatest(0.74 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]), F.lit(floors[i])) for i in d]
-    start = vectors.join(middle, "key").where(near[0] & near[1] & near[2] & near[3] & near[4]).select("key", "v")
-    estimate = checkpointed(_estimate(start))
-    for _ in range(steps):
-        estimate = checkpointed(_estimate(_closest(vectors, estimate, support), consistency(support)))
-    out = judged.join(estimate, "key", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("centre").isNotNull(), _distance()))
+    plain = lambda n: F.coalesce(F.col(n), F.lit(0)) >= min_rows
+    # What each group is judged by, and what its vectors add to.
+    sizes = counted.where(~failed).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).select(group("lang", "source").alias("own"), group("lang").alias("whole"), "n")
+    of_lang = sizes.groupBy("whole").agg(F.sum("n").alias("n_lang"), (F.min("n") < min_rows).alias("lang_asked"))
+    of_all = of_lang.agg(F.sum("n_lang").alias("n_all"), F.max(F.col("n_lang") < min_rows).alias("all_asked"))
+    every = F.lit("all")
+    by = F.when(plain("n"), F.col("own")).when(plain("n_lang"), F.col("whole")).when(plain("n_all"), every)
+    adds = F.filter(F.array(F.when(plain("n"), F.col("own")), F.when(plain("n_lang") & F.col("lang_asked"), F.col("whole")), F.when(plain("n_all") & F.col("all_asked"), every)), lambda k: k.isNotNull())
+    plan = checkpointed(sizes.join(of_lang, "whole").crossJoin(F.broadcast(of_all)).select("own", by.alias("key"), adds.alias("adds")))
+    judged = _beside(counted.withColumn("own", group("lang", "source")), plan, "own", "left").select("id", *COUNTS, failed.alias("base_failed"), "key", "adds", vector.alias("v"))
+    vectors = checkpointed(judged.where("not base_failed").select(F.explode("adds").alias("key"), F.xxhash64("id", "v").alias("h"), "v"))
+    found = estimate(vectors, support).select("key", "centre", "inverse")
+    out = _beside(judged.drop("adds"), found, "key", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("centre").isNotNull(), _distance()))
     return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 
 

@@ -237,6 +237,18 @@ def test_mix(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mix_of_any_ids(spark):
+    """Ids with quotes and backslashes, and rows without an id, which stand by their texts."""
+    docs = table(spark, DATA, "documents")
+    quoted = docs.withColumn("doc_id", F.concat(F.lit("o'br\\ien\"-"), F.col("doc_id").cast("string")))
+    rows = mixing.mix(quoted).collect()
+    assert len(rows) == docs.count() and sum(r["taken"] for r in rows) > 0
+    for kind in ("decimal(20,3)", "string", "int"):
+        assert mixing.mix(docs.withColumn("doc_id", F.col("doc_id").cast(kind))).agg(F.sum("taken")).first()[0] > 0
+    nameless = mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert 0 < nameless.where("taken > 0").count() <= docs.count() and nameless.select("finish").distinct().count() > 100
+
+
 # decontamination
 
 
