@@ -17,6 +17,9 @@ BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of a text that are hashed at once, and bytes of a word that are summed by place; longer words are hashed whole.
 SLICE, SHORT = 1 << 20, 64
 
+#: Bytes of a batch that goes to Python; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NEXT_BLANK = re.compile(b"[\x20\x09-\x0d]")
 
@@ -41,6 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python in bytes, if the session allows larger ones: texts are of any length, so a number of rows is no bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match("[0-9]+", spark.conf.get(name, str(64 << 20)))[0]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def row_key(*columns: str) -> F.Column:
     """A 64-bit key of a row's content: rows that are equal in these columns share it."""
     return F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in columns))

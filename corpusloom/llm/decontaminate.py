@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import checkpointed, row_key, table, windows, word_hashes
+from corpusloom.llm.common import checkpointed, row_key, small_batches, table, windows, word_hashes
 
 WINDOW, SHINGLE = 10, 3
 #: The windows go to every task if they take no more than this; else they are joined by their rarest shingle.
@@ -104,9 +104,10 @@ def _verdict(words: list[bytes], found: list[tuple[int, list[bytes], list[str]]]
     return spans, sorted(items)
 
 
-def _judged(batch: pa.RecordBatch, rows: list[tuple[int, list[dict], list[str]]]) -> pa.RecordBatch:
+def _judged(batch: pa.RecordBatch, rows: list[tuple[int, list[dict], list[str]]], keep_text: bool) -> pa.RecordBatch:
     made = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _SPANS), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays([batch.column("id"), *made], ["id", "n_words", "spans", "items"])
+    text = ["text"] if keep_text else []
+    return pa.RecordBatch.from_arrays([batch.column("id"), *made, *map(batch.column, text)], ["id", "n_words", "spans", "items", *text])
 
 
 def _counted(wanted: dict[int, Sought]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -126,7 +127,7 @@ def _counted(wanted: dict[int, Sought]) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _probed(prefix: dict[int, dict[int, list]], wanted: dict[int, Sought]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _probed(prefix: dict[int, dict[int, list]], wanted: dict[int, Sought], keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The verdicts of a part of the documents; prefix: by width and shingle, (offset, window's words, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def _probed(prefix: dict[int, dict[int, list]], wanted: dict[int, Sought]) -> Ca
                     for place, shingle in zip(places.tolist(), sought.known[at].tolist(), strict=True):
                         found += [(place - offset, window, items) for offset, window, items in prefix[width][shingle]]
                 rows.append((len(hashes), *_verdict(data.split() if found else [], found)))
-            yield _judged(batch, rows)
+            yield _judged(batch, rows, keep_text)
 
     return run
 
@@ -186,17 +187,17 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "hash"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, found in zip(batch.column("text"), batch.column("found").to_pylist(), strict=True):
             words = words_of(text.as_py())
             rows.append((len(words), *_verdict(words, [(x["start"], x["window"].encode("utf-8", "surrogatepass").split(b" "), x["items"]) for x in found or ()])))
-        yield _judged(batch, rows)
+        yield _judged(batch, rows, keep_text)
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id_col, n_words, spans array<struct<start, end>>, items array<string>) of every row of docs.
+def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES, keep_text: bool = False) -> DataFrame:
+    """(id_col, n_words, spans array<struct<start, end>>, items array<string>) of every row of docs; with keep_text also `text`, as a string.
 
     spans are the hit words, merged, as places of words; items the sorted ids whose windows occur.
     A null text has no words and no item's window; an item of fewer than `size` words is one window,
@@ -210,10 +211,12 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
     window's rarest one, and the hash of the window around it fits, the place goes back to the
     document, where words are compared: a document gathers as many places as it has hits.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sought = windows_of(bench, item_col, item_text_col, size, shingle)
     span = T.StructType().add("start", "long").add("end", "long")
     out = T.StructType().add("id", rows.schema["id"].dataType).add("n_words", "long").add("spans", T.ArrayType(span)).add("items", T.ArrayType(T.StringType()))
+    out = out.add("text", "string") if keep_text else out
     weight = sought.agg(F.sum(F.octet_length("window") + 16 * F.size("shingles") + F.octet_length(F.array_join("items", ",")))).first()[0] or 0
     width = lambda n: min(shingle, n)
     if weight <= broadcast_bytes:
@@ -228,7 +231,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
             offset = _rarest(w["shingles"], counts)
             prefix[width(w["n"])][w["shingles"][offset]].append((offset, w["window"].encode("utf-8", "surrogatepass").split(b" "), w["items"]))
         plain = {k: dict(v) for k, v in prefix.items()}
-        found = rows.mapInArrow(_probed(plain, {k: Sought(v) for k, v in plain.items()}), out)
+        found = rows.mapInArrow(_probed(plain, {k: Sought(v) for k, v in plain.items()}, keep_text), out)
     else:
         by_width = defaultdict(list)
         for n in sorted(r["n"] for r in sought.select("n").distinct().collect()):  # size of them at most
@@ -250,7 +253,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         hits = near.join(hashed, ["shingle", "n", "part"]).where(F.get("around", "offset") == F.col("hash")).select("key", start.alias("start"), "window").distinct()
         named = hits.join(sought.select("window", "items"), "window").select("key", F.struct("start", "window", "items").alias("c"))
         gathered = named.groupBy("key").agg(F.collect_list("c").alias("found"))
-        found = keyed.join(gathered, "key", "left").select("id", "text", "found").mapInArrow(_compared, out)
+        found = keyed.join(gathered, "key", "left").select("id", "text", "found").mapInArrow(lambda batches: _compared(batches, keep_text), out)
     return found.withColumnRenamed("id", id_col)
 
 

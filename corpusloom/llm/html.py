@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table
 
 #: Elements by what they do.
 BLOCKS = frozenset(
@@ -317,6 +317,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     empty page, or one without an article, has empty text. Broken and unclosed markup is read as
     far as it goes. Null ids, repeated rows and other columns don't matter.
     """
+    small_batches(pages.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     rows = pages.select(F.col(html_col).cast("string").alias("page"), F.col(id_col).alias("id"), F.col(url_col).alias("link"))
     out = rows.mapInArrow(_extracted, f"id {fields[id_col]}, link {fields[url_col]}, text string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, mixed, table, windows, word_hashes
+from corpusloom.llm.common import checkpointed, mixed, small_batches, table, windows, word_hashes
 from corpusloom.llm.graph import components
 
 SHINGLE = 5
@@ -437,6 +437,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of heavy sets are compared in blocks, and only pairs that aren't connected yet and that may be
     linked by sizes and sketches leave a task.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = checkpointed(rows.mapInArrow(_profiled, "id bigint, n bigint, a bigint, sketch binary"))
     known = rows.where("id is not null")

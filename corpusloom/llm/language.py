@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table
 
 #: The bound on what is learnt from: languages, those with most rows; rows of each; and bytes of its dictionary.
 MOST_LANGUAGES = 1_000
@@ -124,6 +124,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     with score 0 and rejected; so is every other text, but not rejected, if the model knows no language. Only the text is looked at; null ids, repeated rows
     and other columns pass through (columns of docs by these three names are replaced).
     """
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_rejected")]
     at = [f.name for f in keep].index(text_col)
 

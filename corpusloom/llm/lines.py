@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusloom.llm.common import row_key, table
+from corpusloom.llm.common import row_key, small_batches, table
 
 LINES = 3
 
@@ -45,6 +45,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only hashes (128 bits) and places are shuffled by window, with sums before the shuffle;
     texts are joined by document, and only those that lose lines go through Python.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     text = F.col(f"`{text_col}`")

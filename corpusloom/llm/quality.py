@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import BLANK, checkpointed, table, windows, word_hashes
+from corpusloom.llm.common import BLANK, checkpointed, small_batches, table, windows, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -184,6 +184,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     are kept. kept is false if base_failed, else distance (squared) <= limit. A null or empty text has
     no words. Repeated rows count as often as they stand; null ids stay; other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     counted = checkpointed(rows.mapInArrow(_counted, f"id {fields[id_col]}, lang string, source string, " + ", ".join(f"{c} bigint" for c in COUNTS)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table
 
 #: Kinds in report order: the first three are patterns, the others are confirmed by their structure.
 KINDS = ("assign", "access", "hex", "pem", "der", "jwt")
@@ -294,6 +294,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null or empty text has no spans; a null id stays; repeated rows give repeated rows;
     other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _scanned, f"id {id_type}, spans array<struct<kind string, start bigint, end bigint>>"
