@@ -36,9 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row")
-    return found.where(F.size("spans") == 0).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), "text")
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row", keep_text=True)
+    return found.where(F.size("spans") == 0).select("row.*", "text").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
