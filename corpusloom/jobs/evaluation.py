@@ -128,7 +128,7 @@ def golden_sample(spark: SparkSession, sf_dir: str, pool: int = 100, count: int
 
 
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = company_code(F.left("raw_chunk", F.lit(40)))
+    code = company_code(F.col("raw_chunk"))
     return chunks(spark, sf_dir).select("doc_id", F.format_string("%s_%03d", code, "doc_id").alias("case_id"), F.format_string("GOLD_%03d_%s", "doc_id", F.left(code, F.lit(3))).alias("golden_id"))
 
 
@@ -169,7 +169,7 @@ _SUMMARY = (
     + ", ".join(f"round({f}({c}) filter (status = 'success'), 6) as {n}_{c}" for c in ("overall_score", "execution_time", "agent_confidence") for n, f in (("avg", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")))
     + ", round(avg(groundedness) filter (status = 'success'), 6) as avg_groundedness, round(min(groundedness) filter (status = 'success'), 6) as min_groundedness, round(avg(relevancy) filter (status = 'success'), 6) as avg_relevancy, round(avg(retrieval_recall) filter (status = 'success'), 6) as avg_retrieval_recall"
 )
-_CODE = "coalesce(nullif(left(upper(replace(regexp_replace(left(raw_chunk, 40), '[^\\p{L}\\p{N}]', '', 'g'), 'ß', 'SS')), 10), ''), 'UNKNOWN')"
+_CODE = "coalesce(nullif(left(upper(replace(regexp_replace(raw_chunk, '[^\\p{L}\\p{N}]', '', 'g'), 'ß', 'SS')), 10), ''), 'UNKNOWN')"
 _TOP = retrieval.ORACLE_SQL["hybrid_topk"]
 
 QUERIES = {

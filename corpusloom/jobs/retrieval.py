@@ -11,8 +11,8 @@ from corpusloom.jobs import sql
 from corpusloom.operators import bm25, retrieval
 from corpusloom.sources.tables import chunks, search_queries, vectors
 
-#: The fixed sources of the fan-out.
-SOURCES = ["src0", "src1", "src2"]
+#: Chunks of each query that the lists of plain lexical and vector scores hold.
+LISTED = 100
 
 
 def _r(*columns: str) -> list[F.Column]:
@@ -21,8 +21,8 @@ def _r(*columns: str) -> list[F.Column]:
 
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bm25.build(chunks(spark, sf_dir))
-    terms = index.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("raw_idf"), 6).alias("mean_idf"), F.count_if(F.col("raw_idf") < 0).alias("n_negative"))
-    return index.stats.crossJoin(F.broadcast(terms)).select("n_docs", "n_tokens", F.round("avgdl", 6).alias("avgdl"), "n_terms", "mean_idf", "n_negative")
+    figures = [F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("raw_idf"), 6).alias("mean_idf"), F.count_if(F.col("raw_idf") < 0).alias("n_negative")]
+    return index.terms.agg(*figures).select(F.lit(index.n_docs).alias("n_docs"), F.lit(index.n_tokens).alias("n_tokens"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_terms", "mean_idf", "n_negative")
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,38 +36,43 @@ def metric_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.scores(bm25.build(chunks(spark, sf_dir)), search_queries(spark, sf_dir)).select("query_id", "doc_id", F.round("bm25", 5).alias("bm25"))
+    """The best chunks of each query by words alone; chunks without a word of it don't count."""
+    found = retrieval.search(chunks(spark, sf_dir), None, search_queries(spark, sf_dir), k=LISTED, by="bm25")
+    return found.where("bm25 <> 0").select("query_id", "doc_id", F.round("bm25", 5).alias("bm25"))
 
 
 def bm25_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, queries = bm25.build(chunks(spark, sf_dir)), search_queries(spark, sf_dir)
-    return bm25.bounds(index, bm25.scores(index, queries), queries).select("query_id", *_r("least", "most"))
+    return retrieval.keyword_bounds(chunks(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", *_r("least", "most"))
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = search_queries(spark, sf_dir).where("vector is not null").select("query_id", "vector")
-    return vectors(spark, sf_dir).withColumnRenamed("vector", "v").crossJoin(asked).select("query_id", "doc_id", F.round(S.cosine(F.col("vector"), F.col("v")), 6).alias("cosine"))
+    """The nearest vectors of each query's vector, whether they have a text or not."""
+    known = vectors(spark, sf_dir)
+    bare = known.select("doc_id", F.lit("").alias("raw_chunk"), F.lit(None).cast("string").alias("data_source_type"), F.col("doc_id").alias("ordinal"))
+    found = retrieval.search(bare, known, search_queries(spark, sf_dir), k=LISTED, by="cosine")
+    return found.select("query_id", "doc_id", *_r("cosine"))
 
 
-def _scored(spark: SparkSession, sf_dir: str, sources: list[str] | None = None, each_source: bool = False) -> DataFrame:
-    return retrieval.scored(chunks(spark, sf_dir), vectors(spark, sf_dir), search_queries(spark, sf_dir), sources, each_source=each_source)
+def _search(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return retrieval.search(chunks(spark, sf_dir), vectors(spark, sf_dir), search_queries(spark, sf_dir), **how)
 
 
 def semantic_maxscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled vector scores of the chunks of one source."""
-    return _scored(spark, sf_dir, SOURCES[:1]).select("query_id", "doc_id", *_r("semantic"))
+    """The best chunks of each query by scaled vector scores alone."""
+    return _search(spark, sf_dir, by="semantic").select("query_id", "rank", "doc_id", *_r("semantic"))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir), ["query_id"]).select("query_id", "rank", "doc_id", *_r("semantic", "keyword", "final_score"))
+    return _search(spark, sf_dir).select("query_id", "rank", "doc_id", *_r("semantic", "keyword", "final_score"))
 
 
 def hybrid_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir, SOURCES[1:2]), ["query_id"]).select("query_id", "rank", "doc_id", "data_source_type", *_r("final_score"))
+    return _search(spark, sf_dir, sources=["src1"]).select("query_id", "rank", "doc_id", "data_source_type", *_r("final_score"))
 
 
 def _fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir, SOURCES, each_source=True), ["query_id", "data_source_type"])
+    """Every query in every source."""
+    return _search(spark, sf_dir, each_source=True)
 
 
 def fanout_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def pool_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir), ["query_id"]).withColumn("idx", F.col("rank") - 1)
+    return _search(spark, sf_dir).withColumn("idx", F.col("rank") - 1)
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +115,7 @@ def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(_scored(spark, sf_dir), ["query_id"]).join(chunks(spark, sf_dir).select("doc_id", "company_name", "raw_chunk"), "doc_id")
+    return _search(spark, sf_dir).join(chunks(spark, sf_dir).select("doc_id", "company_name", "raw_chunk"), "doc_id")
 
 
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +132,7 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_recall_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a query's own chunk, the one of its number, is found; null beyond the first 20."""
-    found = retrieval.top_k(_scored(spark, sf_dir), ["query_id"]).where("doc_id = query_id").select("query_id", F.col("rank").cast("long").alias("rank"))
+    found = _search(spark, sf_dir).where("doc_id = query_id").select("query_id", F.col("rank").cast("long").alias("rank"))
     return search_queries(spark, sf_dir).select("query_id").join(found, "query_id", "left").withColumn("hit", F.col("rank").isNotNull())
 
 
@@ -141,7 +146,7 @@ def chunk_spans(spark: SparkSession, sf_dir: str, size: int = 512, overlap: int
 
 _WITH = f"with {sql.BM25}"
 _ALL = f"{_WITH}, {sql.scored()}, {sql.TOP.format(by='query_id')}, top as (select * from ranked where rank <= 20)"
-_FAN = f"""{_WITH}, {sql.scored("c.data_source_type in ('src0', 'src1', 'src2')", True)}, {sql.TOP.format(by="query_id, data_source_type")},
+_FAN = f"""{_WITH}, {sql.scored(each_source=True)}, {sql.TOP.format(by="query_id, data_source_type")},
 fan as (select query_id, data_source_type, rank, doc_id, round(final_score, 6) as final_score from ranked where rank <= 20),
 deduped as (
   select * from (
@@ -187,10 +192,12 @@ ORACLE_SQL = {
     "corpus_stats": f"{_WITH} select n_docs, n_tokens, round(avgdl, 6) as avgdl, n_terms, mean_idf, n_negative from stats, (select count(*) as n_terms, round(avg(raw_idf), 6) as mean_idf, count(*) filter (raw_idf < 0) as n_negative from terms)",
     "token_counts": f"with {sql.CHUNKS} select doc_id, len({sql.words('raw_chunk')}) as n_tokens, len(list_distinct({sql.words('raw_chunk')})) as n_distinct from chunks",
     "metric_tokens": f"with {sql.CHUNKS} select doc_id, len({sql.metric_tokens('raw_chunk')}) as n_tokens, md5(coalesce(array_to_string(list_sort({sql.metric_tokens('raw_chunk')}), ' '), '')) as tokens_md5 from chunks",
-    "bm25_scores": f"{_WITH} select query_id, doc_id, round(bm25, 5) as bm25 from lexical",
+    "bm25_scores": f"{_WITH} select query_id, doc_id, round(bm25, 5) as bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from lexical where bm25 <> 0) where rank <= {LISTED}",
     "bm25_minmax": f"{_WITH} select query_id, round(least, 6) as least, round(most, 6) as most from bounds",
-    "cosine_scores": f"with {sql.QUERIES} select query_id, vec_id as doc_id, round(list_cosine_similarity(vector, cast(embedding as double[])), 6) as cosine from queries, embeddings where vector is not null",
-    "semantic_maxscale": f"""{_WITH}, {sql.scored("c.data_source_type = 'src0'")} select query_id, doc_id, round(semantic, 6) as semantic from scored""",
+    "cosine_scores": f"""with {sql.QUERIES}, pairs as (
+  select query_id, vec_id as doc_id, list_cosine_similarity(vector, cast(embedding as double[])) as cosine from queries, embeddings where vector is not null and embedding is not null
+) select query_id, doc_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by query_id order by round(cosine, 9) desc, doc_id) as rank from pairs) where rank <= {LISTED}""",
+    "semantic_maxscale": f"{_WITH}, {sql.scored()} select query_id, rank, doc_id, round(semantic, 6) as semantic from (select *, row_number() over (partition by query_id order by round(semantic, 9) desc, ordinal) as rank from scored) where rank <= 20",
     "hybrid_topk": f"{_ALL} select query_id, rank, doc_id, round(semantic, 6) as semantic, round(keyword, 6) as keyword, round(final_score, 6) as final_score from top",
     "hybrid_filtered": f"""{_WITH}, {sql.scored("c.data_source_type = 'src1'")}, {sql.TOP.format(by="query_id")} select query_id, rank, doc_id, data_source_type, round(final_score, 6) as final_score from ranked where rank <= 20""",
     "fanout_topk": f"{_FAN} select * from fan",

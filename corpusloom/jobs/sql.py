@@ -24,7 +24,7 @@ CHUNKS = """chunks as (
 )"""
 
 QUERIES = """queries as (
-  select item_id as query_id, left(coalesce(text, ''), 120) as query, cast(e.embedding as double[]) as vector
+  select item_id as query_id, coalesce(text, '') as query, cast(e.embedding as double[]) as vector
   from benchmark left join embeddings e on e.vec_id = item_id
 )"""
 
@@ -103,7 +103,7 @@ TELEMETRY = """parsed as (
 
 _SAFE = r"regexp_replace(coalesce(text, ''), '[\x00-\x1F\"\\]', ' ', 'g')"
 REPLIES = f"""replies as (
-  select item_id as reply_id, left(coalesce(text, ''), 120) as prompt, case item_id % 7
+  select item_id as reply_id, coalesce(text, '') as prompt, case item_id % 7
     when 0 then '```json' || chr(10) || '{{"sub_queries": ["' || {_SAFE} || '", "' || item_id || '"]}}' || chr(10) || '```'
     when 1 then 'Here they are: ["' || {_SAFE} || '"] and that is all'
     when 2 then 'There is nothing for ' || item_id

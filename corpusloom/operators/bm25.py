@@ -1,4 +1,4 @@
-"""Okapi BM25 over a corpus of chunks."""
+"""Okapi BM25 statistics of a corpus of chunks."""
 
 from __future__ import annotations
 
@@ -8,52 +8,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import words
+from corpusloom.sources.storage import checkpointed, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """tf: (doc_id, t, tf, dl); terms: (t, df, raw_idf, idf); stats: one row (n_docs, n_tokens, avgdl)."""
+    """terms: (t, df, raw_idf), a written table; and the corpus' figures. A negative idf becomes epsilon times the mean of all."""
 
-    tf: DataFrame
     terms: DataFrame
-    stats: DataFrame
+    n_docs: int
+    n_tokens: int
+    mean_idf: float
     k1: float = K1
     b: float = B
+    epsilon: float = EPSILON
 
+    @property
+    def avgdl(self) -> float:
+        return self.n_tokens / self.n_docs if self.n_docs else 0.0
 
-def build(chunks: DataFrame, id_col: str = "doc_id", text_col: str = "raw_chunk", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Bm25Index:
-    """Statistics of all chunks; null text is an empty chunk that counts. A negative idf becomes epsilon times the mean of all."""
-    tokens = chunks.select(F.col(id_col).alias("doc_id"), words(F.coalesce(text_col, F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")).withColumn("avgdl", F.try_divide(F.col("n_tokens"), F.col("n_docs")))
-    tf = tokens.select("doc_id", "dl", F.explode("tokens").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("t", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf"))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("t", "df", "raw_idf", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return Bm25Index(tf, terms, stats, k1, b)
+    def idf(self, asked: list[str]) -> dict[str, float]:
+        """Of the asked words that any chunk has."""
+        spark = self.terms.sparkSession
+        if not asked:
+            return {}
+        wanted = F.broadcast(spark.createDataFrame([(t,) for t in asked], "t string"))
+        found = self.terms.join(wanted, "t").select("t", "raw_idf").collect()
+        return {r["t"]: r["raw_idf"] if r["raw_idf"] >= 0 else self.epsilon * self.mean_idf for r in found}
 
 
-def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, bm25) of the chunks that hold a word of the query; a word counts as often as the query has it.
+def build(chunks: DataFrame, text_col: str = "raw_chunk", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Bm25Index:
+    """Statistics of all chunks; null text is an empty chunk that counts.
 
-    Rounded to 9 digits, so that the order of a sum doesn't decide between equal chunks.
-
-    Only postings of the queries' words are joined; the queries' side is left to the planner to
-    broadcast by its size.
+    A chunk is one row, so its words are counted there; the one shuffle is that of the words' chunk
+    counts, which are summed before it.
     """
-    asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("t")).groupBy("query_id", "t").agg(F.count(F.lit(1)).alias("times"))
-    known = asked.join(index.terms.select("t", "idf"), "t")
-    norm = F.col("tf") + index.k1 * (1 - index.b + index.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (index.k1 + 1) / norm
-    return index.tf.join(known, "t").crossJoin(F.broadcast(index.stats.select("avgdl"))).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("bm25"))
-
-
-def bounds(index: Bm25Index, scored: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, least, most) over all chunks: those without a word of the query score 0."""
-    seen = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("bm25").alias("lo"), F.max("bm25").alias("hi"))
-    all_of = queries.select("query_id").join(seen, "query_id", "left").crossJoin(F.broadcast(index.stats.select("n_docs")))
-    some = F.coalesce("n", F.lit(0)) < F.col("n_docs")
-    zero = F.lit(0.0)
-    return all_of.select("query_id", F.when(some, F.least(F.coalesce("lo", zero), zero)).otherwise(F.col("lo")).alias("least"), F.when(some, F.greatest(F.coalesce("hi", zero), zero)).otherwise(F.col("hi")).alias("most"))
+    tokens = spread(chunks.select(F.coalesce(text_col, F.lit("")).alias("text"))).select(words(F.col("text")).alias("tokens"))
+    sizes = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("total")).first()
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    n = F.lit(sizes["n"])
+    terms = checkpointed(df.select("t", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw_idf")))
+    mean = terms.agg(F.avg("raw_idf")).first()[0]
+    return Bm25Index(terms, sizes["n"], sizes["total"], mean or 0.0, k1, b, epsilon)

@@ -1,47 +1,311 @@
-"""Hybrid retrieval: lexical and vector scores fused, top-k by query and source, then a pool, a rerank and its sources."""
+"""Hybrid retrieval: lexical and vector scores fused, top-k by query and source, then a pool, a rerank and its sources.
+
+An exact search costs chunks times queries. Queries, the stated set, go to every task in blocks of
+bounded size; a chunk's words are reduced to counts of those that are asked before it is joined with
+its vector, so no text is shuffled; scores are matrix products of a batch of chunks and a block, and
+of them only extremes and the best of each task leave it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import scores as S
-from corpusloom.operators import bm25
+from corpusloom.operators.bm25 import Bm25Index, build
+from corpusloom.sources.storage import checkpointed, spread
 
 TOP_K, POOL, RERANKED = 20, 50, 20
+#: Queries of a block, numbers of a matrix of scores, and scores by query and source that go to every task.
+BLOCK, CELLS, BOUNDS = 256, 4_000_000, 1_000_000
+#: Candidates that a task holds before it drops all but the best.
+HELD = 200_000
+Batches = Iterator[pa.RecordBatch]
+
+
+@dataclass(frozen=True)
+class Block:
+    """Queries as tasks need them: unit vectors (zero if there is none), the number of each asked word, and its weight for each query."""
+
+    ids: list
+    vectors: np.ndarray
+    given: np.ndarray
+    terms: dict[str, int]
+    weights: np.ndarray
+    avgdl: float
+    k1: float
+    b: float
+
+
+def _unit(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of length one, which are given): null elements are 0, and so are those that a shorter vector lacks."""
+    out, given = np.zeros((len(vectors), size)), np.zeros(len(vectors), bool)
+    for i, v in enumerate(vectors):
+        if v is not None:
+            full = np.array([0.0 if x is None else x for x in v], float)
+            length = np.sqrt(full @ full)
+            given[i] = True
+            if length > 0:
+                out[i, : len(full)] = full[:size] / length
+    return out, given
+
+
+def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """_unit of a column, at once if all its vectors have the size and no null elements."""
+    given = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if flat.null_count or len(flat) != size * given.sum() or any(x != size for x in column.value_lengths().drop_null().unique().to_pylist()):
+        return _unit(column.to_pylist(), size)
+    out = np.zeros((len(column), size))
+    rows = flat.to_numpy().astype(float).reshape(int(given.sum()), size)
+    length = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+    out[given] = np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
+    return out, given
+
+
+def blocks_of(queries: DataFrame, index: Bm25Index | None, size: int = BLOCK) -> Iterator[Block]:
+    """The queries (query_id, query, vector) in blocks, in the order in which they come. A word counts as often as a query has it."""
+    rows: list = []
+
+    def made() -> Block:
+        asked: dict[str, dict[int, int]] = {}
+        for i, r in enumerate(rows):
+            for t in (r["query"] or "").lower().split():
+                times = asked.setdefault(t, {})
+                times[i] = times.get(i, 0) + 1
+        idf = index.idf(sorted(asked)) if index else {}
+        weights = np.zeros((len(idf), len(rows)))
+        for k, t in enumerate(idf):
+            for i, times in asked[t].items():
+                weights[k, i] = times * idf[t]
+        width = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
+        vectors, given = _unit([r["vector"] for r in rows], width)
+        return Block([r["query_id"] for r in rows], vectors, given, {t: k for k, t in enumerate(idf)}, weights, index.avgdl if index else 0.0, index.k1 if index else 0.0, index.b if index else 0.0)
+
+    for r in queries.select("query_id", "query", "vector").toLocalIterator(prefetchPartitions=True):
+        rows.append(r)
+        if len(rows) == size:
+            yield made()
+            rows = []
+    if rows:
+        yield made()
+
+
+def _counted(block: Block) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            terms, counts, lengths = [], [], []
+            for text in batch.column("raw_chunk"):
+                words = (text.as_py() or "").lower().split()
+                found: dict[int, int] = {}
+                for k in map(block.terms.get, words):
+                    if k is not None:
+                        found[k] = found.get(k, 0) + 1
+                terms.append(list(found))
+                counts.append(list(found.values()))
+                lengths.append(len(words))
+            made = [pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int32())]
+            names = ["doc_id", "data_source_type", "ordinal"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], [*names, "terms", "counts", "dl"])
+
+    return run
+
+
+def prepared(chunks: DataFrame, vectors: DataFrame | None, block: Block) -> DataFrame:
+    """(doc_id, data_source_type, ordinal, terms, counts, dl, vector) of every chunk, written: its asked words by number, and its vector if it has one."""
+    rows = spread(chunks.select("raw_chunk", "doc_id", "data_source_type", "ordinal"))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    counted = rows.mapInArrow(_counted(block), f"doc_id {kind['doc_id']}, data_source_type string, ordinal {kind['ordinal']}, terms array<int>, counts array<int>, dl int")
+    joined = counted.join(vectors.select("doc_id", "vector"), "doc_id", "left") if vectors is not None else counted.withColumn("vector", F.lit(None).cast("array<double>"))
+    return checkpointed(joined)
+
+
+def _parts(batch: pa.RecordBatch, block: Block) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, lexical scores, cosines, which rows have a vector) of parts of a batch, so small that no matrix is larger than CELLS."""
+    n = max(1, len(block.ids))
+    ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        most = max(1, CELLS // n)
+        end = min(batch.num_rows, start + most, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
+        rows = batch.slice(start, end - start)
+        start = end
+        terms = rows.column("terms")
+        held = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        of, tf = terms.flatten().to_numpy(), rows.column("counts").flatten().to_numpy().astype(float)
+        dl = np.repeat(rows.column("dl").to_numpy(), held)
+        lexical = np.zeros((len(held), len(block.ids)))
+        if len(of):
+            weight = tf * (block.k1 + 1) / (tf + block.k1 * (1 - block.b + block.b * dl / block.avgdl))
+            first = (np.cumsum(held) - held)[held > 0]
+            lexical[held > 0] = np.add.reduceat(block.weights[of] * weight[:, None], first, axis=0)
+        unit, given = _matrix(rows.column("vector"), block.vectors.shape[1])
+        yield rows, np.round(lexical, 9), unit @ block.vectors.T, given
+
+
+def _inside(rows: pa.RecordBatch, sources: list[str] | None) -> np.ndarray:
+    """Which rows are of the sources; no sources or empty ones are no filter."""
+    if not sources or not any(sources):
+        return np.ones(rows.num_rows, bool)
+    return np.array([x in sources for x in rows.column("data_source_type").to_pylist()])
+
+
+def _of_sources(rows: pa.RecordBatch, each_source: bool) -> list[tuple[str | None, np.ndarray]]:
+    """(source, places) of the rows; all in one if sources don't matter."""
+    if not each_source:
+        return [(None, np.arange(rows.num_rows))]
+    names = rows.column("data_source_type").to_pylist()
+    return [(name, np.array([i for i, x in enumerate(names) if x == name])) for name in set(names)]
+
+
+def _extremes(block: Block, sources: list[str] | None, each_source: bool) -> Callable[[Batches], Batches]:
+    """(q, source, least, most, top) of a part of the chunks: extremes of lexical scores over all, of cosines over those of the filter."""
+
+    def run(batches: Batches) -> Batches:
+        n = len(block.ids)
+        found: dict[str | None, np.ndarray] = {}
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        for batch in batches:
+            for rows, lexical, cosine, given in _parts(batch, block):
+                low, high = np.minimum(low, lexical.min(0)), np.maximum(high, lexical.max(0))
+                usable = given & _inside(rows, sources)
+                for source, places in _of_sources(rows, each_source):
+                    here = places[usable[places]]
+                    top = found.setdefault(source, np.full(n, -np.inf))
+                    if len(here):
+                        np.maximum(top, np.where(block.given, cosine[here].max(0), -np.inf), out=top)
+        for source, top in found.items():
+            columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array([source] * n, pa.string()), pa.array(low), pa.array(high), pa.array(top)]
+            yield pa.RecordBatch.from_arrays(columns, ["q", "source", "least", "most", "top"])
+
+    return run
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """By query: the least and most lexical score, and by source the largest cosine, 1 if there is none."""
+
+    least: np.ndarray
+    most: np.ndarray
+    top: dict[str | None, np.ndarray]
+
+
+def bounds_of(ready: DataFrame, block: Block, sources: list[str] | None = None, each_source: bool = False) -> Bounds | None:
+    """Extremes of each task are put together first; None if there are no chunks."""
+    found = ready.mapInArrow(_extremes(block, sources, each_source), "q int, source string, least double, most double, top double")
+    rows = found.groupBy("q", "source").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("top").alias("top")).collect()
+    if not rows:
+        return None
+    n = len(block.ids)
+    least, most, top = np.full(n, np.inf), np.full(n, -np.inf), {}
+    for r in rows:
+        least[r["q"]], most[r["q"]] = min(least[r["q"]], r["least"]), max(most[r["q"]], r["most"])
+        top.setdefault(r["source"], np.full(n, -np.inf))[r["q"]] = r["top"]
+    return Bounds(least, most, {source: np.where(np.isinf(x), 1.0, x) for source, x in top.items()})
+
+
+def _best(t: pa.Table, k: int, each_source: bool) -> pa.Table:
+    """The k best rows of each query, and source."""
+    score, ordinal, q = (t.column(c).to_numpy() for c in ("rank_score", "ordinal", "q"))
+    source = t.column("data_source_type").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() if each_source else np.zeros(len(q), np.int32)
+    order = np.lexsort((ordinal, -score, source, q))
+    new = np.flatnonzero(np.r_[True, (np.diff(q[order]) != 0) | (np.diff(source[order]) != 0)])
+    place = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
+    return t.take(pa.array(order[place < k]))
+
+
+_FIGURES = ("bm25", "cosine", "keyword", "semantic", "final_score")
+
+
+def _found(block: Block, bounds: Bounds, k: int, by: str, sources: list[str] | None, each_source: bool, alpha: float) -> Callable[[Batches], Batches]:
+    """The k best of a part of the chunks for each query, and source."""
+    spread_of = np.where(bounds.most == bounds.least, 1.0, bounds.most - bounds.least)
+
+    def scored(rows: pa.RecordBatch, lexical: np.ndarray, cosine: np.ndarray, given: np.ndarray, top: np.ndarray) -> dict[str, np.ndarray]:
+        known = given[:, None] & block.given
+        cosine = np.where(known, cosine, 0.0)
+        keyword = np.where(bounds.most == bounds.least, 0.5, (lexical - bounds.least) / spread_of)
+        semantic = np.where(top > 0, cosine / np.where(top > 0, top, 1.0), 0.0)
+        return {"bm25": lexical, "cosine": np.where(known, cosine, np.nan), "keyword": keyword, "semantic": semantic, "final_score": np.round(alpha * semantic + (1 - alpha) * keyword, 9)}
+
+    def run(batches: Batches) -> Batches:
+        parts: list[pa.Table] = []
+        held = 0
+        for batch in batches:
+            for rows, lexical, cosine, given in _parts(batch, block):
+                ordinal = rows.column("ordinal").to_numpy()
+                inside = _inside(rows, sources)
+                for source, places in _of_sources(rows, each_source):
+                    here = places[inside[places]]
+                    if not len(here):
+                        continue
+                    here = here[np.argsort(ordinal[here], kind="stable")]
+                    figures = scored(rows, lexical[here], cosine[here], given[here], bounds.top[source])
+                    rank = np.round(figures[by], 9)  # the order of a sum decides no tie
+                    chosen = np.argsort(-np.nan_to_num(rank, nan=-np.inf), axis=0, kind="stable")[:k]
+                    q = np.broadcast_to(np.arange(len(block.ids), dtype=np.int32), chosen.shape).ravel()
+                    at = chosen.ravel()
+                    some = ~np.isnan(rank[at, q])
+                    at, q = at[some], q[some]
+                    taken = pa.array(here[at])
+                    columns = [pa.array(q), *(rows.column(c).take(taken) for c in ("doc_id", "data_source_type", "ordinal")), *(pa.array(figures[c][at, q], from_pandas=True) for c in _FIGURES), pa.array(rank[at, q])]
+                    parts.append(pa.Table.from_arrays(columns, ["q", "doc_id", "data_source_type", "ordinal", *_FIGURES, "rank_score"]))
+                    held += len(at)
+                if held > HELD:
+                    parts = [_best(pa.concat_tables(parts), k, each_source)]
+                    held = -parts[0].num_rows  # what can't be dropped counts once
+        if parts:
+            for out in _best(pa.concat_tables(parts), k, each_source).drop_columns(["rank_score"]).combine_chunks().to_batches():
+                yield out
+
+    return run
 
 
-def scored(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, sources: list[str] | None = None, alpha: float = S.ALPHA, each_source: bool = False) -> DataFrame:
-    """(query_id, doc_id, data_source_type, ordinal, semantic, keyword, final_score) of every query and chunk.
+def search(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, k: int = TOP_K, by: str = "final_score", sources: list[str] | None = None, each_source: bool = False, alpha: float = S.ALPHA, index: Bm25Index | None = None) -> DataFrame:
+    """(query_id, doc_id, data_source_type, ordinal, bm25, cosine, keyword, semantic, final_score, rank): the k best chunks of each query by one of the scores, ties by ordinal.
 
     Lexical scores are normalised over the whole corpus, semantic ones over the chunks of the
-    filter: with sources, only those chunks are returned; with each_source the largest semantic
-    score is that of each source. Queries are the small side of the product of queries and
-    chunks, which is what an exact search costs; it isn't shuffled, as the lexical scores of a
-    chunk join it as one row before the product.
+    filter: with sources (None or empty ones are no filter), only those chunks are found; with
+    each_source there are k of each source, and the largest semantic score is the source's. A chunk
+    or query without a vector has no cosine and a semantic score of 0; by cosine it isn't found.
     """
-    index = bm25.build(chunks)
-    lexical = bm25.scores(index, queries)
-    limits = queries.select("query_id", "vector").join(bm25.bounds(index, lexical, queries), "query_id")
-    by_chunk = lexical.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("lexical"))
-    kept = chunks.select("doc_id", "data_source_type", "ordinal")
-    kept = kept.where(F.col("data_source_type").isin(sources)) if sources else kept
-    base = kept.join(vectors.withColumnRenamed("vector", "chunk_vector"), "doc_id", "left").join(by_chunk, "doc_id", "left")
-    pairs = base.crossJoin(limits).select(
-        "query_id", "doc_id", "data_source_type", "ordinal", S.cosine(F.col("vector"), F.col("chunk_vector")).alias("cosine"), S.min_max(F.coalesce(F.try_element_at("lexical", "query_id"), F.lit(0.0)), F.col("least"), F.col("most")).alias("keyword")
-    )
+    index = index or build(chunks)
+    spark = chunks.sparkSession
+    kind = {f.name: f.dataType.simpleString() for f in [*chunks.schema.fields, *queries.schema.fields]}
+    out = f"q int, doc_id {kind['doc_id']}, data_source_type string, ordinal {kind['ordinal']}, " + ", ".join(f"{c} double" for c in _FIGURES)
     group = ["query_id", "data_source_type"] if each_source else ["query_id"]
-    most = pairs.groupBy(*group).agg(F.coalesce(F.max("cosine"), F.lit(1.0)).alias("top"))
-    semantic = S.max_scale(F.col("cosine"), F.col("top"))
-    joined = pairs.join(most, group).withColumn("semantic", semantic)
-    return joined.select("query_id", "doc_id", "data_source_type", "ordinal", "semantic", "keyword", F.round(S.fused(F.col("semantic"), F.col("keyword"), alpha), 9).alias("final_score"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round(by, 9)), "ordinal"))
+    size = max(1, min(BLOCK, BOUNDS // max(1, chunks.select("data_source_type").distinct().count()))) if each_source else BLOCK
+    names = ["query_id", "doc_id", "data_source_type", "ordinal", *_FIGURES]
+    whole = None
+    for block in blocks_of(queries, index, size):
+        ready = prepared(chunks, vectors, block)
+        bounds = bounds_of(ready, block, sources, each_source)
+        if bounds:
+            ids = spark.createDataFrame(list(enumerate(block.ids)), f"q int, query_id {kind['query_id']}")
+            found = ready.mapInArrow(_found(block, bounds, k, by, sources, each_source, alpha), out).join(F.broadcast(ids), "q").select(*names)
+            whole = found if whole is None else whole.union(found)
+    if whole is None:
+        whole = spark.createDataFrame([], f"query_id {kind['query_id']}, {out.removeprefix('q int, ')}")
+    return whole.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k(found: DataFrame, by: list[str], k: int = TOP_K, score: str = "final_score") -> DataFrame:
-    """The k best of each group with their rank; ties by ordinal."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), "ordinal")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def keyword_bounds(chunks: DataFrame, queries: DataFrame, index: Bm25Index | None = None) -> DataFrame:
+    """(query_id, least, most) of the lexical scores of all chunks: those without a word of the query score 0."""
+    index = index or build(chunks)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = []
+    for block in blocks_of(queries, index):
+        bounds = bounds_of(prepared(chunks, None, block), block)
+        rows += [(q, float(a), float(b)) for q, a, b in zip(block.ids, bounds.least, bounds.most, strict=True)] if bounds else []
+    return chunks.sparkSession.createDataFrame(rows, f"query_id {kind}, least double, most double")
 
 
 def dedup_best(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

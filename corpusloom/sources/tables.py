@@ -30,8 +30,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as queries; a query's vector is that of its number, null if there is none."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left(F.coalesce("text", F.lit("")), F.lit(120)).alias("query"))
+    """Benchmark items, whole, as queries; a query's vector is that of its number, null if there is none."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
     return items.join(vectors(spark, sf_dir).withColumnRenamed("doc_id", "query_id"), "query_id", "left")
 
 
@@ -93,4 +93,4 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     reply = forms[-1]
     for i, form in enumerate(forms[:-1]):
         reply = F.when(F.col("item_id") % 7 == i, form).otherwise(reply)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), F.left(F.coalesce("text", F.lit("")), F.lit(120)).alias("prompt"), reply.alias("reply"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), F.coalesce("text", F.lit("")).alias("prompt"), reply.alias("reply"))

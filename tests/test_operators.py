@@ -29,15 +29,15 @@ DOCS = ["the red fox", "the blue fox fox", "", "the green dog", "the dog the end
 
 
 def test_bm25(spark):
-    chunks = spark.createDataFrame([(i, d or None) for i, d in enumerate(DOCS)], "doc_id long, raw_chunk string")
-    queries = spark.createDataFrame([(0, "the fox fox"), (1, "unknown"), (2, "")], "query_id long, query string")
-    index = bm25.build(chunks)
-    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in bm25.scores(index, queries).collect()}
+    chunks = spark.createDataFrame([(i, d or None, "s", i) for i, d in enumerate(DOCS)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
+    queries = spark.createDataFrame([(0, "the fox fox", None), (1, "unknown", None), (2, "", None), (3, None, None)], "query_id long, query string, vector array<double>")
+    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in retrieval.search(chunks, None, queries, by="bm25").collect()}
     want = okapi(DOCS, "the fox fox")
-    assert {k: pytest.approx(v, abs=1e-8) for (q, k), v in got.items() if q == 0} == {i: w for i, w in enumerate(want) if DOCS[i]}
-    assert not [k for k in got if k[0] > 0]
-    bounds = {r["query_id"]: (r["least"], r["most"]) for r in bm25.bounds(index, bm25.scores(index, queries), queries).collect()}
-    assert bounds[0] == (pytest.approx(min(want), abs=1e-8), pytest.approx(max(want), abs=1e-8)) and bounds[1] == (0.0, 0.0)
+    assert {k: pytest.approx(v, abs=1e-8) for (q, k), v in got.items() if q == 0} == dict(enumerate(want))
+    assert len(got) == 20 and not any(v for (q, _), v in got.items() if q > 0)
+    bounds = {r["query_id"]: (r["least"], r["most"]) for r in retrieval.keyword_bounds(chunks, queries).collect()}
+    assert bounds[0] == (pytest.approx(min(want), abs=1e-8), pytest.approx(max(want), abs=1e-8)) and bounds[1] == bounds[3] == (0.0, 0.0)
+    assert retrieval.keyword_bounds(chunks.limit(0), queries).count() == 0
 
 
 def corpus(spark):
@@ -48,21 +48,65 @@ def corpus(spark):
 
 
 def test_hybrid_scores(spark):
-    rows = {r["doc_id"]: r for r in retrieval.scored(*corpus(spark)).collect()}
+    rows = {r["doc_id"]: r for r in retrieval.search(*corpus(spark)).collect()}
     assert len(rows) == 5 and rows[0]["semantic"] == 1.0 and rows[1]["semantic"] == -1.0 and rows[2]["semantic"] == 0.0
     assert rows[1]["keyword"] == 1.0 and rows[0]["final_score"] == pytest.approx(0.7 + 0.3 * rows[0]["keyword"], abs=1e-8)
 
 
+@pytest.mark.parametrize("each_source", [False, True])
+def test_search_against_brute_force(spark, monkeypatch, each_source):
+    """Many chunks and queries in small blocks and parts of batches, vectors that are null, short, zero or hold nulls."""
+    import random
+
+    import numpy as np
+
+    for name, value in (("BLOCK", 3), ("CELLS", 40), ("HELD", 20)):
+        monkeypatch.setattr(retrieval, name, value)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(r.choices(words, k=r.randint(0, 12))), r.choice(["a", "b", None]), i) for i in range(60)]
+    kinds = (None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0])
+    vec = {i: kinds[i % 7] if i % 7 < 4 else [r.uniform(-1, 1) for _ in range(3)] for i in range(50)}
+    asked = [(q, " ".join(r.choices(words, k=4)), None if q == 2 else [r.uniform(-1, 1) for _ in range(3)]) for q in range(7)]
+    found = retrieval.search(
+        spark.createDataFrame(docs, "doc_id long, raw_chunk string, data_source_type string, ordinal long").repartition(4),
+        spark.createDataFrame(list(vec.items()), "doc_id long, vector array<double>"),
+        spark.createDataFrame(asked, "query_id long, query string, vector array<double>"),
+        k=5,
+        each_source=each_source,
+    )
+    got = {}
+    for x in found.orderBy("rank").collect():
+        got.setdefault((x["query_id"], x["data_source_type"] if each_source else 0), []).append((x["doc_id"], round(x["final_score"], 6)))
+    full = lambda v: np.array([x or 0.0 for x in v] + [0.0] * (3 - len(v)))
+    want = {}
+    for q, text, v in asked:
+        lexical = okapi([d[1] for d in docs], text)
+        keyword = [(x - min(lexical)) / (max(lexical) - min(lexical)) for x in lexical]
+        cosine = {}
+        for i, u in vec.items():
+            if u is not None and v is not None:
+                length = np.linalg.norm(full(u)) * np.linalg.norm(v)
+                cosine[i] = float(full(u) @ np.array(v) / length) if length else 0.0
+        for source in ("a", "b", None) if each_source else (0,):
+            inside = [d[0] for d in docs if not each_source or d[2] == source]
+            top = max([cosine[i] for i in inside if i in cosine], default=1.0)
+            score = {i: 0.7 * (cosine.get(i, 0.0) / top if top > 0 else 0.0) + 0.3 * keyword[i] for i in inside}
+            want[q, source] = [(i, pytest.approx(score[i], abs=1e-6)) for i in sorted(inside, key=lambda i: (-round(score[i], 9), i))[:5]]
+    assert got == want
+
+
 def test_filter_keeps_lexical_scale_but_not_the_vectors(spark):
-    rows = {r["doc_id"]: r for r in retrieval.scored(*corpus(spark), sources=["b"]).collect()}
+    rows = {r["doc_id"]: r for r in retrieval.search(*corpus(spark), sources=["b"]).collect()}
     assert set(rows) == {1, 3} and rows[1]["keyword"] == 1.0 and rows[1]["semantic"] == 0.0  # the largest cosine is 0 there
-    assert retrieval.scored(*corpus(spark), sources=["none"]).count() == 0
-    assert retrieval.scored(*corpus(spark), sources=[]).count() == 5
+    assert retrieval.search(*corpus(spark), sources=["none"]).count() == 0
+    assert retrieval.search(*corpus(spark), sources=[]).count() == 5
 
 
 def test_ties_by_ordinal_and_dedup(spark):
-    found = spark.createDataFrame([(1, 5, 0.5, 5), (1, 4, 0.5, 4), (1, 6, 0.1, 6)], "query_id long, doc_id long, final_score double, ordinal long")
-    assert [r["doc_id"] for r in retrieval.top_k(found, ["query_id"], 2).orderBy("rank").collect()] == [4, 5]
+    chunks = spark.createDataFrame([(i, "same words", "s", i) for i in (6, 5, 4)], "doc_id long, raw_chunk string, data_source_type string, ordinal long").repartition(3)
+    query = spark.createDataFrame([(1, "words", None)], "query_id long, query string, vector array<double>")
+    assert [r["doc_id"] for r in retrieval.search(chunks, None, query, 2).orderBy("rank").collect()] == [4, 5]
     seen = spark.createDataFrame([(1, 0.2, 1), (1, 0.9, 4), (2, 0.5, 2), (None, 0.1, 0), (None, 0.1, 3)], "doc_id long, final_score double, arrival int")
     assert {(r["doc_id"], r["final_score"], r["first_arrival"]) for r in retrieval.dedup_best(seen).collect()} == {(1, 0.9, 1), (2, 0.5, 2), (None, 0.1, 0)}
 
