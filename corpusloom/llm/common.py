@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ SLICE, SHORT = 1 << 20, 64
 
 #: Bytes of a batch that goes to Python; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Rows of a part of a small table.
+PART_ROWS = 100_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _NEXT_BLANK = re.compile(b"[\x20\x09-\x0d]")
@@ -28,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
     """df, written to the shared checkpoint folder; a lost executor loses none of it.
 
+    small: df has a few columns of few bytes, and many parts for its rows. It is counted first, held
+    on Spark's own disks, and written in parts of PART_ROWS rows, as each part is a file.
+
     The folder is the session's spark.checkpoint.dir. A session that names none gets a temporary
     one if it runs on this machine alone, as in tests; on a cluster that is an error.
     """
@@ -41,7 +47,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    if not small:
+        return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.DISK_ONLY)
+    out = held.coalesce(held.count() // PART_ROWS + 1).checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:

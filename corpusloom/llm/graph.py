@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     stay rows of a join, so no neighbourhood is ever in one place. Edges with a null end and loops
     count for nothing; repeated edges count once; no edges give no rows.
     """
-    now = checkpointed(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x is not null and y is not null and x != y").distinct())
+    now = checkpointed(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x is not null and y is not null and x != y").distinct(), small=True)
     before = None
     while True:
         both = now.union(now.select("y", "x"))
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         wide = wide.where("x > y").distinct()
         below = wide.groupBy("x").agg(F.min("y").alias("m"))
         narrow = wide.join(below, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y"))
-        now = checkpointed(narrow.where("x > y").distinct())
+        now = checkpointed(narrow.where("x > y").distinct(), small=True)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if state == before:
             break

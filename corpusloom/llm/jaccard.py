@@ -287,15 +287,18 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The linked ones of pairs (x, y) of sets."""
     sides = [reps.select(F.col("a").alias(end), F.col("n").alias(n), F.col("sketch").alias(s)) for end, n, s in (("x", "n", "s"), ("y", "m", "t"))]
-    possible = checkpointed(pairs.distinct().join(sides[0], "x").join(sides[1], "y").select("x", "y", "n", "s", "m", "t").mapInArrow(_possible, "x bigint, y bigint"))
+    possible = checkpointed(pairs.distinct().join(sides[0], "x").join(sides[1], "y").select("x", "y", "n", "s", "m", "t").mapInArrow(_possible, "x bigint, y bigint"), small=True)
     wanted = possible.select(F.explode(F.array("x", "y")).alias("a")).distinct()
     sets = _texts(docs, reps, wanted).mapInArrow(_listed, "a bigint, tokens binary").dropDuplicates(["a"])
     first, second = (sets.select(F.col("a").alias(end), F.col("tokens").alias(s)) for end, s in (("x", "s"), ("y", "t")))
-    return checkpointed(possible.join(first, "x").join(second, "y").select("s", "t", "x", "y").mapInArrow(_linked, "x bigint, y bigint"))
+    return checkpointed(possible.join(first, "x").join(second, "y").select("s", "t", "x", "y").mapInArrow(_linked, "x bigint, y bigint"), small=True)
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, whole, a, root), by about FLUSH / 4 rows: segments and their one-deletion neighbourhoods of each set in its bands."""
+    """(key, whole, own, a, root), by about FLUSH / 4 rows: segments and their one-deletion neighbourhoods of each set in its bands.
+
+    A pair is found in the band of its smaller set, so one of two sets must be in its own band (own).
+    """
     rows: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
@@ -303,12 +306,13 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndar
             tokens = shingles_of(text.as_py())
             if not len(tokens) or _set_key(tokens) != a:
                 continue  # another text with the same id
+            own = int(np.searchsorted(BANDS, len(tokens)))
             for band in bands:
                 count = int(BANDS[band]) // 4 // 2 + 1
                 at, share, sums = _segments(tokens, band, count, 1)
                 key = np.r_[_keys(sums, np.arange(count), band, 1), _keys(sums[at] - share, at, band, 1)]
                 n = len(key)
-                rows.append((key, np.arange(n) < count, np.full(n, a), np.full(n, root)))
+                rows.append((key, np.arange(n) < count, np.full(n, band == own), np.full(n, a), np.full(n, root)))
                 size += n
             if size >= FLUSH // 4:
                 yield tuple(np.concatenate(x) for x in zip(*rows, strict=True))
@@ -323,31 +327,33 @@ def _rows(columns: tuple[np.ndarray, ...], names: list[str]) -> pa.RecordBatch:
 
 def _listed_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _neighbourhoods(batches):
-        yield _rows(part, ["key", "whole", "a", "root"])
+        yield _rows(part, ["key", "whole", "own", "a", "root"])
 
 
 def _counted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, root, n, any): the rows of a key and component in a part of the input, and whether one is a whole segment."""
-    for key, whole, _, root in _neighbourhoods(batches):
-        order = np.lexsort((root, key))
-        key, whole, root = key[order], whole[order], root[order]
+    """(key, root, n, any, own, h, pick): the rows of a key and component in a part of the input, whether one is a whole segment and one in its own band, and the set that comes first in an order of the key's own, told by h."""
+    for key, whole, own, a, root in _neighbourhoods(batches):
+        h = mixed(key.view(np.uint64) ^ mixed(a.view(np.uint64) + _ODD)).view(np.int64)
+        order = np.lexsort((h, root, key))
+        key, whole, own, a, root, h = (x[order] for x in (key, whole, own, a, root, h))
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
         n = np.diff(np.r_[first, len(key)])
-        yield _rows((key[first], root[first], n, np.logical_or.reduceat(whole, first)), ["key", "root", "n", "any"])
+        some = lambda x: np.logical_or.reduceat(x, first)  # noqa: B023, E731
+        yield _rows((key[first], root[first], n, some(whole), some(own), h[first], a[first]), ["key", "root", "n", "any", "own", "h", "pick"])
 
 
 def _apart(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a set on the minor side and another of whole groups of (key, i, j), if they aren't connected yet and sizes and sketches allow them."""
     t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("j", "i", "key")])))
     key, i, j, a, root, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "a", "root", "n"))
-    whole, minor = (t.column(c).to_numpy(zero_copy_only=False) for c in ("whole", "minor"))
+    whole, minor, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("whole", "minor", "own"))
     bits = np.frombuffer(b"".join(s.as_py() for s in t.column("sketch")), np.uint64).reshape(len(key), -1)
     starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
     for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
         side = minor[start:end]
         every = start + np.flatnonzero(~side)
         for at in (start + np.flatnonzero(side)).tolist():
-            others = every[(root[every] != root[at]) & (whole[every] | whole[at])]
+            others = every[(root[every] != root[at]) & (whole[every] | whole[at]) & (own[every] | own[at])]
             others = others[5 * np.minimum(n[others], n[at]) >= 4 * np.maximum(n[others], n[at])]
             apart = np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1, dtype=np.int64)
             found = np.unique(a[others[9 * apart <= n[others] + n[at]]])
@@ -388,40 +394,70 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], short], batch.schema.names)
 
 
+def _texts_of(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """((text, a, root, bands) of a document of each heavy set, (a), are there few sets)."""
+    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").groupBy("a").agg(F.first(F.coalesce("root", "a")).alias("root"), F.collect_set("band").alias("bands"))
+    named = checkpointed(reps.join(named, "a").select(F.col("rep").alias("id"), "a", "root", "bands"), small=True)
+    few = named.count() <= BROADCAST_SKETCHES
+    return docs.join(F.broadcast(named) if few else named, "id").select("text", "a", "root", "bands"), named.select("a"), few
+
+
+def _shared_keys(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, root, n, any, own, pick), (key, most, most_pick, blocks, minor_blocks) of keys of several components), counted with sums before the shuffle."""
+    counted = texts.mapInArrow(_counted_keys, "key bigint, root bigint, n bigint, any boolean, own boolean, h bigint, pick bigint")
+    by_root = counted.groupBy("key", "root").agg(F.sum("n").alias("n"), F.max("any").alias("any"), F.max("own").alias("own"), F.min_by("pick", "h").alias("pick"))
+    of_key = by_root.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root", "pick")).alias("most"), F.max("any").alias("any"), F.max("own").alias("own")).where("any and own and most.n < size")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    columns = (F.col("most.root").alias("most"), F.col("most.pick").alias("most_pick"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("most.n")).alias("minor_blocks"))
+    return by_root, checkpointed(of_key.select("key", *columns), small=True)
+
+
+def _at_keys(rows: DataFrame, keys: DataFrame, part: str) -> DataFrame:
+    """rows joined with their keys: few keys go to every task, more are joined by parts of a key."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), "key")
+    each = keys.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(part), F.lit(PARTS)).cast("int")).join(each, ["key", "part"]).drop("part")
+
+
+def _star_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidate pairs (x, y) that may connect components cheaply: at each key that several share, a set of each with one of the largest."""
+    texts, _, _ = _texts_of(heavy, docs, reps, roots)
+    by_root, keys = _shared_keys(texts)
+    return _at_keys(by_root, keys, "root").where("root != most").select(F.least("pick", "most_pick").alias("x"), F.greatest("pick", "most_pick").alias("y"))
+
+
 def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
     """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods.
 
-    Keys are counted first, by component and with sums before the shuffle; only those of several
-    components are then listed by set. What isn't of a key's largest component (the minor side) is
-    compared with all. A key of many sets is dealt out by blocks of both sides, so no task gets more
-    than a block of each, and where few are on the minor side rows grow with the sets, not their square.
+    Only keys of several components are listed by set. What isn't of a key's largest component (the
+    minor side) is compared with all. A key of many sets is dealt out by blocks of both sides, so no
+    task gets more than a block of each, and where few are on the minor side rows grow with the
+    sets, not their square.
     """
-    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").groupBy("a").agg(F.first(F.coalesce("root", "a")).alias("root"), F.collect_set("band").alias("bands"))
-    named = checkpointed(reps.join(named, "a").select(F.col("rep").alias("id"), "a", "root", "bands"))
-    few = named.count()
-    texts = docs.join(F.broadcast(named) if few <= BROADCAST_SKETCHES else named, "id").select("text", "a", "root", "bands")
-    by_root = texts.mapInArrow(_counted_keys, "key bigint, root bigint, n bigint, any boolean").groupBy("key", "root").agg(F.sum("n").alias("n"), F.max("any").alias("any"))
-    sizes = by_root.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("most"), F.max("any").alias("any")).where("any and most.n < size")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = checkpointed(sizes.select("key", F.col("most.root").alias("most"), blocks(F.col("size")).alias("blocks"), blocks(F.col("size") - F.col("most.n")).alias("minor_blocks")))
-    keys = texts.mapInArrow(_listed_keys, "key bigint, whole boolean, a bigint, root bigint")
-    if sizes.count() <= BROADCAST_KEYS:
-        shared = keys.join(F.broadcast(sizes), "key")
-    else:
-        part = F.pmod(F.xxhash64("a", "whole"), F.lit(PARTS)).cast("int")
-        each = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        shared = keys.withColumn("part", part).join(each, ["key", "part"]).drop("part")
-    short = reps.join(named.select("a"), "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    known = shared.join(F.broadcast(short) if few <= BROADCAST_SKETCHES else short, "a")
+    texts, sets, few = _texts_of(heavy, docs, reps, roots)
+    _, keys = _shared_keys(texts)
+    shared = _at_keys(texts.mapInArrow(_listed_keys, "key bigint, whole boolean, own boolean, a bigint, root bigint"), keys, "a")
+    short = reps.join(sets, "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
+    known = shared.join(F.broadcast(short) if few else short, "a")
     i, j = (F.pmod(F.xxhash64(F.lit(end), "a", "whole"), n).cast("int") for end, n in (("i", "minor_blocks"), ("j", "blocks")))
     place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("minor"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     there = F.transform(upto("minor_blocks"), lambda x: place(x, j, False))
     asking = F.when(F.col("root") != F.col("most"), F.transform(upto("blocks"), lambda x: place(i, x, True)))
-    dealt = known.select("key", "whole", "a", "root", "n", "sketch", F.explode(F.concat(there, F.coalesce(asking, F.array().cast("array<struct<i: int, j: int, minor: boolean>>")))).alias("p")).select("key", "p.*", "whole", "a", "root", "n", "sketch")
+    places = F.concat(there, F.coalesce(asking, F.array().cast("array<struct<i: int, j: int, minor: boolean>>")))
+    dealt = known.select("key", "whole", "own", "a", "root", "n", "sketch", F.explode(places).alias("p")).select("key", "p.*", "whole", "own", "a", "root", "n", "sketch")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared, "x bigint, y bigint")
 
 
+def _merged(links: DataFrame, more: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots with more links, given the roots without them: links between components, with a component's root for each end, are added, which makes components of components."""
+    of = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end))
+    ends = [roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("x", "y")]
+    between = more.join(ends[0], "x", "left").join(ends[1], "y", "left").select(of("x").alias("x"), of("y").alias("y"))
+    return checkpointed(components(links.union(more).union(between)), small=True)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row of docs; ids are integers.
 
@@ -441,20 +477,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = checkpointed(rows.mapInArrow(_profiled, "id bigint, n bigint, a bigint, sketch binary"))
     known = rows.where("id is not null")
-    reps = checkpointed(profile.where("id is not null and n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps = checkpointed(profile.where("id is not null and n > 0").groupBy("a").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), small=True)
     index = known.select("text").mapInArrow(_indexed, "key bigint, a bigint, code bigint")
     met = checkpointed(index.repartition("key").sortWithinPartitions("key").mapInArrow(_met, "x bigint, y bigint, code bigint"))
     links = _verified(met.where("code is null").select("x", "y"), known, reps)
-    roots = checkpointed(components(links))
-    heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / CODES)).select("a", (F.col("code") % CODES).alias("band")).distinct())
+    roots = checkpointed(components(links), small=True)
+    heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / CODES)).select("a", (F.col("code") % CODES).alias("band")).distinct(), small=True)
     if not heavy.isEmpty():
-        more = _verified(_heavy_pairs(heavy, known, reps, roots), known, reps)
-        if not more.isEmpty():
-            # Links between components, with a component's root for each end: components of components.
-            of = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end))
-            ends = [roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")) for end in ("x", "y")]
-            between = more.join(ends[0], "x", "left").join(ends[1], "y", "left").select(of("x").alias("x"), of("y").alias("y"))
-            roots = checkpointed(components(links.union(more).union(between)))
+        for candidates in (_star_pairs, _heavy_pairs):  # cheap ones first, as what is connected needs no comparing
+            more = _verified(candidates(heavy, known, reps, roots), known, reps)
+            if not more.isEmpty():
+                roots = _merged(links, more, roots)
+                links = checkpointed(links.union(more), small=True)
     class_of = reps.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "rep", F.coalesce("root", "a").alias("root"))
     smallest = class_of.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = class_of.join(smallest, "root").select("a", "component_id")

@@ -160,13 +160,13 @@ def estimate(vectors: DataFrame, support: float = SUPPORT, draws: int = DRAWS, m
     drawn = [F.pmod(F.xxhash64(F.lit(k), "h"), F.lit(1 << 40)) < F.lit(float(DRAWN << 40)) / F.col("rows") for k in range(1, draws + 1)]
     starts = F.filter(F.array(*(F.when(inside, F.lit(k)) for k, inside in enumerate((near, *drawn)))), lambda k: k.isNotNull())
     begun = _beside(vectors, middle, "key").select("key", "v", F.explode(starts).alias("start"))
-    now = checkpointed(_estimate(begun.groupBy("key", "start").agg(*_sums())))
+    now = checkpointed(_estimate(begun.groupBy("key", "start").agg(*_sums())), small=True)
     for _ in range(FIRST_STEPS):
-        now = checkpointed(_concentrated(vectors, now, support))
+        now = checkpointed(_concentrated(vectors, now, support), small=True)
     best = now.groupBy("key").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    now = checkpointed(now.join(best, ["key", "start"]))
+    now = checkpointed(now.join(best, ["key", "start"]), small=True)
     for _ in range(most_steps - FIRST_STEPS):
-        then, now = now, checkpointed(_concentrated(vectors, now, support))
+        then, now = now, checkpointed(_concentrated(vectors, now, support), small=True)
         both = then.select("key", F.col("logdet").alias("before"))
         fell = now.join(both, "key").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
         if fell is None or fell <= STILL:
@@ -200,7 +200,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     every = F.lit("all")
     by = F.when(plain("n"), F.col("own")).when(plain("n_lang"), F.col("whole")).when(plain("n_all"), every)
     adds = F.filter(F.array(F.when(plain("n"), F.col("own")), F.when(plain("n_lang") & F.col("lang_asked"), F.col("whole")), F.when(plain("n_all") & F.col("all_asked"), every)), lambda k: k.isNotNull())
-    plan = checkpointed(sizes.join(of_lang, "whole").crossJoin(F.broadcast(of_all)).select("own", by.alias("key"), adds.alias("adds")))
+    plan = checkpointed(sizes.join(of_lang, "whole").crossJoin(F.broadcast(of_all)).select("own", by.alias("key"), adds.alias("adds")), small=True)
     judged = _beside(counted.withColumn("own", group("lang", "source")), plan, "own", "left").select("id", *COUNTS, failed.alias("base_failed"), "key", "adds", vector.alias("v"))
     vectors = checkpointed(judged.where("not base_failed").select(F.explode("adds").alias("key"), F.xxhash64("id", "v").alias("h"), "v"))
     found = estimate(vectors, support).select("key", "centre", "inverse")

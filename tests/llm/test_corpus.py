@@ -144,8 +144,8 @@ def test_bands_and_counts_of_a_code_stay_apart():
 @pytest.mark.parametrize("limit", [8, 1000])
 def test_neighbourhoods_over_batches(limit):
     """Pairs of a neighbourhood don't depend on how its rows are dealt to batches; the minor side is compared with all of other components."""
-    rows = [(k, 0, 0, minor, True, 10 * k + j, 10 * k + j // 2, 20, b"\0" * 64) for k in range(5) for minor, many in ((False, range(6)), (True, range(2, 6))) for j in many]
-    names = ["key", "i", "j", "minor", "whole", "a", "root", "n", "sketch"]
+    rows = [(k, 0, 0, minor, True, True, 10 * k + j, 10 * k + j // 2, 20, b"\0" * 64) for k in range(5) for minor, many in ((False, range(6)), (True, range(2, 6))) for j in many]
+    names = ["key", "i", "j", "minor", "whole", "own", "a", "root", "n", "sketch"]
     batches = pa.Table.from_arrays([pa.array(x) for x in zip(*rows)], names).to_batches(max_chunksize=limit)
     found = pa.Table.from_batches(jaccard._compared(iter(batches))).to_pylist()
     assert {(r["x"], r["y"]) for r in found} == {(10 * k + i, 10 * k + j) for k in range(5) for i in range(6) for j in range(i + 1, 6) if i // 2 != j // 2}
