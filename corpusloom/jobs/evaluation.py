@@ -114,13 +114,6 @@ def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("reply_id", "json", "error")
 
 
-def planner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sub-queries of each reply, from an object or a list, else the prompt; valid if there are 1 to 10."""
-    listed = F.coalesce(F.from_json("json", "struct<sub_queries: array<string>>")["sub_queries"], F.when(F.col("json").startswith("["), F.from_json("json", "array<string>")))
-    subs = F.coalesce(listed, F.array("prompt"))
-    return _parsed(spark, sf_dir).select("reply_id", F.size(subs).cast("long").alias("n_sub_queries"), F.size(subs).between(1, 10).alias("valid"), listed.isNull().alias("fallback"))
-
-
 def golden_sample(spark: SparkSession, sf_dir: str, pool: int = 100, count: int = 20, seed: str = "golden") -> DataFrame:
     """A seeded sample of long chunks of the first hundred: the sample is the feature."""
     first = chunks(spark, sf_dir).orderBy("ordinal").limit(pool).where(F.length("raw_chunk") > 100)
@@ -190,7 +183,6 @@ QUERIES = {
     "acceptance": acceptance,
     "bias_report": bias_report,
     "extract_json": extracted_json,
-    "planner_check": planner_check,
     "golden_sample": golden_sample,
     "case_ids": case_ids,
     "session_title": session_title,
@@ -228,9 +220,6 @@ from results group by grouping sets ((sector), (market_cap), ())""",
 ) select replace(printf('# Validation report\\n\\n| Metric | Value |\\n| :--- | :--- |\\n| Overall score | %.2f%% |\\n| Success rate | %.1f%% |\\n| Largest gap | %.2f%% (limit 20%%) |\\n\\n| Group | Tests | Success rate | Overall | Groundedness | Relevancy | Recall |\\n| :--- | :---: | :---: | :---: | :---: | :---: | :---: |\\n',
   floor(global_avg_overall_score * 100 * 100 + 0.5) / 100, floor(global_success_rate * 100 * 10 + 0.5) / 10, floor(max_gap * 100 * 100 + 0.5) / 100), '\\n', chr(10)) || lines || case when passed then replace('\\n\\n## Passed\\n', '\\n', chr(10)) else replace('\\n\\n## Failed\\n\\n- groups below the minimum: ', '\\n', chr(10)) || below || case when disparity then chr(10) || '- the gap exceeds its limit' else '' end || chr(10) end as report from checked, lines""",
     "extract_json": f"with {sql.REPLIES} select reply_id, json, error from parsed",
-    "planner_check": f"""with {sql.REPLIES}, subs as (
-  select reply_id, case when starts_with(json, '{{') then cast(json_extract(json, '$.sub_queries') as varchar[]) when starts_with(json, '[') then cast(json as varchar[]) end as listed from (select reply_id, cast(json as json) as json0, json from parsed)
-) select reply_id, coalesce(len(listed), 1) as n_sub_queries, coalesce(len(listed), 1) between 1 and 10 as valid, listed is null as fallback from subs""",
     "golden_sample": f"with {sql.CHUNKS} select doc_id, replace(left(raw_chunk, 200), chr(10), ' ') as snippet from (select * from chunks order by ordinal limit 100) where length(raw_chunk) > 100 order by md5('golden' || doc_id), doc_id limit 20",
     "case_ids": f"with {sql.CHUNKS} select doc_id, printf('%s_%03d', {_CODE}, doc_id) as case_id, printf('GOLD_%03d_%s', doc_id, left({_CODE}, 3)) as golden_id from chunks",
     "session_title": f"select conv_id, array_to_string(list_filter(string_split_regex(text, '{sql.WS}'), lambda t: t <> '')[1:4], ' ') as title from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' group by conv_id)",

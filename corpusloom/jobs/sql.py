@@ -101,6 +101,24 @@ TELEMETRY = """parsed as (
   select event_id, ts, value as latency_ms, case when event_type = 'error' then 500 else 200 end as status, k * 100 as tokens, k % 2 as rag_hit, event_type, k % 3 <> 0 as detailed from parsed
 ), latest as (select * from telemetry order by ts desc, event_id desc limit 100)"""
 
+
+def extracted(table: str, keep: str, column: str = "reply") -> str:
+    """CTEs that end in `parsed`: the columns to keep, and json and error of a text column, as extract_json has them."""
+    return f"""bodies as (
+  select *, case when regexp_matches(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```') then regexp_extract(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) else plain end as body
+  from (select *, regexp_replace({column}, '^{WS}|{WS}$', '', 'g') as plain from {table})
+), spans as (
+  select *, case when o then strpos(body, '{{') else strpos(body, '[') end as first,
+         case when strpos(reverse(body), case when o then '}}' else ']' end) > 0 then length(body) - strpos(reverse(body), case when o then '}}' else ']' end) + 1 else 0 end as last
+  from (select *, strpos(body, '{{') > 0 and (strpos(body, '[') = 0 or strpos(body, '{{') < strpos(body, '[')) as o from bodies)
+), parsed as (
+  select {keep}, case when error is null then found end as json, error from (
+    select *, case when first = 0 then 'none found' when last < first then 'no closer' when not json_valid(found) then 'parse error' end as error
+    from (select *, substr(body, first, greatest(last - first + 1, 0)) as found from spans)
+  )
+)"""
+
+
 _SAFE = r"regexp_replace(coalesce(text, ''), '[\x00-\x1F\"\\]', ' ', 'g')"
 REPLIES = f"""replies as (
   select item_id as reply_id, coalesce(text, '') as prompt, case item_id % 7
@@ -112,16 +130,10 @@ REPLIES = f"""replies as (
     when 5 then '{{"decision": "approve", ' || item_id || '}}'
     else '```' || chr(10) || '{{"sub_queries": []}}' || chr(10) || '```' end as reply
   from benchmark
-), bodies as (
-  select *, case when regexp_matches(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```') then regexp_extract(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) else plain end as body
-  from (select *, regexp_replace(reply, '^{WS}|{WS}$', '', 'g') as plain from replies)
-), spans as (
-  select *, case when o then strpos(body, '{{') else strpos(body, '[') end as first,
-         case when strpos(reverse(body), case when o then '}}' else ']' end) > 0 then length(body) - strpos(reverse(body), case when o then '}}' else ']' end) + 1 else 0 end as last
-  from (select *, strpos(body, '{{') > 0 and (strpos(body, '[') = 0 or strpos(body, '{{') < strpos(body, '[')) as o from bodies)
-), parsed as (
-  select reply_id, prompt, reply, case when error is null then found end as json, error from (
-    select *, case when first = 0 then 'none found' when last < first then 'no closer' when not json_valid(found) then 'parse error' end as error
-    from (select *, substr(body, first, greatest(last - first + 1, 0)) as found from spans)
-  )
-)"""
+), {extracted("replies", "reply_id, prompt, reply")}"""
+
+
+def agent_reply(cases: dict[int, str]) -> str:
+    """The CTE `replies` of one agent's replies, by the item's number; `?` in a case stands for the number, `~` for the item's text."""
+    quoted = {k: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("?", "' || item_id || '").replace("~", f"' || {_SAFE} || '") + "'" for k, v in cases.items()}
+    return f"replies as (select item_id as reply_id, case item_id % {len(cases)} {' '.join(f'when {k} then {v}' for k, v in quoted.items())} end as reply from benchmark)"

@@ -331,6 +331,20 @@ def rerank(candidates: DataFrame, ranked: DataFrame, k: int = RERANKED, by: str
     return joined.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).drop("place", "failed")
 
 
+def rerank_strict(candidates: DataFrame, ranked: DataFrame, k: int = RERANKED, by: str = "query_id") -> DataFrame:
+    """As rerank, but a repeated index is listed again, and its score everywhere is 1 - 0.01 times the distinct indices seen before its last place."""
+    listed = ranked.select(by, F.posexplode("ranked").alias("pos", "idx")).join(candidates.select(by, "idx"), [by, "idx"])
+    first = F.row_number().over(Window.partitionBy(by, "idx").orderBy("pos")) == 1
+    placed = listed.withColumn("first", first.cast("int"))
+    seen = F.coalesce(F.sum("first").over(Window.partitionBy(by).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.max_by("seen", "pos").over(Window.partitionBy(by, "idx"))
+    named = placed.withColumn("seen", seen).withColumn("last", last).select(by, "idx", "pos", "last")
+    joined = candidates.join(named, [by, "idx"], "left").join(ranked.select(by, F.col("ranked").isNull().alias("failed")), by, "left")
+    score = F.when(F.coalesce("failed", F.lit(True)), F.lit(None)).otherwise(F.coalesce(1.0 - F.col("last") * 0.01, F.lit(0.0)))
+    order = Window.partitionBy(by).orderBy(F.asc_nulls_last("pos"), "idx")
+    return joined.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k).drop("pos", "last", "failed")
+
+
 def distinct_sources(found: DataFrame, keys: list[str], by: str = "query_id", order: str = "rank") -> DataFrame:
     """The first row of each (by, keys), null keys being equal, in order."""
     return found.withColumn("seen", F.row_number().over(Window.partitionBy(by, *keys).orderBy(order))).where("seen = 1").drop("seen")

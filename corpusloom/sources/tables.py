@@ -94,3 +94,52 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, form in enumerate(forms[:-1]):
         reply = F.when(F.col("item_id") % 7 == i, form).otherwise(reply)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), F.coalesce("text", F.lit("")).alias("prompt"), reply.alias("reply"))
+
+
+#: Replies of agents as they come, whole, wrapped, broken or of another kind; `?` stands for the item's number, `~` for its text.
+AGENT_REPLIES = {
+    "orchestrator": {
+        0: '```json\n{"type": "financial", "complexity": "simple", "workflow": "standard_research"}\n```',
+        1: 'Sure: {"type": "case ?", "complexity": "complex"}',
+        2: "no idea about ?",
+        3: '["financial"]',
+        4: '{"type": "broken", ',
+        5: '{"type": null, "complexity": "complex", "workflow": "fast"}',
+    },
+    "evaluator": {
+        0: '{"decision": "approve", "reason": "~", "confidence": 0.9, "hallucination_score": 0.1}',
+        1: '```json\n{"decision": "reject", "reason": "made up", "confidence": 0.4, "hallucination_score": 0.8}\n```',
+        2: "cannot say",
+        3: '{"decision": "Reject"}',
+        4: '{"confidence": 0.2}',
+        5: '["approve"]',
+        6: '{"decision": "reject", "reason": "again"} ?',
+    },
+    "golden": {
+        0: '{"query": "What of ~", "fact": "?"}',
+        1: '{"query": "only ?"}',
+        2: "none",
+        3: '{"query": null, "fact": "x"}',
+        4: '{"fact": "y ?", "query": "z"} done',
+        5: '[{"query": "q", "fact": "f"}]',
+    },
+    "reranker": {
+        0: '{"ranked_indices": [3, 1, 3, 99, -1, 0, 1]}',
+        1: '```json\n{"ranked_indices": [?, 2]}\n```',
+        2: "no list for ?",
+        3: '{"ranked": [1]}',
+        4: '{"ranked_indices": ["1", 2]}',
+        5: "[2, 1]",
+        6: '{"ranked_indices": []}',
+    },
+}
+
+
+def agent_replies(spark: SparkSession, sf_dir: str, agent: str) -> DataFrame:
+    """(reply_id, reply) of an agent to each benchmark item: the case of the item's number modulo the number of cases."""
+    n, text = F.col("item_id").cast("string"), json_safe(F.coalesce("text", F.lit("")))
+    cases = AGENT_REPLIES[agent]
+    reply = F.lit(None).cast("string")
+    for k, case in cases.items():
+        reply = F.when(F.col("item_id") % len(cases) == k, F.replace(F.replace(F.lit(case), F.lit("?"), n), F.lit("~"), text)).otherwise(reply)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), reply.alias("reply"))
