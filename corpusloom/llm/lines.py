@@ -6,7 +6,7 @@ occurrence stays, and the lines that later occurrences cover are removed.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -16,11 +16,11 @@ from corpusloom.llm.common import row_key, small_batches, table
 LINES = 3
 
 
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, starts: pd.Series, width: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, starts: pa.Array, width: pa.Array) -> pa.Array:
     """The text without the lines that the windows at starts cover."""
 
-    def one(text: str | None, starts, width: int) -> str | None:
+    def one(text: str | None, starts: list[int] | None, width: int) -> str | None:
         if text is None or starts is None:
             return text
         covered, end = set(), 0
@@ -29,7 +29,7 @@ def _without(text: pd.Series, starts: pd.Series, width: pd.Series) -> pd.Series:
             end = start + width
         return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in covered)
 
-    return pd.Series([one(*x) for x in zip(text, starts, width, strict=True)])
+    return pa.array([one(*x) for x in zip(text.to_pylist(), starts.to_pylist(), width.to_pylist(), strict=True)], pa.string())
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = LINES) -> DataFrame:
