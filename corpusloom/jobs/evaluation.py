@@ -9,8 +9,9 @@ from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
 from corpusloom.functions.text import company_code, extract_json, snippet, title
 from corpusloom.jobs import retrieval, sql
+from corpusloom.jobs.validation import RUN, results
 from corpusloom.operators import evaluation as E
-from corpusloom.sources.tables import answers, chunks, replies, results, table
+from corpusloom.sources.tables import answers, chunks, replies, table
 
 #: What the answers are expected to hold: the corpus has sentences, not sections.
 EXPECTED = ["the", "and", "de la", "der", "100%"]
@@ -201,21 +202,21 @@ ORACLE_SQL = {
 select query_id, case when chunk_id is null then 0.0 when list_contains(ids, chunk_id) then 1.0 when strpos(chunk_id, '_') = 0 then 0.0
   when len(list_filter(ids, lambda r: starts_with(r, split_part(chunk_id, '_', 1) || '_' || split_part(chunk_id, '_', 2)))) > 0 then 0.5 when len(list_filter(ids, lambda r: starts_with(r, split_part(chunk_id, '_', 1)))) > 0 then 0.2 else 0.0 end as recall
 from found left join chunks c on c.doc_id = query_id""",
-    "group_stats": f"with {sql.GROUPS} select group_id, num_tests, num_success, {', '.join(f'round({c}, 6) as {c}' for c in _GROUP_AVG)} from stats",
-    "bias_check": f"with {sql.GROUPS}, {_CHECK} select num_groups, {', '.join(f'round(global_{c}, 6) as global_{c}' for c in _GROUP_AVG)}, round(max_gap, 6) as max_gap, below, disparity, passed from checked",
-    "slice_stats": f"""with {sql.RESULTS} select case when grouping(sector) = 0 then 'sector' when grouping(market_cap) = 0 then 'market_cap' else 'all' end as slice, case when grouping(sector) = 0 then sector when grouping(market_cap) = 0 then market_cap else 'all' end as value,
+    "group_stats": f"with {RUN}, {sql.GROUPS} select group_id, num_tests, num_success, {', '.join(f'round({c}, 6) as {c}' for c in _GROUP_AVG)} from stats",
+    "bias_check": f"with {RUN}, {sql.GROUPS}, {_CHECK} select num_groups, {', '.join(f'round(global_{c}, 6) as global_{c}' for c in _GROUP_AVG)}, round(max_gap, 6) as max_gap, below, disparity, passed from checked",
+    "slice_stats": f"""with {RUN} select case when grouping(sector) = 0 then 'sector' when grouping(market_cap) = 0 then 'market_cap' else 'all' end as slice, case when grouping(sector) = 0 then sector when grouping(market_cap) = 0 then market_cap else 'all' end as value,
   count(*) as num_tests, round(coalesce(avg(overall_score), 0), 6) as avg_overall_score, round(coalesce(avg(groundedness), 0), 6) as avg_groundedness, round(coalesce(avg(retrieval_recall), 0), 6) as avg_retrieval_recall
 from results group by grouping sets ((sector), (market_cap), ())""",
-    "boost_map": f"with {sql.GROUPS} select group_id, 1.05 as boost from stats where avg_overall_score < 0.5",
-    "boost_apply": f"""with {sql.GROUPS}, boosted as (
+    "boost_map": f"with {RUN}, {sql.GROUPS} select group_id, 1.05 as boost from stats where avg_overall_score < 0.5",
+    "boost_apply": f"""with {RUN}, {sql.GROUPS}, boosted as (
   select t.query_id, t.rank, t.doc_id, t.final_score * case when s.avg_overall_score < 0.5 then 1.05 else 1.0 end as final_score, coalesce(s.avg_overall_score < 0.5, false) as bias_boosted
   from ({_TOP}) t join documents d using (doc_id) left join stats s on s.group_id = d.source
 ) select query_id, row_number() over (partition by query_id order by final_score desc, rank) as boosted_rank, doc_id, round(final_score, 9) as final_score, bias_boosted from boosted""",
-    "summary_stats": f"with {sql.RESULTS} select {_SUMMARY} from results",
-    "acceptance": f"""with {sql.RESULTS}, s as (select {_SUMMARY} from results), c as (
+    "summary_stats": f"with {RUN} select {_SUMMARY} from results",
+    "acceptance": f"""with {RUN}, s as (select {_SUMMARY} from results), c as (
   select coalesce(avg_execution_time, 999) < 300 as time_ok, coalesce(avg_groundedness, 0) >= 0.95 as groundedness_ok, coalesce(avg_overall_score, 0) >= 0.8 as overall_ok, coalesce(success_rate, 0) >= 0.9 as success_ok from s
 ) select *, time_ok and groundedness_ok and overall_ok and success_ok as all_criteria_met from c""",
-    "bias_report": f"""with {sql.GROUPS}, {_CHECK}, lines as (
+    "bias_report": f"""with {RUN}, {sql.GROUPS}, {_CHECK}, lines as (
   select string_agg(printf('| %s | %d | %.1f%% | %.2f%% | %.2f%% | %.2f%% | %.2f%% |', group_id, num_tests, floor(success_rate * 100 * 10 + 0.5) / 10, floor(avg_overall_score * 100 * 100 + 0.5) / 100, floor(avg_groundedness * 100 * 100 + 0.5) / 100, floor(avg_relevancy * 100 * 100 + 0.5) / 100, floor(avg_retrieval_recall * 100 * 100 + 0.5) / 100), chr(10) order by group_id) as lines from stats
 ) select replace(printf('# Validation report\\n\\n| Metric | Value |\\n| :--- | :--- |\\n| Overall score | %.2f%% |\\n| Success rate | %.1f%% |\\n| Largest gap | %.2f%% (limit 20%%) |\\n\\n| Group | Tests | Success rate | Overall | Groundedness | Relevancy | Recall |\\n| :--- | :---: | :---: | :---: | :---: | :---: | :---: |\\n',
   floor(global_avg_overall_score * 100 * 100 + 0.5) / 100, floor(global_success_rate * 100 * 10 + 0.5) / 10, floor(max_gap * 100 * 100 + 0.5) / 100), '\\n', chr(10)) || lines || case when passed then replace('\\n\\n## Passed\\n', '\\n', chr(10)) else replace('\\n\\n## Failed\\n\\n- groups below the minimum: ', '\\n', chr(10)) || below || case when disparity then chr(10) || '- the gap exceeds its limit' else '' end || chr(10) end as report from checked, lines""",
@@ -223,7 +224,7 @@ from results group by grouping sets ((sector), (market_cap), ())""",
     "golden_sample": f"with {sql.CHUNKS} select doc_id, replace(left(raw_chunk, 200), chr(10), ' ') as snippet from (select * from chunks order by ordinal limit 100) where length(raw_chunk) > 100 order by md5('golden' || doc_id), doc_id limit 20",
     "case_ids": f"with {sql.CHUNKS} select doc_id, printf('%s_%03d', {_CODE}, doc_id) as case_id, printf('GOLD_%03d_%s', doc_id, left({_CODE}, 3)) as golden_id from chunks",
     "session_title": f"select conv_id, array_to_string(list_filter(string_split_regex(text, '{sql.WS}'), lambda t: t <> '')[1:4], ' ') as title from (select conv_id, arg_min(text, turn) as text from conversations where role = 'user' group by conv_id)",
-    "traffic_light": f"""with {sql.RESULTS} select query_id, case when agent_confidence >= 0.7 then 'green' when agent_confidence >= 0.4 then 'yellow' else 'red' end as confidence,
+    "traffic_light": f"""with {RUN} select query_id, case when agent_confidence >= 0.7 then 'green' when agent_confidence >= 0.4 then 'yellow' else 'red' end as confidence,
   case when 1 - groundedness <= 0.3 then 'green' when 1 - groundedness <= 0.6 then 'yellow' else 'red' end as hallucination from results where status = 'success'""",
     "response_report": f"""with {sql.ANSWERS}, whole as (select conv_id, turn, replace('# Report\\n\\n**Query:** ', '\\n', chr(10)) || coalesce(query, '') || replace('\\n\\n## Answer\\n\\n', '\\n', chr(10)) || coalesce(answer, 'No answer') || replace('\\n\\n## Groundedness\\n\\n**', '\\n', chr(10)) || printf('%.2f', floor({_GROUNDED} * 100 + 0.5) / 100) || replace('** / 1.0\\n\\n## Sources\\n', '\\n', chr(10))
   || case when len(context) > 0 then array_to_string(list_transform(context, lambda c, i: chr(10) || '### Source ' || i || chr(10) || chr(10) || c || chr(10)), '') else chr(10) || 'No sources.' || chr(10) end as report from answers)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.jobs import evaluation, replies, retrieval, telemetry
+from corpusloom.jobs import evaluation, replies, retrieval, telemetry, validation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | replies.QUERIES | telemetry.QUERIES
-ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | replies.ORACLE_SQL | telemetry.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | replies.QUERIES | validation.QUERIES | telemetry.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | replies.ORACLE_SQL | validation.ORACLE_SQL | telemetry.ORACLE_SQL

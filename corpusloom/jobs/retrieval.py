@@ -189,7 +189,7 @@ QUERIES = {
     "chunk_spans": chunk_spans,
 }
 ORACLE_SQL = {
-    "corpus_stats": f"{_WITH} select n_docs, n_tokens, round(avgdl, 6) as avgdl, n_terms, mean_idf, n_negative from stats, (select count(*) as n_terms, round(avg(raw_idf), 6) as mean_idf, count(*) filter (raw_idf < 0) as n_negative from terms)",
+    "corpus_stats": f"{_WITH} select n_docs, n_tokens, round(avgdl, 6) as avgdl, n_terms, mean_idf, n_negative from corpus, (select count(*) as n_terms, round(avg(raw_idf), 6) as mean_idf, count(*) filter (raw_idf < 0) as n_negative from terms)",
     "token_counts": f"with {sql.CHUNKS} select doc_id, len({sql.words('raw_chunk')}) as n_tokens, len(list_distinct({sql.words('raw_chunk')})) as n_distinct from chunks",
     "metric_tokens": f"with {sql.CHUNKS} select doc_id, len({sql.metric_tokens('raw_chunk')}) as n_tokens, md5(coalesce(array_to_string(list_sort({sql.metric_tokens('raw_chunk')}), ' '), '')) as tokens_md5 from chunks",
     "bm25_scores": f"{_WITH} select query_id, doc_id, round(bm25, 5) as bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from lexical where bm25 <> 0) where rank <= {LISTED}",

@@ -30,23 +30,23 @@ QUERIES = """queries as (
 
 BM25 = f"""{CHUNKS}, {QUERIES}, tokens as (
   select doc_id, {words("raw_chunk")} as tokens from chunks
-), stats as (
+), corpus as (
   select count(*) as n_docs, sum(len(tokens)) as n_tokens, sum(len(tokens)) / count(*) as avgdl from tokens
 ), tf as (
   select doc_id, dl, t, count(*) as tf from (select doc_id, len(tokens) as dl, unnest(tokens) as t from tokens) group by all
 ), raw as (
-  select t, count(*) as df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) as raw_idf from tf, stats group by t
+  select t, count(*) as df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) as raw_idf from tf, corpus group by t
 ), terms as (
   select t, df, raw_idf, case when raw_idf < 0 then 0.25 * (select avg(raw_idf) from raw) else raw_idf end as idf from raw
 ), asked as (
   select query_id, t, count(*) as times from (select query_id, unnest({words("query")}) as t from queries) group by all
 ), lexical as (
   select query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as bm25
-  from tf join asked using (t) join terms using (t), stats group by query_id, doc_id
+  from tf join asked using (t) join terms using (t), corpus group by query_id, doc_id
 ), bounds as (
   select query_id, case when count(l.doc_id) < any_value(n_docs) then least(coalesce(min(bm25), 0), 0) else min(bm25) end as least,
          case when count(l.doc_id) < any_value(n_docs) then greatest(coalesce(max(bm25), 0), 0) else max(bm25) end as most
-  from queries left join lexical l using (query_id), stats group by query_id
+  from queries left join lexical l using (query_id), corpus group by query_id
 )"""
 
 
@@ -77,17 +77,8 @@ ANSWERS = """answers as (
   ) where role = 'user' and next_role = 'assistant'
 )"""
 
-RESULTS = """results as (
-  select source || '_' || cast(doc_id as varchar) as query_id, lang as sector, case when n_chars > 2000 then 'large' else 'small' end as market_cap,
-         case when quality = 1 then 'success' else 'failed' end as status,
-         case when quality = 1 then least(n_chars / 4000.0, 1.0) else 0.0 end as overall_score,
-         case when quality = 1 then round((doc_id % 97) / 96.0, 6) end as groundedness, case when quality = 1 then round((doc_id % 89) / 88.0, 6) end as relevancy,
-         case when quality = 1 then round((doc_id % 7) / 6.0, 6) end as retrieval_recall, case when quality = 1 then round((doc_id % 11) / 10.0, 6) end as agent_confidence,
-         cast(doc_id % 350 as double) as execution_time
-  from labels join documents using (doc_id)
-)"""
-
-GROUPS = f"""{RESULTS}, stats as (
+#: The CTE `stats` of groups, after `results`.
+GROUPS = """stats as (
   select case when contains(query_id, '_') then split_part(query_id, '_', 1) else 'UNKNOWN' end as group_id, count(*) as num_tests, count(*) filter (status = 'success') as num_success,
          coalesce(avg(coalesce(overall_score, 0)) filter (status = 'success'), 0) as avg_overall_score, coalesce(avg(coalesce(groundedness, 0)) filter (status = 'success'), 0) as avg_groundedness,
          coalesce(avg(coalesce(relevancy, 0)) filter (status = 'success'), 0) as avg_relevancy, coalesce(avg(coalesce(retrieval_recall, 0)) filter (status = 'success'), 0) as avg_retrieval_recall,

@@ -45,25 +45,6 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "query", "answer", "context")
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One validation result for each labelled document; failed ones have no scores."""
-    part = lambda n: F.round((F.col("doc_id") % n) / F.lit(n - 1.0), 6)
-    score = lambda c: F.when(F.col("quality") == 1, c)
-    joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
-    return joined.select(
-        F.format_string("%s_%d", "source", "doc_id").alias("query_id"),
-        F.col("lang").alias("sector"),
-        F.when(F.col("n_chars") > 2000, "large").otherwise("small").alias("market_cap"),
-        F.when(F.col("quality") == 1, "success").otherwise("failed").alias("status"),
-        F.when(F.col("quality") == 1, F.least(F.col("n_chars") / 4000.0, F.lit(1.0))).otherwise(0.0).alias("overall_score"),
-        score(part(97)).alias("groundedness"),
-        score(part(89)).alias("relevancy"),
-        score(part(7)).alias("retrieval_recall"),
-        score(part(11)).alias("agent_confidence"),
-        (F.col("doc_id") % 350).cast("double").alias("execution_time"),
-    )
-
-
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request events with latency, token count, per-agent breakdown (empty for some) and retrieval hit."""
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
