@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.scores import cost
 from corpusloom.jobs import sql
 from corpusloom.operators import telemetry as T
 from corpusloom.sources.tables import table, telemetry
@@ -31,12 +32,32 @@ def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.usage(telemetry(spark, sf_dir)).select("event_id", F.round("total_ms", 6).alias("total_ms"), "tokens", F.round("cost", 6).alias("cost"))
 
 
+def last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and cost of the last event."""
+    last = F.max_by(F.struct("event_id", "tokens"), F.struct("ts", "event_id"))
+    return telemetry(spark, sf_dir).agg(last.alias("e")).select("e.event_id", "e.tokens", F.round(cost(F.col("e.tokens")), 6).alias("cost"))
+
+
+def latency_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the charts, an event each: its time from seconds since 1970, latency, whether it failed, tokens."""
+    at = F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return telemetry(spark, sf_dir).select("event_id", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"), F.round("latency_ms", 4).alias("latency_ms"), (F.col("status") >= 400).cast("int").alias("error"), "tokens")
+
+
+def usage_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's breakdown with the time of one more agent set in it, and the sum."""
+    known = F.map_filter("breakdown", lambda k, v: k != "researcher")
+    merged = F.map_concat(known, F.create_map(F.lit("researcher"), F.col("latency_ms")))
+    total = F.aggregate(F.map_values(merged), F.lit(0.0), lambda a, x: a + x)
+    return telemetry(spark, sf_dir).select("event_id", F.size(merged).cast("long").alias("n_agents"), F.round(total, 4).alias("total_ms"))
+
+
 def hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming extension's aggregation over the whole table."""
     return windowed(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "requests", F.round("latency", 4).alias("latency"))
 
 
-QUERIES = {"last_100": last_100, "stats_endpoint": stats_endpoint, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "hourly_requests": hourly_requests}
+QUERIES = {"last_100": last_100, "stats_endpoint": stats_endpoint, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "last_event": last_event, "latency_series": latency_series, "usage_merged": usage_merged, "hourly_requests": hourly_requests}
 _T = f"with {sql.TELEMETRY}"
 ORACLE_SQL = {
     "last_100": f"{_T} select event_id, latency_ms, status, tokens from latest",
@@ -45,5 +66,8 @@ ORACLE_SQL = {
   select 'researcher' as agent, latency_ms * 0.5 as ms from known union all select event_type, latency_ms * 0.25 from known) group by agent""",
     "hit_rate": f"{_T} select round(avg(rag_hit) * 100, 6) as hit_rate, avg(rag_hit) * 100 >= 50 as healthy from latest",
     "token_cost": f"{_T} select event_id, round(case when detailed then latency_ms * 0.75 else 0 end, 6) as total_ms, tokens, round(tokens / 1000.0 * 0.002, 6) as cost from telemetry",
+    "last_event": f"{_T} select event_id, tokens, round(tokens / 1000.0 * 0.002, 6) as cost from telemetry order by ts desc, event_id desc limit 1",
+    "latency_series": f"{_T} select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at, round(latency_ms, 4) as latency_ms, cast(status >= 400 as integer) as error, tokens from telemetry",
+    "usage_merged": f"{_T} select event_id, case when detailed then 2 else 1 end as n_agents, round(latency_ms + case when detailed then latency_ms * 0.25 else 0 end, 4) as total_ms from telemetry",
     "hourly_requests": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') as hour, event_type, count(*) as requests, round(sum(value), 4) as latency from events group by all",
 }
