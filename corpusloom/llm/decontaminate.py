@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import checkpointed, row_key, small_batches, table, windows, word_hashes
+from corpusloom.llm.common import checkpointed, small_batches, table, windows, word_hashes
 
 WINDOW, SHINGLE = 10, 3
 #: The windows go to every task if they take no more than this; else they are joined by their rarest shingle.
@@ -239,7 +239,7 @@ def find_contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
         context = docs.sparkSession.sparkContext
         shared = lambda hashes: context.broadcast(_filter(hashes))
         sought = checkpointed(sought)
-        keyed = rows.withColumn("key", row_key("id", "text"))
+        keyed = rows.withColumn("key", F.xxhash64(F.to_json(F.struct("id")), "text"))  # an id may hold what has no hash, as maps
         texts = keyed.select("key", "text")
         kinds = "key bigint, place bigint, shingle bigint, n int, around array<bigint>"
         each = sought.select("window", "n", F.posexplode("shingles").alias("offset", "shingle"))

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -394,12 +395,26 @@ def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], short], batch.schema.names)
 
 
-def _texts_of(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """((text, a, root, bands) of a document of each heavy set, (a), are there few sets)."""
-    named = heavy.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").groupBy("a").agg(F.first(F.coalesce("root", "a")).alias("root"), F.collect_set("band").alias("bands"))
-    named = checkpointed(reps.join(named, "a").select(F.col("rep").alias("id"), "a", "root", "bands"), small=True)
-    few = named.count() <= BROADCAST_SKETCHES
-    return docs.join(F.broadcast(named) if few else named, "id").select("text", "a", "root", "bands"), named.select("a"), few
+class Heavy:
+    """Heavy sets (a, band): the text of a document of each, held on Spark's disks while it is read several times, and what they are joined with."""
+
+    def __init__(self, heavy: DataFrame, docs: DataFrame, reps: DataFrame):
+        named = reps.join(heavy.groupBy("a").agg(F.collect_set("band").alias("bands")), "a").select(F.col("rep").alias("id"), "a", "n", "sketch", "bands")
+        self.named = checkpointed(named, small=True)
+        self.few = self.named.count() <= BROADCAST_SKETCHES
+        self.held = docs.join(self._side(self.named.select("id", "a", "bands")), "id").select("text", "a", "bands").persist(StorageLevel.DISK_ONLY)
+
+    def _side(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.few else df
+
+    def texts(self, roots: DataFrame) -> DataFrame:
+        """(text, a, root, bands), with the sets' components."""
+        of = self.named.select("a").join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", F.coalesce("root", "a").alias("root"))
+        return self.held.join(self._side(of), "a").select("text", "a", "root", "bands")
+
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """rows with n and a short sketch of their sets."""
+        return rows.join(self._side(self.named.select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")), "a")
 
 
 def _shared_keys(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -420,26 +435,24 @@ def _at_keys(rows: DataFrame, keys: DataFrame, part: str) -> DataFrame:
     return rows.withColumn("part", F.pmod(F.xxhash64(part), F.lit(PARTS)).cast("int")).join(each, ["key", "part"]).drop("part")
 
 
-def _star_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
+def _star_pairs(heavy: Heavy, roots: DataFrame) -> DataFrame:
     """Candidate pairs (x, y) that may connect components cheaply: at each key that several share, a set of each with one of the largest."""
-    texts, _, _ = _texts_of(heavy, docs, reps, roots)
-    by_root, keys = _shared_keys(texts)
+    by_root, keys = _shared_keys(heavy.texts(roots))
     return _at_keys(by_root, keys, "root").where("root != most").select(F.least("pick", "most_pick").alias("x"), F.greatest("pick", "most_pick").alias("y"))
 
 
-def _heavy_pairs(heavy: DataFrame, docs: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs of heavy sets (a, band) that aren't connected, by one-deletion neighbourhoods.
+def _heavy_pairs(heavy: Heavy, roots: DataFrame) -> DataFrame:
+    """Candidate pairs of heavy sets that aren't connected, by one-deletion neighbourhoods.
 
     Only keys of several components are listed by set. What isn't of a key's largest component (the
     minor side) is compared with all. A key of many sets is dealt out by blocks of both sides, so no
     task gets more than a block of each, and where few are on the minor side rows grow with the
     sets, not their square.
     """
-    texts, sets, few = _texts_of(heavy, docs, reps, roots)
+    texts = heavy.texts(roots)
     _, keys = _shared_keys(texts)
     shared = _at_keys(texts.mapInArrow(_listed_keys, "key bigint, whole boolean, own boolean, a bigint, root bigint"), keys, "a")
-    short = reps.join(sets, "a", "left_semi").select("a", "n", "sketch").mapInArrow(_short, "a bigint, n bigint, sketch binary")
-    known = shared.join(F.broadcast(short) if few else short, "a")
+    known = heavy.sketched(shared)
     i, j = (F.pmod(F.xxhash64(F.lit(end), "a", "whole"), n).cast("int") for end, n in (("i", "minor_blocks"), ("j", "blocks")))
     place = lambda i, j, minor: F.struct(i.alias("i"), j.alias("j"), F.lit(minor).alias("minor"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -473,6 +486,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of heavy sets are compared in blocks, and only pairs that aren't connected yet and that may be
     linked by sizes and sketches leave a task.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be an integer: components are named by the smallest id")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     profile = checkpointed(rows.mapInArrow(_profiled, "id bigint, n bigint, a bigint, sketch binary"))
@@ -484,11 +499,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = checkpointed(components(links), small=True)
     heavy = checkpointed(met.where("code is not null").groupBy(F.col("x").alias("a"), "code").count().where(F.col("count") >= F.floor(F.col("code") / CODES)).select("a", (F.col("code") % CODES).alias("band")).distinct(), small=True)
     if not heavy.isEmpty():
+        sets = Heavy(heavy, known, reps)
         for candidates in (_star_pairs, _heavy_pairs):  # cheap ones first, as what is connected needs no comparing
-            more = _verified(candidates(heavy, known, reps, roots), known, reps)
+            more = _verified(candidates(sets, roots), known, reps)
             if not more.isEmpty():
                 roots = _merged(links, more, roots)
                 links = checkpointed(links.union(more), small=True)
+        sets.held.unpersist()
     class_of = reps.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("a", "rep", F.coalesce("root", "a").alias("root"))
     smallest = class_of.groupBy("root").agg(F.min("rep").alias("component_id"))
     labels = class_of.join(smallest, "root").select("a", "component_id")

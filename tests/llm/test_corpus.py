@@ -316,3 +316,25 @@ def test_pipeline_bears_odd_rows(spark, odd):
             assert docs.columns == odd.columns
         if name == "near_duplicates":
             assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "5", "7", "None"]
+
+
+def test_pipeline_of_empty_and_unlabelled_tables(spark):
+    """No rows give no rows in every stage; without labels no language is known and only texts without a letter go."""
+    docs = table(spark, DATA, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    bare = docs.limit(20).withColumn("lang", F.lit(None).cast("string"))
+    assert dict(corpus_pipeline.STAGES)["language_id"](spark, bare.unionByName(bare.limit(3).withColumn("text", F.lit("12 - 34"))), DATA).count() == 20
+
+
+def test_decontamination_of_rows_with_maps(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("items", F.lit("clash"))
+    rows = docs.select(F.struct("doc_id", "extra").alias("row"), "text")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = [sorted((str(r["row"]["doc_id"]), r["text"], len(r["spans"])) for r in decontaminate.find_contamination(rows, bench, id_col="row", keep_text=True, broadcast_bytes=n).collect() if r["text"]) for n in (0, 1 << 20)]
+    assert found[0] == found[1] and len(found[0]) == len([t for _, t in TEXTS if t])
+
+
+def test_jaccard_needs_whole_ids(spark):
+    with pytest.raises(TypeError):
+        jaccard.jaccard_components(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
