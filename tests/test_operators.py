@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import bm25, retrieval
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import telemetry as T
+from corpusloom.sources import storage
 from corpusloom.streaming import telemetry as stream
 
 
@@ -123,6 +124,26 @@ def test_rerank(spark, ranked, want):
     assert retrieval.rerank(candidates.limit(0), orders).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("ranked", "want"),
+    [([0, 2, 0, 9], [(0, 0.98), (2, 0.99), (0, 0.98), (1, 0.0)]), ([1], [(1, 1.0), (0, 0.0), (2, 0.0)]), ([], [(0, 0.0), (1, 0.0), (2, 0.0)]), (None, [(0, None), (1, None), (2, None)])],
+)
+def test_rerank_strict(spark, ranked, want):
+    candidates = spark.createDataFrame([(1, i) for i in range(3)], "query_id long, idx int")
+    orders = spark.createDataFrame([(1, ranked)], "query_id long, ranked array<int>")
+    out = retrieval.rerank_strict(candidates, orders).orderBy("new_rank").collect()
+    assert [(r["idx"], r["rerank_score"]) for r in out] == want
+    assert retrieval.rerank_strict(candidates.limit(0), orders).count() == 0
+
+
+def test_written_as_json_and_read_again(spark):
+    rows = [(1, "a\n\"b\"", 0.1, ["x", None]), (None, None, None, None), (2, "é", float("inf"), [])]
+    df = spark.createDataFrame(rows, "id long, text string, score double, list array<string>")
+    read = storage.through_json(df, "rows")
+    assert read.schema == df.schema and sorted(map(tuple, read.collect()), key=repr) == sorted(rows, key=repr)
+    assert storage.through_json(df.limit(0), "rows").count() == 0
+
+
 def test_distinct_sources_treats_nulls_as_equal(spark):
     found = spark.createDataFrame([(1, 1, None, "x"), (1, 2, None, "x"), (1, 3, "c", "x")], "query_id long, rank int, a string, b string")
     assert sorted(r["rank"] for r in retrieval.distinct_sources(found, ["a", "b"]).collect()) == [1, 3]
