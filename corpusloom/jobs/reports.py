@@ -33,7 +33,7 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda c, i: F.concat(F.lit("\n### Source "), (i + 1).cast("string"), F.lit("\n\n- **Company:** "), F.coalesce(c["company_name"], F.lit("Unknown")), F.lit("\n- **Type:** "), F.coalesce(c["data_source_type"], F.lit("Unknown")), F.lit("\n- **Date:** Unknown\n- **Ticker:** N/A\n"))
     sources = F.array_join(F.transform("found", one), "")
     text = F.concat(
-        F.lit("# Market Due Diligence Report\n\n**Query:** "), "query", F.lit("\n\n---\n\n## Answer\n\n"), "answer",
+        F.lit("# Report\n\n**Query:** "), "query", F.lit("\n\n---\n\n## Answer\n\n"), "answer",
         F.lit("\n\n---\n\n## Confidence Score\n\n**"), S.shown(F.col("confidence")), F.lit("** / 1.0\n\n## Hallucination Score\n\n**"), S.shown(F.col("hallucination")), F.lit("** / 1.0\n\n---\n\n## Sources\n\n"),
         F.when(F.size("found") > 0, sources).otherwise("\nNo sources available.\n"),
         F.lit("\n---\n\n## Metadata\n\n- **Evaluation:** "), "decision", F.lit("\n- **Iterations:** "), F.col("iterations").cast("string"), F.lit("\n"),
@@ -165,7 +165,7 @@ _SUMMARY = """summed as (
 )"""
 _FOUND = f"(select t.query_id as item_id, list({{'i': t.rank, 'company_name': d.lang, 'data_source_type': d.source, 'text': coalesce(d.text, '')}} order by t.rank) as listed from ({retrieval.ORACLE_SQL['hybrid_topk']}) t join documents d using (doc_id) group by t.query_id)"
 _SOURCE = f"{_nl(chr(10) + '### Source ')} || c.i || {_nl(chr(10) * 2 + '- **Company:** ')} || coalesce(c.company_name, 'Unknown') || {_nl(chr(10) + '- **Type:** ')} || coalesce(c.data_source_type, 'Unknown') || {_nl(chr(10) + '- **Date:** Unknown' + chr(10) + '- **Ticker:** N/A' + chr(10))}"
-_REPORT = f"""{_nl("# Market Due Diligence Report\n\n**Query:** ")} || r.query || {_nl("\n\n---\n\n## Answer\n\n")} || r.answer || {_nl("\n\n---\n\n## Confidence Score\n\n**")} || {_shown("e.confidence", 2)} || {_nl("** / 1.0\n\n## Hallucination Score\n\n**")}
+_REPORT = f"""{_nl("# Report\n\n**Query:** ")} || r.query || {_nl("\n\n---\n\n## Answer\n\n")} || r.answer || {_nl("\n\n---\n\n## Confidence Score\n\n**")} || {_shown("e.confidence", 2)} || {_nl("** / 1.0\n\n## Hallucination Score\n\n**")}
   || {_shown("e.hallucination", 2)} || {_nl("** / 1.0\n\n---\n\n## Sources\n\n")} || case when len(listed) > 0 then array_to_string(list_transform(listed, lambda c: {_SOURCE}), '') else {_nl("\nNo sources available.\n")} end
   || {_nl("\n---\n\n## Metadata\n\n- **Evaluation:** ")} || p.decision || {_nl("\n- **Iterations:** ")} || p.iterations || chr(10)"""
 _TEXTS = "coalesce(nullif(" + f"regexp_replace(text, '^{sql.WS}|{sql.WS}$', '', 'g')" + ", ''), nullif(lang, ''), nullif(source, ''))"
