@@ -62,6 +62,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left with the row of right that has its keys, which are never null and which right has once; how: also `left`; weight: how many rows of left that is.
+
+    Keys of more than a thousandth of all rows, so a thousand at most, are broadcast; the others are dealt out.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) * 1_000 > total
+    hot = right.where(heavy).drop(weight)
+    marked = left.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
+    rest = marked.where("_hot is null").drop("_hot").join(right.where(~heavy).drop(weight), on, how)
+    return marked.where("_hot").drop("_hot").join(F.broadcast(hot), on).unionByName(rest)
+
+
 def row_key(*columns: str) -> F.Column:
     """A 64-bit key of a row's content: rows that are equal in these columns share it."""
     return F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in columns))
