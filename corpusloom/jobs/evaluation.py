@@ -88,9 +88,9 @@ def boost_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boost_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.hybrid_topk(spark, sf_dir).join(chunks(spark, sf_dir).select("doc_id", F.col("data_source_type").alias("group_id")), "doc_id")
+    found = retrieval._search(spark, sf_dir).withColumn("group_id", F.col("data_source_type"))
     out = E.boost_apply(found, boost_map(spark, sf_dir))
-    return out.select("query_id", "boosted_rank", "doc_id", F.round("final_score", 9).alias("final_score"), "bias_boosted")
+    return out.select("query_id", "boosted_rank", "doc_id", F.round("final_score", 6).alias("final_score"), "bias_boosted")
 
 
 def summary_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +210,8 @@ from results group by grouping sets ((sector), (market_cap), ())""",
     "boost_map": f"with {RUN}, {sql.GROUPS} select group_id, 1.05 as boost from stats where avg_overall_score < 0.5",
     "boost_apply": f"""with {RUN}, {sql.GROUPS}, boosted as (
   select t.query_id, t.rank, t.doc_id, t.final_score * case when s.avg_overall_score < 0.5 then 1.05 else 1.0 end as final_score, coalesce(s.avg_overall_score < 0.5, false) as bias_boosted
-  from ({_TOP}) t join documents d using (doc_id) left join stats s on s.group_id = d.source
-) select query_id, row_number() over (partition by query_id order by final_score desc, rank) as boosted_rank, doc_id, round(final_score, 9) as final_score, bias_boosted from boosted""",
+  from top t left join stats s on s.group_id = t.data_source_type
+) select query_id, row_number() over (partition by query_id order by round(final_score, 9) desc, rank) as boosted_rank, doc_id, round(final_score, 6) as final_score, bias_boosted from boosted""",
     "summary_stats": f"with {RUN} select {_SUMMARY} from results",
     "acceptance": f"""with {RUN}, s as (select {_SUMMARY} from results), c as (
   select coalesce(avg_execution_time, 999) < 300 as time_ok, coalesce(avg_groundedness, 0) >= 0.95 as groundedness_ok, coalesce(avg_overall_score, 0) >= 0.8 as overall_ok, coalesce(success_rate, 0) >= 0.9 as success_ok from s

@@ -9,7 +9,9 @@ from corpusloom.functions import scores as S
 from corpusloom.functions.text import metric_tokens, words
 from corpusloom.jobs import sql
 from corpusloom.operators import bm25, retrieval
-from corpusloom.sources.tables import chunks, search_queries, vectors
+from corpusloom.operators.index import TextIndex, build_index
+from corpusloom.sources.storage import made_once
+from corpusloom.sources.tables import chunks, search_queries, table, vectors
 
 #: Chunks of each query that the lists of plain lexical and vector scores hold.
 LISTED = 100
@@ -19,12 +21,23 @@ def _r(*columns: str) -> list[F.Column]:
     return [F.round(c, 6).alias(c) for c in columns]
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the chunks and their vectors, written once for the files as they are."""
+    return made_once(spark, "index", [table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")], lambda: build_index(chunks(spark, sf_dir), vectors(spark, sf_dir)))
+
+
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bm25.build(chunks(spark, sf_dir))
     figures = [F.count(F.lit(1)).alias("n_terms"), F.round(F.avg("raw_idf"), 6).alias("mean_idf"), F.count_if(F.col("raw_idf") < 0).alias("n_negative")]
     return index.terms.agg(*figures).select(F.lit(index.n_docs).alias("n_docs"), F.lit(index.n_tokens).alias("n_tokens"), F.round(F.lit(index.avgdl), 6).alias("avgdl"), "n_terms", "mean_idf", "n_negative")
 
 
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the written index holds: documents, words, entries of postings, and the largest number of documents that one word has."""
+    index = index_of(spark, sf_dir)
+    return index.postings.groupBy("h").agg(F.sum("n").alias("df")).agg(F.lit(index.figures.n_docs).alias("n_docs"), F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_entries"), F.max("df").alias("most_docs"), F.round(F.lit(index.figures.mean_idf), 6).alias("mean_idf"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = words(F.col("raw_chunk"))
     return chunks(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
@@ -37,24 +50,23 @@ def metric_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunks of each query by words alone; chunks without a word of it don't count."""
-    found = retrieval.search(chunks(spark, sf_dir), None, search_queries(spark, sf_dir), k=LISTED, by="bm25")
-    return found.where("bm25 <> 0").select("query_id", "doc_id", F.round("bm25", 5).alias("bm25"))
+    return retrieval.lexical_topk(index_of(spark, sf_dir), search_queries(spark, sf_dir), LISTED).select("query_id", "doc_id", F.round("bm25", 5).alias("bm25"))
 
 
 def bm25_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keyword_bounds(chunks(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", *_r("least", "most"))
+    return retrieval.keyword_bounds(index_of(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", *_r("least", "most"))
 
 
 def cosine_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest vectors of each query's vector, whether they have a text or not."""
     known = vectors(spark, sf_dir)
     bare = known.select("doc_id", F.lit("").alias("raw_chunk"), F.lit(None).cast("string").alias("data_source_type"), F.col("doc_id").alias("ordinal"))
-    found = retrieval.search(bare, known, search_queries(spark, sf_dir), k=LISTED, by="cosine")
+    found = retrieval.search(made_once(spark, "vectors", [table(spark, sf_dir, "embeddings")], lambda: build_index(bare, known)), search_queries(spark, sf_dir), k=LISTED, by="cosine")
     return found.select("query_id", "doc_id", *_r("cosine"))
 
 
 def _search(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
-    return retrieval.search(chunks(spark, sf_dir), vectors(spark, sf_dir), search_queries(spark, sf_dir), **how)
+    return retrieval.search(index_of(spark, sf_dir), search_queries(spark, sf_dir), **how)
 
 
 def semantic_maxscale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +94,15 @@ def fanout_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All queries are the sub-queries of one question; a chunk arrives by query, source and rank."""
     arrival = F.struct("query_id", "data_source_type", "rank")
-    return retrieval.dedup_best(_fanout(spark, sf_dir).withColumn("final_score", F.round("final_score", 6)).withColumn("arrival", arrival))
+    return retrieval.dedup_best(_fanout(spark, sf_dir).withColumn("arrival", arrival))
 
 
 def dedup_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deduped(spark, sf_dir).select("doc_id", "query_id", "final_score", F.col("first_arrival.query_id").alias("first_query"), F.col("first_arrival.rank").alias("first_rank"))
+    return _deduped(spark, sf_dir).select("doc_id", "query_id", *_r("final_score"), F.col("first_arrival.query_id").alias("first_query"), F.col("first_arrival.rank").alias("first_rank"))
 
 
 def pool_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _deduped(spark, sf_dir).orderBy(F.desc("final_score"), "first_arrival").limit(retrieval.POOL).select("doc_id", "query_id", "final_score")
+    return _deduped(spark, sf_dir).orderBy(F.desc(F.round("final_score", 9)), "first_arrival").limit(retrieval.POOL).select("doc_id", "query_id", *_r("final_score"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,11 +159,11 @@ def chunk_spans(spark: SparkSession, sf_dir: str, size: int = 512, overlap: int
 _WITH = f"with {sql.BM25}"
 _ALL = f"{_WITH}, {sql.scored()}, {sql.TOP.format(by='query_id')}, top as (select * from ranked where rank <= 20)"
 _FAN = f"""{_WITH}, {sql.scored(each_source=True)}, {sql.TOP.format(by="query_id, data_source_type")},
-fan as (select query_id, data_source_type, rank, doc_id, round(final_score, 6) as final_score from ranked where rank <= 20),
+fan as (select query_id, data_source_type, rank, doc_id, final_score from ranked where rank <= 20),
 deduped as (
   select * from (
     select *, min({{'q': query_id, 's': data_source_type, 'r': rank}}) over (partition by doc_id) as first_arrival,
-           row_number() over (partition by doc_id order by final_score desc, query_id, data_source_type, rank) as place
+           row_number() over (partition by doc_id order by round(final_score, 9) desc, query_id, data_source_type, rank) as place
     from fan
   ) where place = 1
 )"""
@@ -170,6 +182,7 @@ _FOUND = f"{_ALL}, found as (select t.*, company_name, raw_chunk from top t join
 
 QUERIES = {
     "corpus_stats": corpus_stats,
+    "index_stats": index_stats,
     "token_counts": token_counts,
     "metric_tokens": metric_token_counts,
     "bm25_scores": bm25_scores,
@@ -190,9 +203,10 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "corpus_stats": f"{_WITH} select n_docs, n_tokens, round(avgdl, 6) as avgdl, n_terms, mean_idf, n_negative from corpus, (select count(*) as n_terms, round(avg(raw_idf), 6) as mean_idf, count(*) filter (raw_idf < 0) as n_negative from terms)",
+    "index_stats": f"{_WITH} select any_value(n_docs) as n_docs, count(*) as n_words, cast(sum(df) as bigint) as n_entries, max(df) as most_docs, round(avg(raw_idf), 6) as mean_idf from terms, corpus",
     "token_counts": f"with {sql.CHUNKS} select doc_id, len({sql.words('raw_chunk')}) as n_tokens, len(list_distinct({sql.words('raw_chunk')})) as n_distinct from chunks",
     "metric_tokens": f"with {sql.CHUNKS} select doc_id, len({sql.metric_tokens('raw_chunk')}) as n_tokens, md5(coalesce(array_to_string(list_sort({sql.metric_tokens('raw_chunk')}), ' '), '')) as tokens_md5 from chunks",
-    "bm25_scores": f"{_WITH} select query_id, doc_id, round(bm25, 5) as bm25 from (select *, row_number() over (partition by query_id order by bm25 desc, doc_id) as rank from lexical where bm25 <> 0) where rank <= {LISTED}",
+    "bm25_scores": f"{_WITH} select query_id, doc_id, round(bm25, 5) as bm25 from (select *, row_number() over (partition by query_id order by round(bm25, 9) desc, doc_id) as rank from lexical where round(bm25, 9) <> 0) where rank <= {LISTED}",
     "bm25_minmax": f"{_WITH} select query_id, round(least, 6) as least, round(most, 6) as most from bounds",
     "cosine_scores": f"""with {sql.QUERIES}, pairs as (
   select query_id, vec_id as doc_id, list_cosine_similarity(vector, cast(embedding as double[])) as cosine from queries, embeddings where vector is not null and embedding is not null
@@ -200,9 +214,9 @@ ORACLE_SQL = {
     "semantic_maxscale": f"{_WITH}, {sql.scored()} select query_id, rank, doc_id, round(semantic, 6) as semantic from (select *, row_number() over (partition by query_id order by round(semantic, 9) desc, ordinal) as rank from scored) where rank <= 20",
     "hybrid_topk": f"{_ALL} select query_id, rank, doc_id, round(semantic, 6) as semantic, round(keyword, 6) as keyword, round(final_score, 6) as final_score from top",
     "hybrid_filtered": f"""{_WITH}, {sql.scored("c.data_source_type = 'src1'")}, {sql.TOP.format(by="query_id")} select query_id, rank, doc_id, data_source_type, round(final_score, 6) as final_score from ranked where rank <= 20""",
-    "fanout_topk": f"{_FAN} select * from fan",
-    "dedup_best": f"{_FAN} select doc_id, query_id, final_score, first_arrival.q as first_query, first_arrival.r as first_rank from deduped",
-    "pool_top50": f"{_FAN} select doc_id, query_id, final_score from deduped order by final_score desc, first_arrival limit 50",
+    "fanout_topk": f"{_FAN} select query_id, data_source_type, rank, doc_id, round(final_score, 6) as final_score from fan",
+    "dedup_best": f"{_FAN} select doc_id, query_id, round(final_score, 6) as final_score, first_arrival.q as first_query, first_arrival.r as first_rank from deduped",
+    "pool_top50": f"{_FAN} select doc_id, query_id, round(final_score, 6) as final_score from deduped order by round(final_score, 9) desc, first_arrival limit 50",
     "rerank_apply": f"{_ALL}, {_RANKED} select query_id, new_rank, doc_id, rerank_score from reranked where rerank_score is not null",
     "rerank_fallback": f"{_ALL}, {_RANKED} select query_id, new_rank, doc_id, rerank_score from reranked where new_rank <= 5",
     "distinct_sources": f"{_FOUND} select query_id, rank, company_name, data_source_type, doc_id from (select *, row_number() over (partition by query_id, company_name, data_source_type order by rank) as seen from found) where seen = 1",

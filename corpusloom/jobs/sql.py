@@ -41,7 +41,7 @@ BM25 = f"""{CHUNKS}, {QUERIES}, tokens as (
 ), asked as (
   select query_id, t, count(*) as times from (select query_id, unnest({words("query")}) as t from queries) group by all
 ), lexical as (
-  select query_id, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as bm25
+  select query_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as bm25
   from tf join asked using (t) join terms using (t), corpus group by query_id, doc_id
 ), bounds as (
   select query_id, case when count(l.doc_id) < any_value(n_docs) then least(coalesce(min(bm25), 0), 0) else min(bm25) end as least,
@@ -63,12 +63,12 @@ def scored(where: str = "true", each_source: bool = False) -> str:
   select *, coalesce(max(cosine) over (partition by {group}), 1.0) as top from pairs
 ), scored as (
   select query_id, doc_id, data_source_type, ordinal, case when top > 0 then coalesce(cosine, 0) / top else 0 end as semantic, keyword,
-         round(0.7 * case when top > 0 then coalesce(cosine, 0) / top else 0 end + 0.3 * keyword, 9) as final_score
+         0.7 * case when top > 0 then coalesce(cosine, 0) / top else 0 end + 0.3 * keyword as final_score
   from scaled
 )"""
 
 
-TOP = "ranked as (select *, row_number() over (partition by {by} order by final_score desc, ordinal) as rank from scored)"
+TOP = "ranked as (select *, row_number() over (partition by {by} order by round(final_score, 9) desc, ordinal) as rank from scored)"
 
 ANSWERS = """answers as (
   select conv_id, turn, query, answer, list_filter([a, b], lambda x: x is not null) as context from (

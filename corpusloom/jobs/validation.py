@@ -45,7 +45,7 @@ def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with the chunks found for them in order, and an answer: the best chunk and the question stand for a reply. answer is null if the run failed."""
     known = chunks(spark, sf_dir)
-    top = R.search(known, vectors(spark, sf_dir), search_queries(spark, sf_dir)).select("query_id", "rank", "doc_id")
+    top = retrieval._search(spark, sf_dir).select("query_id", "rank", "doc_id")
     each = top.join(known.select("doc_id", "chunk_id", "raw_chunk", "company_name", "data_source_type"), "doc_id")
     listed = each.groupBy(F.col("query_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "raw_chunk", "company_name", "data_source_type"))).alias("found"))
     joined = cases(spark, sf_dir).join(listed, "item_id", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))

@@ -29,15 +29,6 @@ class Bm25Index:
     def avgdl(self) -> float:
         return self.n_tokens / self.n_docs if self.n_docs else 0.0
 
-    def idf(self, asked: list[str]) -> dict[str, float]:
-        """Of the asked words that any chunk has."""
-        spark = self.terms.sparkSession
-        if not asked:
-            return {}
-        wanted = F.broadcast(spark.createDataFrame([(t,) for t in asked], "t string"))
-        found = self.terms.join(wanted, "t").select("t", "raw_idf").collect()
-        return {r["t"]: r["raw_idf"] if r["raw_idf"] >= 0 else self.epsilon * self.mean_idf for r in found}
-
 
 def build(chunks: DataFrame, text_col: str = "raw_chunk", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Bm25Index:
     """Statistics of all chunks; null text is an empty chunk that counts.

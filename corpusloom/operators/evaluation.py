@@ -55,7 +55,7 @@ def boost_apply(found: DataFrame, by_group: DataFrame, by: str = "query_id") ->
     """Scores times their group's boost, 1 if it has none, with a new rank; a missing score ranks as 0."""
     joined = found.join(by_group, "group_id", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0)))
     joined = joined.withColumn("bias_boosted", F.col("boost") > 1.0).withColumn("final_score", F.col("final_score") * F.col("boost"))
-    return joined.withColumn("boosted_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.coalesce("final_score", F.lit(0.0))), "rank")))
+    return joined.withColumn("boosted_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round(F.coalesce("final_score", F.lit(0.0)), 9)), "rank")))
 
 
 def summary(results: DataFrame) -> DataFrame:

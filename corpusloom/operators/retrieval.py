@@ -1,47 +1,82 @@
 """Hybrid retrieval: lexical and vector scores fused, top-k by query and source, then a pool, a rerank and its sources.
 
-An exact search costs chunks times queries. Queries, the stated set, go to every task in blocks of
-bounded size; a chunk's words are reduced to counts of those that are asked before it is joined with
-its vector, so no text is shuffled; scores are matrix products of a batch of chunks and a block, and
-of them only extremes and the best of each task leave it.
+Searches read an index (operators.index), never a text. Queries, the stated set, go to every task in
+blocks bounded in bytes. Extremes of lexical scores and lexical top-k come from postings: by block
+maxima only blocks that can reach the best scores are decoded. An exact fused search costs documents
+times queries; scores are sparse products of a batch of documents and the queries' words, and matrix
+products of vectors, and of them only the best of each task leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import scores as S
-from corpusloom.operators.bm25 import Bm25Index, build
-from corpusloom.sources.storage import checkpointed, spread
+from corpusloom.operators.index import TextIndex, word_hash, words_of
+from corpusloom.sources.storage import checkpointed
 
 TOP_K, POOL, RERANKED = 20, 50, 20
-#: Queries of a block, numbers of a matrix of scores, and scores by query and source that go to every task.
-BLOCK, CELLS, BOUNDS = 256, 4_000_000, 1_000_000
+#: Bytes of a block of queries and queries of it at most, numbers of a matrix of scores, and scores by query and source that go to every task.
+BLOCK_BYTES, BLOCK, CELLS, BOUNDS = 16 << 20, 16_384, 4_000_000, 1_000_000
 #: Candidates that a task holds before it drops all but the best.
 HELD = 200_000
+#: A lexical score this much below a bound may still reach it, as sums are rounded.
+SLACK = 1e-6
 Batches = Iterator[pa.RecordBatch]
 
 
 @dataclass(frozen=True)
 class Block:
-    """Queries as tasks need them: unit vectors (zero if there is none), the number of each asked word, and its weight for each query."""
+    """Queries as tasks need them: unit vectors (zero if there is none), and of each asked word, in order of hashes, the queries that have it and its weight there."""
 
     ids: list
     vectors: np.ndarray
     given: np.ndarray
-    terms: dict[str, int]
+    hashes: np.ndarray
+    starts: np.ndarray
+    queries: np.ndarray
     weights: np.ndarray
     avgdl: float
     k1: float
     b: float
 
+    def only(self, wanted: np.ndarray) -> Block:
+        """With the words of some queries; numbers of queries stay."""
+        inside = wanted[self.queries]
+        return replace(self, starts=np.r_[0, np.cumsum(inside)][self.starts], queries=self.queries[inside], weights=self.weights[inside])
+
+    def found(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those that nobody asks for."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def scores(self, rows: np.ndarray, words: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """(n, queries): the sum of value times weight, over entries (row, word, value), in bounded memory."""
+        width = len(self.ids)
+        out = np.zeros(n * width)
+        count = np.diff(self.starts)[words]
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(words):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + CELLS, "right")))
+            part = slice(start, end)
+            at = np.repeat(self.starts[words[part]] - (ends[part] - count[part] - before), count[part]) + np.arange(ends[end - 1] - before)
+            cell = np.repeat(rows[part].astype(np.int64) * width, count[part]) + self.queries[at]
+            out += np.bincount(cell, np.repeat(values[part], count[part]) * self.weights[at], n * width)
+            start = end
+        return out.reshape(n, width)
+
 
 def _unit(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows of length one, which are given): null elements are 0, and so are those that a shorter vector lacks."""
@@ -69,112 +104,234 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, given
 
 
-def blocks_of(queries: DataFrame, index: Bm25Index | None, size: int = BLOCK) -> Iterator[Block]:
+def blocks_of(queries: DataFrame, index: TextIndex, size: int | None = None) -> Iterator[Block]:
     """The queries (query_id, query, vector) in blocks, in the order in which they come. A word counts as often as a query has it."""
+    size = min(size or BLOCK, BLOCK)
     rows: list = []
+    held = 0
 
     def made() -> Block:
-        asked: dict[str, dict[int, int]] = {}
-        for i, r in enumerate(rows):
-            for t in (r["query"] or "").lower().split():
+        asked: dict[int, dict[int, int]] = {}
+        for i, words in enumerate(words for _, words, _ in rows):
+            for t in words:
                 times = asked.setdefault(t, {})
                 times[i] = times.get(i, 0) + 1
-        idf = index.idf(sorted(asked)) if index else {}
-        weights = np.zeros((len(idf), len(rows)))
-        for k, t in enumerate(idf):
-            for i, times in asked[t].items():
-                weights[k, i] = times * idf[t]
-        width = max((len(r["vector"]) for r in rows if r["vector"] is not None), default=0)
-        vectors, given = _unit([r["vector"] for r in rows], width)
-        return Block([r["query_id"] for r in rows], vectors, given, {t: k for k, t in enumerate(idf)}, weights, index.avgdl if index else 0.0, index.k1 if index else 0.0, index.b if index else 0.0)
+        idf = index.idf(sorted(asked))
+        hashes = sorted(idf)
+        entries = [(i, times * idf[h]) for h in hashes for i, times in asked[h].items()]
+        starts = np.cumsum([0, *(len(asked[h]) for h in hashes)])
+        width = max((len(v) for *_, v in rows if v is not None), default=0)
+        vectors, given = _unit([v for *_, v in rows], width)
+        f = index.figures
+        return Block([q for q, *_ in rows], vectors, given, np.array(hashes, np.int64), starts, np.array([i for i, _ in entries], np.int64), np.array([w for _, w in entries], float), f.avgdl or 1.0, f.k1, f.b)
 
     for r in queries.select("query_id", "query", "vector").toLocalIterator(prefetchPartitions=True):
-        rows.append(r)
-        if len(rows) == size:
+        words = list(map(word_hash, words_of(r["query"])))
+        rows.append((r["query_id"], words, r["vector"]))
+        held += 24 * len(words) + 8 * len(r["vector"] or [])
+        if len(rows) == size or held > BLOCK_BYTES:
             yield made()
-            rows = []
+            rows, held = [], 0
     if rows:
         yield made()
 
 
-def _counted(block: Block) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            terms, counts, lengths = [], [], []
-            for text in batch.column("raw_chunk"):
-                words = (text.as_py() or "").lower().split()
-                found: dict[int, int] = {}
-                for k in map(block.terms.get, words):
-                    if k is not None:
-                        found[k] = found.get(k, 0) + 1
-                terms.append(list(found))
-                counts.append(list(found.values()))
-                lengths.append(len(words))
-            made = [pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int32())]
-            names = ["doc_id", "data_source_type", "ordinal"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *made], [*names, "terms", "counts", "dl"])
+def _bounds(block: Block) -> Callable[[pa.Table], pa.Table]:
+    """(q, block, bound, cover): for each query with a word in a block, what its lexical score there can't exceed, and the share of documents that its words can reach."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        word = block.found(rows.column("h").to_numpy())
+        bound = _bound(block, word, rows.column("most").to_numpy())
+        plain = replace(block, weights=np.ones(len(block.weights)))
+        cover = plain.scores(np.zeros(len(word)), word, rows.column("n").to_numpy().astype(float), 1)[0] / rows.column("size")[0].as_py()
+        q = np.flatnonzero(cover > 0)
+        return pa.table({"q": pa.array(q.astype(np.int32)), "block": pa.array([rows.column("block")[0].as_py()] * len(q), pa.int64()), "bound": pa.array(bound[q]), "cover": pa.array(cover[q])})
 
     return run
 
 
-def prepared(chunks: DataFrame, vectors: DataFrame | None, block: Block) -> DataFrame:
-    """(doc_id, data_source_type, ordinal, terms, counts, dl, vector) of every chunk, written: its asked words by number, and its vector if it has one."""
-    rows = spread(chunks.select("raw_chunk", "doc_id", "data_source_type", "ordinal"))
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    counted = rows.mapInArrow(_counted(block), f"doc_id {kind['doc_id']}, data_source_type string, ordinal {kind['ordinal']}, terms array<int>, counts array<int>, dl int")
-    joined = counted.join(vectors.select("doc_id", "vector"), "doc_id", "left") if vectors is not None else counted.withColumn("vector", F.lit(None).cast("array<double>"))
-    return checkpointed(joined)
+def _bound(block: Block, word: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A document has a word with the largest weight, or not at all."""
+    return replace(block, weights=np.maximum(block.weights, 0.0)).scores(np.zeros(len(word)), word, most, 1)[0]
+
+
+_BEST = "q int, block long, slot int, bm25 double, least double"
+
+
+def _decoded(block: Block, rows: pa.Table, wanted: np.ndarray, k: int) -> pa.Table:
+    """(q, block, slot, bm25, least): the k best matching documents of a block for some queries, with the least score of any document in it. A query whose documents there all score 0 has one row without a slot."""
+    word, size = block.found(rows.column("h").to_numpy()), rows.column("size")[0].as_py()
+    mine = block.only(wanted)
+    slots = rows.column("slots").combine_chunks()
+    held = slots.value_lengths().to_numpy().astype(np.int64)
+    at, words = slots.flatten().to_numpy(), np.repeat(word, held)
+    scores = mine.scores(at, words, rows.column("weights").combine_chunks().flatten().to_numpy(), size)
+    q = np.flatnonzero(wanted)
+    scores = scores[:, q]
+    order = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k]
+    taken = np.take_along_axis(scores, order, 0)
+    place, column = np.nonzero(np.round(taken, 9))
+    none = np.setdiff1d(np.arange(len(q)), column)
+    all_of = np.r_[column, none]
+    return pa.table(
+        {
+            "q": pa.array(q[all_of].astype(np.int32)),
+            "block": pa.array([rows.column("block")[0].as_py()] * len(all_of), pa.int64()),
+            "slot": pa.array([*order[place, column].tolist(), *[None] * len(none)], pa.int32()),
+            "bm25": pa.array(np.r_[taken[place, column], np.zeros(len(none))]),
+            "least": pa.array(scores.min(0)[all_of]),
+        }
+    )
+
+
+@dataclass(frozen=True)
+class Lexical:
+    """best (q, block, slot, bm25, least): the best matching documents of every block that can hold one of the k best, written; the extremes of each query's scores over all documents; posting rows of the asked words, and those of them that were decoded for it."""
+
+    best: DataFrame
+    least: np.ndarray
+    most: np.ndarray
+    listed: DataFrame
+    decoded: DataFrame
+
 
+def lexical(index: TextIndex, block: Block, k: int = 1) -> Lexical:
+    """Of each query one block is decoded first, that with the largest bound: blocks whose bound is below its k-th score can't hold one of the k best.
 
-def _parts(batch: pa.RecordBatch, block: Block) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    Another one, which the query's words reach least, shows a document without any of them, which
+    scores 0. If there is none, or words have negative weights, all blocks of the query's words are
+    decoded, as the least score could be anywhere.
+    """
+    spark, n = index.docs.sparkSession, len(block.ids)
+    light = index.asked(block.hashes.tolist())
+    bounds = light.select("h", "block", "size", "n", "most").groupBy("block").applyInArrow(_bounds(block), "q int, block long, bound double, cover double")
+    chosen = bounds.groupBy("q").agg(F.max_by("block", "bound").alias("top"), F.min_by("block", "cover").alias("bare"), F.count(F.lit(1)).alias("blocks")).collect()
+    least, most, limit = np.zeros(n), np.zeros(n), np.full(n, -np.inf)
+    first: dict[int, list[int]] = {}
+    for r in chosen:
+        for at in {r["top"], r["bare"]}:
+            first.setdefault(at, []).append(r["q"])
+    if first:
+
+        def seeds(rows: pa.Table) -> pa.Table:
+            wanted = np.zeros(n, bool)
+            wanted[first[rows.column("block")[0].as_py()]] = True
+            found = _decoded(block, rows, wanted, k)
+            q, score, low = (found.column(c).to_numpy() for c in ("q", "bm25", "least"))
+            some = found.column("slot").is_valid().to_numpy()
+            each = np.unique(q)
+            own = [q == x for x in each]
+            kth = [np.sort(score[m & some])[0] if (m & some).sum() == k else -np.inf for m in own]
+            return pa.table({"q": pa.array(each.astype(np.int32)), "kth": pa.array(kth, pa.float64()), "least": pa.array([low[m][0] for m in own], pa.float64())})
+
+        heads = spark.createDataFrame([(x,) for x in first], "block long")
+        found = light.join(F.broadcast(heads), "block", "left_semi").groupBy("block").applyInArrow(seeds, "q int, kth double, least double")
+        for r in found.groupBy("q").agg(F.max("kth").alias("kth"), F.min("least").alias("least")).collect():
+            limit[r["q"]], least[r["q"]] = r["kth"], r["least"]
+    negative = np.zeros(n, bool)
+    negative[block.queries[block.weights < 0]] = True
+    everywhere = {r["q"] for r in chosen if r["blocks"] == index.figures.n_blocks}
+    sure = np.array([not negative[q] and (least[q] <= 0 or q not in everywhere) for q in range(n)], bool) if n else np.zeros(0, bool)
+    limit[~sure] = -np.inf
+
+    def kept(rows: pa.Table) -> pa.Table:
+        word = block.found(rows.column("h").to_numpy())
+        reached = replace(block, weights=np.ones(len(block.weights))).scores(np.zeros(len(word)), word, np.ones(len(word)), 1)[0] > 0
+        q = np.flatnonzero(reached & (_bound(block, word, rows.column("most").to_numpy()) >= limit - SLACK))
+        return pa.table({"block": pa.array([rows.column("block")[0].as_py()] * min(1, len(q)), pa.int64()), "qs": pa.array([q.tolist()] * min(1, len(q)), pa.list_(pa.int32()))})
+
+    survivors = checkpointed(light.select("h", "block", "most").groupBy("block").applyInArrow(kept, "block long, qs array<int>"))
+    heavy = light.join(survivors.select("block"), "block", "left_semi")
+
+    def exact(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted = np.zeros(n, bool)
+        wanted[right.column("qs")[0].as_py()] = True
+        return _decoded(block, left, wanted, k)
+
+    best = checkpointed(heavy.groupBy("block").cogroup(survivors.groupBy("block")).applyInArrow(exact, _BEST))
+    over = {r["q"]: r for r in best.groupBy("q").agg(F.max("bm25").alias("most"), F.min("bm25").alias("low"), F.min("least").alias("least")).collect()}
+    for r in chosen:
+        q = r["q"]
+        bare = r["blocks"] < index.figures.n_blocks  # a block without any of the words
+        low = 0.0 if sure[q] else over[q]["least"]
+        least[q] = min(low, 0.0) if bare else low
+        most[q] = max(over[q]["most"], 0.0) if bare or least[q] <= 0 <= over[q]["least"] else over[q]["most"]
+    return Lexical(best, least, most, light, heavy)
+
+
+def lexical_topk(index: TextIndex, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, doc_id, bm25, rank): the k best of the documents with a word of the query and a score, ties by ordinal."""
+    spark = index.docs.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    whole = None
+    for block in blocks_of(queries, index):
+        ids = spark.createDataFrame(list(enumerate(block.ids)), f"q int, query_id {kind}")
+        found = lexical(index, block, k).best.where("slot is not null").join(index.docs.select("block", "slot", "doc_id", "ordinal"), ["block", "slot"])
+        found = found.join(F.broadcast(ids), "q").select("query_id", "doc_id", "ordinal", "bm25")
+        whole = found if whole is None else whole.union(found)
+    if whole is None:
+        whole = index.docs.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "doc_id", "ordinal", F.lit(0.0).alias("bm25"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "ordinal"))
+    return whole.withColumn("rank", rank).where(F.col("rank") <= k).drop("ordinal")
+
+
+def keyword_bounds(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, least, most) of the lexical scores of all chunks: those without a word of the query score 0."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = []
+    for block in blocks_of(queries, index):
+        found = lexical(index, block)
+        rows += [(q, float(a), float(b)) for q, a, b in zip(block.ids, found.least, found.most, strict=True)] if index.figures.n_docs else []
+    return index.docs.sparkSession.createDataFrame(rows, f"query_id {kind}, least double, most double")
+
+
+def _parts(batch: pa.RecordBatch, block: Block, words: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None, np.ndarray, np.ndarray]]:
     """(rows, lexical scores, cosines, which rows have a vector) of parts of a batch, so small that no matrix is larger than CELLS."""
     n = max(1, len(block.ids))
-    ends = np.cumsum(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        most = max(1, CELLS // n)
-        end = min(batch.num_rows, start + most, max(start + 1, int(np.searchsorted(ends, before + most, "right"))))
-        rows = batch.slice(start, end - start)
-        start = end
-        terms = rows.column("terms")
-        held = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        of, tf = terms.flatten().to_numpy(), rows.column("counts").flatten().to_numpy().astype(float)
-        dl = np.repeat(rows.column("dl").to_numpy(), held)
-        lexical = np.zeros((len(held), len(block.ids)))
-        if len(of):
-            weight = tf * (block.k1 + 1) / (tf + block.k1 * (1 - block.b + block.b * dl / block.avgdl))
-            first = (np.cumsum(held) - held)[held > 0]
-            lexical[held > 0] = np.add.reduceat(block.weights[of] * weight[:, None], first, axis=0)
+    step = max(1, CELLS // n)
+    for start in range(0, batch.num_rows, step):
+        rows = batch.slice(start, step)
+        scores = None
+        if words:
+            terms = rows.column("terms")
+            held = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            word = block.found(terms.flatten().to_numpy())
+            asked = word >= 0
+            line = np.repeat(np.arange(len(held)), held)[asked]
+            tf = rows.column("counts").flatten().to_numpy()[asked].astype(float)
+            dl = rows.column("dl").to_numpy()[line]
+            scores = block.scores(line, word[asked], tf * (block.k1 + 1) / (tf + block.k1 * (1 - block.b + block.b * dl / block.avgdl)), len(held))
         unit, given = _matrix(rows.column("vector"), block.vectors.shape[1])
-        yield rows, np.round(lexical, 9), unit @ block.vectors.T, given
+        yield rows, scores, unit @ block.vectors.T, given
 
 
 def _inside(rows: pa.RecordBatch, sources: list[str] | None) -> np.ndarray:
     """Which rows are of the sources; no sources or empty ones are no filter."""
     if not sources or not any(sources):
         return np.ones(rows.num_rows, bool)
-    return np.array([x in sources for x in rows.column("data_source_type").to_pylist()])
+    return pc.is_in(rows.column("data_source_type"), value_set=pa.array(sources, pa.string())).to_numpy(zero_copy_only=False)
 
 
 def _of_sources(rows: pa.RecordBatch, each_source: bool) -> list[tuple[str | None, np.ndarray]]:
     """(source, places) of the rows; all in one if sources don't matter."""
     if not each_source:
         return [(None, np.arange(rows.num_rows))]
-    names = rows.column("data_source_type").to_pylist()
-    return [(name, np.array([i for i, x in enumerate(names) if x == name])) for name in set(names)]
+    coded = rows.column("data_source_type").dictionary_encode()
+    codes = coded.indices.fill_null(-1).to_numpy()
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order])) + 1
+    names = coded.dictionary.to_pylist()
+    return [(None if codes[at[0]] < 0 else names[codes[at[0]]], at) for at in np.split(order, cuts) if len(at)]
 
 
-def _extremes(block: Block, sources: list[str] | None, each_source: bool) -> Callable[[Batches], Batches]:
-    """(q, source, least, most, top) of a part of the chunks: extremes of lexical scores over all, of cosines over those of the filter."""
+def _tops(block: Block, sources: list[str] | None, each_source: bool) -> Callable[[Batches], Batches]:
+    """(q, source, top): the largest cosine in a part of the chunks, over those of the filter."""
 
     def run(batches: Batches) -> Batches:
         n = len(block.ids)
         found: dict[str | None, np.ndarray] = {}
-        low, high = np.full(n, np.inf), np.full(n, -np.inf)
         for batch in batches:
-            for rows, lexical, cosine, given in _parts(batch, block):
-                low, high = np.minimum(low, lexical.min(0)), np.maximum(high, lexical.max(0))
+            for rows, _, cosine, given in _parts(batch, block, words=False):
                 usable = given & _inside(rows, sources)
                 for source, places in _of_sources(rows, each_source):
                     here = places[usable[places]]
@@ -182,8 +339,7 @@ def _extremes(block: Block, sources: list[str] | None, each_source: bool) -> Cal
                     if len(here):
                         np.maximum(top, np.where(block.given, cosine[here].max(0), -np.inf), out=top)
         for source, top in found.items():
-            columns = [pa.array(np.arange(n, dtype=np.int32)), pa.array([source] * n, pa.string()), pa.array(low), pa.array(high), pa.array(top)]
-            yield pa.RecordBatch.from_arrays(columns, ["q", "source", "least", "most", "top"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([source] * n, pa.string()), pa.array(top)], ["q", "source", "top"])
 
     return run
 
@@ -197,18 +353,14 @@ class Bounds:
     top: dict[str | None, np.ndarray]
 
 
-def bounds_of(ready: DataFrame, block: Block, sources: list[str] | None = None, each_source: bool = False) -> Bounds | None:
-    """Extremes of each task are put together first; None if there are no chunks."""
-    found = ready.mapInArrow(_extremes(block, sources, each_source), "q int, source string, least double, most double, top double")
-    rows = found.groupBy("q", "source").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("top").alias("top")).collect()
-    if not rows:
-        return None
-    n = len(block.ids)
-    least, most, top = np.full(n, np.inf), np.full(n, -np.inf), {}
-    for r in rows:
-        least[r["q"]], most[r["q"]] = min(least[r["q"]], r["least"]), max(most[r["q"]], r["most"])
-        top.setdefault(r["source"], np.full(n, -np.inf))[r["q"]] = r["top"]
-    return Bounds(least, most, {source: np.where(np.isinf(x), 1.0, x) for source, x in top.items()})
+def bounds_of(index: TextIndex, block: Block, sources: list[str] | None = None, each_source: bool = False) -> Bounds:
+    """Extremes of each task are put together first."""
+    words = lexical(index, block)
+    found = index.docs.select("data_source_type", "vector").mapInArrow(_tops(block, sources, each_source), "q int, source string, top double")
+    top: dict[str | None, np.ndarray] = {}
+    for r in found.groupBy("q", "source").agg(F.max("top").alias("top")).collect():
+        top.setdefault(r["source"], np.full(len(block.ids), -np.inf))[r["q"]] = r["top"]
+    return Bounds(words.least, words.most, {source: np.where(np.isinf(x), 1.0, x) for source, x in top.items()})
 
 
 def _best(t: pa.Table, k: int, each_source: bool) -> pa.Table:
@@ -233,7 +385,7 @@ def _found(block: Block, bounds: Bounds, k: int, by: str, sources: list[str] | N
         cosine = np.where(known, cosine, 0.0)
         keyword = np.where(bounds.most == bounds.least, 0.5, (lexical - bounds.least) / spread_of)
         semantic = np.where(top > 0, cosine / np.where(top > 0, top, 1.0), 0.0)
-        return {"bm25": lexical, "cosine": np.where(known, cosine, np.nan), "keyword": keyword, "semantic": semantic, "final_score": np.round(alpha * semantic + (1 - alpha) * keyword, 9)}
+        return {"bm25": lexical, "cosine": np.where(known, cosine, np.nan), "keyword": keyword, "semantic": semantic, "final_score": alpha * semantic + (1 - alpha) * keyword}
 
     def run(batches: Batches) -> Batches:
         parts: list[pa.Table] = []
@@ -268,49 +420,37 @@ def _found(block: Block, bounds: Bounds, k: int, by: str, sources: list[str] | N
     return run
 
 
-def search(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, k: int = TOP_K, by: str = "final_score", sources: list[str] | None = None, each_source: bool = False, alpha: float = S.ALPHA, index: Bm25Index | None = None) -> DataFrame:
+def search(index: TextIndex, queries: DataFrame, k: int = TOP_K, by: str = "final_score", sources: list[str] | None = None, each_source: bool = False, alpha: float = S.ALPHA) -> DataFrame:
     """(query_id, doc_id, data_source_type, ordinal, bm25, cosine, keyword, semantic, final_score, rank): the k best chunks of each query by one of the scores, ties by ordinal.
 
     Lexical scores are normalised over the whole corpus, semantic ones over the chunks of the
     filter: with sources (None or empty ones are no filter), only those chunks are found; with
     each_source there are k of each source, and the largest semantic score is the source's. A chunk
     or query without a vector has no cosine and a semantic score of 0; by cosine it isn't found.
+    Scores are rounded to 9 digits for the order, so that the order of a sum decides no tie.
     """
-    index = index or build(chunks)
-    spark = chunks.sparkSession
-    kind = {f.name: f.dataType.simpleString() for f in [*chunks.schema.fields, *queries.schema.fields]}
+    spark, docs = index.docs.sparkSession, index.docs
+    kind = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *queries.schema.fields]}
     out = f"q int, doc_id {kind['doc_id']}, data_source_type string, ordinal {kind['ordinal']}, " + ", ".join(f"{c} double" for c in _FIGURES)
     group = ["query_id", "data_source_type"] if each_source else ["query_id"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round(by, 9)), "ordinal"))
-    size = max(1, min(BLOCK, BOUNDS // max(1, chunks.select("data_source_type").distinct().count()))) if each_source else BLOCK
+    size = max(1, min(BLOCK, BOUNDS // max(1, docs.select("data_source_type").distinct().count()))) if each_source else BLOCK
     names = ["query_id", "doc_id", "data_source_type", "ordinal", *_FIGURES]
     whole = None
     for block in blocks_of(queries, index, size):
-        ready = prepared(chunks, vectors, block)
-        bounds = bounds_of(ready, block, sources, each_source)
-        if bounds:
-            ids = spark.createDataFrame(list(enumerate(block.ids)), f"q int, query_id {kind['query_id']}")
-            found = ready.mapInArrow(_found(block, bounds, k, by, sources, each_source, alpha), out).join(F.broadcast(ids), "q").select(*names)
-            whole = found if whole is None else whole.union(found)
+        bounds = bounds_of(index, block, sources, each_source)
+        ids = spark.createDataFrame(list(enumerate(block.ids)), f"q int, query_id {kind['query_id']}")
+        rows = docs.select("doc_id", "data_source_type", "ordinal", "terms", "counts", "dl", "vector")
+        found = rows.mapInArrow(_found(block, bounds, k, by, sources, each_source, alpha), out).join(F.broadcast(ids), "q").select(*names)
+        whole = found if whole is None else whole.union(found)
     if whole is None:
         whole = spark.createDataFrame([], f"query_id {kind['query_id']}, {out.removeprefix('q int, ')}")
     return whole.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_bounds(chunks: DataFrame, queries: DataFrame, index: Bm25Index | None = None) -> DataFrame:
-    """(query_id, least, most) of the lexical scores of all chunks: those without a word of the query score 0."""
-    index = index or build(chunks)
-    kind = queries.schema["query_id"].dataType.simpleString()
-    rows = []
-    for block in blocks_of(queries, index):
-        bounds = bounds_of(prepared(chunks, None, block), block)
-        rows += [(q, float(a), float(b)) for q, a, b in zip(block.ids, bounds.least, bounds.most, strict=True)] if bounds else []
-    return chunks.sparkSession.createDataFrame(rows, f"query_id {kind}, least double, most double")
-
-
 def dedup_best(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each chunk: its best score, at the place where it was first seen (arrival)."""
-    best = Window.partitionBy(id_col).orderBy(F.desc("final_score"), "arrival")
+    best = Window.partitionBy(id_col).orderBy(F.desc(F.round("final_score", 9)), "arrival")
     first = F.min("arrival").over(Window.partitionBy(id_col))
     return found.withColumn("first_arrival", first).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 

@@ -1,12 +1,19 @@
-"""Where intermediate tables go, and how inputs of few parts are dealt out."""
+"""Where intermediate tables go, how inputs of few parts are dealt out, and tables that are made once from the same files."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Made = TypeVar("Made")
+#: What was made from files, by application, name and the files' state.
+_MADE: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder; a lost executor loses none of it."""
     shared_folder(df.sparkSession)
@@ -29,12 +41,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def through_json(df: DataFrame, name: str) -> DataFrame:
     """df, written as JSON lines under a new name in the shared folder, and read again by its own schema."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.json(path)
     return spark.read.schema(df.schema).json(path)
 
 
+def through_parquet(df: DataFrame, name: str) -> DataFrame:
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def state_of(*tables: DataFrame) -> tuple:
+    """The files of tables as they are now: how many, and a sum of the hashes of their paths, sizes and times. No column is read."""
+    state = []
+    for df in tables:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        state.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()))
+    return tuple(state)
+
+
+def made_once(spark: SparkSession, name: str, files: list[DataFrame], make: Callable[[], Made]) -> Made:
+    """What `make` gives: made once in an application for the present state of these files. It must lie in the shared folder, not in a session's memory."""
+    key = (spark.sparkContext.applicationId, name, state_of(*files))
+    if key not in _MADE:
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, if it has fewer parts than twice their number: a small file is one part. Larger inputs stay as they are."""
+    """df over all cores, if it comes from one file, whose parts are fewer than twice their number; inputs of several files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if len(df.inputFiles()) <= 1 and df.rdd.getNumPartitions() < 2 * cores else df

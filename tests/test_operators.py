@@ -8,9 +8,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import bm25, retrieval
+from corpusloom.operators import retrieval
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import telemetry as T
+from corpusloom.operators.index import build_index, open_index
 from corpusloom.sources import storage
 from corpusloom.streaming import telemetry as stream
 
@@ -32,20 +33,20 @@ DOCS = ["the red fox", "the blue fox fox", "", "the green dog", "the dog the end
 def test_bm25(spark):
     chunks = spark.createDataFrame([(i, d or None, "s", i) for i, d in enumerate(DOCS)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
     queries = spark.createDataFrame([(0, "the fox fox", None), (1, "unknown", None), (2, "", None), (3, None, None)], "query_id long, query string, vector array<double>")
-    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in retrieval.search(chunks, None, queries, by="bm25").collect()}
+    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in retrieval.search(build_index(chunks), queries, by="bm25").collect()}
     want = okapi(DOCS, "the fox fox")
     assert {k: pytest.approx(v, abs=1e-8) for (q, k), v in got.items() if q == 0} == dict(enumerate(want))
     assert len(got) == 20 and not any(v for (q, _), v in got.items() if q > 0)
-    bounds = {r["query_id"]: (r["least"], r["most"]) for r in retrieval.keyword_bounds(chunks, queries).collect()}
+    bounds = {r["query_id"]: (r["least"], r["most"]) for r in retrieval.keyword_bounds(build_index(chunks), queries).collect()}
     assert bounds[0] == (pytest.approx(min(want), abs=1e-8), pytest.approx(max(want), abs=1e-8)) and bounds[1] == bounds[3] == (0.0, 0.0)
-    assert retrieval.keyword_bounds(chunks.limit(0), queries).count() == 0
+    assert retrieval.keyword_bounds(build_index(chunks.limit(0)), queries).count() == 0
 
 
 def corpus(spark):
     chunks = spark.createDataFrame([(i, d, "ab"[i % 2], i) for i, d in enumerate(DOCS)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (3, [0.0, 1.0])], "doc_id long, vector array<double>")
     queries = spark.createDataFrame([(7, "fox", [1.0, 0.0])], "query_id long, query string, vector array<double>")
-    return chunks, vectors, queries
+    return build_index(chunks, vectors), queries
 
 
 def test_hybrid_scores(spark):
@@ -61,7 +62,7 @@ def test_search_against_brute_force(spark, monkeypatch, each_source):
 
     import numpy as np
 
-    for name, value in (("BLOCK", 3), ("CELLS", 40), ("HELD", 20)):
+    for name, value in (("BLOCK", 3),):
         monkeypatch.setattr(retrieval, name, value)
     r = random.Random(3)
     words = [f"w{i}" for i in range(30)]
@@ -69,13 +70,12 @@ def test_search_against_brute_force(spark, monkeypatch, each_source):
     kinds = (None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0])
     vec = {i: kinds[i % 7] if i % 7 < 4 else [r.uniform(-1, 1) for _ in range(3)] for i in range(50)}
     asked = [(q, " ".join(r.choices(words, k=4)), None if q == 2 else [r.uniform(-1, 1) for _ in range(3)]) for q in range(7)]
-    found = retrieval.search(
+    index = build_index(
         spark.createDataFrame(docs, "doc_id long, raw_chunk string, data_source_type string, ordinal long").repartition(4),
         spark.createDataFrame(list(vec.items()), "doc_id long, vector array<double>"),
-        spark.createDataFrame(asked, "query_id long, query string, vector array<double>"),
-        k=5,
-        each_source=each_source,
+        block_docs=7,
     )
+    found = retrieval.search(index, spark.createDataFrame(asked, "query_id long, query string, vector array<double>"), k=5, each_source=each_source)
     got = {}
     for x in found.orderBy("rank").collect():
         got.setdefault((x["query_id"], x["data_source_type"] if each_source else 0), []).append((x["doc_id"], round(x["final_score"], 6)))
@@ -97,6 +97,55 @@ def test_search_against_brute_force(spark, monkeypatch, each_source):
     assert got == want
 
 
+def test_postings_give_what_a_scan_gives(spark):
+    """Top-k and extremes by block maxima: queries with words of no chunk, of every chunk, and of so many that their weight would be negative."""
+    import random
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    docs = ["all " + " ".join(r.choices(words, [1 / (i + 1) for i in range(60)], k=r.randint(0, 30))) for _ in range(300)] + ["all rare rare rare", "all"]
+    chunks = spark.createDataFrame([(i, d, None, i) for i, d in enumerate(docs)], "doc_id long, raw_chunk string, data_source_type string, ordinal long").repartition(3)
+    index = build_index(chunks, block_docs=16)
+    asked = ["rare", "rare w50", "w0 w1 w2", "all", "all w3", "nowhere", "", "w7 w7 w9", "w40 w41 w42"]
+    queries = spark.createDataFrame([(i, q, None) for i, q in enumerate(asked)], "query_id long, query string, vector array<double>")
+    scores = [okapi(docs, q) for q in asked]
+    bounds = {x["query_id"]: (x["least"], x["most"]) for x in retrieval.keyword_bounds(index, queries).collect()}
+    assert bounds == {q: (pytest.approx(min(s), abs=1e-9), pytest.approx(max(s), abs=1e-9)) for q, s in enumerate(scores)}
+    got = {q: [] for q in range(len(asked))}
+    for x in retrieval.lexical_topk(index, queries, 5).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["doc_id"], x["bm25"]))
+    for q, s in enumerate(scores):
+        best = sorted((i for i in range(len(docs)) if round(s[i], 9)), key=lambda i: (-round(s[i], 9), i))[:5]  # noqa: B023
+        assert got[q] == [(i, pytest.approx(s[i], abs=1e-9)) for i in best]
+    rare = next(retrieval.blocks_of(queries.where("query_id = 1"), open_index(spark, index.path)))
+    found = retrieval.lexical(index, rare)
+    assert 0 < found.decoded.count() < 0.5 * found.listed.count()
+
+
+def test_scores_in_parts(monkeypatch):
+    """Sparse products in bounded memory give what a dense one gives."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    dense = r.normal(size=(9, 5)) * (r.random((9, 5)) < 0.5)
+    word, query = np.nonzero(dense)
+    block = retrieval.Block(list(range(5)), np.zeros((5, 0)), np.zeros(5, bool), np.arange(9), np.searchsorted(word, np.arange(10)), query, dense[word, query], 1.0, 1.5, 0.75)
+    rows, words, values = r.integers(0, 4, 50), r.integers(0, 9, 50), r.normal(size=50)
+    left = np.zeros((4, 9))
+    np.add.at(left, (rows, words), values)
+    for cells in (1, 7, 1000):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        assert np.allclose(block.scores(rows, words, values, 4), left @ dense)
+        some = np.array([True, False, False, True, False])
+        assert np.allclose(block.only(some).scores(rows, words, values, 4), left @ (dense * some))
+
+
+def test_scores_that_differ_beyond_the_sixth_digit_only(spark):
+    """The order is by 9 digits of the unrounded score, which is handed on as it is."""
+    seen = spark.createDataFrame([(1, 0.123456499, 1), (1, 0.123456501, 2), (2, 0.12345650004, 0)], "doc_id long, final_score double, arrival int")
+    assert {(x["doc_id"], x["final_score"], x["first_arrival"]) for x in retrieval.dedup_best(seen).collect()} == {(1, 0.123456501, 1), (2, 0.12345650004, 0)}
+
+
 def test_filter_keeps_lexical_scale_but_not_the_vectors(spark):
     rows = {r["doc_id"]: r for r in retrieval.search(*corpus(spark), sources=["b"]).collect()}
     assert set(rows) == {1, 3} and rows[1]["keyword"] == 1.0 and rows[1]["semantic"] == 0.0  # the largest cosine is 0 there
@@ -107,7 +156,7 @@ def test_filter_keeps_lexical_scale_but_not_the_vectors(spark):
 def test_ties_by_ordinal_and_dedup(spark):
     chunks = spark.createDataFrame([(i, "same words", "s", i) for i in (6, 5, 4)], "doc_id long, raw_chunk string, data_source_type string, ordinal long").repartition(3)
     query = spark.createDataFrame([(1, "words", None)], "query_id long, query string, vector array<double>")
-    assert [r["doc_id"] for r in retrieval.search(chunks, None, query, 2).orderBy("rank").collect()] == [4, 5]
+    assert [r["doc_id"] for r in retrieval.search(build_index(chunks), query, 2).orderBy("rank").collect()] == [4, 5]
     seen = spark.createDataFrame([(1, 0.2, 1), (1, 0.9, 4), (2, 0.5, 2), (None, 0.1, 0), (None, 0.1, 3)], "doc_id long, final_score double, arrival int")
     assert {(r["doc_id"], r["final_score"], r["first_arrival"]) for r in retrieval.dedup_best(seen).collect()} == {(1, 0.9, 1), (2, 0.5, 2), (None, 0.1, 0)}
 
