@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters at which str.split() of Python splits, for Java's regular expressions.
@@ -54,22 +56,40 @@ def json_safe(text: Column) -> Column:
     return F.regexp_replace(text, r'[\x00-\x1F"\\]', " ")
 
 
-def extract_json(text: Column) -> tuple[Column, Column]:
-    """(json, error): the JSON text in a reply, or why there is none.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is worked out once, however often the expression has it; filters may be pushed through it without multiplying it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def extract_json(text: Column) -> Column:
+    """(json, error) as a struct: the JSON text in a reply, or why there is none.
 
     The first fenced block replaces the text; the earlier of `{` and `[` opens, the last closer of
     that kind ends. error is `none found`, `no closer`, `parse error` or null.
     """
     fence = r"(?s)```(?:json)?\s*(.*?)\s*```"
+
+    def judged(body: Column, start: Column, end: Column) -> Column:
+        # The parser stops behind the first value; as the only element of an array it must be all.
+        valid = lambda found: F.coalesce(F.size(F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))).cast("array<variant>")) == 1, F.lit(False))
+        error = lambda found: F.when(start == 0, "none found").when(end < start, "no closer").when(~valid(found), "parse error")
+        whole = lambda found: _let(error(found), lambda e: F.struct(F.when(e.isNull(), found).alias("json"), e.alias("error")))
+        return _let(F.substring(body, start, end - start + 1), whole)
+
+    def closed(body: Column, start: Column, is_object: Column) -> Column:
+        back = F.instr(F.reverse(body), F.when(is_object, F.lit("}")).otherwise(F.lit("]")))
+        return _let(F.when(back > 0, F.length(body) - back + 1).otherwise(0), lambda end: judged(body, start, end))
+
+    def opened(body: Column) -> Column:
+        brace, bracket = F.instr(body, "{"), F.instr(body, "[")
+        first = F.struct(F.when((brace > 0) & ((bracket == 0) | (brace < bracket)), brace).otherwise(bracket).alias("start"), ((brace > 0) & ((bracket == 0) | (brace < bracket))).alias("object"))
+        return _let(first, lambda x: closed(body, x["start"], x["object"]))
+
     plain = stripped(F.coalesce(text, F.lit("")))
-    body = F.when(plain.rlike(fence), F.regexp_extract(plain, fence, 1)).otherwise(plain)
-    brace, bracket = F.instr(body, "{"), F.instr(body, "[")
-    obj = (brace > 0) & ((bracket == 0) | (brace < bracket))
-    start = F.when(obj, brace).otherwise(bracket)
-    from_end = F.instr(F.reverse(body), F.when(obj, F.lit("}")).otherwise(F.lit("]")))
-    end = F.when(from_end > 0, F.length(body) - from_end + 1).otherwise(0)
-    found = F.substring(body, start, end - start + 1)
-    # The parser stops behind the first value; as the only element of an array it must be all.
-    valid = F.coalesce(F.size(F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))).cast("array<variant>")) == 1, F.lit(False))
-    error = F.when(start == 0, "none found").when(end < start, "no closer").when(~valid, "parse error")
-    return F.when(error.isNull(), found), error
+    return _let(plain, lambda p: _let(F.when(p.rlike(fence), F.regexp_extract(p, fence, 1)).otherwise(p), opened))
+
+
+def with_json(df: DataFrame, column: str) -> DataFrame:
+    """df with json and error of a column of replies; columns of these names are replaced."""
+    names = [c for c in df.columns if c not in ("json", "error")]
+    return df.select(*names, extract_json(F.col(column)).alias("_found")).select(*names, "_found.json", "_found.error")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
-from corpusloom.functions.text import company_code, extract_json, snippet, title
+from corpusloom.functions.text import company_code, snippet, title, with_json
 from corpusloom.jobs import retrieval, sql
 from corpusloom.jobs.validation import RUN, results
 from corpusloom.operators import evaluation as E
@@ -107,8 +107,7 @@ def bias_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    json, error = extract_json(F.col("reply"))
-    return replies(spark, sf_dir).select("reply_id", "prompt", json.alias("json"), error.alias("error"))
+    return with_json(replies(spark, sf_dir), "reply").select("reply_id", "prompt", "json", "error")
 
 
 def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:

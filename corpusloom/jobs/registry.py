@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.jobs import evaluation, replies, reports, retrieval, telemetry, validation
+from corpusloom.jobs import evaluation, replies, reports, research, retrieval, telemetry, validation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | replies.QUERIES | validation.QUERIES | reports.QUERIES | telemetry.QUERIES
-ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | replies.ORACLE_SQL | validation.ORACLE_SQL | reports.ORACLE_SQL | telemetry.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = retrieval.QUERIES | evaluation.QUERIES | replies.QUERIES | validation.QUERIES | reports.QUERIES | research.QUERIES | telemetry.QUERIES
+ORACLE_SQL: dict[str, str] = retrieval.ORACLE_SQL | evaluation.ORACLE_SQL | replies.ORACLE_SQL | validation.ORACLE_SQL | reports.ORACLE_SQL | research.ORACLE_SQL | telemetry.ORACLE_SQL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import extract_json
+from corpusloom.functions.text import with_json
 from corpusloom.jobs import retrieval, sql
 from corpusloom.operators import retrieval as R
 from corpusloom.sources.tables import AGENT_REPLIES, agent_replies, replies
@@ -17,11 +17,9 @@ NOT_EVALUATED = "Evaluation failed, defaulting to approval."
 PLANNER_RATE, RECALL_RATE, PASSES = 0.8, 0.5, 2
 
 
-def _parsed(spark: SparkSession, sf_dir: str, agent: str) -> DataFrame:
-    """(reply_id, json, object): object is the JSON if it is one, else null."""
-    json, _ = extract_json(F.col("reply"))
-    found = agent_replies(spark, sf_dir, agent).select("reply_id", json.alias("json"))
-    return found.withColumn("object", F.when(F.col("json").startswith("{"), F.col("json")))
+def _parsed(spark: SparkSession, sf_dir: str, agent: str, turn: int = 0) -> DataFrame:
+    """(reply_id, json, object) of an agent's replies in a pass: object is the JSON if it is one, else null."""
+    return with_json(agent_replies(spark, sf_dir, agent, turn), "reply").select("reply_id", "json", F.when(F.col("json").startswith("{"), F.col("json")).alias("object"))
 
 
 def _field(name: str, kind: str = "string") -> F.Column:
@@ -34,11 +32,11 @@ def orchestrator_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, "orchestrator").select("reply_id", *map(field, GENERAL), F.col("json").isNull().alias("fallback"))
 
 
-def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _evaluated(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
     """(reply_id, decision, reason, confidence, hallucination): the decision as it is written; what is no object approves."""
     given = F.col("object").isNotNull()
     reason = F.when(given, F.coalesce(_field("reason"), F.lit("No reason provided"))).otherwise(NOT_EVALUATED)
-    return _parsed(spark, sf_dir, "evaluator").select(
+    return _parsed(spark, sf_dir, "evaluator", turn).select(
         "reply_id",
         F.coalesce(_field("decision"), F.lit("approve")).alias("decision"),
         reason.alias("reason"),
@@ -52,12 +50,11 @@ def evaluator_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retry_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passes of each query, PASSES at most: another one if the reply says `reject`, just so. A second pass is answered by the next item's reply, if there is one."""
+    """Passes of each query, PASSES at most: another one, with a reply of its own, if the reply says `reject`, just so."""
     first = _evaluated(spark, sf_dir).select("reply_id", "decision")
-    second = first.select((F.col("reply_id") - 1).alias("reply_id"), F.col("decision").alias("second"))
+    second = _evaluated(spark, sf_dir, 1).select("reply_id", F.col("decision").alias("second"))
     again = F.col("decision") == "reject"
-    final = F.when(again, F.coalesce("second", F.lit("approve"))).otherwise(F.col("decision"))
-    return first.join(second, "reply_id", "left").select("reply_id", F.when(again, PASSES).otherwise(1).cast("long").alias("iterations"), final.alias("decision"), again.alias("retried"))
+    return first.join(second, "reply_id").select("reply_id", F.when(again, PASSES).otherwise(1).cast("long").alias("iterations"), F.when(again, F.col("second")).otherwise(F.col("decision")).alias("decision"), again.alias("retried"))
 
 
 def golden_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +64,13 @@ def golden_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("reply_id", F.format_string("GOLD_%03d", "reply_id").alias("golden_id"), _field("query").alias("query"), _field("fact").alias("fact"))
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _planned(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
     """(reply_id, subs, fallback): the value of sub_queries of an object that has it, a list as it is, else the prompt alone; as a variant, of any kind."""
-    json, _ = extract_json(F.col("reply"))
     value = F.try_parse_json(F.col("json"))
     of_object = F.try_variant_get(value, "$.sub_queries", "variant")
     has = F.array_contains(F.json_object_keys(F.when(F.col("json").startswith("{"), F.col("json"))), "sub_queries")
     found = F.when(has, of_object).when(F.col("json").startswith("["), value)
-    return replies(spark, sf_dir).select("reply_id", "prompt", json.alias("json")).select("reply_id", found.alias("subs"), found.isNull().alias("fallback"))
+    return with_json(replies(spark, sf_dir, turn), "reply").select("reply_id", "prompt", found.alias("subs")).select("*", F.col("subs").isNull().alias("fallback"))
 
 
 def planner_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +92,11 @@ def retrieval_recall_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.raw_recall_rank(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_queries"), F.round(rate, 6).alias("recall"), (rate >= RECALL_RATE).alias("passed"))
 
 
-def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rankings(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
     """(query_id, ranked): the indices of an object's ranked_indices, none if it has no such key, null if that isn't a list of whole numbers or there is no object."""
     has = F.array_contains(F.json_object_keys("object"), "ranked_indices")
     ranked = F.when(has, _field("ranked_indices", "array<int>")).when(F.col("object").isNotNull(), F.array().cast("array<int>"))
-    return _parsed(spark, sf_dir, "reranker").select(F.col("reply_id").alias("query_id"), ranked.alias("ranked"))
+    return _parsed(spark, sf_dir, "reranker", turn).select(F.col("reply_id").alias("query_id"), ranked.alias("ranked"))
 
 
 def rerank_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,8 +154,9 @@ QUERIES = {
 ORACLE_SQL = {
     "orchestrator_reply": f"{_replies('orchestrator')} select reply_id, {', '.join(f"case when json is null then '{v}' else o->>'$.{k}' end as {k}" for k, v in GENERAL.items())}, json is null as fallback from p",
     "evaluator_reply": f"{_EVALUATED} select * from evaluated",
-    "retry_control": f"""{_EVALUATED} select a.reply_id, case when a.decision = 'reject' then {PASSES} else 1 end as iterations,
-  case when a.decision = 'reject' then coalesce(b.decision, 'approve') else a.decision end as decision, a.decision = 'reject' as retried from evaluated a left join evaluated b on b.reply_id = a.reply_id + 1""",
+    "retry_control": f"""{_EVALUATED}, {sql.agent_reply(AGENT_REPLIES["evaluator"], 1, "again")}, {sql.extracted("again", "reply_id", name="again_parsed")}, second as (
+  select reply_id, coalesce(case when starts_with(json, '{{') then cast(json as json) end->>'$.decision', 'approve') as decision from again_parsed
+) select a.reply_id, case when a.decision = 'reject' then {PASSES} else 1 end as iterations, case when a.decision = 'reject' then b.decision else a.decision end as decision, a.decision = 'reject' as retried from evaluated a join second b using (reply_id)""",
     "golden_reply": f"{_replies('golden')} select reply_id, printf('GOLD_%03d', reply_id) as golden_id, o->>'$.query' as query, o->>'$.fact' as fact from p where list_contains(json_keys(o), 'query') and list_contains(json_keys(o), 'fact')",
     "planner_check": f"{_PLANNED} select * from checked",
     "planner_pass_rate": f"{_PLANNED} select count(*) as n_replies, round(coalesce(avg(cast(valid as integer)), 0), 6) as pass_rate, coalesce(avg(cast(valid as integer)), 0) >= {PLANNER_RATE} as passed from checked",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.functions.text import PUNCTUATION, STOPWORDS
+from corpusloom.sources.tables import AGENT_REPLIES, CUT, MIX, STEP
 
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -28,7 +29,9 @@ QUERIES = """queries as (
   from benchmark left join embeddings e on e.vec_id = item_id
 )"""
 
-BM25 = f"""{CHUNKS}, {QUERIES}, tokens as (
+def bm25(queries: str) -> str:
+    """CTEs of the chunks, the queries and their lexical scores."""
+    return f"""{CHUNKS}, {queries}, tokens as (
   select doc_id, {words("raw_chunk")} as tokens from chunks
 ), corpus as (
   select count(*) as n_docs, sum(len(tokens)) as n_tokens, sum(len(tokens)) / count(*) as avgdl from tokens
@@ -50,6 +53,9 @@ BM25 = f"""{CHUNKS}, {QUERIES}, tokens as (
 )"""
 
 
+BM25 = bm25(QUERIES)
+
+
 def scored(where: str = "true", each_source: bool = False) -> str:
     """The CTE `scored` after those of BM25."""
     group = "query_id, data_source_type" if each_source else "query_id"
@@ -93,38 +99,42 @@ TELEMETRY = """parsed as (
 ), latest as (select * from telemetry order by ts desc, event_id desc limit 100)"""
 
 
-def extracted(table: str, keep: str, column: str = "reply") -> str:
-    """CTEs that end in `parsed`: the columns to keep, and json and error of a text column, as extract_json has them."""
-    return f"""bodies as (
+def extracted(table: str, keep: str, column: str = "reply", name: str = "parsed") -> str:
+    """CTEs that end in `name`: the columns to keep, and json and error of a text column, as extract_json has them."""
+    return f"""{name}_bodies as (
   select *, case when regexp_matches(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```') then regexp_extract(plain, '(?s)```(?:json)?\\s*(.*?)\\s*```', 1) else plain end as body
   from (select *, regexp_replace({column}, '^{WS}|{WS}$', '', 'g') as plain from {table})
-), spans as (
+), {name}_spans as (
   select *, case when o then strpos(body, '{{') else strpos(body, '[') end as first,
          case when strpos(reverse(body), case when o then '}}' else ']' end) > 0 then length(body) - strpos(reverse(body), case when o then '}}' else ']' end) + 1 else 0 end as last
-  from (select *, strpos(body, '{{') > 0 and (strpos(body, '[') = 0 or strpos(body, '{{') < strpos(body, '[')) as o from bodies)
-), parsed as (
+  from (select *, strpos(body, '{{') > 0 and (strpos(body, '[') = 0 or strpos(body, '{{') < strpos(body, '[')) as o from {name}_bodies)
+), {name} as (
   select {keep}, case when error is null then found end as json, error from (
     select *, case when first = 0 then 'none found' when last < first then 'no closer' when not json_valid(found) then 'parse error' end as error
-    from (select *, substr(body, first, greatest(last - first + 1, 0)) as found from spans)
+    from (select *, substr(body, first, greatest(last - first + 1, 0)) as found from {name}_spans)
   )
 )"""
 
 
-_SAFE = r"regexp_replace(coalesce(text, ''), '[\x00-\x1F\"\\]', ' ', 'g')"
-REPLIES = f"""replies as (
-  select item_id as reply_id, coalesce(text, '') as prompt, case item_id % 7
-    when 0 then '```json' || chr(10) || '{{"sub_queries": ["' || {_SAFE} || '", "' || item_id || '"]}}' || chr(10) || '```'
-    when 1 then 'Here they are: ["' || {_SAFE} || '"] and that is all'
-    when 2 then 'There is nothing for ' || item_id
-    when 3 then '{{"ranked_indices": [' || (item_id % 10) || ', 3, 99, -1, 3, 0]}} as asked'
-    when 4 then '  ["' || {_SAFE} || '", '
-    when 5 then '{{"decision": "approve", ' || item_id || '}}'
-    else '```' || chr(10) || '{{"sub_queries": []}}' || chr(10) || '```' end as reply
-  from benchmark
-), {extracted("replies", "reply_id, prompt, reply")}"""
-
-
-def agent_reply(cases: dict[int, str]) -> str:
-    """The CTE `replies` of one agent's replies, by the item's number; `?` in a case stands for the number, `~` for the item's text."""
-    quoted = {k: "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("?", "' || item_id || '").replace("~", f"' || {_SAFE} || '") + "'" for k, v in cases.items()}
-    return f"replies as (select item_id as reply_id, case item_id % {len(cases)} {' '.join(f'when {k} then {v}' for k, v in quoted.items())} end as reply from benchmark)"
+_SAFE = r"translate(regexp_replace(coalesce(text, ''), '[\x00-\x1F\"\\]', ' ', 'g'), '<>?#~', '     ')"
+_HALF = f"cast(floor(length({_SAFE}) / 2) as integer)"
+
+
+def form_of(forms: int, turn: int = 0) -> str:
+    return f"(abs(item_id) * {MIX} + {turn * STEP}) // {CUT} % {forms}"
+
+
+def agent_reply(cases: dict[int, str], turn: int = 0, name: str = "replies") -> str:
+    """The CTE of one agent's replies in a pass, with the marks of a case filled in."""
+    marks = {"?": "item_id", "#": "printf('%02d', abs(item_id) * 37 % 100)", "~": _SAFE, "<": f"left({_SAFE}, {_HALF})", ">": f"substr({_SAFE}, {_HALF} + 1)"}
+
+    def filled(case: str) -> str:
+        text = case.replace("'", "''").replace("\n", "' || chr(10) || '")
+        return "'" + "".join(f"' || {marks[c]} || '" if c in marks else c for c in text) + "'"
+
+    return f"""{name} as (
+  select item_id as reply_id, coalesce(text, '') as prompt, case {form_of(len(cases), turn)} {" ".join(f"when {k} then {filled(v)}" for k, v in cases.items())} end as reply from benchmark
+)"""
+
+
+REPLIES = f"{agent_reply(AGENT_REPLIES['planner'])}, {extracted('replies', 'reply_id, prompt, reply')}"

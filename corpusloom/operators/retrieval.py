@@ -448,10 +448,11 @@ def search(index: TextIndex, queries: DataFrame, k: int = TOP_K, by: str = "fina
     return whole.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dedup_best(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each chunk: its best score, at the place where it was first seen (arrival)."""
-    best = Window.partitionBy(id_col).orderBy(F.desc(F.round("final_score", 9)), "arrival")
-    first = F.min("arrival").over(Window.partitionBy(id_col))
+def dedup_best(found: DataFrame, *keys: str) -> DataFrame:
+    """One row for each chunk (keys, doc_id unless others are given): its best score, at the place where it was first seen (arrival)."""
+    keys = keys or ("doc_id",)
+    best = Window.partitionBy(*keys).orderBy(F.desc(F.round("final_score", 9)), "arrival")
+    first = F.min("arrival").over(Window.partitionBy(*keys))
     return found.withColumn("first_arrival", first).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 

@@ -59,26 +59,28 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(reply_id, prompt, reply): model replies as text, whole and broken in turn."""
-    n, text = F.col("item_id").cast("string"), json_safe(F.coalesce("text", F.lit("")))
-    forms = [
-        F.concat(F.lit('```json\n{"sub_queries": ["'), text, F.lit('", "'), n, F.lit('"]}\n```')),
-        F.concat(F.lit('Here they are: ["'), text, F.lit('"] and that is all')),
-        F.concat(F.lit("There is nothing for "), n),
-        F.concat(F.lit('{"ranked_indices": ['), (F.col("item_id") % 10).cast("string"), F.lit(", 3, 99, -1, 3, 0]} as asked")),
-        F.concat(F.lit('  ["'), text, F.lit('", ')),
-        F.concat(F.lit('{"decision": "approve", '), n, F.lit("}")),
-        F.lit('```\n{"sub_queries": []}\n```'),
-    ]
-    reply = forms[-1]
-    for i, form in enumerate(forms[:-1]):
-        reply = F.when(F.col("item_id") % 7 == i, form).otherwise(reply)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), F.coalesce("text", F.lit("")).alias("prompt"), reply.alias("reply"))
-
-
-#: Replies of agents as they come, whole, wrapped, broken or of another kind; `?` stands for the item's number, `~` for its text.
+#: Fixed numbers that choose the form of a reply to an item: a reply of a later pass has another one.
+MIX, STEP, CUT = 7_919, 104_729, 7
+
+
+def form_of(forms: int, turn: int = 0) -> F.Column:
+    """Which of so many forms an agent's reply to an item (item_id) has in a pass, counted from 0."""
+    return F.expr(f"(abs(item_id) * {MIX} + {turn * STEP}) div {CUT} % {forms}")
+
+
+#: Replies of agents as they come, whole, wrapped, broken or of another kind; `?` stands for the item's number, `#` for two digits of its own, `~` for its text, `<` and `>` for the halves of that.
 AGENT_REPLIES = {
+    "planner": {
+        0: '```json\n{"sub_queries": ["<", ">", "?"]}\n```',
+        1: 'Here they are: ["~"] and that is all',
+        2: "There is nothing for ?",
+        3: '{"ranked_indices": [?, 3, 99, -1, 3, 0]} as asked',
+        4: '  ["~", ',
+        5: '{"decision": "approve", ?}',
+        6: '```\n{"sub_queries": []}\n```',
+        7: '[">", "~", ?]',
+        8: '{"note": {"sub_queries": 1}, "sub_queries": [">", "<"]}',
+    },
     "orchestrator": {
         0: '```json\n{"type": "financial", "complexity": "simple", "workflow": "standard_research"}\n```',
         1: 'Sure: {"type": "case ?", "complexity": "complex"}',
@@ -88,11 +90,11 @@ AGENT_REPLIES = {
         5: '{"type": null, "complexity": "complex", "workflow": "fast"}',
     },
     "evaluator": {
-        0: '{"decision": "approve", "reason": "~", "confidence": 0.9, "hallucination_score": 0.1}',
-        1: '```json\n{"decision": "reject", "reason": "made up", "confidence": 0.4, "hallucination_score": 0.8}\n```',
+        0: '{"decision": "approve", "reason": "~", "confidence": 0.#, "hallucination_score": 0.1#}',
+        1: '```json\n{"decision": "reject", "reason": "made up", "confidence": 0.0#, "hallucination_score": 0.#}\n```',
         2: "cannot say",
         3: '{"decision": "Reject"}',
-        4: '{"confidence": 0.2}',
+        4: '{"confidence": 0.#}',
         5: '["approve"]',
         6: '{"decision": "reject", "reason": "again"} ?',
     },
@@ -116,11 +118,19 @@ AGENT_REPLIES = {
 }
 
 
-def agent_replies(spark: SparkSession, sf_dir: str, agent: str) -> DataFrame:
-    """(reply_id, reply) of an agent to each benchmark item: the case of the item's number modulo the number of cases."""
-    n, text = F.col("item_id").cast("string"), json_safe(F.coalesce("text", F.lit("")))
+def agent_replies(spark: SparkSession, sf_dir: str, agent: str, turn: int = 0) -> DataFrame:
+    """(reply_id, prompt, reply) of an agent to each benchmark item in a pass."""
     cases = AGENT_REPLIES[agent]
-    reply = F.lit(None).cast("string")
-    for k, case in cases.items():
-        reply = F.when(F.col("item_id") % len(cases) == k, F.replace(F.replace(F.lit(case), F.lit("?"), n), F.lit("~"), text)).otherwise(reply)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("reply_id"), reply.alias("reply"))
+    forms = spark.createDataFrame(list(cases.items()), "form int, reply string")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("prompt"), form_of(len(cases), turn).cast("int").alias("form")).join(F.broadcast(forms), "form")
+    safe = F.translate(json_safe(F.col("prompt")), "<>?#~", "     ")
+    half = F.floor(F.length(safe) / 2).cast("int")
+    reply = F.replace(F.replace("reply", F.lit("?"), F.col("item_id").cast("string")), F.lit("#"), F.format_string("%02d", F.abs("item_id") * 37 % 100))
+    for mark, text in (("~", safe), ("<", F.left(safe, half)), (">", F.substr(safe, half + 1))):
+        reply = F.replace(reply, F.lit(mark), text)
+    return items.select(F.col("item_id").alias("reply_id"), "prompt", reply.alias("reply"))
+
+
+def replies(spark: SparkSession, sf_dir: str, turn: int = 0) -> DataFrame:
+    """(reply_id, prompt, reply): a planner's replies as text, whole and broken."""
+    return agent_replies(spark, sf_dir, "planner", turn)

@@ -40,9 +40,8 @@ def test_metric_tokens(spark):
     ],
 )
 def test_extract_json(spark, reply, json, error):
-    found, why = X.extract_json(F.col("reply"))
-    row = spark.createDataFrame([(reply,)], "reply string").select(found.alias("j"), why.alias("e")).first()
-    assert (row["j"], row["e"]) == (json, error)
+    row = X.with_json(spark.createDataFrame([(reply, "x")], "reply string, error string"), "reply").first()
+    assert (row["json"], row["error"]) == (json, error)
 
 
 def test_ids_and_titles(spark):
