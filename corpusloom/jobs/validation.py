@@ -7,31 +7,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
-from corpusloom.functions.text import metric_tokens
+from corpusloom.functions.text import company_code, metric_tokens
 from corpusloom.jobs import replies, retrieval, sql
-from corpusloom.operators import retrieval as R
-from corpusloom.sources.storage import through_json
-from corpusloom.sources.tables import AGENT_REPLIES, chunks, search_queries, table, vectors
+from corpusloom.sources.storage import made_once, through_json, written
+from corpusloom.sources.tables import AGENT_REPLIES, chunks, table
 
-#: Every so many cases one's run fails, one expects no facts and one no sections.
-FAILED, NO_FACTS, NO_SECTIONS = 11, 5, 4
+#: Every so many cases one's run fails, one expects no facts, one no sections, and one's answer has words of another chunk.
+FAILED, NO_FACTS, NO_SECTIONS, MADE_UP = 11, 5, 4, 3
+#: Characters of the best chunk and of another one that such an answer has.
+SAID, INVENTED = 400, 200
+#: Which chunk is wanted, and which one is made up from, by a case's number.
+TARGET, OTHER = (37, 11), (53, 29)
+#: Sources that an answer must rest on.
+REQUIRED = ("src1", "SRC2", "src3")
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test cases of the benchmark items: the chunk of an item's number is what should be found, its three longest words are the facts, the first two in order the sections."""
-    docs = chunks(spark, sf_dir).select("doc_id", "chunk_id", "data_source_type", "company_name", F.length("raw_chunk").alias("size"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("query")).join(docs, F.col("doc_id") == F.col("item_id"), "left")
-    tokens = metric_tokens(F.col("query"))
+    """Test cases of the benchmark items: for one in three the chunk of its number should be found, for the others another one. The three longest words of that chunk are the facts, the first two in order the sections."""
+    docs = chunks(spark, sf_dir)
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    tokens = metric_tokens(F.col("raw_chunk"))
     longest = F.transform(F.slice(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 3), lambda x: x["t"])
-    return items.select(
+    known = docs.select(F.col("doc_id").alias("target"), "chunk_id", "data_source_type", "company_name", F.length("raw_chunk").alias("size"), longest.alias("longest"), F.slice(F.array_sort(tokens), 1, 2).alias("first"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("query")).crossJoin(F.broadcast(n))
+    at = lambda k: (F.abs("item_id") * k[0] + k[1]) % F.greatest("n", F.lit(1))
+    items = items.select("item_id", "query", F.when(F.col("item_id") % 3 == 0, F.col("item_id")).otherwise(at(TARGET)).alias("target"), at(OTHER).alias("other"))
+    return items.join(known, "target", "left").select(
         "item_id",
+        "other",
         F.format_string("%s_%03d", F.coalesce("data_source_type", F.lit("none")), "item_id").alias("query_id"),
         "query",
         F.col("chunk_id").alias("target_chunk_id"),
         F.coalesce("company_name", F.lit("none")).alias("sector"),
         F.when(F.col("size") > 2000, "large").otherwise("small").alias("market_cap"),
-        F.when(F.col("item_id") % NO_FACTS != NO_FACTS - 1, longest).alias("expected_answer_contains"),
-        F.when(F.col("item_id") % NO_SECTIONS != NO_SECTIONS - 1, F.slice(F.array_sort(tokens), 1, 2)).alias("required_sections"),
+        F.when(F.col("item_id") % NO_FACTS != NO_FACTS - 1, F.col("longest")).alias("expected_answer_contains"),
+        F.when(F.col("item_id") % NO_SECTIONS != NO_SECTIONS - 1, F.col("first")).alias("required_sections"),
     )
 
 
@@ -42,19 +52,52 @@ def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("query_id", "query", "target_chunk_id", "sector", "market_cap", joined("expected_answer_contains"), joined("required_sections"))
 
 
-def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cases with the chunks found for them in order, and an answer: the best chunk and the question stand for a reply. answer is null if the run failed."""
+#: Forms of a company's questions: number, text (`~` stands for the company), what the answer should hold, the sources and sections it needs, and how it is judged.
+TEMPLATES = (
+    (1, "Who is ~?", "~|founded", "encyclopedia", "Overview", "contains"),
+    (2, "What did ~ earn last quarter?", "earned|quarter|%", "filing", "Results", "contains"),
+    (3, "How has ~ grown within a year?", "growth|year|%", "filing", "Results|Growth", "contains"),
+    (4, "What is new at ~?", "~|news", "news", "Developments", "contains"),
+    (5, "Give a full account of ~", "~|earned|founded", "filing|encyclopedia|news", "Overview|Results|Developments", "comprehensive"),
+)
+
+
+def template_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for every company (a language and source of the chunks) and template, with the number of chunks that are known of it."""
+    forms = spark.createDataFrame(list(TEMPLATES), "number int, text string, expected string, required_sources string, required_sections string, evaluation_type string")
+    companies = chunks(spark, sf_dir).groupBy(F.concat_ws(" ", "company_name", "data_source_type").alias("company")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    named = lambda c: F.replace(c, F.lit("~"), F.col("company"))
+    return companies.crossJoin(F.broadcast(forms)).select(
+        F.format_string("%s_%02d", company_code(F.col("company")), "number").alias("query_id"), named(F.col("text")).alias("query"), "company", named(F.col("expected")).alias("expected_answer_contains"), "required_sources", "required_sections", "evaluation_type", "n_chunks"
+    )
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, name) for name in ("documents", "embeddings", "benchmark", "events")]
+
+
+def _answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with the chunks found for them in order, and an answer from these: the best chunk, or its beginning and words of another one. answer is null if the run failed."""
     known = chunks(spark, sf_dir)
     top = retrieval._search(spark, sf_dir).select("query_id", "rank", "doc_id")
     each = top.join(known.select("doc_id", "chunk_id", "raw_chunk", "company_name", "data_source_type"), "doc_id")
     listed = each.groupBy(F.col("query_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "raw_chunk", "company_name", "data_source_type"))).alias("found"))
-    joined = cases(spark, sf_dir).join(listed, "item_id", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))
-    answer = F.concat_ws(" ", F.get("found", F.lit(0))["raw_chunk"], "query")
-    return joined.withColumn("answer", F.when((F.size("found") > 0) & (F.col("item_id") % FAILED != FAILED - 1), answer))
+    other = known.select(F.col("doc_id").alias("other"), F.left("raw_chunk", F.lit(INVENTED)).alias("invented"))
+    joined = cases(spark, sf_dir).join(listed, "item_id", "left").join(other, "other", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))
+    best = F.get("found", F.lit(0))["raw_chunk"]
+    made_up = F.concat_ws(" ", F.left(best, F.lit(SAID)), "invented")
+    answer = F.when(F.col("item_id") % MADE_UP == 1, made_up).otherwise(best)
+    return joined.withColumn("answer", F.when((F.size("found") > 0) & (F.col("item_id") % FAILED != FAILED - 1), answer)).drop("invented", "other")
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of a run, which is made once for the files as they are."""
+    path = made_once(spark, "answers", _inputs(spark, sf_dir), lambda: written(_answer(spark, sf_dir), "answers"))
+    return spark.read.parquet(path)
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each case; a failed one has an overall score of 0 and no metrics."""
+    """One row for each case; a failed one has an overall score of 0 and no metrics. Its seconds are those of the event of its number."""
     answer, query = F.col("answer"), F.col("query")
     texts, ids = (F.transform("found", lambda c: c[name]) for name in ("raw_chunk", "chunk_id"))  # noqa: B023
     ok = answer.isNotNull()
@@ -70,7 +113,8 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answered(spark, sf_dir).withColumns({name: when(c) for name, c in parts.items()}).withColumns({"context_relevancy": when(M.context_relevancy(query, texts)), "retrieval_recall": when(recall)})
     overall = F.when(ok, S.overall({name: F.col(name) for name in parts})).otherwise(0.0)
     evaluated = replies.evaluator_reply(spark, sf_dir).select(F.col("reply_id").alias("item_id"), "confidence")
-    return rows.join(evaluated, "item_id", "left").withColumns(
+    timed = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("value").alias("seconds"))
+    return rows.join(evaluated, "item_id", "left").join(timed, "item_id", "left").withColumns(
         {
             "status": F.when(ok, "success").otherwise("failed"),
             "overall_score": overall,
@@ -78,7 +122,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
             "num_retrieved_chunks": when(F.size("found")).cast("long"),
             "num_sources": when(F.size(kinds)).cast("long"),
             "agent_confidence": when(F.col("confidence")),
-            "execution_time": (F.col("item_id") % 350).cast("double"),
+            "execution_time": F.coalesce("seconds", F.lit(0.0)),
         }
     )
 
@@ -86,25 +130,34 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORES = ("groundedness", "answer_relevancy", "context_relevancy", "section_completeness", "factual_accuracy", "retrieval_recall", "overall_score")
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a run, without texts: it is made once for the files as they are, and all statistics read it."""
+    path = made_once(spark, "run", _inputs(spark, sf_dir), lambda: written(_measured(spark, sf_dir).drop("found", "query", "answer"), "run"))
+    return spark.read.parquet(path)
+
+
 def validation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measured(spark, sf_dir).select("query_id", "status", *(F.round(c, 6).alias(c) for c in _SCORES), "retrieval_hit", "num_retrieved_chunks", "num_sources", "agent_confidence", "execution_time")
+    return run(spark, sf_dir).select("query_id", "status", *(F.round(c, 6).alias(c) for c in _SCORES), "retrieval_hit", "num_retrieved_chunks", "num_sources", "agent_confidence", "execution_time")
 
 
 def metric_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the scores are made of: counts of tokens, keywords, facts and sections that were found, and those that weren't."""
+    """What the scores are made of: counts of tokens, and the keywords, facts and sections that were found, and those that weren't."""
     rows = _answered(spark, sf_dir).where("answer is not null")
-    answer = F.lower("answer")
-    said, known, asked = metric_tokens(F.col("answer")), metric_tokens(F.array_join(F.transform("found", lambda c: c["raw_chunk"]), " ")), metric_tokens(F.col("query"))
-    lacks = lambda listed: F.filter(listed, lambda x: ~F.contains(answer, F.lower(x)))
+    texts = F.array_join(F.transform("found", lambda c: c["raw_chunk"]), " ")
+    tokens = rows.select("*", F.lower("answer").alias("low"), metric_tokens(F.col("answer")).alias("said"), metric_tokens(texts).alias("known"), F.array_sort(metric_tokens(F.col("query"))).alias("asked"))
+    lacks = lambda listed: F.filter(listed, lambda x: ~F.contains(F.col("low"), F.lower(x)))
     joined = lambda listed: F.array_join(listed, "|")
-    found = F.filter(asked, lambda t: F.contains(answer, t))
-    return rows.select(
+    has = lambda listed: F.filter(listed, lambda x: F.contains(F.col("low"), F.lower(x)))
+    return tokens.select(
         "query_id",
-        F.size(F.array_intersect(said, known)).cast("long").alias("supported_tokens"),
-        F.size(said).cast("long").alias("total_answer_tokens"),
-        F.format_string("Found %d/%d query keywords", F.size(found), F.size(asked)).alias("explanation"),
-        joined(F.array_sort(F.array_except(asked, found))).alias("missing_keywords"),
+        F.size(F.array_intersect("said", "known")).cast("long").alias("supported_tokens"),
+        F.size("said").cast("long").alias("total_answer_tokens"),
+        F.format_string("Found %d/%d query keywords", F.size(has(F.col("asked"))), F.size("asked")).alias("explanation"),
+        joined(has(F.col("asked"))).alias("found_keywords"),
+        joined(lacks(F.col("asked"))).alias("missing_keywords"),
+        joined(has(F.col("expected_answer_contains"))).alias("found_facts"),
         joined(lacks(F.col("expected_answer_contains"))).alias("missing_facts"),
+        joined(has(F.col("required_sections"))).alias("found_sections"),
         joined(lacks(F.col("required_sections"))).alias("missing_sections"),
         joined(F.slice(F.transform("found", lambda c: c["chunk_id"]), 1, 5)).alias("first_ids"),
     )
@@ -112,7 +165,7 @@ def metric_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run's rows as statistics read them."""
-    return _measured(spark, sf_dir).select("query_id", "sector", "market_cap", "status", "overall_score", "groundedness", F.col("answer_relevancy").alias("relevancy"), "retrieval_recall", "agent_confidence", "execution_time")
+    return run(spark, sf_dir).select("query_id", "sector", "market_cap", "status", "overall_score", "groundedness", F.col("answer_relevancy").alias("relevancy"), "retrieval_recall", "agent_confidence", "execution_time")
 
 
 RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (select * from ranked where rank <= 20), found as (
@@ -121,15 +174,17 @@ RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (s
 ), {sql.agent_reply(AGENT_REPLIES["evaluator"])}, {sql.extracted("replies", "reply_id")}, confidences as (
   select reply_id as item_id, coalesce(cast(case when starts_with(json, '{{') then cast(json as json) end->>'$.confidence' as double), 0.5) as confidence from parsed
 ), items as (
-  select item_id, coalesce(b.text, '') as query, c.chunk_id as target_chunk_id, c.data_source_type, c.company_name, length(c.raw_chunk) as size, {sql.metric_tokens("coalesce(b.text, '')")} as asked
-  from benchmark b left join chunks c on c.doc_id = b.item_id
+  select item_id, coalesce(b.text, '') as query, c.chunk_id as target_chunk_id, c.data_source_type, c.company_name, length(c.raw_chunk) as size, {sql.metric_tokens("coalesce(b.text, '')")} as asked, {sql.metric_tokens("c.raw_chunk")} as words,
+         left(o.raw_chunk, {INVENTED}) as invented
+  from (select *, greatest((select count(*) from documents), 1) as n from benchmark) b left join chunks c on c.doc_id = case when item_id % 3 = 0 then item_id else (abs(item_id) * {TARGET[0]} + {TARGET[1]}) % n end
+  left join chunks o on o.doc_id = (abs(item_id) * {OTHER[0]} + {OTHER[1]}) % n
 ), cases as (
   select *, printf('%s_%03d', coalesce(data_source_type, 'none'), item_id) as query_id, coalesce(company_name, 'none') as sector, case when size > 2000 then 'large' else 'small' end as market_cap,
-         case when item_id % {NO_FACTS} <> {NO_FACTS - 1} then list_transform(list_sort(list_transform(asked, lambda t: {{'n': -length(t), 't': t}}))[1:3], lambda x: x.t) end as expected,
-         case when item_id % {NO_SECTIONS} <> {NO_SECTIONS - 1} then list_sort(asked)[1:2] end as sections
+         case when item_id % {NO_FACTS} <> {NO_FACTS - 1} then case when size is not null then list_transform(list_sort(list_transform(words, lambda t: {{'n': -length(t), 't': t}}))[1:3], lambda x: x.t) end end as expected,
+         case when item_id % {NO_SECTIONS} <> {NO_SECTIONS - 1} then case when size is not null then list_sort(words)[1:2] end end as sections
   from items
 ), answered as (
-  select c.*, coalesce(texts, []) as texts, coalesce(ids, []) as ids, num_sources, case when len(texts) > 0 and c.item_id % {FAILED} <> {FAILED - 1} then texts[1] || ' ' || query end as answer
+  select c.*, coalesce(texts, []) as texts, coalesce(ids, []) as ids, num_sources, case when len(texts) > 0 and c.item_id % {FAILED} <> {FAILED - 1} then case when c.item_id % {MADE_UP} = 1 then left(texts[1], {SAID}) || coalesce(' ' || invented, '') else texts[1] end end as answer
   from cases c left join found f on f.item_id = c.item_id
 ), tokened as (
   select *, {sql.metric_tokens("answer")} as said, {sql.metric_tokens("coalesce(array_to_string(texts, ' '), '')")} as known, lower(answer) as low from answered
@@ -142,19 +197,25 @@ RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (s
     case when answer is not null then case when target_chunk_id is null then 0.0 when list_contains(ids, target_chunk_id) then 1.0 when strpos(target_chunk_id, '_') = 0 then 0.0
       when len(list_filter(ids, lambda r: starts_with(r, split_part(target_chunk_id, '_', 1) || '_' || split_part(target_chunk_id, '_', 2)))) > 0 then 0.5
       when len(list_filter(ids, lambda r: starts_with(r, split_part(target_chunk_id, '_', 1)))) > 0 then 0.2 else 0.0 end end as retrieval_recall,
-    case when answer is not null then confidence end as agent_confidence, cast(item_id % 350 as double) as execution_time, case when answer is not null then 'success' else 'failed' end as status
-  from tokened t left join confidences using (item_id)
+    case when answer is not null then confidence end as agent_confidence, coalesce(e.value, 0.0) as execution_time, case when answer is not null then 'success' else 'failed' end as status
+  from tokened t left join confidences using (item_id) left join events e on e.event_id = t.item_id
 ), results as (
   select *, case when answer is not null then least(0.2 * groundedness + 0.6 * relevancy + 0.1 * coalesce(accuracy, 0) + 0.1 * coalesce(completeness, 0), 1.0) else 0.0 end as overall_score from measured
 )"""
 
-QUERIES = {"test_cases": test_cases, "validation_run": validation_run, "metric_details": metric_details}
+_NAMED = "replace({}, '~', company)"
+_CODE = "coalesce(nullif(left(upper(regexp_replace(company, '[^\\p{L}\\p{N}]', '', 'g')), 10), ''), 'UNKNOWN')"
+_FORMS = ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in form) + ")" for form in TEMPLATES)
+
+QUERIES = {"test_cases": test_cases, "template_cases": template_cases, "validation_run": validation_run, "metric_details": metric_details}
 ORACLE_SQL = {
+    "template_cases": f"""with {sql.CHUNKS}, companies as (select concat_ws(' ', company_name, data_source_type) as company, count(*) as n_chunks from chunks group by 1)
+select printf('%s_%02d', {_CODE}, number) as query_id, {_NAMED.format("text")} as query, company, {_NAMED.format("expected")} as expected_answer_contains, required_sources, required_sections, evaluation_type, n_chunks
+from companies, (values {_FORMS}) as forms(number, text, expected, required_sources, required_sections, evaluation_type)""",
     "test_cases": f"with {RUN} select query_id, query, target_chunk_id, sector, market_cap, array_to_string(expected, '|') as expected_answer_contains, array_to_string(sections, '|') as required_sections from cases",
     "validation_run": f"""with {RUN} select query_id, status, round(groundedness, 6) as groundedness, round(relevancy, 6) as answer_relevancy, round(context, 6) as context_relevancy, round(completeness, 6) as section_completeness,
   round(accuracy, 6) as factual_accuracy, round(retrieval_recall, 6) as retrieval_recall, round(overall_score, 6) as overall_score, case when answer is not null then retrieval_recall > 0.9 end as retrieval_hit,
   case when answer is not null then len(texts) end as num_retrieved_chunks, case when answer is not null then num_sources end as num_sources, agent_confidence, execution_time from results""",
     "metric_details": f"""with {RUN} select query_id, len(list_intersect(said, known)) as supported_tokens, len(said) as total_answer_tokens, printf('Found %d/%d query keywords', len(list_filter(asked, lambda x: contains(low, x))), len(asked)) as explanation,
-  coalesce(array_to_string(list_sort(list_filter(asked, lambda x: not contains(low, x))), '|'), '') as missing_keywords, array_to_string(list_filter(expected, lambda x: not contains(low, lower(x))), '|') as missing_facts,
-  array_to_string(list_filter(sections, lambda x: not contains(low, lower(x))), '|') as missing_sections, array_to_string(ids[1:5], '|') as first_ids from results where answer is not null""",
+  {", ".join(f"array_to_string(list_filter({c}, lambda x: {no}contains(low, lower(x))), '|') as {word}_{name}" for c, name in (("list_sort(asked)", "keywords"), ("expected", "facts"), ("sections", "sections")) for no, word in (("", "found"), ("not ", "missing")))}, array_to_string(ids[1:5], '|') as first_ids from results where answer is not null""",
 }

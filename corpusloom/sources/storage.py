@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,19 +47,19 @@ def through_json(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).json(path)
 
 
-def through_parquet(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> str:
+    """The path of df, written as Parquet under a new name in the shared folder."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
 
 
 def state_of(*tables: DataFrame) -> tuple:
     """The files of tables as they are now: how many, and a sum of the hashes of their paths, sizes and times. No column is read."""
-    state = []
-    for df in tables:
-        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        state.append(tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()))
-    return tuple(state)
+    names = ["file_path", "file_size", "file_modification_time"]
+    each = [df.select(F.lit(i).alias("of"), *(F.col(f"_metadata.{c}").alias(c) for c in names)) for i, df in enumerate(tables)]
+    files = reduce(DataFrame.union, each).distinct()
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first())
 
 
 def made_once(spark: SparkSession, name: str, files: list[DataFrame], make: Callable[[], Made]) -> Made:
