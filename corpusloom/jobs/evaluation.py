@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
@@ -13,6 +14,8 @@ from corpusloom.jobs.validation import RUN, results
 from corpusloom.operators import evaluation as E
 from corpusloom.sources.tables import answers, chunks, replies, table
 
+#: Chunks of the golden sample.
+SAMPLED = 20
 #: What the answers are expected to hold: the corpus has sentences, not sections.
 EXPECTED = ["the", "and", "de la", "der", "100%"]
 
@@ -114,10 +117,12 @@ def extracted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("reply_id", "json", "error")
 
 
-def golden_sample(spark: SparkSession, sf_dir: str, pool: int = 100, count: int = 20, seed: str = "golden") -> DataFrame:
-    """A seeded sample of long chunks of the first hundred: the sample is the feature."""
+def golden_sample(spark: SparkSession, sf_dir: str, pool: int = 100, count: int = SAMPLED, seed: str = "golden", with_order: bool = False) -> DataFrame:
+    """A seeded sample of long chunks of the first hundred: the sample is the feature. with_order: with each one's place (i), from 1."""
     first = chunks(spark, sf_dir).orderBy("ordinal").limit(pool).where(F.length("raw_chunk") > 100)
-    return first.orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id").limit(count).select("doc_id", snippet(F.col("raw_chunk"), 200).alias("snippet"))
+    drawn = first.orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id").limit(count)
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), "doc_id"))
+    return drawn.select("doc_id", snippet(F.col("raw_chunk"), 200).alias("snippet"), *([place.alias("i")] if with_order else []))
 
 
 def case_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

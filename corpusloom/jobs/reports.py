@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.functions import scores as S
 from corpusloom.functions.text import stripped, token_estimate
-from corpusloom.jobs import replies, retrieval, sql, validation
+from corpusloom.jobs import evaluation, replies, retrieval, sql, validation
 from corpusloom.jobs.validation import RUN, results
 from corpusloom.operators import evaluation as E
-from corpusloom.sources.storage import through_json
+from corpusloom.sources.files import read_each, read_envelope, read_report, unique, write_each, write_envelope, write_report
+from corpusloom.sources.storage import new_path, shared_folder, through_json
 from corpusloom.sources.tables import answers, chunks, table
 
 #: The answer when nothing was found, and characters of a source that a judge reads.
@@ -25,8 +27,8 @@ def _digest(spark_rows: DataFrame, keys: list[str], text: F.Column) -> DataFrame
     return spark_rows.select(*keys, F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
-def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Markdown report of each case that has an answer: answer, scores, sources numbered from 1, decision and passes."""
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, text): the Markdown report of each case that has an answer: answer, scores, sources numbered from 1, decision and passes. Its headings are fixed."""
     evaluated = replies.evaluator_reply(spark, sf_dir).select(F.col("reply_id").alias("item_id"), "confidence", "hallucination")
     passes = replies.retry_control(spark, sf_dir).select(F.col("reply_id").alias("item_id"), "iterations", "decision")
     rows = validation._answered(spark, sf_dir).where("answer is not null").join(evaluated, "item_id").join(passes, "item_id")
@@ -38,7 +40,40 @@ def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("found") > 0, sources).otherwise("\nNo sources available.\n"),
         F.lit("\n---\n\n## Metadata\n\n- **Evaluation:** "), "decision", F.lit("\n- **Iterations:** "), F.col("iterations").cast("string"), F.lit("\n"),
     )
-    return _digest(rows, ["query_id"], text)
+    return rows.select("query_id", text.alias("text"))
+
+
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_reports(spark, sf_dir), ["query_id"], F.col("text"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same reports, each written as a file of its own with a name that no other has, and read again: the file's name begins with the time of the case's event."""
+    stamp = F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    named = _reports(spark, sf_dir).select(F.concat(unique("response", stamp), F.lit("_"), "query_id").alias("name"), "text")
+    run = write_each(named, f"{shared_folder(spark)}/reports")
+    parts = F.split("name", "_")
+    read = read_each(spark, run).select(F.array_join(F.slice(parts, 5, 9), "_").alias("query_id"), F.array_join(F.slice(parts, 1, 3), "_").alias("stem"), "text")
+    return _digest(read, ["query_id", "stem"], F.col("text"))
+
+
+def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden cases from a seeded sample of chunks and the replies to them, in order, written with an envelope and read again: replies without both keys make none."""
+    sample = evaluation.golden_sample(spark, sf_dir, with_order=True)
+    first = replies.golden_reply(spark, sf_dir).orderBy("reply_id").limit(evaluation.SAMPLED)  # no more are asked for
+    made = first.withColumn("i", F.row_number().over(Window.orderBy("reply_id")))
+    cases = sample.join(made.select("i", "query", "fact"), "i").join(chunks(spark, sf_dir).select("doc_id", "chunk_id", F.upper("company_name").alias("ticker"), "company_name", "data_source_type"), "doc_id")
+    form = cases.select(
+        F.format_string("GOLD_%03d_%s", "i", F.left(F.coalesce("ticker", F.lit("UNKNOWN")), F.lit(3))).alias("query_id"),
+        "query",
+        F.array("fact").alias("expected_facts"),
+        F.array("chunk_id").alias("expected_chunk_ids"),
+        F.struct(F.coalesce("ticker", F.lit("UNKNOWN")).alias("ticker"), F.col("company_name").alias("company"), F.col("data_source_type").alias("source")).alias("metadata"),
+    )
+    path = new_path(spark, "golden")
+    write_envelope(form, path, "sample", F.current_timestamp())
+    read = read_envelope(spark, path, "query_id: string, query: string, expected_facts: array<string>, expected_chunk_ids: array<string>, metadata: struct<ticker:string,company:string,source:string>")
+    return read.select("query_id", "query", F.array_join("expected_facts", "|").alias("facts"), F.array_join("expected_chunk_ids", "|").alias("chunk_ids"), "metadata.ticker", "metadata.company", "metadata.source")
 
 
 def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +104,12 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boost_from_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosts of the groups of a report that was written as JSON and is read again."""
-    return E.boosts(through_json(E.group_stats(results(spark, sf_dir)), "bias_report"))
+    """Boosts of the groups of a report in the older form, whose groups are sectors and market caps, and of one in the present form, whose groups are companies; both written as files and read again."""
+    cut = E.slice_stats(results(spark, sf_dir)).where("slice <> 'all'").select("slice", F.col("value").alias("group_id"), "avg_overall_score", F.col("num_tests").alias("count"))
+    older, present = new_path(spark, "older_report"), new_path(spark, "bias_report")
+    write_report(cut, older, slices=cut)
+    write_report(E.group_stats(results(spark, sf_dir)), present)
+    return E.boosts(read_report(spark, older)).unionByName(E.boosts(read_report(spark, present)))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -172,6 +211,8 @@ _TEXTS = "coalesce(nullif(" + f"regexp_replace(text, '^{sql.WS}|{sql.WS}$', '',
 
 QUERIES = {
     "full_report": full_report,
+    "report_files": report_files,
+    "golden_cases": golden_cases,
     "source_blocks": source_blocks,
     "prompt_by_role": prompt_by_role,
     "synthesis_shell": synthesis_shell,
@@ -201,7 +242,18 @@ ORACLE_SQL = {
 select b.item_id as query_id, md5(case when u.query_id is null then {_nl(NOTHING_FOUND)} else coalesce(d.text, '') end) as answer_md5, coalesce(n_sources, 0) as n_sources, case when u.query_id is null then 0.0 end as confidence
 from benchmark b left join usable u on u.query_id = b.item_id left join documents d on d.doc_id = u.best""",
     "token_estimates": f"with {sql.ANSWERS} select conv_id, turn, cast(floor((length(coalesce(query, '')) + length(coalesce(answer, ''))) / 4) as integer) as tokens from answers",
-    "boost_from_report": f"with {RUN}, {sql.GROUPS} select group_id, 1.05 as boost from stats where avg_overall_score < 0.5",
+    "boost_from_report": f"""with {RUN}, {sql.GROUPS}, slices as (
+  select sector as group_id, avg(overall_score) as score from results group by sector union all select market_cap, avg(overall_score) from results group by market_cap
+) select group_id, 1.05 as boost from slices where score < 0.5 union all select group_id, 1.05 from stats where avg_overall_score < 0.5""",
+    "report_files": f"""with {RUN}, reports as (
+  select r.query_id, {_REPORT} as report from results r join {_FOUND} f using (item_id) join ({replies.ORACLE_SQL["evaluator_reply"]}) e on e.reply_id = r.item_id join ({replies.ORACLE_SQL["retry_control"]}) p on p.reply_id = r.item_id where r.answer is not null
+) {_digest_sql("query_id, 'response_20240101_000000' as stem", "report", "reports")}""",
+    "golden_cases": f"""with {sql.CHUNKS}, sampled as (
+  select *, row_number() over (order by md5('golden' || doc_id), doc_id) as i from (select * from chunks order by ordinal limit 100) where length(raw_chunk) > 100 qualify i <= 20
+), replied as (
+  select query, fact, row_number() over (order by reply_id) as i from ({replies.ORACLE_SQL["golden_reply"]})
+) select printf('GOLD_%03d_%s', i, left(coalesce(upper(company_name), 'UNKNOWN'), 3)) as query_id, query, coalesce(fact, '') as facts, coalesce(chunk_id, '') as chunk_ids, coalesce(upper(company_name), 'UNKNOWN') as ticker, company_name as company, data_source_type as source
+from sampled join replied using (i)""",
     "bias_report_json": f"""with {RUN}, {sql.GROUPS}, checked as (select max(avg_overall_score) - min(avg_overall_score) > 0.2 as disparity, count(*) filter (avg_overall_score < 0.5) as low, count(*) as n from stats)
 select n > 0 and not disparity and low = 0 as bias_passed, n as n_groups, (select string_agg(group_id || ':' || num_tests || ':' || {_shown("round(avg_overall_score, 6)", 4)}, ',' order by group_id) from stats) as groups, disparity as disparity_failure from checked""",
     "results_summary": f"""with {RUN}, {_SUMMARY} select num_tests, num_success, round(success_rate, 6) as success_rate, round(overall_score, 6) as avg_overall_score,

@@ -95,7 +95,7 @@ GROUPS = """stats as (
 TELEMETRY = """parsed as (
   select *, cast(json_extract(props, '$.k') as integer) as k from events
 ), telemetry as (
-  select event_id, ts, value as latency_ms, case when event_type = 'error' then 500 else 200 end as status, k * 100 as tokens, k % 2 as rag_hit, event_type, k % 3 <> 0 as detailed from parsed
+  select event_id, ts, value as latency_ms, case when event_type = 'error' then 500 else 200 end as status, k * 100 as tokens, k % 2 as rag_hit, event_type, k % 3 <> 0 as detailed, case when event_type = 'view' then '/' else '/analyze' end as path from parsed
 ), latest as (select * from telemetry order by ts desc, event_id desc limit 100)"""
 
 

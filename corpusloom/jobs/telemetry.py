@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions.scores import cost
 from corpusloom.jobs import sql
 from corpusloom.operators import telemetry as T
-from corpusloom.sources.tables import table, telemetry
+from corpusloom.sources.storage import new_path
+from corpusloom.sources.tables import events_as_telemetry, table, telemetry
+from corpusloom.streaming import telemetry as S
 from corpusloom.streaming.telemetry import windowed
 
 
@@ -17,7 +19,7 @@ def last_100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.stats(telemetry(spark, sf_dir))
+    return T.stats(telemetry(spark, sf_dir), path="/analyze")
 
 
 def agent_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +59,37 @@ def hourly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "requests", F.round("latency", 4).alias("latency"))
 
 
-QUERIES = {"last_100": last_100, "stats_endpoint": stats_endpoint, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "last_event": last_event, "latency_series": latency_series, "usage_merged": usage_merged, "hourly_requests": hourly_requests}
+def stream_last_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred events as the state of a stream over the event files has them."""
+    folder = new_path(spark, "telemetry")
+    name, wanted = next(iter(S.ROCKS.items()))
+    before = spark.conf.get(name)
+    spark.conf.set(name, wanted)
+    try:
+        S.run_telemetry(events_as_telemetry(S.read_events(spark, sf_dir)), folder)
+    finally:
+        spark.conf.set(name, before)
+    return S.latest_of(spark, folder).select("event_id", "latency_ms", "status", "tokens")
+
+
+def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, errors and cost by path of a history that was appended batch by batch, the first batch twice."""
+    folder = new_path(spark, "history")
+    rows = telemetry(spark, sf_dir)
+    for batch in (0, 1, 0):
+        S.append_batch(rows.where(F.pmod("event_id", F.lit(2)) == batch), batch, folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    history = S.appended(spark, folder, schema)
+    return history.groupBy("path").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.round(F.sum(cost(F.col("tokens"))), 6).alias("cost"))
+
+
+QUERIES = {"stream_last_100": stream_last_100, "stream_history": stream_history, "last_100": last_100, "stats_endpoint": stats_endpoint, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "last_event": last_event, "latency_series": latency_series, "usage_merged": usage_merged, "hourly_requests": hourly_requests}
 _T = f"with {sql.TELEMETRY}"
 ORACLE_SQL = {
+    "stream_last_100": f"{_T} select event_id, latency_ms, status, tokens from latest",
+    "stream_history": f"{_T} select path, count(*) as requests, count(*) filter (status >= 400) as errors, round(sum(tokens / 1000.0 * 0.002), 6) as cost from telemetry group by path",
     "last_100": f"{_T} select event_id, latency_ms, status, tokens from latest",
-    "stats_endpoint": f"{_T} select count(*) as requests, count(*) filter (status >= 400) as errors, (select round(coalesce(avg(latency_ms), 0), 2) from latest) as avg_latency_ms from telemetry",
+    "stats_endpoint": f"{_T} select count(*) as requests, count(*) filter (status >= 400) as errors, (select round(coalesce(avg(latency_ms), 0), 2) from (select * from telemetry where path = '/analyze' order by ts desc, event_id desc limit 100)) as avg_latency_ms from telemetry where path = '/analyze'",
     "agent_breakdown": f"""{_T}, known as (select * from telemetry where detailed) select agent, round(sum(ms) / (select count(*) from known), 6) as avg_ms from (
   select 'researcher' as agent, latency_ms * 0.5 as ms from known union all select event_type, latency_ms * 0.25 from known) group by agent""",
     "hit_rate": f"{_T} select round(avg(rag_hit) * 100, 6) as hit_rate, avg(rag_hit) * 100 >= 50 as healthy from latest",

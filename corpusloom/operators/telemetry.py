@@ -15,8 +15,9 @@ def latest(events: DataFrame, n: int = WINDOW) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def stats(events: DataFrame, n: int = WINDOW) -> DataFrame:
-    """One row: requests and errors over all, mean latency of the last n (0 if there are none)."""
+def stats(events: DataFrame, n: int = WINDOW, path: str | None = None) -> DataFrame:
+    """One row: requests and errors over all, mean latency of the last n (0 if there are none); only of one path if it is given."""
+    events = events.where(F.col("path") == path) if path else events
     totals = events.agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"))
     recent = latest(events, n).agg(F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 2).alias("avg_latency_ms"))
     return totals.crossJoin(F.broadcast(recent))

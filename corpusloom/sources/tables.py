@@ -45,12 +45,13 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("role = 'user' and next_role = 'assistant'").select("conv_id", "turn", "query", "answer", "context")
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request events with latency, token count, per-agent breakdown (empty for some) and retrieval hit."""
-    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return events.select(
+def events_as_telemetry(events: DataFrame) -> DataFrame:
+    """Request events, of a table or a stream, with path, latency, token count, per-agent breakdown (empty for some) and retrieval hit."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return events.withColumn("k", k).select(
         "event_id",
         F.col("ts"),
+        F.when(F.col("event_type") == "view", "/").otherwise("/analyze").alias("path"),
         F.col("value").alias("latency_ms"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
         (F.col("k") * 100).alias("tokens"),
@@ -59,6 +60,10 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_telemetry(table(spark, sf_dir, "events"))
+
+
 #: Fixed numbers that choose the form of a reply to an item: a reply of a later pass has another one.
 MIX, STEP, CUT = 7_919, 104_729, 7
 
