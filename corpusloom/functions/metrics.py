@@ -56,3 +56,19 @@ def soft_recall(target: Column, retrieved: Column) -> Column:
         .otherwise(0.0)
     )
     return F.when(target.isNull(), 0.0).otherwise(F.coalesce(score, F.lit(0.0)))
+
+
+def citations(answer: Column, sources: Column) -> Column:
+    """(found, precision, recall, f1) of an answer's marks, `[3]`, `[Source 3]` or `[Document 3]`: how many there are, the share that are numbers of its sources (from 1), and the share of sources that are marked. All null without an answer; 0 where there is nothing to share."""
+    marks = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(?:Source |Document )?(\d{1,9})\]"), 1), lambda x: x.cast("int"))
+
+    def rated(marks: Column) -> Column:
+        known = F.filter(marks, lambda x: x.between(1, sources))
+        precision = F.coalesce(F.try_divide(F.size(known), F.size(marks)), F.lit(0.0))
+        recall = F.coalesce(F.try_divide(F.size(F.array_distinct(known)), sources), F.lit(0.0))
+        f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+        return F.struct(F.size(marks).alias("found"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+
+    none = F.lit(None)
+    empty = F.struct(none.cast("int").alias("found"), *(none.cast("double").alias(c) for c in ("precision", "recall", "f1")))
+    return F.when(answer.isNull(), empty).otherwise(F.get(F.transform(F.array(marks), rated), F.lit(0)))

@@ -166,6 +166,7 @@ _SUMMARY = (
     "count(*) as num_tests, count(*) filter (status = 'success') as num_success, round(count(*) filter (status = 'success') / count(*), 6) as success_rate, "
     + ", ".join(f"round({f}({c}) filter (status = 'success'), 6) as {n}_{c}" for c in ("overall_score", "execution_time", "agent_confidence") for n, f in (("avg", "avg"), ("min", "min"), ("max", "max"), ("std", "stddev_pop")))
     + ", round(avg(groundedness) filter (status = 'success'), 6) as avg_groundedness, round(min(groundedness) filter (status = 'success'), 6) as min_groundedness, round(avg(relevancy) filter (status = 'success'), 6) as avg_relevancy, round(avg(retrieval_recall) filter (status = 'success'), 6) as avg_retrieval_recall"
+    + "".join(f", round(avg({c}) filter (status = 'success'), 6) as avg_{c}" for c in ("citation_f1", "citation_precision", "citation_recall"))
 )
 _CODE = "coalesce(nullif(left(upper(replace(regexp_replace(raw_chunk, '[^\\p{L}\\p{N}]', '', 'g'), 'ß', 'SS')), 10), ''), 'UNKNOWN')"
 _TOP = retrieval.ORACLE_SQL["hybrid_topk"]

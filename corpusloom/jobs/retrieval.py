@@ -9,8 +9,9 @@ from corpusloom.functions import scores as S
 from corpusloom.functions.text import metric_tokens, words
 from corpusloom.jobs import sql
 from corpusloom.operators import bm25, retrieval
+from corpusloom.operators import chunking as C
 from corpusloom.operators.index import TextIndex, build_index
-from corpusloom.sources.storage import made_once
+from corpusloom.sources.storage import made_once, new_path
 from corpusloom.sources.tables import chunks, search_queries, table, vectors
 
 #: Chunks of each query that the lists of plain lexical and vector scores hold.
@@ -156,6 +157,20 @@ def chunk_spans(spark: SparkSession, sf_dir: str, size: int = 512, overlap: int
     return texts.select("doc_id", "raw_chunk", F.posexplode(starts).alias("pos", "start")).select("doc_id", "pos", "start", F.length(piece).alias("n_chars"), F.md5(piece).alias("piece_md5"))
 
 
+def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of every text by separators from coarse to fine; an extension."""
+    return C.recursive_chunks(chunks(spark, sf_dir)).select("doc_id", "pos", "start", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second run finds to do, after a first one over seven tenths of the documents, some with other texts and some that are no longer there."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = new_path(spark, "state")
+    first = docs.where("pmod(doc_id, 10) < 7").withColumn("text", F.when(F.pmod("doc_id", F.lit(4)) == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text")))
+    C.process(first, path, lambda _: None, 1)
+    return C.changes(docs.where("pmod(doc_id, 9) <> 5"), C.state_of_runs(spark, path)).select(F.col("id").alias("doc_id"), "hash", "status")
+
+
 _WITH = f"with {sql.BM25}"
 _ALL = f"{_WITH}, {sql.scored()}, {sql.TOP.format(by='query_id')}, top as (select * from ranked where rank <= 20)"
 _FAN = f"""{_WITH}, {sql.scored(each_source=True)}, {sql.TOP.format(by="query_id, data_source_type")},
@@ -200,8 +215,12 @@ QUERIES = {
     "format_context": format_context,
     "raw_recall_rank": raw_recall_rank,
     "chunk_spans": chunk_spans,
+    "recursive_chunks": recursive_chunks,
+    "incremental_run": incremental_run,
 }
 ORACLE_SQL = {
+    "incremental_run": """with first as (select doc_id, md5(case when doc_id % 4 = 0 then 'old ' || text else coalesce(text, '') end) as before from documents where doc_id % 10 < 7), now as (select doc_id, md5(coalesce(text, '')) as hash from documents where doc_id % 9 <> 5)
+select doc_id, hash, case when hash is null then 'gone' when before is null then 'new' when hash = before then 'same' else 'changed' end as status from now full join first using (doc_id)""",
     "corpus_stats": f"{_WITH} select n_docs, n_tokens, round(avgdl, 6) as avgdl, n_terms, mean_idf, n_negative from corpus, (select count(*) as n_terms, round(avg(raw_idf), 6) as mean_idf, count(*) filter (raw_idf < 0) as n_negative from terms)",
     "index_stats": f"{_WITH} select any_value(n_docs) as n_docs, count(*) as n_words, cast(sum(df) as bigint) as n_entries, max(df) as most_docs, round(avg(raw_idf), 6) as mean_idf from terms, corpus",
     "token_counts": f"with {sql.CHUNKS} select doc_id, len({sql.words('raw_chunk')}) as n_tokens, len(list_distinct({sql.words('raw_chunk')})) as n_distinct from chunks",

@@ -12,8 +12,8 @@ from corpusloom.jobs import replies, retrieval, sql
 from corpusloom.sources.storage import made_once, through_json, written
 from corpusloom.sources.tables import AGENT_REPLIES, chunks, table
 
-#: Every so many cases one's run fails, one expects no facts, one no sections, and one's answer has words of another chunk.
-FAILED, NO_FACTS, NO_SECTIONS, MADE_UP = 11, 5, 4, 3
+#: Every so many cases one's run fails, one expects no facts, one no sections, one's answer has words of another chunk, and one's no marks of its sources.
+FAILED, NO_FACTS, NO_SECTIONS, MADE_UP, UNMARKED = 11, 5, 4, 3, 6
 #: Characters of the best chunk and of another one that such an answer has.
 SAID, INVENTED = 400, 200
 #: Which chunk is wanted, and which one is made up from, by a case's number.
@@ -87,6 +87,9 @@ def _answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.get("found", F.lit(0))["raw_chunk"]
     made_up = F.concat_ws(" ", F.left(best, F.lit(SAID)), "invented")
     answer = F.when(F.col("item_id") % MADE_UP == 1, made_up).otherwise(best)
+    number = lambda c: F.concat(F.lit(" ["), c.cast("string"), F.lit("]"))
+    marks = F.when(F.col("item_id") % UNMARKED != UNMARKED - 1, F.concat(number(F.col("item_id") % 25), F.lit(" [Source "), (F.col("item_id") % 3 + 1).cast("string"), F.lit("][Document 2]")))
+    answer = F.concat_ws("", answer, marks)
     return joined.withColumn("answer", F.when((F.size("found") > 0) & (F.col("item_id") % FAILED != FAILED - 1), answer)).drop("invented", "other")
 
 
@@ -103,6 +106,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = answer.isNotNull()
     when = lambda c: F.when(ok, c)
     recall = M.soft_recall(F.col("target_chunk_id"), ids)
+    cited = M.citations(answer, F.size("found"))
     kinds = F.array_distinct(F.transform("found", lambda c: F.struct(c["company_name"], c["data_source_type"])))
     parts = {
         "groundedness": M.groundedness(answer, texts),
@@ -121,6 +125,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
             "retrieval_hit": when(F.col("retrieval_recall") > 0.9),
             "num_retrieved_chunks": when(F.size("found")).cast("long"),
             "num_sources": when(F.size(kinds)).cast("long"),
+            "citation": F.when(cited["found"] > 0, cited),
             "agent_confidence": when(F.col("confidence")),
             "execution_time": F.coalesce("seconds", F.lit(0.0)),
         }
@@ -163,9 +168,14 @@ def metric_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each answer with marks of its sources: how many there are, and how well they name these."""
+    return run(spark, sf_dir).where("citation is not null").select("query_id", F.col("citation.found").cast("long").alias("citations_found"), *(F.round(f"citation.{c}", 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run's rows as statistics read them."""
-    return run(spark, sf_dir).select("query_id", "sector", "market_cap", "status", "overall_score", "groundedness", F.col("answer_relevancy").alias("relevancy"), "retrieval_recall", "agent_confidence", "execution_time")
+    return run(spark, sf_dir).select("query_id", "sector", "market_cap", "status", "overall_score", "groundedness", F.col("answer_relevancy").alias("relevancy"), "retrieval_recall", "agent_confidence", "execution_time", *(F.col(f"citation.{c}").alias(f"citation_{c}") for c in ("precision", "recall", "f1")))
 
 
 RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (select * from ranked where rank <= 20), found as (
@@ -184,7 +194,7 @@ RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (s
          case when item_id % {NO_SECTIONS} <> {NO_SECTIONS - 1} then case when size is not null then list_sort(words)[1:2] end end as sections
   from items
 ), answered as (
-  select c.*, coalesce(texts, []) as texts, coalesce(ids, []) as ids, num_sources, case when len(texts) > 0 and c.item_id % {FAILED} <> {FAILED - 1} then case when c.item_id % {MADE_UP} = 1 then left(texts[1], {SAID}) || coalesce(' ' || invented, '') else texts[1] end end as answer
+  select c.*, coalesce(texts, []) as texts, coalesce(ids, []) as ids, num_sources, case when len(texts) > 0 and c.item_id % {FAILED} <> {FAILED - 1} then case when c.item_id % {MADE_UP} = 1 then left(texts[1], {SAID}) || coalesce(' ' || invented, '') else texts[1] end || case when c.item_id % {UNMARKED} <> {UNMARKED - 1} then ' [' || (c.item_id % 25) || '] [Source ' || (c.item_id % 3 + 1) || '][Document 2]' else '' end end as answer
   from cases c left join found f on f.item_id = c.item_id
 ), tokened as (
   select *, {sql.metric_tokens("answer")} as said, {sql.metric_tokens("coalesce(array_to_string(texts, ' '), '')")} as known, lower(answer) as low from answered
@@ -199,16 +209,23 @@ RUN = f"""{sql.BM25}, {sql.scored()}, {sql.TOP.format(by="query_id")}, top as (s
       when len(list_filter(ids, lambda r: starts_with(r, split_part(target_chunk_id, '_', 1)))) > 0 then 0.2 else 0.0 end end as retrieval_recall,
     case when answer is not null then confidence end as agent_confidence, coalesce(e.value, 0.0) as execution_time, case when answer is not null then 'success' else 'failed' end as status
   from tokened t left join confidences using (item_id) left join events e on e.event_id = t.item_id
+), cited as (
+  select item_id, list_transform(regexp_extract_all(answer, '\\[(?:Source |Document )?(\\d{{1,9}})\\]', 1), lambda x: cast(x as integer)) as marks, len(texts) as n from answered where answer is not null
+), known as (
+  select item_id, n, marks, list_filter(marks, lambda x: x between 1 and n) as known from cited where len(marks) > 0
+), rated as (
+  select item_id, len(marks) as citations_found, len(known) / len(marks) as citation_precision, coalesce(len(list_distinct(known)) / nullif(n, 0), 0.0) as citation_recall from known
 ), results as (
-  select *, case when answer is not null then least(0.2 * groundedness + 0.6 * relevancy + 0.1 * coalesce(accuracy, 0) + 0.1 * coalesce(completeness, 0), 1.0) else 0.0 end as overall_score from measured
+  select measured.*, citations_found, citation_precision, citation_recall, coalesce(2 * citation_precision * citation_recall / nullif(citation_precision + citation_recall, 0), case when citations_found is not null then 0.0 end) as citation_f1, case when answer is not null then least(0.2 * groundedness + 0.6 * relevancy + 0.1 * coalesce(accuracy, 0) + 0.1 * coalesce(completeness, 0), 1.0) else 0.0 end as overall_score from measured left join rated using (item_id)
 )"""
 
 _NAMED = "replace({}, '~', company)"
 _CODE = "coalesce(nullif(left(upper(regexp_replace(company, '[^\\p{L}\\p{N}]', '', 'g')), 10), ''), 'UNKNOWN')"
 _FORMS = ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in form) + ")" for form in TEMPLATES)
 
-QUERIES = {"test_cases": test_cases, "template_cases": template_cases, "validation_run": validation_run, "metric_details": metric_details}
+QUERIES = {"test_cases": test_cases, "template_cases": template_cases, "validation_run": validation_run, "metric_details": metric_details, "citation_scores": citation_scores}
 ORACLE_SQL = {
+    "citation_scores": f"with {RUN} select query_id, citations_found, round(citation_precision, 6) as precision, round(citation_recall, 6) as recall, round(citation_f1, 6) as f1 from results where citations_found is not null",
     "template_cases": f"""with {sql.CHUNKS}, companies as (select concat_ws(' ', company_name, data_source_type) as company, count(*) as n_chunks from chunks group by 1)
 select printf('%s_%02d', {_CODE}, number) as query_id, {_NAMED.format("text")} as query, company, {_NAMED.format("expected")} as expected_answer_contains, required_sources, required_sections, evaluation_type, n_chunks
 from companies, (values {_FORMS}) as forms(number, text, expected, required_sources, required_sections, evaluation_type)""",

@@ -59,13 +59,14 @@ def boost_apply(found: DataFrame, by_group: DataFrame, by: str = "query_id") ->
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row: counts, and over the successful results mean, least, most and population deviation."""
+    """One row: counts, and over the successful results mean, least, most and population deviation; of citations, where results have any, means over those that do."""
     ok = F.col("status") == "success"
     parts = [F.count(F.lit(1)).alias("num_tests"), F.count_if(ok).alias("num_success"), F.try_divide(F.count_if(ok), F.count(F.lit(1))).alias("success_rate")]
     for c in ("overall_score", "execution_time", "agent_confidence"):
         parts += [f(F.when(ok, F.col(c))).alias(f"{name}_{c}") for name, f in (("avg", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_pop))]
     parts += [F.avg(F.when(ok, F.col("groundedness"))).alias("avg_groundedness"), F.min(F.when(ok, F.col("groundedness"))).alias("min_groundedness"), F.avg(F.when(ok, F.col("relevancy"))).alias("avg_relevancy"), F.avg(F.when(ok, F.col("retrieval_recall"))).alias("avg_retrieval_recall")]
-    return results.agg(*parts)
+    cited = [c for c in ("citation_f1", "citation_precision", "citation_recall") if c in results.columns]
+    return results.agg(*parts, *(F.avg(F.when(ok, F.col(c))).alias(f"avg_{c}") for c in cited))
 
 
 def acceptance(totals: DataFrame) -> DataFrame:
