@@ -58,13 +58,13 @@ def _literal(value, kind: str) -> F.Column:
     return F.lit(value).cast(kind)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id_col, source, size, source_size, target, copies, taken, finish) of every row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, source, size, source_size, target, copies, taken, finish) of every row of docs, and the columns that it should carry.
 
     size is the number of words of the whole text (null: 0), copies how often the mix has the
     document, taken = copies * size, finish its first virtual finish time. The shuffled order is
-    that of the md5 of seed and id, so reruns agree; rows with equal ids stand by size. Null ids
-    share one place in that order, null sources are one source. Documents without words have
+    that of the md5 of seed and id, and of the text where the id is null, so reruns agree; rows with
+    equal ids stand by size. Null sources are one source. Documents without words have
     finish times but take nothing; an empty table gives an empty result.
 
     No task sees a whole source: sums run within buckets of the shuffled order, whose totals are
@@ -73,14 +73,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     h = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit("")))), 1, 15), 16, 10).cast("long")
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
+    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry))))
     buckets = min(max(1, sized.count() // bucket_rows), MOST_BUCKETS)
     targets = targets_of(sized, weights, share, repeats)
+    carried = "".join(f", {{table}}._carry{i}" for i in range(len(carry)))
     queued = checkpointed(
         spark.sql(
             f"""
             with placed as (
-              select s.id, s.source, s.size, s.h, t.place, t.source_size, t.target, cast(s.h div {(1 << 60) // buckets + 1} as int) as bucket
+              select s.id, s.source, s.size, s.h, t.place, t.source_size, t.target, cast(s.h div {(1 << 60) // buckets + 1} as int) as bucket{carried.format(table='s')}
               from {{sized}} s join {{targets}} t on s.source <=> t.source
             ),
             bucket_sums as (
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               from (select place, bucket, sum(size) as total from placed group by place, bucket)
             )
             select p.id, p.source, p.size, p.h, p.place, p.source_size, p.target,
-                   b.before + sum(p.size) over (partition by p.place, p.bucket order by p.h, p.id, p.size rows unbounded preceding) as upto
+                   b.before + sum(p.size) over (partition by p.place, p.bucket order by p.h, p.id, p.size rows unbounded preceding) as upto{carried.format(table='p')}
             from placed p join bucket_sums b on p.place = b.place and p.bucket = b.bucket
             """,
             sized=sized,
@@ -118,8 +119,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     finish = lambda copy: F.coalesce(F.try_divide((copy * F.col("source_size") + F.col("upto")).cast("double"), F.col("target")), F.lit(0.0))
     each = F.array(*(F.struct(finish(F.lit(c)).alias("finish"), "place", "h", "id", "size", F.lit(c).alias("copy")) for c in range(repeats)))
     copies_of = F.when(F.col("size") > 0, F.size(F.filter(each, (lambda x: x < limit) if limit is not None else (lambda x: F.lit(True))))).otherwise(0)
-    out = queued.select("id", "source", "size", "source_size", "target", copies_of.cast("bigint").alias("copies"), finish(F.lit(0)).alias("finish"))
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "finish")
+    out = queued.select("id", "source", "size", "source_size", "target", copies_of.cast("bigint").alias("copies"), finish(F.lit(0)).alias("finish"), *(f"_carry{i}" for i in range(len(carry))))
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "finish", *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,25 @@ def test_pipeline(spark):
     assert {r["doc_id"]: r["copies"] for r in mixed.collect()} == taken
 
 
+def test_pipeline_mix_keeps_its_budget(spark):
+    """Rows without an id, and rows that share one, have copies of their own: the words taken are near each source's target. Equal rows are one, with all their copies."""
+    r = np.random.default_rng(7)
+    rows = [(None if i % 2 else i // 6, " ".join(["w"] * int(r.integers(1, 30)) + [f"x{i}"]), None, f"s{i % 3}", 0) for i in range(120)]
+    rows += [(None, "same words in each", None, "s0", 0)] * 4 + [(3, "the same twice", None, "s1", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id")))
+    out = dict(corpus_pipeline.STAGES)["source_mix"](spark, docs, DATA).collect()
+    size = lambda t: len(t.split())
+    targets = {x["source"]: x["target"] for x in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source, target in targets.items():
+        words = sum(size(x["text"]) * x["copies"] for x in out if x["source"] == source)
+        assert abs(words - target) <= 2 * max(size(t) for _, t, *_ in rows)
+    whole = sum(size(x["text"]) * x["copies"] for x in out)
+    assert sum(targets.values()) - 62 <= whole <= sum(targets.values())
+    assert whole == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+    times = {(x["doc_id"], x["text"]): rows.count((x["doc_id"], x["text"], None, x["source"], 0)) for x in out}
+    assert len(times) == len(out) and all(0 < x["copies"] <= 2 * times[x["doc_id"], x["text"]] for x in out)
+
+
 def test_pipeline_bears_odd_rows(spark, odd):
     docs = odd
     for name, stage in corpus_pipeline.STAGES:
