@@ -6,10 +6,12 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import checkpointed, row_key, table
+from corpusloom.llm.common import checkpointed, lookup, table
 from corpusloom.llm.decontaminate import find_contamination
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.language import identify, learn
@@ -45,12 +47,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with how often it has each (copies) and when first (finish).
 
-    Rows that share an id share the largest number of copies among them. Columns of docs by these
-    two names are replaced.
+    Rows are told apart by a 128-bit key of all their columns, so rows that share an id, or have
+    none, each have their own copies. Rows that are equal in every column are one row, with the
+    copies of all of them. Columns of docs by these two names are replaced.
     """
-    taken = mix(docs).groupBy(row_key("doc_id").alias("_key")).agg(F.max("copies").alias("copies"), F.min("finish").alias("finish")).where("copies > 0")
     docs = docs.drop("copies", "finish")
-    return docs.withColumn("_key", row_key("doc_id")).join(taken, "_key").select(*docs.columns, "copies", "finish")
+    plain = [f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]  # what can be hashed
+    keys = [F.xxhash64(F.lit(i), *(F.struct(F.col(c).isNull(), F.col(c)) for c in plain)).alias(f"_key{i}") for i in (1, 2)]
+    names = ["_key1", "_key2"]
+    mixed = mix(docs.select("doc_id", "text", "source", *keys), carry=tuple(names))
+    taken = mixed.groupBy(*names).agg(F.sum("copies").alias("copies"), F.min("finish").alias("finish"), F.count(F.lit(1)).alias("_rows"), F.count(F.lit(1)).alias("_weight")).where("copies > 0")
+    taken = checkpointed(taken, small=True)
+    found = lookup(docs.select("*", *keys), taken, names, "_weight")
+    if not taken.where("_rows > 1").isEmpty():
+        found = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(names))
+    return found.select(*docs.columns, "copies", "finish")
 
 
 STAGES = [
