@@ -24,7 +24,10 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes annotation".split())
-NEVER = frozenset("nav aside footer form button select fieldset menu dialog head".split())
+NEVER = frozenset("nav aside footer button select fieldset menu dialog head".split())
+#: Whose paragraphs are those of the container around them; and what a cell that is a paragraph itself stands in.
+WITHIN = frozenset("ul ol dl li dt dd blockquote figure".split())
+FRAMES = WITHIN | frozenset("table thead tbody tfoot tr td th".split())
 PARAGRAPHS = frozenset("html p pre td blockquote div section article main li dd h1 h2 h3 h4 h5 h6 body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class names that tell what isn't part of an article, those that may stand beside them, and those of an article.
@@ -45,22 +48,27 @@ _TAG = re.compile(r"<!--(?:[^-]++|-(?!->))*+(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-
 _VALUE_OR_END = re.compile(r">|=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _PARTS = re.compile(r"[a-z]+|[0-9]+")
-#: Points of a sibling against the best container's, from which it is kept. Ancestors that a paragraph's points reach.
-SIBLING, LEVELS = 0.2, 5
+#: Points of a sibling against the best container's, from which it is kept. From that ancestor on, the share of a paragraph's points is the same for all.
+SIBLING, LEVELS = 0.2, 3
+#: A form is part of the page, not a form of it, if it holds the article, or more than this share of all text.
+FORM = 0.5
 #: What belongs to an article that stands beside it, however short.
 TITLES = HEADINGS | {"p", "header", "hgroup"}
 
 
 class Node:
-    """An element. block: itself, or the nearest ancestor that isn't a link; link: the open link that it stands in, not beyond a block."""
+    """An element. block: itself, or the nearest ancestor that isn't a link; outer, framed: the nearest that isn't a list or quote, nor a table's part; link: the open link that it stands in, not beyond a block."""
 
-    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped", "inside", "block", "link")
+    __slots__ = ("tag", "names", "parent", "children", "points", "chars", "linked", "dropped", "inside", "quoted", "outer", "framed", "block", "link")
 
     def __init__(self, tag: str, names: str, parent: Node | None, dropped: bool):
         self.tag, self.names, self.parent, self.dropped = tag, names, parent, dropped
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.inside: bool = tag in ("article", "main") or bool(parent and parent.inside)
+        self.quoted: bool = tag == "blockquote" or bool(parent and parent.quoted)
+        self.outer: Node = parent.outer if parent and tag in WITHIN else self
+        self.framed: Node = parent.framed if parent and tag in FRAMES else self
         self.block: Node = parent.block if tag == "a" and parent else self
         self.link: Node | None = self if tag == "a" else None if tag in BLOCKS or not parent else parent.link
 
@@ -70,9 +78,10 @@ def _words(names: str) -> list[list[str]]:
     return [_PARTS.findall(name) for name in names.split()]
 
 
-def _unlikely(names: str) -> bool:
-    """One of the names is made of UNLIKELY words, and of others only of those that stand beside them: `share-buttons`, but not `social-history`."""
-    return any(not UNLIKELY.isdisjoint(words) and all(w in UNLIKELY or w in BESIDE or w.isdigit() for w in words) for words in _words(names))
+def _unlikely(names: str, inside: bool) -> bool:
+    """One of the names is made of UNLIKELY words, and of others only of those that stand beside them: `share-buttons`, but not `social-history`. Within an article a header is its own."""
+    against = UNLIKELY - {"header"} if inside else UNLIKELY
+    return any(not against.isdisjoint(words) and all(w in against or w in BESIDE or w.isdigit() for w in words) for words in _words(names))
 
 
 def _likely(names: str) -> bool:
@@ -183,9 +192,10 @@ def parse(page: str) -> list[Node]:
             names = " ".join(found[x] for x in ("class", "id", "role") if x in found)
             # Ids of headings, and within an article, are made from its own words.
             told = " ".join(found[x] for x in ("class", "role") if x in found) if at.inside else names
-            unlikely = tag not in ("body", "article", "main") and tag not in HEADINGS and _unlikely(told) and not (_likely(names) and tag in ("div", "section") and "comment" not in names)
+            unlikely = tag not in ("body", "article", "main") and tag not in HEADINGS and _unlikely(told, at.inside) and not (_likely(names) and tag in ("div", "section") and "comment" not in names)
             header = tag == "header" and not at.inside
-            node = Node(tag, names, at, at.dropped or tag in NEVER or header or unlikely or _hidden(found))
+            never = tag in NEVER and not (tag == "footer" and at.quoted)  # a quote's footer says whose it is
+            node = Node(tag, names, at, at.dropped or never or header or unlikely or _hidden(found))
             at.children.append(node)
             nodes.append(node)
             if tag not in VOID and not attributes.endswith("/"):
@@ -244,6 +254,23 @@ def _blocks(root: Node) -> list[tuple[Node, str, int, int]]:
     return found
 
 
+def _drop_forms(nodes: list[Node]) -> None:
+    """Drops forms with all that is in them, but for one around the article, or around most of the page's text."""
+    if not any(node.tag == "form" for node in nodes):
+        return
+    chars: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        own = chars[id(node)] = chars.get(id(node), 0) + (0 if node.dropped else sum(len(c.strip()) for c in node.children if isinstance(c, str)))
+        if node.parent:
+            chars[id(node.parent)] = chars.get(id(node.parent), 0) + own
+            if id(node) in holds or node.tag in ("article", "main") and not node.dropped:
+                holds.add(id(node.parent))
+    for node in nodes:
+        if node.parent and node.parent.dropped or node.tag == "form" and id(node) not in holds and chars[id(node)] <= FORM * chars[id(nodes[0])]:
+            node.dropped = True
+
+
 def _whole(best: Node) -> Node:
     """The outermost article around best, or else the outermost main; best itself outside of both."""
     found: dict[str, Node] = {}
@@ -259,26 +286,46 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes = parse(page)
+    _drop_forms(nodes)
     blocks = _blocks(nodes[0])
     scored: dict[int, Node] = {}
+    beyond: dict[int, float] = {}
+
+    def add(node: Node, points: float) -> None:
+        if id(node) not in scored:
+            scored[id(node)] = node
+            node.points += (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0) + (25 if _likely(node.names) else 0)
+        node.points += points
+
     for owner, text, chars, linked in blocks:
         paragraph = owner.tag in PARAGRAPHS and owner.tag not in HEADINGS
         points = (1 + text.count(",") + min(chars / 100, 3)) * (1 - linked / chars) if paragraph else 0.0
-        node, share = (owner.parent or owner) if owner.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6") else owner, 1.0
+        node, share = (owner.parent or owner) if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6") else owner, 1.0
         owner.chars += chars
         owner.linked += linked
+        node = node.framed if owner.tag in ("td", "th") else node.outer
         level = 0
-        while node and points and level < LEVELS:
+        while node and points:
             node = node.block
             level += 1
-            if id(node) not in scored:
-                scored[id(node)] = node
-                node.points += (25 if node.tag in ("article", "main") else 5 if node.tag in ("div", "section") else 0) + (25 if _likely(node.names) else 0)
-            node.points += points * share
+            if level > LEVELS:  # the rest of the way is gone once for all paragraphs
+                beyond[id(node)] = beyond.get(id(node), 0.0) + points * share
+                break
+            add(node, points * share)
             share = max(share / 2, 0.25)
             node = node.parent
-    if not scored:
-        return ""
+    for node in reversed(nodes):
+        if id(node) in beyond:
+            add(node, beyond[id(node)])
+            if node.parent:
+                up = node.parent.block
+                beyond[id(up)] = beyond.get(id(up), 0.0) + beyond[id(node)]
+    if not scored:  # no paragraph: the headlines of an article, if there is one
+        keep = set()
+        for node in nodes:
+            if not node.dropped and (node.tag in ("article", "main") or node.parent and id(node.parent) in keep):
+                keep.add(id(node))
+        return " ".join(text for owner, text, _, _ in blocks if id(owner) in keep)
     for node in reversed(nodes[1:]):
         node.parent.chars += node.chars
         node.parent.linked += node.linked
@@ -289,10 +336,11 @@ def main_text(page: str | None) -> str:
     keep = {id(top)}
     siblings = [x for x in top.parent.children if isinstance(x, Node) and (x is top or not x.dropped and x.chars)] if top.parent and top.tag not in ("body", "html") else []
     among = top.parent is not None and top.parent.inside
+    held = among and top.tag == "article"  # what stands beside an article within the main element
     for sibling in siblings:
         if sibling is not top and sibling.linked / sibling.chars < 0.25:
             scores = id(sibling) in scored and sibling.tag == top.tag and rank(sibling) >= SIBLING * max(rank(top), rank(best))
-            if scores or sibling.tag == "p" and sibling.chars > 80 or among and (sibling.tag in TITLES or sibling.tag == top.tag):
+            if scores or sibling.tag == "p" and sibling.chars > 80 or held or among and (sibling.tag in TITLES or sibling.tag == top.tag):
                 keep.add(id(sibling))
     follows = False  # titles and short paragraphs stand before what they belong to
     for sibling in reversed(siblings):
