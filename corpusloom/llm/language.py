@@ -13,17 +13,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import small_batches, table
 
-#: The bound on what is learnt from: languages, those with most rows; rows of each; and bytes of its dictionary.
+#: The bound on what is learnt from: languages, those with most rows; rows of each; bytes of its dictionary, and of all dictionaries.
 MOST_LANGUAGES = 1_000
 SAMPLE_ROWS = 256
-DICTIONARY_BYTES = 32_768
-#: Excerpts that fill a dictionary.
+DICTIONARY_BYTES, ALL_BYTES = 32_768, 8 << 20
+#: Excerpts that fill a dictionary, if texts are long; of short texts it holds more.
 EXCERPTS = 16
 #: A text is encoded in blocks of so many bytes, so that it can't become its own dictionary.
 BLOCK_BYTES = 2_000
@@ -32,12 +33,14 @@ LEVEL = 5
 MARGIN = 0.004
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_ASCII_LETTERS = re.compile(r"[^a-z]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")  # vowel signs and tone marks belong to their words
 
 
 def _normal(text: str) -> str:
     """Lower-case words with single spaces: case, digits and symbols say nothing of the language."""
-    return " ".join(("", *_NOT_LETTERS.split(text.lower()), "")).replace("  ", " ")
+    low = text.lower()
+    return " ".join(("", *(_NOT_ASCII_LETTERS if low.isascii() else _NOT_LETTERS).split(low), "")).replace("  ", " ")
 
 
 @dataclass(frozen=True)
@@ -87,6 +90,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     The bound: the most_languages languages with most rows, and about twice sample_rows different
     texts of each, drawn by the hash of the text, come to the driver as hashes; then an excerpt of
     dictionary_bytes / EXCERPTS characters of sample_rows of them, from a place that the hash tells.
+    A dictionary holds as many of these as fill it: EXCERPTS of long texts. All dictionaries together
+    have ALL_BYTES at most, so those of more than 256 languages are smaller.
     A language whose excerpts have fewer than 8 bytes of letters is not learnt, as zstandard takes no
     less. No labelled rows: a model that knows no language.
     """
@@ -103,7 +108,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sampl
     for r in hashed.join(shares, "lang").where(below).select("lang", "h").distinct().collect():
         by_lang[r["lang"]].append(r["h"])
     drawn = F.broadcast(spark.createDataFrame([(lang, h) for lang, found in by_lang.items() for h in sorted(found)[:sample_rows]], "lang string, h long"))
-    piece = dictionary_bytes // EXCERPTS
+    dictionary_bytes = min(dictionary_bytes, ALL_BYTES // len(counts))
+    piece = max(1, dictionary_bytes // EXCERPTS)
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1
     excerpts = hashed.join(drawn, ["lang", "h"]).groupBy("lang", "h").agg(F.first(F.substr("text", start.cast("int"), F.lit(piece))).alias("text"))
     found = defaultdict(list)

@@ -11,11 +11,13 @@ import time
 import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import chat, common, language, quality, secrets, urls
 from corpusloom.llm import html as pages
 from corpusloom.llm.common import table, word_hashes
+from corpusloom.llm.html import main_text
 from tests.conftest import DATA
 
 
@@ -664,3 +666,64 @@ def test_word_hashes(monkeypatch, size):
         assert by_word.setdefault(word, value) == value
     assert len(set(by_word.values())) == len(by_word) == len(set(words))
     assert len(word_hashes(b"")) == len(word_hashes(b" \n ")) == 0
+
+
+# Pages whose text used to be lost, and dictionaries
+
+
+LONG_PARAGRAPH = "Some long paragraph of text, with commas, and many words that go on for a while so that it counts as part of an article. "
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><form id=f><div class=nav><a href=x>home</a></div><div id=c><h1>T</h1><p>{p}</p><input><p>{p}</p></div></form></body>", "T {p} {p}"),
+        ("<body><form>Subscribe now <input></form><article><p>{p}</p></article></body>", "{p}"),
+        ("<body><form><article><p>{p}</p></article></form></body>", "{p}"),
+        ("<div id=x><h1>H</h1><p>In short.</p><ul>{items}</ul><p>CLOSE</p><blockquote><p>Words</p><footer>Who</footer></blockquote><table><tr><td>cell</td></tr></table></div>", "H In short. {listed} CLOSE Words Who cell"),
+        ("<main><h1>H</h1><div class=lede>Lede.</div><article><p>{p}</p></article><div class=after>After.</div></main>", "H Lede. {p} After."),
+        ("<article><div class='header'><h1>H</h1></div><p>{p}</p></article>", "H {p}"),
+        ("<nav>menu</nav><article><h1>Only this</h1></article><footer>f</footer>", "Only this"),
+        ("<table><tr><td><a href=1>one</a> <a href=2>two</a></td><td><p>{p}</p><p>{p}</p></td></tr></table>", "{p} {p}"),
+        ("<body>" + "<div>" * 12 + "<p>{p}</p><p>{p}</p>" + "</div>" * 12 + "<footer>f</footer></body>", "{p} {p}"),
+    ],
+)
+def test_text_that_was_lost(page, want):
+    items = [f"Item {i}, a longer one, with words and commas" for i in range(50)]
+    fill = lambda t, p: t.replace("{items}", "".join(f"<li>{x}</li>" for x in items)).replace("{listed}", " ".join(items)).replace("{p}", p)
+    assert main_text(fill(page, LONG_PARAGRAPH)) == fill(want, LONG_PARAGRAPH.strip())
+
+
+def test_deep_pages_take_linear_time():
+    start = time.monotonic()
+    main_text("<ul>" * 20_000 + "<li>text, here" * 5)
+    main_text("<div>" * 20_000 + "<p>text, here" * 20_000)
+    assert time.monotonic() - start < 20
+
+
+def test_marks_belong_to_their_words():
+    assert language._normal("हिन्दी में लिखा 12") == " हिन्दी में लिखा "
+    assert language._normal("ที่นี่ Straße-x_y") == " ที่นี่ straße x y "
+    assert language._normal("Plain, ASCII 1a") == " plain ascii a "
+
+
+def test_sizes_are_those_of_a_plain_encoding(spark):
+    """Every prediction of a whole table against each dictionary taken as it is, block by block."""
+    docs = table(spark, DATA, "documents")
+    model = language.learn(docs.where(~language.held_out()))
+    assert sum(map(len, model.dictionaries.values())) <= language.ALL_BYTES and all(len(d) <= language.DICTIONARY_BYTES for d in model.dictionaries.values())
+    for r in language.identify(docs, model).collect():
+        data = language._normal(r["text"] or "").encode("utf-8", "surrogatepass")
+        sizes = {}
+        for lang, content in model.dictionaries.items():
+            coder = lambda: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)  # noqa: B023, E731
+            sizes[lang] = sum(len(coder().compress(data[i : i + model.block_bytes])) for i in range(0, len(data), model.block_bytes))
+        if any(map(str.isalpha, r["text"] or "")):
+            assert r["lang_pred"] == min(sizes, key=sizes.__getitem__)
+
+
+def test_many_languages_have_smaller_dictionaries(spark, monkeypatch):
+    monkeypatch.setattr(language, "ALL_BYTES", 400)
+    docs = spark.createDataFrame([(i, f"l{i % 4}", "words of language number " + "abcd"[i % 4] * 40) for i in range(80)], "doc_id long, lang string, text string")
+    model = language.learn(docs)
+    assert len(model.dictionaries) == 4 and all(8 <= len(d) <= 100 for d in model.dictionaries.values())
