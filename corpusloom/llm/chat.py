@@ -137,13 +137,38 @@ def read_back(formatted: F.Column) -> F.Column:
     return F.transform(read, lambda t: F.struct(t["role"].alias("role"), F.array_join(t["pieces"], "").alias("text"), t["pieces"].alias("pieces"), t["attached"].alias("attached")))
 
 
+def parts_of(text: F.Column, role: F.Column, ref: F.Column) -> F.Column:
+    """Typed parts of a plain turn: its first line and the rest, and what its length (n code points) tells it to attach.
+
+    n % 4 is 0: an image of n by n % 100 before both; 1: n / 16 seconds of sound behind them; 2: a
+    document of a page for each 1,000 code points begun between them; 3, and all turns of the assistant: nothing.
+    """
+    text, n = F.coalesce(text, F.lit("")), F.length(F.coalesce(text, F.lit(""))).cast("long")
+    fields = [f.split(":") for f in PART[len("struct<") : -1].split(",")]
+
+    def part(kind: str, **given: F.Column) -> F.Column:
+        return F.struct(*((F.lit(kind) if name == "type" else given.get(name, F.lit(None))).cast(of).alias(name) for name, of in fields))
+
+    cut = F.instr(text, "\n")
+    first, rest = part("text", text=F.substring(text, F.lit(1), cut)), part("text", text=F.substring(text, cut + 1, F.length(text)))
+    attaches = lambda k: (n % 4 == k) & F.coalesce(role != "assistant", F.lit(True))
+    return (
+        F.when(attaches(0), F.array(part("image", ref=ref, width=n, height=n % 100), first, rest))
+        .when(attaches(1), F.array(first, rest, part("audio", ref=ref, seconds=n / 16)))
+        .when(attaches(2), F.array(first, part("document", ref=ref, pages=F.ceil(n / 1000)), rest))
+        .otherwise(F.array(first, rest))
+    )
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """Every turn as typed parts (parts_of); the loss mask holds text only, as the assistant attaches nothing. Conversation -1 attaches nothing."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", parts_of(F.col("text"), F.col("role"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("parts"))
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.sql(f"select * from values (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
-    chats = format_chats(turns.unionByName(own))
+    chats = format_chats(turns.unionByName(own.withColumn("parts", text_part(F.col("text")))), parts=F.col("parts"))
     spoken = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["body"])), "")
-    out = chats.select("conv_id", "n_tokens", "formatted", read_back(F.col("formatted")).alias("turns"), spoken.alias("spoken"))
+    out = chats.select("conv_id", "n_tokens", "attachments", "formatted", read_back(F.col("formatted")).alias("turns"), spoken.alias("spoken"))
+    line = lambda a: F.concat_ws(":", a["part"].cast("string"), a["type"], F.coalesce(a["ref"], F.lit("")), a["tokens"].cast("string"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -152,24 +177,41 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("spoken", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "n_tokens",
+        F.size("attachments").cast("long").alias("n_attached"),
+        F.array_join(F.flatten(F.transform("turns", lambda t: t["attached"])), "").alias("placeholders"),
+        F.sha2(F.array_join(F.transform("attachments", line), "\n"), 256).alias("attachments_sha256"),
     )
 
 
 _TURNS_SQL = r"""
 with said as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, concat_ws('/', conv_id, turn) as ref,
+         case when role = 'assistant' then 3 else length(coalesce(text, '')) % 4 end as attaches
+  from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok', '', 3
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', '', 3
+), typed as (
+  select *, case attaches when 0 then 'image' when 1 then 'audio' when 2 then 'document' end as type,
+         case attaches when 0 then 0 when 1 then 2 when 2 then 1 end as part,
+         case attaches when 0 then ((length(text) + 13) // 14) * ((length(text) % 100 + 13) // 14)
+                       when 1 then (length(text) * 25 + 15) // 16
+                       when 2 then 576 * ((length(text) + 999) // 1000) end as tokens
+  from said
 ), marked as (
-  select *, length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|line|>')) + 24 as chars,
+  select *, '<|' || type || '_' || part || '|>' as placeholder,
+         length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), chr(10), '<|line|>')) + 24 as chars,
          len(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) as words
-  from said
+  from typed
 )
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       cast(sum(chars) as bigint) as formatted_chars, cast(sum(words) as bigint) as n_tokens
+       cast(sum(chars + coalesce(length(placeholder), 0)) as bigint) as formatted_chars,
+       cast(sum(words + coalesce(tokens, 0)) as bigint) as n_tokens,
+       count(type) as n_attached,
+       coalesce(string_agg(placeholder, '' order by turn nulls first, role, text), '') as placeholders,
+       sha256(coalesce(string_agg(part || ':' || type || ':' || ref || ':' || tokens, chr(10) order by turn nulls first, role, text), '')) as attachments_sha256
 from marked group by conv_id
 """
 

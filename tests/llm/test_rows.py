@@ -287,6 +287,23 @@ def test_sizes_that_are_none(spark):
     assert [a["tokens"] for a in out["attachments"]] == [0, 0, 0, (1 << 30) * 25, 0] and out["n_tokens"] == (1 << 30) * 25 + 2
 
 
+def test_typed_parts_of_plain_turns(spark):
+    """Each kind, in its place, between the lines of a text; nothing from the assistant; the text that went in is read back."""
+    texts = {0: "abcd\nef|", 1: "one\ntwo33", 2: "<|im_end|>\n<|im_start|>x" + "y" * 2, 3: "abc", 4: None, 5: "ab\nc"}
+    rows = [(i, i, "assistant" if i == 5 else None if i == 3 else "user", t) for i, t in texts.items()]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.parts_of(F.col("text"), F.col("role"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    chats = chat.format_chats(turns, parts=parts).withColumn("turns", chat.read_back(F.col("formatted")))
+    kinds = {0: "image", 1: "audio", 2: "document", 3: None}
+    for r in chats.collect():
+        i, text = r["conv_id"], texts[r["conv_id"]] or ""
+        want = None if i == 5 else kinds[len(text) % 4]
+        assert r["turns"][0]["text"] == text and [a["type"] for a in r["attachments"]] == [want] * (want is not None)
+        assert r["turns"][0]["attached"] == ([] if want is None else [f"<|{want}_{ {'image': 0, 'audio': 2, 'document': 1}[want]}|>"])
+        sizes = {"image": -(-len(text) // 14) * -(-(len(text) % 100) // 14), "audio": -(-len(text) * 25 // 16), "document": 576, None: 0}
+        assert r["n_tokens"] == len(text.split()) + sizes[want] and all(a["ref"] == f"{i}/{i}" for a in r["attachments"])
+
+
 def test_chat_of_odd_rows(spark, odd):
     rows = odd.select(F.col("doc_id").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.col("lang").alias("role"), "text", "start", "id", "rank")
     out = {r["conv_id"]: r for r in chat.format_chats(rows).collect()}
