@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,8 +35,8 @@ LIMIT = 35.9
 #: are four floors each, so that one line said twice (2 * 16 < LIMIT) doesn't reject the shortest text.
 FLOORS = {"log_words": 0.05, "word_length": 0.05, "symbols": math.log1p(10 / MIN_WORDS) / 4, "dup_lines": math.log1p(10 / MIN_WORDS) / 4, "repeats": math.log1p(60 / MIN_WORDS) / 4}
 VECTOR = tuple(FLOORS)
-#: Width of the steps by which distances are told apart, in logarithms.
-STEP = 0.01
+#: Width of the steps by which distances are told apart, in logarithms, and of the grid that estimates are made on.
+STEP, GRID = 0.01, 0.01
 #: Groups whose estimates go to every task; more are joined, in this many parts of a group.
 BROADCAST_GROUPS, PARTS = 10_000, 16
 
@@ -99,79 +100,96 @@ def _estimated(batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.R
         centre = first / n[:, None]
         scatter = scale * (second / n[:, None, None] - centre[:, :, None] * centre[:, None, :]) + floors
         made = [pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(np.linalg.inv(scatter).reshape(-1, d * d).tolist(), pa.list_(pa.float64())), pa.array(np.linalg.slogdet(scatter)[1], pa.float64())]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), *made], ["key", "start", "centre", "inverse", "logdet"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), *made, batch.column("before")], ["key", "start", "centre", "inverse", "logdet", "before"])
 
 
 _D = range(len(VECTOR))
 _FIRST, _SECOND = [f"s{i}" for i in _D], [f"p{i}_{j}" for i in _D for j in _D if i <= j]
 
 
-def _sums() -> list[F.Column]:
-    v = F.col("v")
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(v[i]).alias(f"s{i}") for i in _D), *(F.sum(v[i] * v[j]).alias(f"p{i}_{j}") for i in _D for j in _D if i <= j)]
+def _sums(weight: str | None = None) -> list[F.Column]:
+    """Sums of the vectors v, each counted once or `weight` times."""
+    n = weight or "1"
+    first = [f"sum(v[{i}] * {n}) as s{i}" for i in _D]
+    second = [f"sum(v[{i}] * v[{j}] * {n}) as p{i}_{j}" for i in _D for j in _D if i <= j]
+    return [F.expr(x) for x in (f"sum({n}) as n", *first, *second)]
 
 
 def _estimate(sums: DataFrame, scale: float = 1.0) -> DataFrame:
-    """(key, start, centre, inverse, logdet) from sums of each key and start, the scatter times `scale`."""
-    second = F.array(*(F.col(f"p{min(i, j)}_{max(i, j)}") for i in _D for j in _D))
-    packed = sums.select("key", "start", "n", F.array(*_FIRST).alias("first"), second.alias("second"))
-    return packed.mapInArrow(lambda batches: _estimated(batches, scale), "key string, start int, centre array<double>, inverse array<double>, logdet double")
+    """(key, start, centre, inverse, logdet, before) from sums of each key and start, the scatter times `scale`; before: the determinant of the estimate that the sums go back to, if they tell it."""
+    second = F.array(*(f"p{min(i, j)}_{max(i, j)}" for i in _D for j in _D))
+    before = F.col("logdet") if "logdet" in sums.columns else F.lit(None).cast("double")
+    packed = sums.select("key", "start", "n", F.array(*_FIRST).alias("first"), second.alias("second"), before.alias("before"))
+    return packed.mapInArrow(lambda batches: _estimated(batches, scale), "key string, start int, centre array<double>, inverse array<double>, logdet double, before double")
 
 
 def _distance() -> F.Column:
-    off = [F.col("v")[i] - F.col("centre")[i] for i in _D]
-    return sum((off[i] * off[j] * F.col("inverse")[i * len(VECTOR) + j] for i in _D for j in _D), F.lit(0.0))
+    """The squared distance of v from `centre`, the inverse scatter being symmetric."""
+    term = lambda i, j: f"{1 if i == j else 2} * (v[{i}] - centre[{i}]) * (v[{j}] - centre[{j}]) * inverse[{i * len(VECTOR) + j}]"
+    return F.expr(" + ".join(term(i, j) for i in _D for j in _D if i <= j))
 
 
-def _beside(rows: DataFrame, few: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """rows with what few has for their group: few goes to every task if it is small, else both sides are dealt out by parts of a group."""
-    if few.count() <= BROADCAST_GROUPS:
+def _beside(rows: DataFrame, few: DataFrame, on: str, how: str = "inner", small: bool | None = None) -> DataFrame:
+    """rows with what few has for their group: few goes to every task if it is small (counted, if that isn't known), else both sides are dealt out by parts of a group."""
+    if few.count() <= BROADCAST_GROUPS if small is None else small:
         return rows.join(F.broadcast(few), on, how)
     parts = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int")).join(parts, [on, "part"], how).drop("part")
 
 
-def _concentrated(vectors: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
+def _concentrated(cells: DataFrame, estimates: DataFrame, share: float, small: bool) -> DataFrame:
     """The next estimates: from the vectors of each group among the `share` of it closest to the centre, to a step of the distance.
 
     Sums are made for each group, start and step of the distance before the shuffle; steps are then
     added up in order until the share is reached.
     """
-    placed = _beside(vectors, estimates, "key").select("key", "start", F.floor(F.log(_distance() + 1e-9) / STEP).alias("step"), "v")
-    by_step = placed.groupBy("key", "start", "step").agg(*_sums())
-    of_start = Window.partitionBy("key", "start")
+    placed = _beside(cells, estimates, "key", small=small).select("key", "start", "logdet", F.floor(F.log(_distance() + 1e-9) / STEP).alias("step"), "v", "n")
+    by_step = placed.groupBy("key", "start", "logdet", "step").agg(*_sums("n"))
+    of_start = Window.partitionBy("key", "start", "logdet")
     upto = F.sum("n").over(of_start.orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     kept = by_step.withColumns({"before": F.coalesce(upto, F.lit(0)), "all": F.sum("n").over(of_start)}).where(F.col("before") < share * F.col("all"))
-    return _estimate(kept.groupBy("key", "start").agg(*(F.sum(c).alias(c) for c in ("n", *_FIRST, *_SECOND))), consistency(share))
+    return _estimate(kept.groupBy("key", "start", "logdet").agg(*(F.expr(f"sum({c}) as {c}") for c in ("n", *_FIRST, *_SECOND))), consistency(share))
 
 
-def estimate(vectors: DataFrame, support: float = SUPPORT, draws: int = DRAWS, most_steps: int = MOST_STEPS) -> DataFrame:
-    """(key, start, centre, inverse, logdet), the regularised minimum-covariance-determinant estimate of each key from (key, h, v).
+def _made(estimates: DataFrame, small: bool) -> tuple[DataFrame, float | None]:
+    """estimates, once computed, and the largest fall of a determinant: the few of small ones are held by the driver, others are written."""
+    if small:
+        rows = estimates.toArrow()
+        return estimates.sparkSession.createDataFrame(rows, estimates.schema), pc.max(pc.subtract(rows["before"], rows["logdet"])).as_py()
+    now = checkpointed(estimates, small=True)
+    return now, now.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+
 
-    Starts are the vectors within 3 robust deviations of the group's medians in each statistic
-    (quartiles of values rounded to 0.01, so counts stay few), and those with the smallest hashes of
-    h, by `draws` ways of hashing. After FIRST_STEPS concentration steps the start with the smallest
-    determinant goes on in each group, until no group's determinant falls by more than STILL.
+def estimate(vectors: DataFrame, support: float = SUPPORT, draws: int = DRAWS, most_steps: int = MOST_STEPS) -> DataFrame:
+    """(key, start, centre, inverse, logdet), the regularised minimum-covariance-determinant estimate of each key from (key, v).
+
+    Vectors are first counted in the cells of a grid of width GRID, less than a quarter of what is added
+    to any deviation; all steps go over the cells, which stay few however many vectors there are.
+    Starts are the vectors within 3 robust deviations of the group's medians in each statistic, and
+    DRAWN vectors or so of each of `draws` ways of hashing. After FIRST_STEPS concentration steps the
+    start with the smallest determinant goes on in each group, until no group's determinant falls by
+    more than STILL. The driver holds the estimates of up to BROADCAST_GROUPS groups between steps.
     """
     floors = list(FLOORS.values())
-    middle = vectors.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile(F.round(F.col("v")[i], 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in _D))
+    cells = checkpointed(vectors.groupBy("key", F.transform("v", lambda x: F.round(x / GRID) * GRID).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    middle = checkpointed(cells.groupBy("key").agg(F.sum("n").alias("rows"), *(F.percentile(F.col("v")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"q{i}") for i in _D)), small=True)
+    small = middle.count() <= BROADCAST_GROUPS
     spread = [F.abs(F.col("v")[i] - F.col(f"q{i}")[1]) <= 3 * F.greatest(0.74 * (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]), F.lit(floors[i])) for i in _D]
     near = spread[0] & spread[1] & spread[2] & spread[3] & spread[4]
-    drawn = [F.pmod(F.xxhash64(F.lit(k), "h"), F.lit(1 << 40)) < F.lit(float(DRAWN << 40)) / F.col("rows") for k in range(1, draws + 1)]
-    starts = F.filter(F.array(*(F.when(inside, F.lit(k)) for k, inside in enumerate((near, *drawn)))), lambda k: k.isNotNull())
-    begun = _beside(vectors, middle, "key").select("key", "v", F.explode(starts).alias("start"))
-    now = checkpointed(_estimate(begun.groupBy("key", "start").agg(*_sums())), small=True)
+    # How many vectors of a cell are drawn: its share of DRAWN, rounded up or down by chance.
+    drawn = [F.floor(DRAWN * F.col("n") / F.col("rows") + F.pmod(F.xxhash64(F.lit(k), "key", "v"), F.lit(1 << 40)) / F.lit(float(1 << 40))) for k in range(1, draws + 1)]
+    starts = F.filter(F.array(*(F.struct(F.lit(k).alias("start"), w.alias("n")) for k, w in enumerate((F.when(near, F.col("n")).otherwise(0), *drawn)))), lambda s: s["n"] > 0)
+    begun = _beside(cells, middle, "key", small=small).select("key", "v", F.explode(starts).alias("of")).select("key", "v", "of.*")
+    now, _ = _made(_estimate(begun.groupBy("key", "start").agg(*_sums("n"))), small)
     for _ in range(FIRST_STEPS):
-        now = checkpointed(_concentrated(vectors, now, support), small=True)
+        now, _ = _made(_concentrated(cells, now, support, small), small)
     best = now.groupBy("key").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    now = checkpointed(now.join(best, ["key", "start"]), small=True)
+    now, _ = _made(now.join(best, ["key", "start"]).select(*now.columns), small)
     for _ in range(most_steps - FIRST_STEPS):
-        then, now = now, checkpointed(_concentrated(vectors, now, support), small=True)
-        both = then.select("key", F.col("logdet").alias("before"))
-        fell = now.join(both, "key").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        now, fell = _made(_concentrated(cells, now, support, small), small)
         if fell is None or fell <= STILL:
             break
-    return now
+    return now.drop("before")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = SUPPORT, min_rows: int = MIN_ROWS, limit: float = LIMIT) -> DataFrame:
@@ -202,8 +220,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     adds = F.filter(F.array(F.when(plain("n"), F.col("own")), F.when(plain("n_lang") & F.col("lang_asked"), F.col("whole")), F.when(plain("n_all") & F.col("all_asked"), every)), lambda k: k.isNotNull())
     plan = checkpointed(sizes.join(of_lang, "whole").crossJoin(F.broadcast(of_all)).select("own", by.alias("key"), adds.alias("adds")), small=True)
     judged = _beside(counted.withColumn("own", group("lang", "source")), plan, "own", "left").select("id", *COUNTS, failed.alias("base_failed"), "key", "adds", vector.alias("v"))
-    vectors = checkpointed(judged.where("not base_failed").select(F.explode("adds").alias("key"), F.xxhash64("id", "v").alias("h"), "v"))
-    found = estimate(vectors, support).select("key", "centre", "inverse")
+    found = estimate(judged.where("not base_failed").select(F.explode("adds").alias("key"), "v"), support).select("key", "centre", "inverse")
     out = _beside(judged.drop("adds"), found, "key", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("centre").isNotNull(), _distance()))
     return out.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"))
 

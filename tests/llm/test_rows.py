@@ -653,6 +653,32 @@ def test_estimate_has_the_least_determinant(spark, monkeypatch, broadcast):
         assert ((mine <= quality.LIMIT) == (far <= quality.LIMIT))[clear].all() and clear.mean() > 0.9
 
 
+def test_verdicts_of_whole_table_are_those_of_brute_force(spark):
+    """Every row's verdict, from the estimate of its (language, source), of its language or of all, whichever has enough vectors first."""
+    import numpy as np
+
+    docs = {r["doc_id"]: r for r in table(spark, DATA, "documents").collect()}
+    rows = {r["doc_id"]: r for r in quality.op9_quality_rules(spark, DATA).collect()}
+    vectors, groups = {}, {}
+    for i, r in rows.items():
+        if not r["base_failed"]:
+            n = max(r["n_words"], 1)
+            vectors[i] = [math.log1p(r["n_words"]), math.log(max(r["word_chars"], 1) / n), *(math.log1p(10 * r[c] / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words"))]
+            for key in ((docs[i]["lang"], docs[i]["source"]), (docs[i]["lang"],), ()):
+                groups.setdefault(key, []).append(i)
+    judged_by = {i: next((k for k in ((docs[i]["lang"], docs[i]["source"]), (docs[i]["lang"],), ()) if len(groups[k]) >= quality.MIN_ROWS), None) for i in vectors}
+    rng, clear = np.random.default_rng(3), 0
+    for key in set(judged_by.values()):
+        x = np.array([vectors[i] for i in groups[key]])
+        far = dict(zip(groups[key], brute_mcd(x, quality.SUPPORT, rng)[1], strict=True))
+        for i in (i for i, k in judged_by.items() if k == key):
+            if abs(math.log(far[i] / quality.LIMIT)) > 0.3:
+                clear += 1
+                assert rows[i]["kept"] == (far[i] <= quality.LIMIT)
+    assert clear > 0.9 * len(vectors) and None not in judged_by.values()
+    assert not any(r["kept"] for r in rows.values() if r["base_failed"])
+
+
 def test_small_groups_are_judged_by_larger_ones(spark):
     """A group of few by all of its language, a language of few by all; the result is the same without broadcasts."""
     text = lambda i: " ".join(f"w{i * 1000 + j:06d}" for j in range(100 + i % 100))
