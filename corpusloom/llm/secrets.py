@@ -247,11 +247,11 @@ def _object(part: str) -> dict | None:
 
 
 def signed_token(header: str, claims: str, signature: str) -> str | None:
-    """The algorithm of a signed token: its header is a JSON object that names one, its claims are an object."""
+    """The algorithm of a signed token: its header is a JSON object that names one, its claims are an object, and its signature holds a byte at least."""
     head = _object(header)
     if not head or not isinstance(head.get("alg"), str) or _object(claims) is None:
         return None
-    return head["alg"] if signature or head["alg"].lower() == "none" else None
+    return head["alg"] if len(signature) > 1 or head["alg"].lower() == "none" else None
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:

@@ -77,6 +77,7 @@ def test_confirmed_kinds():
     assert set(kinds(RSA.hex())) == {"hex", "der"}
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
     assert kinds(f"bearer {token}") == ["jwt"]
+    assert kinds(f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.a") == [] and kinds(f"{part({'alg': 'none'})}.{part({'sub': 1})}.") == ["jwt"]
     assert kinds(f"{part({'typ': 'x'})}.{part({'sub': 1})}.c2ln") == [] and kinds(f"{part({'alg': 'HS256'})}.{part([1])}.c2ln") == []
     assert kinds("Q" * 5000) == [] and kinds("ab" * 5000) == ["hex"]
 
