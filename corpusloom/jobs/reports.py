@@ -19,6 +19,8 @@ from corpusloom.sources.tables import answers, chunks, table
 NOTHING_FOUND, SOURCE_CHARS = "I couldn't find relevant information to answer your query.", 2000
 #: What the cards of a run must reach.
 CARDS = {"success_rate": 0.9, "overall_score": 0.8, "execution_time": 300.0, "groundedness": 0.95}
+#: One source in so many is a bare name in plain_source_blocks; cases that are run again after they failed.
+BARE, AGAIN = 3, 10
 #: The least fused score of a chunk that an answer is written from.
 USABLE = 0.5
 
@@ -76,10 +78,23 @@ def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("query_id", "query", F.array_join("expected_facts", "|").alias("facts"), F.array_join("expected_chunk_ids", "|").alias("chunk_ids"), "metadata.ticker", "metadata.company", "metadata.source")
 
 
+def source_text(sources: F.Column) -> F.Column:
+    """Sources (content, plain) as numbered blocks, each cut at SOURCE_CHARS: a record's content, or what a source without one is as text."""
+    block = lambda s, i: F.concat(F.lit("--- Source "), (i + 1).cast("string"), F.lit(" ---\n"), F.left(F.coalesce(s["content"], s["plain"], F.lit("")), F.lit(SOURCE_CHARS)), F.lit("\n\n"))
+    return F.array_join(F.transform(sources, block), "")
+
+
 def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The found chunks of each case as blocks for a judge, each cut at SOURCE_CHARS, which is the feature."""
-    block = lambda c, i: F.concat(F.lit("--- Source "), (i + 1).cast("string"), F.lit(" ---\n"), F.left(c["raw_chunk"], F.lit(SOURCE_CHARS)), F.lit("\n\n"))
-    return _digest(validation._answered(spark, sf_dir), ["query_id"], F.array_join(F.transform("found", block), ""))
+    source = lambda c: F.struct(c["raw_chunk"].alias("content"), F.lit(None).cast("string").alias("plain"))
+    return _digest(validation._answered(spark, sf_dir).withColumn("sources", F.transform("found", source)), ["query_id"], source_text(F.col("sources")))
+
+
+def plain_source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of sources of which every BARE-th is a bare name instead of a record with content: that is then the text."""
+    rows = validation._answered(spark, sf_dir)
+    source = lambda c, i: F.struct(F.when(i % BARE != BARE - 1, c["raw_chunk"]).alias("content"), c["chunk_id"].alias("plain"))
+    return _digest(rows.withColumn("sources", F.transform("found", source)), ["query_id"], source_text(F.col("sources")))
 
 
 def prompt_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,20 +170,32 @@ def payload_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of a chunk's texts that isn't empty (text, else its title, else its source); chunks with none are left out."""
+    """The first of a chunk's texts that isn't empty (text, else its title, else its source); chunks with none are left out. Cut for an inspector, who sees marks only where it is cut, as a case's target, which always ends in them, and for a prompt."""
     docs = table(spark, sf_dir, "documents")
     filled = lambda c: F.nullif(c, F.lit(""))
     text = F.coalesce(filled(stripped(F.col("text"))), filled(F.col("lang")), filled(F.col("source")))
     clean = F.replace(text, F.lit('"'), F.lit(""))
-    return docs.where(text.isNotNull()).select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("text_md5"), F.concat(F.left(clean, F.lit(200)), F.when(F.length(clean) > 200, "...").otherwise("")).alias("shown"))
+    return docs.where(text.isNotNull()).select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("text_md5"), F.concat(F.left(clean, F.lit(200)), F.when(F.length(clean) > 200, "...").otherwise("")).alias("shown"), F.concat(F.left(clean, F.lit(200)), F.lit("...")).alias("target_text"), F.length(F.left(clean, F.lit(1000))).cast("long").alias("prompt_chars"))
+
+
+def choose_cases(rows: DataFrame, wanted: DataFrame | tuple | list | None = None, limit: int | None = 0, by: str = "query_id", order: str = "item_id") -> DataFrame:
+    """Cases of the ids wanted, in a list or a table (by), none meaning all; at most so many in order, 0 or none meaning all. Unknown, repeated and null ids choose nothing more."""
+    if isinstance(wanted, DataFrame):
+        rows = rows.join(wanted.select(by), by, "left_semi")
+    elif wanted:
+        rows = rows.where(F.col(by).isin(*wanted))
+    return rows.orderBy(order).limit(limit) if limit else rows
 
 
 def chosen_cases(spark: SparkSession, sf_dir: str, wanted: tuple = (), limit: int | None = 0) -> DataFrame:
     """Cases of some ids, none meaning all, and at most so many, 0 or none meaning all, in order."""
-    rows = validation.cases(spark, sf_dir)
-    rows = rows.where(F.col("query_id").isin(*wanted)) if wanted else rows
-    rows = rows.orderBy("item_id").limit(limit) if limit else rows
-    return rows.select("query_id", "sector", "market_cap")
+    return choose_cases(validation.cases(spark, sf_dir), wanted, limit).select("query_id", "sector", "market_cap")
+
+
+def failed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first AGAIN cases, in order, of those that failed in the run."""
+    failed = results(spark, sf_dir).where("status = 'failed'").select("query_id")
+    return choose_cases(validation.cases(spark, sf_dir), failed, AGAIN).select("query_id", "sector", "market_cap")
 
 
 def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +229,7 @@ _SUMMARY = """summed as (
   select count(*) as num_tests, count(*) filter (status = 'success') as num_success, count(*) filter (status = 'success') / count(*) as success_rate, avg(overall_score) filter (status = 'success') as overall_score,
          avg(execution_time) filter (status = 'success') as execution_time, avg(groundedness) filter (status = 'success') as groundedness from results
 )"""
-_FOUND = f"(select t.query_id as item_id, list({{'i': t.rank, 'company_name': d.lang, 'data_source_type': d.source, 'text': coalesce(d.text, '')}} order by t.rank) as listed from ({retrieval.ORACLE_SQL['hybrid_topk']}) t join documents d using (doc_id) group by t.query_id)"
+_FOUND = f"(select t.query_id as item_id, list({{'i': t.rank, 'chunk_id': upper(d.lang) || '_' || d.source || '_' || d.doc_id, 'company_name': d.lang, 'data_source_type': d.source, 'text': coalesce(d.text, '')}} order by t.rank) as listed from ({retrieval.ORACLE_SQL['hybrid_topk']}) t join documents d using (doc_id) group by t.query_id)"
 _SOURCE = f"{_nl(chr(10) + '### Source ')} || c.i || {_nl(chr(10) * 2 + '- **Company:** ')} || coalesce(c.company_name, 'Unknown') || {_nl(chr(10) + '- **Type:** ')} || coalesce(c.data_source_type, 'Unknown') || {_nl(chr(10) + '- **Date:** Unknown' + chr(10) + '- **Ticker:** N/A' + chr(10))}"
 _REPORT = f"""{_nl("# Report\n\n**Query:** ")} || r.query || {_nl("\n\n---\n\n## Answer\n\n")} || r.answer || {_nl("\n\n---\n\n## Confidence Score\n\n**")} || {_shown("e.confidence", 2)} || {_nl("** / 1.0\n\n## Hallucination Score\n\n**")}
   || {_shown("e.hallucination", 2)} || {_nl("** / 1.0\n\n---\n\n## Sources\n\n")} || case when len(listed) > 0 then array_to_string(list_transform(listed, lambda c: {_SOURCE}), '') else {_nl("\nNo sources available.\n")} end
@@ -214,6 +241,7 @@ QUERIES = {
     "report_files": report_files,
     "golden_cases": golden_cases,
     "source_blocks": source_blocks,
+    "plain_source_blocks": plain_source_blocks,
     "prompt_by_role": prompt_by_role,
     "synthesis_shell": synthesis_shell,
     "token_estimates": token_estimates,
@@ -225,6 +253,7 @@ QUERIES = {
     "payload_metadata": payload_metadata,
     "first_text": first_text,
     "chosen_cases": chosen_cases,
+    "failed_cases": failed_cases,
     "newest_sessions": newest_sessions,
     "date_labels": date_labels,
 }
@@ -234,6 +263,9 @@ ORACLE_SQL = {
 ) {_digest_sql("query_id", "report", "reports")}""",
     "source_blocks": f"""with {RUN}, blocks as (
   select c.query_id, coalesce(array_to_string(list_transform(listed, lambda c: '--- Source ' || c.i || ' ---' || chr(10) || left(c.text, {SOURCE_CHARS}) || chr(10) || chr(10)), ''), '') as blocks from cases c left join {_FOUND} f using (item_id)
+) {_digest_sql("query_id", "blocks", "blocks")}""",
+    "plain_source_blocks": f"""with {RUN}, blocks as (
+  select c.query_id, coalesce(array_to_string(list_transform(listed, lambda c: '--- Source ' || c.i || ' ---' || chr(10) || left(case when c.i % {BARE} = 0 then c.chunk_id else c.text end, {SOURCE_CHARS}) || chr(10) || chr(10)), ''), '') as blocks from cases c left join {_FOUND} f using (item_id)
 ) {_digest_sql("query_id", "blocks", "blocks")}""",
     "prompt_by_role": f"""with whole as (
   select conv_id, string_agg(case when role = 'system' then coalesce(text, '') || chr(10) || chr(10) else coalesce(text, '') end, '' order by turn) as prompt from conversations where role in ('system', 'user') group by conv_id
@@ -266,7 +298,8 @@ union all select 'market_cap', market_cap, count(*), round(coalesce(avg(overall_
     "payload_metadata": f"""with {sql.CHUNKS} select chunk_id, len(pairs) as n_keys, array_to_string(list_sort(pairs), '&') as metadata from (
   select chunk_id, list_filter(['doc_id=' || doc_id, 'data_source_type=' || data_source_type, 'company_name=' || company_name, 'ordinal=' || ordinal], lambda x: x is not null) as pairs from chunks)""",
     "first_text": f"""with texts as (select doc_id, replace({_TEXTS}, '"', '') as clean from documents where {_TEXTS} is not null)
-select doc_id, length(clean) as n_chars, md5(clean) as text_md5, left(clean, 200) || case when length(clean) > 200 then '...' else '' end as shown from texts""",
+select doc_id, length(clean) as n_chars, md5(clean) as text_md5, left(clean, 200) || case when length(clean) > 200 then '...' else '' end as shown, left(clean, 200) || '...' as target_text, length(left(clean, 1000)) as prompt_chars from texts""",
+    "failed_cases": f"with {RUN} select query_id, sector, market_cap from results where status = 'failed' order by item_id limit {AGAIN}",
     "chosen_cases": f"with {RUN} select query_id, sector, market_cap from cases",
     "newest_sessions": "select conv_id, count(*) as n_turns from conversations group by conv_id order by conv_id desc",
     "date_labels": "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as stamp, strftime(ts, '%B %Y') as month, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, strftime(ts, '%Y-%m-%d %H:%M:%S') as back from events",

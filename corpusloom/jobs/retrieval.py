@@ -11,6 +11,7 @@ from corpusloom.jobs import sql
 from corpusloom.operators import bm25, retrieval
 from corpusloom.operators import chunking as C
 from corpusloom.operators.index import TextIndex, build_index
+from corpusloom.sources.paged import read_points
 from corpusloom.sources.storage import made_once, new_path
 from corpusloom.sources.tables import chunks, search_queries, table, vectors
 
@@ -39,6 +40,13 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings.groupBy("h").agg(F.sum("n").alias("df")).agg(F.lit(index.figures.n_docs).alias("n_docs"), F.count(F.lit(1)).alias("n_words"), F.sum("df").alias("n_entries"), F.max("df").alias("most_docs"), F.round(F.lit(index.figures.mean_idf), 6).alias("mean_idf"))
 
 
+def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the first source by name, scrolled page by page from the file as a collection that is asked for them alone; none if no source has a name."""
+    first = table(spark, sf_dir, "documents").where("source <> ''").agg(F.min("source")).first()[0]
+    rows = read_points(spark, f"{sf_dir}/documents.parquet", ["doc_id", "text", "lang", "source"], conditions=[("source", "in", [first] if first else [])])
+    return rows.select("doc_id", F.upper("lang").alias("company"), "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = words(F.col("raw_chunk"))
     return chunks(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(F.array_distinct(tokens)).cast("long").alias("n_distinct"))
@@ -135,6 +143,13 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.distinct_sources(_found(spark, sf_dir), ["company_name", "data_source_type"]).select("query_id", "rank", "company_name", "data_source_type", "doc_id")
 
 
+def source_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different source of a query, the first of its company, kind and document, as a record with its text."""
+    first = retrieval.distinct_sources(_found(spark, sf_dir), ["company_name", "data_source_type", "doc_id"])
+    record = retrieval.source_of({c: F.col(c) for c in ("company_name", "data_source_type", "raw_chunk")})
+    return first.select("query_id", "rank", record.alias("s")).select("query_id", "rank", "s.company", "s.source_type", "s.date", "s.ticker", F.length("s.content").cast("long").alias("n_chars"), F.md5("s.content").alias("content_md5"))
+
+
 def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k found chunks of a query as one numbered text."""
     head = F.concat_ws(" - ", F.coalesce("company_name", F.lit("Unknown")), F.coalesce("data_source_type", F.lit("Unknown")), F.lit("Unknown"))
@@ -212,6 +227,8 @@ QUERIES = {
     "rerank_apply": rerank_apply,
     "rerank_fallback": rerank_fallback,
     "distinct_sources": distinct_sources,
+    "source_payloads": source_payloads,
+    "paged_scan": paged_scan,
     "format_context": format_context,
     "raw_recall_rank": raw_recall_rank,
     "chunk_spans": chunk_spans,
@@ -239,6 +256,8 @@ select doc_id, hash, case when hash is null then 'gone' when before is null then
     "rerank_apply": f"{_ALL}, {_RANKED} select query_id, new_rank, doc_id, rerank_score from reranked where rerank_score is not null",
     "rerank_fallback": f"{_ALL}, {_RANKED} select query_id, new_rank, doc_id, rerank_score from reranked where new_rank <= 5",
     "distinct_sources": f"{_FOUND} select query_id, rank, company_name, data_source_type, doc_id from (select *, row_number() over (partition by query_id, company_name, data_source_type order by rank) as seen from found) where seen = 1",
+    "source_payloads": f"{_FOUND} select query_id, rank, company_name as company, data_source_type as source_type, cast(null as varchar) as date, cast(null as varchar) as ticker, length(raw_chunk) as n_chars, md5(raw_chunk) as content_md5 from found",
+    "paged_scan": "select doc_id, upper(lang) as company, source, length(text) as n_chars, md5(text) as text_md5 from documents where source = (select min(source) from documents where source <> '')",
     "format_context": f"""{_FOUND}, whole as (select query_id, string_agg('[Document ' || rank || '] ' || coalesce(company_name, 'Unknown') || ' - ' || coalesce(data_source_type, 'Unknown') || ' - Unknown' || chr(10) || raw_chunk || chr(10), chr(10) || '---' || chr(10) order by rank) as context from found group by query_id)
 select query_id, length(context) as n_chars, md5(context) as context_md5 from whole""",
     "raw_recall_rank": f"{_ALL} select q.query_id, t.rank, t.rank is not null as hit from queries q left join top t on t.query_id = q.query_id and t.doc_id = q.query_id",

@@ -489,3 +489,10 @@ def rerank_strict(candidates: DataFrame, ranked: DataFrame, k: int = RERANKED, b
 def distinct_sources(found: DataFrame, keys: list[str], by: str = "query_id", order: str = "rank") -> DataFrame:
     """The first row of each (by, keys), null keys being equal, in order."""
     return found.withColumn("seen", F.row_number().over(Window.partitionBy(by, *keys).orderBy(order))).where("seen = 1").drop("seen")
+
+
+def source_of(chunk: dict[str, F.Column]) -> F.Column:
+    """A found chunk as a source that is shown and judged; what it doesn't have is null, its text empty."""
+    named = {"company": "company_name", "source_type": "data_source_type", "date": "fetched_date", "ticker": "ticker"}
+    none = F.lit(None).cast("string")
+    return F.struct(*(chunk.get(column, none).alias(name) for name, column in named.items()), F.coalesce(chunk.get("raw_chunk", none), F.lit("")).alias("content"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
 from corpusloom.functions import text as X
+from corpusloom.jobs import reports
+from corpusloom.operators import retrieval as R
 
 
 def one(spark, column, **values):
@@ -96,3 +98,26 @@ def test_metrics(spark):
 def test_soft_recall(spark, target, ids, want):
     df = spark.createDataFrame([(target, ids)], "target string, ids array<string>")
     assert df.select(M.soft_recall(F.col("target"), F.col("ids"))).first()[0] == want
+
+
+def test_sources_as_text(spark):
+    """A record's content, else what the source is as text; each is cut, none is left out."""
+    rows = spark.createDataFrame([(1, [("abc", "x"), (None, "name"), ("", "y"), (None, None), ("z" * 2_500, None)]), (2, [])], "id int, sources array<struct<content:string,plain:string>>")
+    got = {r["id"]: r["text"] for r in rows.select("id", reports.source_text(F.col("sources")).alias("text")).collect()}
+    assert got == {1: "".join(f"--- Source {i + 1} ---\n{t}\n\n" for i, t in enumerate(["abc", "name", "", "", "z" * 2_000])), 2: ""}
+
+
+def test_source_records(spark):
+    """What a chunk doesn't have is null, its text empty."""
+    chunk = spark.createDataFrame([("c", None, None)], "company_name string, ticker string, raw_chunk string")
+    record = R.source_of({c: F.col(c) for c in chunk.columns})
+    assert chunk.select(record.alias("s")).select("s.*").first().asDict() == {"company": "c", "source_type": None, "date": None, "ticker": None, "content": ""}
+
+
+def test_choosing_cases(spark):
+    rows = spark.createDataFrame([(i, f"q{i % 4}") for i in range(8)] + [(9, None)], "item_id int, query_id string")
+    ids = lambda *chosen: [r["item_id"] for r in reports.choose_cases(rows, *chosen).orderBy("item_id").collect()]
+    table = spark.createDataFrame([("q1",), ("q1",), (None,), ("none",)], "query_id string")
+    assert ids() == ids(None, 0) == ids((), None) == [0, 1, 2, 3, 4, 5, 6, 7, 9]
+    assert ids(("q1", "q3", "none")) == [1, 3, 5, 7] and ids(["q1", "q3"], 3) == [1, 3, 5] and ids((), 2) == [0, 1]
+    assert ids(table) == [1, 5] and ids(table, 1) == [1] and ids(table.limit(0)) == []
