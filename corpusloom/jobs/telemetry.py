@@ -19,6 +19,12 @@ def last_100(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all requests."""
+    return T.stats(telemetry(spark, sf_dir))
+
+
+def analyze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the requests of the path that the endpoint itself counts."""
     return T.stats(telemetry(spark, sf_dir), path="/analyze")
 
 
@@ -83,13 +89,14 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.groupBy("path").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.round(F.sum(cost(F.col("tokens"))), 6).alias("cost"))
 
 
-QUERIES = {"stream_last_100": stream_last_100, "stream_history": stream_history, "last_100": last_100, "stats_endpoint": stats_endpoint, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "last_event": last_event, "latency_series": latency_series, "usage_merged": usage_merged, "hourly_requests": hourly_requests}
+QUERIES = {"stream_last_100": stream_last_100, "stream_history": stream_history, "last_100": last_100, "stats_endpoint": stats_endpoint, "analyze_stats": analyze_stats, "agent_breakdown": agent_breakdown, "hit_rate": hit_rate, "token_cost": token_cost, "last_event": last_event, "latency_series": latency_series, "usage_merged": usage_merged, "hourly_requests": hourly_requests}
 _T = f"with {sql.TELEMETRY}"
 ORACLE_SQL = {
     "stream_last_100": f"{_T} select event_id, latency_ms, status, tokens from latest",
     "stream_history": f"{_T} select path, count(*) as requests, count(*) filter (status >= 400) as errors, round(sum(tokens / 1000.0 * 0.002), 6) as cost from telemetry group by path",
     "last_100": f"{_T} select event_id, latency_ms, status, tokens from latest",
-    "stats_endpoint": f"{_T} select count(*) as requests, count(*) filter (status >= 400) as errors, (select round(coalesce(avg(latency_ms), 0), 2) from (select * from telemetry where path = '/analyze' order by ts desc, event_id desc limit 100)) as avg_latency_ms from telemetry where path = '/analyze'",
+    "stats_endpoint": f"{_T} select count(*) as requests, count(*) filter (status >= 400) as errors, (select round(coalesce(avg(latency_ms), 0), 2) from latest) as avg_latency_ms from telemetry",
+    "analyze_stats": f"{_T} select count(*) as requests, count(*) filter (status >= 400) as errors, (select round(coalesce(avg(latency_ms), 0), 2) from (select * from telemetry where path = '/analyze' order by ts desc, event_id desc limit 100)) as avg_latency_ms from telemetry where path = '/analyze'",
     "agent_breakdown": f"""{_T}, known as (select * from telemetry where detailed) select agent, round(sum(ms) / (select count(*) from known), 6) as avg_ms from (
   select 'researcher' as agent, latency_ms * 0.5 as ms from known union all select event_type, latency_ms * 0.25 from known) group by agent""",
     "hit_rate": f"{_T} select round(avg(rag_hit) * 100, 6) as hit_rate, avg(rag_hit) * 100 >= 50 as healthy from latest",

@@ -53,3 +53,10 @@ def test_query(spark, duck, name):
     got = sorted((tuple(plain(row[c]) for c in sorted(names)) for row in df.collect()), key=repr)
     order = [names.index(c) for c in sorted(names)]
     assert got == sorted((tuple(plain(row[i]) for i in order) for row in want.fetchall()), key=repr)
+
+
+def test_stats_are_of_all_requests(spark):
+    """stats_endpoint counts every request; those of one path have a query of their own."""
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    every, some = (registry.QUERIES[name](spark, DATA).first()["requests"] for name in ("stats_endpoint", "analyze_stats"))
+    assert every == events.count() and some == events.where("event_type <> 'view'").count() < every
