@@ -122,6 +122,52 @@ def test_postings_give_what_a_scan_gives(spark):
     assert 0 < found.decoded.count() < 0.5 * found.listed.count()
 
 
+def test_a_search_moves_no_postings(spark, monkeypatch):
+    """Extremes and searches read no postings, and an index of many files is scanned by tasks that its size doesn't add to."""
+    chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}", "ab"[i % 2], i) for i in range(60)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
+    index = build_index(chunks.repartition(30))
+    queries = spark.createDataFrame([(1, "w1 w2", None)], "query_id long, query string, vector array<double>")
+
+    def none(*_):
+        raise AssertionError("postings are read")
+
+    monkeypatch.setattr(type(index), "asked", none)
+    assert retrieval.keyword_bounds(index, queries).count() == 1 and retrieval.search(index, queries, k=5).count() == 5
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        most = retrieval.SCANS * spark.sparkContext.defaultParallelism
+        assert retrieval._scan(index, ["doc_id"]).rdd.getNumPartitions() <= most < open_index(spark, index.path).docs.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_frequent_words_by_a_matrix_product(monkeypatch):
+    """Scores are the same whichever words go by a matrix product, and for rows that are named."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    dense = r.normal(size=(9, 5)) * (r.random((9, 5)) < 0.6)
+    word, query = np.nonzero(dense)
+    block = retrieval.Block(list(range(5)), np.zeros((5, 0)), np.zeros(5, bool), np.arange(9), np.searchsorted(word, np.arange(10)), query, dense[word, query], 4.0, 1.5, 0.75)
+    terms = [sorted(r.choice(12, r.integers(0, 9), replace=False).tolist()) for _ in range(20)]
+    counts = [[int(x) for x in r.integers(1, 4, len(t))] for t in terms]
+    rows = pa.RecordBatch.from_pydict({"terms": pa.array(terms, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32())), "dl": pa.array([sum(c) for c in counts], pa.int32())})
+    want = np.zeros((20, 5))
+    for i, (t, c) in enumerate(zip(terms, counts, strict=True)):
+        for h, tf in zip(t, c, strict=True):
+            want[i] += (dense[h] if h < 9 else 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * sum(c) / 4.0))
+    for most, worth in ((256, 0.0), (2, 0.0), (256, 2.0), (256, 0.3)):
+        monkeypatch.setattr(retrieval, "FREQUENT", most)
+        monkeypatch.setattr(retrieval, "WORTH", worth)
+        scorer = retrieval.Scorer(block)
+        entries = scorer.entries(rows)
+        assert np.allclose(scorer.scores(entries, 20), want)
+        named = np.array([7, 3, 19])
+        assert np.allclose(scorer.scores(entries, 20, named), want[named])
+
+
 def test_scores_in_parts(monkeypatch):
     """Sparse products in bounded memory give what a dense one gives."""
     import numpy as np
