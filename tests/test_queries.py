@@ -60,3 +60,12 @@ def test_stats_are_of_all_requests(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     every, some = (registry.QUERIES[name](spark, DATA).first()["requests"] for name in ("stats_endpoint", "analyze_stats"))
     assert every == events.count() and some == events.where("event_type <> 'view'").count() < every
+
+
+def test_source_payloads_move_no_text(spark):
+    """Length and digest are taken where the text is read: nothing above the first exchange has it."""
+    plan = registry.QUERIES["source_payloads"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Join" in line or "Window" in line or "Sort " in line]
+    assert moved and not any("raw_chunk" in line or "text#" in line for line in moved)
+    projected = [line for line in plan.splitlines() if "md5(" in line]
+    assert projected and plan.splitlines().index(projected[0]) > plan.splitlines().index(moved[-1])
