@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import retrieval
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import telemetry as T
-from corpusloom.operators.index import build_index, open_index
+from corpusloom.operators.index import build_index, open_index, with_postings
 from corpusloom.sources import storage
 from corpusloom.streaming import telemetry as stream
 
@@ -122,6 +122,27 @@ def test_postings_give_what_a_scan_gives(spark):
     assert 0 < found.decoded.count() < 0.5 * found.listed.count()
 
 
+def test_a_block_lies_together_whatever_the_join(spark):
+    """Vectors that are too many to be sent to every task: a word has one posting row in a block, not one in each part of the join; postings are written when they are asked for."""
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('all w', id % 7) as raw_chunk", "'s' as data_source_type", "id as ordinal")
+    vectors = docs.select("doc_id").selectExpr("doc_id", "array(1.0D, cast(doc_id as double)) as vector")
+    queries = spark.createDataFrame([(1, "w1 w2", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bare = build_index(docs, vectors, block_docs=16, postings=False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert bare.postings is None and open_index(spark, bare.path).postings is None
+    with pytest.raises(ValueError):
+        bare.asked([1])
+    index = with_postings(bare)
+    assert with_postings(open_index(spark, bare.path)).postings.count() == index.postings.count() == index.postings.select("h", "block").distinct().count()
+    assert index.postings.agg({"n": "sum"}).first()[0] == 600 and index.docs.where("vector[1] = doc_id").count() == 300
+    assert {r["df"] for r in index.terms.collect()} == {300, 43, 42}
+    assert retrieval.lexical_topk(index, queries, 5).count() == 5 == retrieval.search(bare, queries, k=5).count()
+
+
 def test_a_search_moves_no_postings(spark, monkeypatch):
     """Extremes and searches read no postings, and an index of many files is scanned by tasks that its size doesn't add to."""
     chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}", "ab"[i % 2], i) for i in range(60)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
