@@ -143,6 +143,21 @@ def test_a_block_lies_together_whatever_the_join(spark):
     assert retrieval.lexical_topk(index, queries, 5).count() == 5 == retrieval.search(bare, queries, k=5).count()
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    """What a task of a scan takes up at once doesn't grow with the index."""
+    import pyarrow as pa
+
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 500), x -> concat('w', x * (id + 1))), ' ') as raw_chunk", "'s' as data_source_type", "id as ordinal")
+    index = build_index(docs, postings=False)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    found = retrieval._scan(index, ["doc_id", "terms", "counts"]).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 2000 and max(r["size"] for r in found) < 5 << 20
+
+
 def test_a_search_moves_no_postings(spark, monkeypatch):
     """Extremes and searches read no postings, and an index of many files is scanned by tasks that its size doesn't add to."""
     chunks = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}", "ab"[i % 2], i) for i in range(60)], "doc_id long, raw_chunk string, data_source_type string, ordinal long")
