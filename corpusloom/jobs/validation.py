@@ -9,7 +9,7 @@ from corpusloom.functions import metrics as M
 from corpusloom.functions import scores as S
 from corpusloom.functions.text import company_code, metric_tokens
 from corpusloom.jobs import replies, retrieval, sql
-from corpusloom.sources.storage import made_once, through_json, written
+from corpusloom.sources.storage import made_once, stored, through_json, written
 from corpusloom.sources.tables import AGENT_REPLIES, chunks, table
 
 #: Every so many cases one's run fails, one expects no facts, one no sections, one's answer has words of another chunk, and one's no marks of its sources.
@@ -22,16 +22,27 @@ TARGET, OTHER = (37, 11), (53, 29)
 REQUIRED = ("src1", "SRC2", "src3")
 
 
-def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test cases of the benchmark items: for one in three the chunk of its number should be found, for the others another one. The three longest words of that chunk are the facts, the first two in order the sections."""
-    docs = chunks(spark, sf_dir)
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, query, target, other): benchmark items with the chunks that each one asks for and is made up from."""
     n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("query")).crossJoin(F.broadcast(n))
+    at = lambda k: (F.abs("item_id") * k[0] + k[1]) % F.greatest("n", F.lit(1))
+    return items.select("item_id", "query", F.when(F.col("item_id") % 3 == 0, F.col("item_id")).otherwise(at(TARGET)).alias("target"), at(OTHER).alias("other"))
+
+
+def _picked(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The chunks of some ids (doc_id), written, so that tokens are made of these alone; all others are read and left where they are."""
+    return stored(chunks(spark, sf_dir).join(stored(ids.distinct(), "ids"), "doc_id", "left_semi"), "picked")
+
+
+def cases(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Test cases of the benchmark items: for one in three the chunk of its number should be found, for the others another one. The three longest words of that chunk are the facts, the first two in order the sections. docs: chunks that hold the wanted ones, if they are at hand."""
+    items = _items(spark, sf_dir)
+    if docs is None:
+        docs = _picked(spark, sf_dir, items.select(F.col("target").alias("doc_id")))
     tokens = metric_tokens(F.col("raw_chunk"))
     longest = F.transform(F.slice(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 3), lambda x: x["t"])
     known = docs.select(F.col("doc_id").alias("target"), "chunk_id", "data_source_type", "company_name", F.length("raw_chunk").alias("size"), longest.alias("longest"), F.slice(F.array_sort(tokens), 1, 2).alias("first"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("query")).crossJoin(F.broadcast(n))
-    at = lambda k: (F.abs("item_id") * k[0] + k[1]) % F.greatest("n", F.lit(1))
-    items = items.select("item_id", "query", F.when(F.col("item_id") % 3 == 0, F.col("item_id")).otherwise(at(TARGET)).alias("target"), at(OTHER).alias("other"))
     return items.join(known, "target", "left").select(
         "item_id",
         "other",

@@ -8,7 +8,7 @@ import hashlib
 import duckdb
 import pytest
 
-from corpusloom.jobs import registry
+from corpusloom.jobs import registry, validation
 from corpusloom.operators.chunking import LIMIT, spans
 from tests.conftest import DATA
 
@@ -69,3 +69,17 @@ def test_source_payloads_move_no_text(spark):
     assert moved and not any("raw_chunk" in line or "text#" in line for line in moved)
     projected = [line for line in plan.splitlines() if "md5(" in line]
     assert projected and plan.splitlines().index(projected[0]) > plan.splitlines().index(moved[-1])
+
+
+def _reads_texts(df) -> bool:
+    """Whether the plan reads the documents' texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("documents.parquet" in line and "text:string" in line for line in plan.splitlines())
+
+
+def test_cases_make_tokens_of_wanted_chunks_alone(spark):
+    """The wanted chunks are picked first, so that no other text is cut into words."""
+    assert not _reads_texts(validation.cases(spark, DATA))
+    ids = validation._items(spark, DATA).selectExpr("target as doc_id")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert 0 < validation._picked(spark, DATA, ids).count() == docs.join(ids.distinct(), "doc_id").count() < docs.count()
\ No newline at end of file
