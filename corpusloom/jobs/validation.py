@@ -128,7 +128,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answered(spark, sf_dir).withColumns({name: when(c) for name, c in parts.items()}).withColumns({"context_relevancy": when(M.context_relevancy(query, texts)), "retrieval_recall": when(recall)})
     overall = F.when(ok, S.overall({name: F.col(name) for name in parts})).otherwise(0.0)
     evaluated = replies.evaluator_reply(spark, sf_dir).select(F.col("reply_id").alias("item_id"), "confidence")
-    timed = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("value").alias("seconds"))
+    timed = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("value").alias("seconds")).join(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "left_semi")
     return rows.join(evaluated, "item_id", "left").join(timed, "item_id", "left").withColumns(
         {
             "status": F.when(ok, "success").otherwise("failed"),

@@ -82,4 +82,12 @@ def test_cases_make_tokens_of_wanted_chunks_alone(spark):
     assert not _reads_texts(validation.cases(spark, DATA))
     ids = validation._items(spark, DATA).selectExpr("target as doc_id")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert 0 < validation._picked(spark, DATA, ids).count() == docs.join(ids.distinct(), "doc_id").count() < docs.count()
\ No newline at end of file
+    assert 0 < validation._picked(spark, DATA, ids).count() == docs.join(ids.distinct(), "doc_id").count() < docs.count()
+
+
+def test_seconds_of_cases_alone_are_moved(spark):
+    """Events of no case are dropped where they are read."""
+    plan = validation._measured(spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
+    events = next(i for i, line in enumerate(plan) if "events.parquet" in line)
+    above = [line for line in plan[:events] if "Exchange hashpartitioning" in line or "LeftSemi" in line]
+    assert "LeftSemi" in above[-1]
