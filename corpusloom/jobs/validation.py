@@ -89,12 +89,12 @@ def _inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 def _answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases with the chunks found for them in order, and an answer from these: the best chunk, or its beginning and words of another one. answer is null if the run failed."""
-    known = chunks(spark, sf_dir)
-    top = retrieval._search(spark, sf_dir).select("query_id", "rank", "doc_id")
+    top, items = stored(retrieval._search(spark, sf_dir).select("query_id", "rank", "doc_id"), "top"), _items(spark, sf_dir)
+    known = _picked(spark, sf_dir, top.select("doc_id").union(items.select("target")).union(items.select("other")))
     each = top.join(known.select("doc_id", "chunk_id", "raw_chunk", "company_name", "data_source_type"), "doc_id")
     listed = each.groupBy(F.col("query_id").alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "raw_chunk", "company_name", "data_source_type"))).alias("found"))
     other = known.select(F.col("doc_id").alias("other"), F.left("raw_chunk", F.lit(INVENTED)).alias("invented"))
-    joined = cases(spark, sf_dir).join(listed, "item_id", "left").join(other, "other", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))
+    joined = cases(spark, sf_dir, known).join(listed, "item_id", "left").join(other, "other", "left").withColumn("found", F.coalesce("found", F.array().cast(listed.schema["found"].dataType)))
     best = F.get("found", F.lit(0))["raw_chunk"]
     made_up = F.concat_ws(" ", F.left(best, F.lit(SAID)), "invented")
     answer = F.when(F.col("item_id") % MADE_UP == 1, made_up).otherwise(best)

@@ -85,6 +85,11 @@ def test_cases_make_tokens_of_wanted_chunks_alone(spark):
     assert 0 < validation._picked(spark, DATA, ids).count() == docs.join(ids.distinct(), "doc_id").count() < docs.count()
 
 
+def test_answers_are_made_of_picked_chunks(spark):
+    """Found chunks, wanted ones and others are picked in one pass; no join moves the documents' texts."""
+    assert not _reads_texts(validation._answer(spark, DATA))
+
+
 def test_seconds_of_cases_alone_are_moved(spark):
     """Events of no case are dropped where they are read."""
     plan = validation._measured(spark, DATA)._jdf.queryExecution().executedPlan().toString().splitlines()
